@@ -1,10 +1,15 @@
 """The queries of this subpackage, with SQL where it can express them."""
 
-from . import exact_dedup, mixing, pii
+from . import bpe, exact_dedup, mixing, pii, quality_model, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_quality_model": quality_model.op6_quality_model,
+    "op7_bpe": bpe.op7_bpe,
     "op10_pii": pii.op10_pii,
 }
 
