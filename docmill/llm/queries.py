@@ -1,6 +1,6 @@
 """The queries of this subpackage, with SQL where it can express them."""
 
-from . import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, suffix_dedup, token_counts
+from . import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secrets_crf, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_bpe": bpe.op7_bpe,
+    "op8_secret_scan": secrets_crf.op8_secret_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_pii": pii.op10_pii,
 }

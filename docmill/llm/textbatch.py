@@ -85,22 +85,26 @@ def byte_prints(data: np.ndarray) -> Prints:
     return Prints(_BYTES[data])
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, row) of every word: a run of bytes other than the six of white space."""
-    word = ~SPACE[data]
-    before = np.empty_like(word)
+def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, row) of every maximal run of marked bytes inside one text."""
+    before = np.empty_like(mask)
     before[:1] = False
-    before[1:] = word[:-1]
+    before[1:] = mask[:-1]
     first = offs[:-1][offs[:-1] < offs[1:]]
     before[first] = False
-    after = np.empty_like(word)
+    after = np.empty_like(mask)
     after[-1:] = False
-    after[:-1] = word[1:]
+    after[:-1] = mask[1:]
     after[first[1:] - 1] = False
-    start, stop = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    start, stop = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
     return start, stop, np.searchsorted(offs, start, "right") - 1
 
 
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, row) of every word: a run of bytes other than the six of white space."""
+    return runs(~SPACE[data], offs)
+
+
 def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop, row) of every line that isn't empty, without its line feed."""
     cut = np.flatnonzero(data == 10)
