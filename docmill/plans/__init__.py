@@ -1 +1,6 @@
-"""docmill.plans"""
+"""All queries of the engine but those of the optional subpackage."""
+
+from . import catalog, evaluation, ingesting, parsing, retrieval, streams, texts  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
