@@ -99,10 +99,18 @@ def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.select("doc_id", "text", *[base_matches(F.col("text"), k).alias(k) for k in KINDS])
 
 
+def _tagged(col: str, before: Column | None, after: Column | str) -> Column:
+    """The column's matches as structs of ``before``, start, stop and ``after`` (a column, or the name of a field)."""
+    def one(m: Column) -> Column:
+        return F.struct(*[before] * (before is not None), m["start"].alias("start"), m["stop"].alias("stop"), m[after].alias(after) if isinstance(after, str) else after)
+
+    return F.transform(F.col(col), one)
+
+
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, bits: the terms that reveal some protected entity of the corpus, with the most information that they give."""
     based = with_base(docs, id_col, text_col).filter(" OR ".join(f"size({k}) > 0" for k in KINDS))
-    hits = F.concat(*[F.transform(F.col(k), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"))) for k in KINDS])
+    hits = F.concat(*[_tagged(k, F.lit(k).alias("kind"), "value") for k in KINDS])
     each = based.select("doc_id", "text", F.explode(hits).alias("h"))
     left = F.greatest(F.lit(0), F.col("h.start") - CONTEXT)
     around = F.concat(F.substring(F.col("text"), left + 1, F.col("h.start") - left), F.lit(" "), F.substring(F.col("text"), F.col("h.stop") + 1, F.lit(CONTEXT)))
@@ -147,7 +155,7 @@ def _joined(spans: Column) -> Column:
 def sanitise(found: DataFrame) -> DataFrame:
     """doc_id, clean: the text with entities replaced by ``[KIND]``, disclosing terms generalised or removed."""
     marks = F.concat(
-        *[F.transform(F.col(k), lambda m, k=k: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(f"[{k.upper()}]").alias("put"))) for k in KINDS],
+        *[_tagged(k, None, F.lit(f"[{k.upper()}]").alias("put")) for k in KINDS],
         F.transform(F.col("terms"), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.when(m["bits"] >= REMOVE_BITS, "").otherwise("[NAME]").alias("put"))),
     )
 
