@@ -104,7 +104,7 @@ def _sent(bucket: int, part: np.ndarray, names: list[np.ndarray]) -> pa.Table:
     """One row of names for each part; several arrays of names are laid one after the other."""
     order = np.argsort(part, kind="stable")
     parts, begin = np.unique(part[order], return_index=True)
-    ends = np.append(begin[1:], len(order))
+    ends = np.append(begin, len(order))[1:]
     names = [x[order] for x in names]
     packed = [b"".join(x[i:j].tobytes() for x in names) for i, j in zip(begin, ends, strict=True)]
     return pa.table({"part": pa.array(parts, pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "names": pa.array(packed, pa.binary())})
@@ -152,6 +152,8 @@ def _meet(table: pa.Table, round_: int) -> pa.Table:
 def _answers(reply: pa.Table, round_: int, part: np.ndarray) -> np.ndarray:
     """The codes of a bucket's names, back in their own order."""
     out = np.zeros(len(part), np.uint8)
+    if not len(part):
+        return out
     order = np.argsort(part, kind="stable")
     parts, begin = np.unique(part[order], return_index=True)
     where = dict(zip(parts.tolist(), np.split(order, begin[1:]), strict=True))
