@@ -5,13 +5,15 @@ count of leading zeros and ``MANTISSA`` bits behind them, 16 bits in all. Regist
 Jaccard index of 0.8 share none of the 32 bands with a chance of (1 - 0.8^4)^32, about 5e-8.
 
 1. Documents with equal sets form a class at once; only one sketch of each class goes on.
-2. Classes meet by band key. In a band bucket, members are compared with one leader, never with one another, so a bucket of
-   n gives n - 1 pairs. A pair's Jaccard index is estimated from its registers, corrected for chance collisions of
-   registers; pairs that may reach the threshold (six standard errors) are verified on their full sets.
-3. Verified links give connected components (min-label propagation with pointer jumping on tables). Buckets that hold more than one
-   component get new leaders, drawn by hash in each bucket, for ``LEADER_ROUNDS`` rounds.
-4. Last, in buckets that still hold several components, all pairs between different components are estimated and verified. Inside
-   a component no pair is needed. So every pair that shares a band is either verified or already connected.
+2. Classes that share a band bucket get a finer sketch: ``FINE`` registers of which only ``NIBBLE`` mantissa bits are kept, 256 bytes
+   in all. Bit operations on it give the Jaccard index, corrected for chance collisions of registers, within about 0.02; a
+   pair goes on to verification on its full sets unless the estimate is five standard errors under the threshold.
+3. In a band bucket, members are compared with one leader, never with one another, so a bucket of n gives n - 1 pairs; leaders
+   are the least by a hash, so a member meets only a few different ones over all its buckets; there are ``LEADERS`` such
+   hashes. Verified links give connected components (min-label propagation with pointer jumping on tables).
+4. Last, in buckets that still hold several components, pairs between different components are estimated inside the join, and those
+   that pass are verified; a pair is made in the first of its common buckets only. Inside a component no pair is
+   needed. So every pair that shares a band is verified, already connected, or estimated to be clearly under the threshold.
 
 Shuffles: keys and 16-byte class names for bands; full sets (32-bit names of shingles) only of classes that share a bucket.
 Joins with a hot leader or key are plain equi-joins, which Spark splits when skewed; counts are pre-aggregated. Tables
@@ -36,10 +38,13 @@ from . import textbatch as tb
 from .shared import stash, text_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
-LEADER_ROUNDS = 3
+FINE, NIBBLE = 512, 4
+LEADERS = 4
+#: Rows up to which a table of names is broadcast (under 8 MB); beyond, its joins are shuffled.
+BROADCAST_ROWS = 100_000
 _GEN = np.random.Generator(np.random.PCG64(991))
-_XOR = _GEN.integers(0, 2**32, REGISTERS, dtype=np.uint32)
-_MUL = _GEN.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _GEN.integers(0, 2**32, FINE, dtype=np.uint32)
+_MUL = _GEN.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -72,23 +77,62 @@ def registers(low: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (shifted >> np.uint64(32 - MANTISSA))).astype(np.uint16)
 
 
-def sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """REGISTERS registers for each of ``n`` texts (zeros for an empty set)."""
-    out = np.zeros((n, REGISTERS), np.uint16)
+def minima(row: np.ndarray, names: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with a set, their minima of ``count`` hashes)."""
     full, first = np.unique(row, return_index=True)
+    low = np.empty((len(full), count), np.uint32)
     if len(full):
         x = (names >> np.uint64(16)).astype(np.uint32)
-        low = np.empty((len(full), REGISTERS), np.uint32)
-        for k in range(REGISTERS):
+        for k in range(count):
             low[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], first)
-        out[full] = registers(low)
+    return full, low
+
+
+def sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """REGISTERS registers for each of ``n`` texts (zeros for an empty set)."""
+    out = np.zeros((n, REGISTERS), np.uint16)
+    full, low = minima(row, names, REGISTERS)
+    out[full] = registers(low)
+    return out
+
+
+def fine_sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """FINE registers cut to NIBBLE bits behind the leading zeros, packed into 64-bit numbers."""
+    per = 64 // NIBBLE
+    out = np.zeros((n, FINE // per), np.int64)
+    full, low = minima(row, names, FINE)
+    bits = (registers(low) >> np.uint16(MANTISSA - NIBBLE)).astype(np.uint64) & np.uint64(2**NIBBLE - 1)
+    shifted = bits.reshape(len(full), FINE // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(NIBBLE))
+    out[full] = np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
     return out
 
 
-def collisions(n: Column, m: Column) -> Column:
-    """Chance that unequal minima of sets of sizes n and m share a register: bins are about 0.72 * 2^-MANTISSA wide
-    in proportion to the value, and the minima are exponential with rates n and m."""
-    return F.lit(0.72 * 2.0**-MANTISSA) * n * m / ((n + m) * (n + m))
+def may_reach(a: str, b: str, threshold: float) -> Column:
+    """Whether fine sketches differ in few enough registers for a Jaccard index of ``threshold``, five standard errors allowed.
+
+    Unequal minima share a register's NIBBLE bits with a chance of 2^-NIBBLE, for which the bound is corrected."""
+    chance = 2.0**-NIBBLE
+    equal = threshold + (1 - threshold) * chance
+    most = int(FINE * (1 - equal) + 5 * (FINE * equal * (1 - equal)) ** 0.5) + 1
+    ones = F.lit(int("1" * (64 // NIBBLE), 16))
+    differ = None
+    for k in range(FINE * NIBBLE // 64):
+        z = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        z = z.bitwiseOR(F.shiftright(z, 1))
+        z = z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(ones)
+        differ = F.bit_count(z) if differ is None else differ + F.bit_count(z)
+    return differ <= most
+
+
+def class_names(names: np.ndarray, count: np.ndarray) -> list[bytes | None]:
+    """16-byte names of sets, given one after the other with their sizes; None for an empty one."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    sums = []
+    for x in (names, tb.mixed(names ^ np.uint64(0x5555555555555555))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
+        sums.append(tb.mixed((total[ends[1:]] - total[ends[:-1]]) ^ (count.astype(np.uint64) << np.uint64(40))))
+    both = np.stack(sums, 1)
+    return [both[k].tobytes() if count[k] else None for k in range(len(count))]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -102,130 +146,109 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 n = j - i
                 row, names = shingles(part, at, size)
                 count = np.bincount(row, minlength=n)
-                ends = np.concatenate([[0], np.cumsum(count)])
-                sums = []
-                for x in (names, tb.mixed(names ^ np.uint64(0x5555555555555555))):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
-                    sums.append(tb.mixed((total[ends[1:]] - total[ends[:-1]]) ^ (count.astype(np.uint64) << np.uint64(40))))
-                name = np.stack(sums, 1)
+                cls = class_names(names, count)
                 sig = sketch(row, names, n)
-                cls = [name[k].tobytes() if count[k] else None for k in range(n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array([sig[k].tobytes() if count[k] else None for k in range(n)], pa.binary())], names=["doc_id", "n", "cls", "sig"])
 
     return plain.mapInArrow(run, "doc_id long, n long, cls binary, sig binary")
 
 
 def full_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """cls, set: the shingles' 32-bit names; docs has a column __cls beside the text."""
+    """cls, set (the shingles' 32-bit names), fine (the fine sketch) of every text that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = tb.bytes_of(batch.column(1))
+            data, offs = tb.bytes_of(batch.column(0))
             for i, j, part, at in tb.blocks(data, offs):
                 row, names = shingles(part, at, size)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
+                count = np.bincount(row, minlength=j - i)
+                ends = np.concatenate([[0], np.cumsum(count)])
                 sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((names >> np.uint64(20)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["cls", "set"])
+                fine = fine_sketch(row, names, j - i)
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(class_names(names, count), pa.binary()), sets, fine], names=["cls", "set", "fine"])
+
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "cls binary, set array<int>, fine array<long>").filter("cls IS NOT NULL")
 
-    return docs.select("__cls", text_of(text_col).alias("text")).mapInArrow(run, "cls binary, set array<int>")
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A stored table of names, to be broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node that each node reaches over ``edges`` (a, b)."""
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("comp", "near").alias("low"), "comp")
-        jump = low.join(labels.select(F.col("node").alias("low"), F.col("comp").alias("next")), "low", "left")
+        known = bounded(labels)
+        near = both.join(known.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        low = near.join(known, "node").select("node", F.least("comp", "near").alias("low"), "comp")
+        jump = low.join(known.select(F.col("node").alias("low"), F.col("comp").alias("next")), "low")
         new = stash(jump.select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels")
-        moved = new.filter("moved").limit(1).count()
         labels = new.select("node", "comp")
-        if not moved:
+        if not new.filter("moved").limit(1).count():
             return labels
 
 
-def _reaches(threshold: float) -> Column:
-    """Whether the sets of the joined rows x and y have a Jaccard index of ``threshold`` or more."""
-    equal = F.aggregate(F.zip_with(F.col("x.sig"), F.col("y.sig"), lambda p, q: (p == q).cast("int")), F.lit(0), lambda a, e: a + e)
-    chance = collisions(F.size("x.set").cast("double"), F.size("y.set").cast("double"))
-    estimate = (equal / F.lit(float(REGISTERS)) - chance) / (F.lit(1.0) - chance)
-    slack = 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    common = F.size(F.array_intersect("x.set", "y.set")).cast("long")
-    percent = round(100 * threshold)
-    exact = common * 100 >= (F.size("x.set") + F.size("y.set") - common) * percent
-    return F.when(estimate >= threshold - slack, exact).otherwise(False)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets."""
-    joined = pairs.join(sets.select(F.col("cls").alias("b"), F.struct("set", "sig").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.struct("set", "sig").alias("x")), "a")
-    return joined.filter(_reaches(threshold)).select("a", "b")
+    """The pairs (a, b) that reach the threshold: estimated first, then on their full sets."""
+    side = lambda c, x: sets.select(F.col("cls").alias(c), F.col("set").alias(f"{x}_set"), F.col("fine").alias(f"{x}_fine"))
+    joined = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").filter(may_reach("x_fine", "y_fine", threshold))
+    common = F.size(F.array_intersect("x_set", "y_set")).cast("long")
+    return joined.filter(common * 100 >= (F.size("x_set") + F.size("y_set") - common) * round(100 * threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. See the module for the method and the cases."""
-    spark = docs.sparkSession
     rows = stash(sketches(docs, id_col, text_col, size), "sketches")
     classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = stash(classes, "classes")
     n_bands = REGISTERS // ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(n_bands)])
-    bands = classes.select("cls", F.explode(keys).alias("key"))
+    bands = classes.select("cls", "rep", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     bands = stash(bands.join(shared, "key"), "bands")
 
-    wanted = bands.select("cls").distinct()
-    names = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
-    # Rows that repeat an id can have other texts: a class keeps only sets that bear its name.
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    picked = texts.join(names.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")), "__id").dropDuplicates(["__cls"]) if _repeats_ids(rows) else texts.join(names.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")), "__id")
+    wanted = bands.filter("rep IS NOT NULL").select(F.col("rep").alias("__id")).distinct()
+    picked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(wanted, "__id", "left_semi")
     sets = full_sets(picked, "__text", size)
-    sig = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda k: F.substring(F.col("sig"), 2 * k + 1, F.lit(2)))
-    sets = stash(sets.join(classes.select("cls", "sig"), "cls").select("cls", "set", sig.alias("sig")), "sets")
-
-    none = spark.createDataFrame([], "a binary, b binary")
-    edges, comps = none, None
-    for round_ in range(LEADER_ROUNDS + 1):
-        member = bands
-        if comps is not None:
-            member = bands.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-            mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-            member = stash(member.join(mixed, "key"), "mixed-buckets")
-        else:
-            member = member.withColumn("comp", F.col("cls"))
-        if round_ < LEADER_ROUNDS:
-            rank = F.col("cls") if round_ == 0 else F.xxhash64("cls", "key", F.lit(round_))
-            leader = member.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "cls", "comp")).alias("l")).select("key", F.col("l.cls").alias("a"), F.col("l.comp").alias("a_comp"))
-            pairs = member.join(leader, "key").filter("comp != a_comp").select("a", F.col("cls").alias("b"))
-        else:
-            other = member.select("key", F.col("cls").alias("a"), F.col("comp").alias("a_comp"))
-            pairs = member.join(other, "key").filter("a_comp < comp").select("a", F.col("cls").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stash(verified(pairs, sets, threshold), "links")
-        if found.limit(1).count() == 0:
-            if round_ >= LEADER_ROUNDS:
-                break
-            continue
-        edges = edges.unionByName(found)
-        comps = components(edges)
-
-    named = rows.select("doc_id", "n", "cls")
-    labelled = classes.select("cls", "rep")
-    if comps is not None:
-        labelled = labelled.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
-        least = labelled.groupBy("comp").agg(F.min("rep").alias("least"))
-        linked = labelled.filter("comp != cls").join(least, "comp").select("cls", "least")
-        own = labelled.filter("comp = cls").join(least, "comp").select("cls", "least")
-        labelled = linked.unionByName(own)
-    else:
-        labelled = labelled.select("cls", F.col("rep").alias("least"))
+    if _repeats_ids(rows):  # one id can then bear several sets, and several rows one
+        sets = sets.dropDuplicates(["cls"])
+    sets = stash(sets, "sets")
+
+    ranks = [F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls") for k in range(LEADERS)]
+    leaders = bands.groupBy("key").agg(F.array(*[F.min(r)["cls"] for r in ranks]).alias("l"))
+    pairs = bands.join(leaders, "key").select(F.explode(F.array_distinct("l")).alias("l"), "cls").filter("l != cls")
+    edges = stash(verified(_sorted(pairs, "l", "cls"), sets, threshold), "links")
+    comps = components(edges)
+
+    member = bands.join(bounded(comps).select(F.col("node").alias("cls"), "comp"), "cls", "left").select("band", "key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    wide = member.join(several, "key").join(classes.select("cls", keys.alias("keys")), "cls").join(sets.select("cls", "fine"), "cls")
+    wide = stash(wide.select("key", "band", "cls", "comp", "keys", "fine"), "mixed-buckets")
+    x = wide.toDF("key", "band", "a", "a_comp", "a_keys", "a_fine")
+    y = wide.select("key", "cls", "comp", "keys", "fine").toDF("key", "b", "b_comp", "b_keys", "b_fine")
+    first = F.array_position(F.zip_with("a_keys", "b_keys", lambda p, q: p == q), True) == F.col("band") + 1
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("a_comp") < F.col("b_comp")) & may_reach("a_fine", "b_fine", threshold) & first)
+    found = stash(verified(_sorted(across, "a", "b"), sets, threshold), "links")
+    if found.limit(1).count():
+        comps = components(edges.unionByName(found))
+
+    named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    least = stash(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
+    linked = stash(comps.join(bounded(least), "comp").select(F.col("node").alias("cls"), "least"), "linked")
+    labelled = classes.select("cls", "rep").join(bounded(linked), "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
     # Classes of many rows are the hot keys of this join; Spark splits them.
-    final = named.join(labelled, "cls", "left")
+    final = rows.select("doc_id", "n", "cls").join(labelled, "cls", "left")
     comp = F.coalesce("least", "doc_id")
     return final.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def _sorted(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 def _repeats_ids(rows: DataFrame) -> bool:
     """Whether some id has several rows."""
     return rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
