@@ -10,7 +10,7 @@ Jaccard index of 0.8 share none of the 32 bands with a chance of (1 - 0.8^4)^32,
    pair goes on to verification on its full sets unless the estimate is five standard errors under the threshold.
 3. In a band bucket, members are compared with one leader, never with one another, so a bucket of n gives n - 1 pairs; leaders
    are the least by a hash, so a member meets only a few different ones over all its buckets; there are ``LEADERS`` such
-   hashes. Verified links give connected components (min-label propagation with pointer jumping on tables).
+   hashes. Pairs whose estimate is too low aren't made. Verified links give connected components (min-label propagation with pointer jumping on tables).
 4. Last, in buckets that still hold several components, pairs between different components are estimated inside the join, and those
    that pass are verified; a pair is made in the first of its common buckets only. Inside a component no pair is
    needed. So every pair that shares a band is verified, already connected, or estimated to be clearly under the threshold.
@@ -39,7 +39,7 @@ from .shared import stash, text_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 FINE, NIBBLE = 1024, 2
-LEADERS = 4
+LEADERS = 2
 #: Rows up to which a table of names is broadcast (under 8 MB); beyond, its joins are shuffled.
 BROADCAST_ROWS = 100_000
 _GEN = np.random.Generator(np.random.PCG64(991))
@@ -220,9 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets.dropDuplicates(["cls"])
     sets = stash(sets, "sets")
 
-    ranks = [F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls") for k in range(LEADERS)]
-    leaders = bands.groupBy("key").agg(F.array(*[F.min(r)["cls"] for r in ranks]).alias("l"))
-    pairs = bands.join(leaders, "key").select(F.explode(F.array_distinct("l")).alias("l"), "cls").filter("l != cls")
+    near = stash(bands.join(sets.select("cls", "fine"), "cls").select("key", "cls", "fine"), "band-sketches")
+    ranks = [F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "fine") for k in range(LEADERS)]
+    leaders = near.groupBy("key").agg(*[F.min(r).alias(f"l{k}") for k, r in enumerate(ranks)])
+    met = near.join(leaders, "key")
+    pairs = None
+    for k in range(LEADERS):
+        meet = met.filter((F.col(f"l{k}.cls") != F.col("cls")) & may_reach(f"l{k}.fine", "fine", threshold)).select(F.col(f"l{k}.cls").alias("l"), "cls")
+        pairs = meet if pairs is None else pairs.unionByName(meet)
     edges = stash(verified(_sorted(pairs, "l", "cls"), sets, threshold), "links")
     comps = components(edges)
 
