@@ -4,16 +4,18 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers by pattern,
 the lengths of the pieces between matches, so no Python is needed. The patterns are written with possessive repeats and
 anchors at the start of a run, which match the same strings but neither backtrack nor recurse on very long texts.
 
-Method: the corpus tells how strongly a term reveals a protected entity. Terms are capitalised words. For an entity e and a
-term t within ``CONTEXT`` code points of it, disclosure is the pointwise mutual information
-``log2(P(e | t) / P(e)) = log2(both * documents / (with t * with e))``; t discloses e when ``P(e | t)`` reaches
-``REVEALS``, at least ``SUPPORT`` documents show both, and the information reaches ``GENERALISE_BITS``. Counts are of documents
-over the whole corpus. Spans of disclosing terms are added in every document that has them, with or without the entity; at
-``REMOVE_BITS`` or more the term is removed from the sanitised text, below it is generalised to ``[NAME]``.
-
-Scale: entity-term rows come only from contexts of entities, never from pairs of terms; all counts have map-side
-partial sums; the list of disclosing terms is broadcast only when its counted size is under ``BROADCAST_TERMS``, and
-joined by a shuffle beyond that.
+Method: the corpus tells how strongly a term reveals a protected entity. Terms are all words: runs of letters, marks and digits
+that stand outside of entities. For an entity e and a term t of one document, however far apart, disclosure is the pointwise
+mutual information ``log2(P(e | t) / P(e)) = log2(both * documents / (with t * with e))``; t discloses e when ``P(e | t)``
+reaches ``REVEALS``, at least ``SUPPORT`` documents show both, and the information reaches ``GENERALISE_BITS``. Counts are of
+documents (rows) over the whole corpus. Spans of disclosing terms are added in every document that has them, with or without the
+entity; at ``REMOVE_BITS`` or more the term is removed from the sanitised text, below it is generalised to ``[NAME]``.
+
+Scale: entity-term rows come only from documents with entities, never from pairs of terms, and only for entities that can still
+be disclosed: those in ``SUPPORT`` documents that aren't so common that no term could give the bits. Terms that other documents
+with entities show too often for ``REVEALS`` are not looked up in the rest of the corpus. Neither changes the result. All counts
+are by (entity, term) with map-side partial sums, so a frequent entity isn't one task; lists are broadcast only when their counted
+size is under ``BROADCAST_TERMS``, and joined by a shuffle beyond that.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all reported, and merged
 before a text is sanitised; rows that repeat an id share the terms found for it but have their own spans; an empty table
@@ -37,8 +39,8 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
-TERM = r"\p{Lu}[\p{L}\p{N}]{3,}+"
-CONTEXT, SUPPORT, REVEALS, GENERALISE_BITS, REMOVE_BITS = 60, 3, 0.9, 4.0, 10.0
+TERM = r"[\p{L}\p{M}\p{N}]++"
+SUPPORT, REVEALS, GENERALISE_BITS, REMOVE_BITS = 3, 0.9, 4.0, 10.0
 BROADCAST_TERMS = 200_000
 
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
@@ -48,15 +50,16 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of all matches, in code points."""
+def _located(text: Column, pattern: str, wanted=None) -> Column:
+    """array<struct<start, stop, value>> of all matches, or of those whose value is wanted, in code points."""
     found, gaps = _pieces(text, pattern)
     empty = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,stop:int,value:string>>) AS out)")
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["gap"])
         stop = start + F.char_length(x["value"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))))
+        return F.struct(stop.alias("at"), (out if wanted is None else F.when(wanted(x["value"]), out).otherwise(acc["out"])).alias("out"))
 
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
@@ -107,25 +110,56 @@ def _tagged(col: str, before: Column | None, after: Column | str) -> Column:
     return F.transform(F.col(col), one)
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _outside(spans: Column) -> Column:
+    """The text without the spans (structs of start and stop, in order), a blank for each."""
+    def step(acc, m):
+        piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], m["stop"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def last(acc):
+        return F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), " ")
+
+    return F.aggregate(spans, F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)"), step, last)
+
+
+def entities_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """entities and words of each row: its distinct entities, and its distinct words outside of them."""
+    hits = F.concat(*[_tagged(k, F.lit(k).alias("kind"), "value") for k in KINDS])
+    based = with_base(docs, id_col, text_col).select("text", hits.alias("hits"))
+    spans = F.array_sort(F.transform(F.col("hits"), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    entities = F.array_distinct(F.transform(F.col("hits"), lambda m: F.xxhash64(m["kind"], m["value"])))
+    return based.select(entities.alias("entities"), F.when(F.size("hits") > 0, _outside(spans)).otherwise(F.col("text")).alias("rest")).select("entities", _words(F.col("rest")).alias("words"))
+
+
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, bits: the terms that reveal some protected entity of the corpus, with the most information that they give."""
-    based = with_base(docs, id_col, text_col).filter(" OR ".join(f"size({k}) > 0" for k in KINDS))
-    hits = F.concat(*[_tagged(k, F.lit(k).alias("kind"), "value") for k in KINDS])
-    each = based.select("doc_id", "text", F.explode(hits).alias("h"))
-    left = F.greatest(F.lit(0), F.col("h.start") - CONTEXT)
-    around = F.concat(F.substring(F.col("text"), left + 1, F.col("h.start") - left), F.lit(" "), F.substring(F.col("text"), F.col("h.stop") + 1, F.lit(CONTEXT)))
-    seen = each.select("doc_id", F.xxhash64("h.kind", "h.value").alias("entity"), around.alias("around")).select("doc_id", "entity", F.explode_outer(F.array_distinct(F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))).alias("term")).distinct()
-    seen = stash(seen, "entity-terms")
-    with_entity = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_e"))
-    both = seen.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    rows = entities_and_words(docs, id_col, text_col)
+    marked = F.when(F.size("entities") > 0, F.col("words")).alias("words")
+    seen = stash(rows.select(F.monotonically_increasing_id().alias("row"), "entities", marked), "entity-words").filter("size(entities) > 0")
+    n = docs.count()
+    # P(e | t) is 1 at most, so a more common entity can't reach the bits by any term.
+    possible = (F.col("n_e") >= SUPPORT) & (F.col("n_e") * 2**GENERALISE_BITS <= n * (1 + 1e-9))
+    with_entity = stash(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(possible), "entity-counts")
+    if with_entity.count() <= BROADCAST_TERMS:
+        linked = seen.select(F.explode("entities").alias("entity"), "words").join(F.broadcast(with_entity), "entity", "left_semi")
+    else:  # narrow rows meet the entities, words are moved once for each document
+        links = seen.select("row", F.explode("entities").alias("entity")).join(with_entity, "entity", "left_semi").groupBy("row").agg(F.collect_list("entity").alias("linked"))
+        linked = seen.join(links, "row").select(F.explode("linked").alias("entity"), "words")
+    both = linked.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    at_least = seen.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_seen")).filter(F.col("n_seen") >= SUPPORT)
+    both = both.join(at_least, "term").filter(F.col("n_both") / F.col("n_seen") >= REVEALS).select("entity", "term", "n_both")
     both = stash(both, "entity-term-counts")
     wanted = both.select("term").distinct()
     n_wanted = wanted.count()
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(text_col), F.lit(TERM), F.lit(0)))).alias("term"))
+    # explode() would add a filter on the words' number, for which the patterns run a second time; the joins drop null terms.
+    terms = rows.select(F.explode_outer("words").alias("term"))
     if n_wanted <= BROADCAST_TERMS:
         terms = terms.join(F.broadcast(wanted), "term", "left_semi")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = docs.count()
     scored = both.join(with_entity, "entity").join(df, "term").withColumn("p", F.col("n_both") / F.col("n_t")).withColumn("bits", F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
     return scored.filter((F.col("p") >= REVEALS) & (F.col("bits") >= GENERALISE_BITS)).groupBy("term").agg(F.max("bits").alias("bits"))
 
@@ -134,14 +168,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, text, one array of matches per kind, and ``terms``: matches of disclosing terms with their bits."""
     listed = stash(disclosing_terms(docs, id_col, text_col), "disclosing-terms")
     small = listed.count() <= BROADCAST_TERMS
-    held = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text_of(text_col), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(_words(text_of(text_col))).alias("term"))
     held = held.join(F.broadcast(listed) if small else listed, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "bits"))).alias("held"))
     held = held.select(F.col("doc_id").alias("__id"), "held")
     based = with_base(docs, id_col, text_col)
     joined = based.join(held, based["doc_id"].eqNullSafe(held["__id"]), "left")
     none = F.expr("cast(array() AS array<struct<start:int,stop:int,value:string,bits:double>>)")
-    matches = F.transform(_located(F.col("text"), TERM), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), F.element_at(F.col("held"), m["value"]).alias("bits")))
-    return joined.select("doc_id", "text", *KINDS, F.when(F.col("held").isNotNull(), F.filter(matches, lambda m: m["bits"].isNotNull())).otherwise(none).alias("terms"))
+    located = _located(F.col("text"), TERM, lambda v: F.element_at(F.col("held"), v).isNotNull())
+    matches = F.transform(located, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), F.element_at(F.col("held"), m["value"]).alias("bits")))
+    return joined.select("doc_id", "text", *KINDS, F.when(F.col("held").isNotNull(), matches).otherwise(none).alias("terms"))
 
 
 def _spans(kind: str, col: str) -> Column:

@@ -223,3 +223,20 @@ def test_private_terms(spark):
     assert held == {"Zephyrine"}
     clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
     assert clean[3] == "[NAME] alone [EMAIL]" and clean[70] == "Nothing to see"
+
+
+def test_private_terms_of_whole_texts(spark, monkeypatch):
+    """Terms count wherever they stand in a document, of any case, script and length, and not inside of entities."""
+    far = " and so on" * 30
+    texts = [f"zeph@corp.example.com Alexander {i}{far}" for i in range(8)] + [f"zeph@corp.example.com{far} Alexander {i}" for i in (8, 9)]
+    texts += [f"qo {far} 山田 {i}: q.r@corp.example.com" for i in range(3)] + [f"far{far} {i}" for i in range(200)] + [f"x{i}@corp.example.com {far}" for i in range(9)]
+    texts += [f"{far} corp example com" for i in range(20)]
+    got = {}
+    for limit in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+        rows = pii.find_personal_data(frame(spark, texts)).collect()
+        got[limit] = {r["doc_id"]: [(m["start"], m["value"]) for m in r["terms"]] for r in rows}
+    wide, narrow = got.values()
+    assert wide == narrow
+    assert {v for terms in wide.values() for _, v in terms} == {"Alexander", "qo", "山田"}
+    assert wide[9] == [(texts[9].index("Alexander"), "Alexander")] and wide[10] == [(0, "qo"), (texts[10].index("山田"), "山田")]
