@@ -42,10 +42,17 @@ def stratified(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
 
 
 def consolidate(found: DataFrame, sampled: DataFrame, most: int = 30) -> DataFrame:
-    """Terms (grp, bucket, pos, term) as frequent forms: those that the sampled text (grp, text) holds, counted without
-    regard to case, first form kept, at most ``most`` in a bucket by count and name."""
-    t = found.withColumn("term", F.trim("term")).filter(F.length("term") > 1).join(sampled, "grp").filter(F.contains(F.lower("text"), F.lower("term")))
-    g = t.groupBy("grp", "bucket", F.lower("term").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min_by("term", "pos").alias("form"))
+    """Terms (grp, bucket, pos, term) as frequent forms: those that some sampled text (grp, text; any number of rows in a group)
+    holds, counted without regard to case, first form kept, at most ``most`` in a bucket by count and name. Where ``found`` has
+    ``own``, one of the sampled texts, only terms that it doesn't hold are looked up in the group's other texts."""
+    t = found.withColumn("term", F.trim("term")).filter(F.length("term") > 1).withColumn("key", F.lower("term"))
+    own = F.coalesce(F.contains(F.lower("own"), F.col("key")), F.lit(False)) if "own" in found.columns else F.lit(False)
+    t = t.withColumn("sure", own).select("grp", "bucket", "pos", "term", "key", "sure")
+    terms = t.groupBy("grp", "key").agg(F.max("sure").alias("sure"))
+    unsure = terms.filter(~F.col("sure")).select("grp", "key")
+    seen = sampled.select("grp", F.lower("text").alias("text")).join(F.broadcast(unsure), "grp").filter(F.contains("text", "key")).select("grp", "key").distinct()
+    held = terms.filter("sure").select("grp", "key").unionByName(seen)
+    g = t.join(held, ["grp", "key"], "left_semi").groupBy("grp", "bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", "pos").alias("form"))
     place = F.row_number().over(Window.partitionBy("grp", "bucket").orderBy(F.desc("n"), "key"))
     return g.withColumn("place", place).filter(F.col("place") <= most).select("grp", "bucket", "form", "n", "place")
 

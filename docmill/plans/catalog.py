@@ -274,10 +274,10 @@ def entities_all(spark, d):
 g AS (SELECT t.grp, bucket, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS form FROM t JOIN s ON s.grp = t.grp WHERE length(term) > 1 AND contains(lower(s.text), lower(term)) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, bucket ORDER BY n DESC, key) AS place FROM g) SELECT grp, bucket, form, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 30""")
 def consolidate_entities(spark, d):
+    """Forms of the texts' first words, checked against the whole texts of all rows of their group."""
     docs = table(spark, d, "documents")
-    found = docs.select(F.col("source").alias("grp"), F.col("lang").alias("bucket"), F.col("doc_id").alias("pos"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("term"))
-    heads = docs.filter("doc_id % 2 = 0").groupBy(F.col("source").alias("grp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(300)).alias("t")))), lambda x: x["t"]), " ").alias("text"))
-    return lookups.consolidate(found, heads)
+    found = docs.select(F.col("source").alias("grp"), F.col("lang").alias("bucket"), F.col("doc_id").alias("pos"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("term"), F.col("text").alias("own"))
+    return lookups.consolidate(found, docs.select(F.col("source").alias("grp"), "text"))
 
 
 @query("stratified_sample", """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents), s AS (SELECT *, greatest(1, (n - 4) // 4) AS step FROM r)
