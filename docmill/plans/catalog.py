@@ -245,7 +245,7 @@ def apply_modifiers(spark, d):
 @query("merge_modifiers", "SELECT conv_id, array_to_string(list_distinct_ordered, '|') AS merged FROM (SELECT conv_id, list(w ORDER BY first) AS list_distinct_ordered FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM (SELECT conv_id, lower(substr(text, 1, 12)) AS w, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE n <= 5 GROUP BY conv_id)")
 def merge_modifiers(spark, d):
     """The first five distinct notes of each conversation, without regard to case, in order."""
-    t = table(spark, d, "conversations").groupBy("conv_id", F.lower(F.substring("text", 1, 12)).alias("w")).agg(F.min("turn").alias("first"))
+    t = table(spark, d, "conversations").groupBy("conv_id", F.lower("text").alias("w")).agg(F.min("turn").alias("first"))
     r = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("first"))).filter("n <= 5")
     return r.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "w"))), lambda x: x["w"]), "|").alias("merged"))
 

@@ -56,6 +56,7 @@ def power_csv(spark, d):
 
 @query("chat_lines", "SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def chat_lines(spark, d):
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
+    """Each conversation as lines of role and whole text, in order."""
+    line = F.concat("role", F.lit(": "), "text")
     c = table(spark, d, "conversations").select("conv_id", "turn", line.alias("line"))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("chat"))

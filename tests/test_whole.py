@@ -30,3 +30,13 @@ def test_consolidate_looks_in_all_texts(spark):
     found = spark.createDataFrame([(1, "b", 1, "Volo"), (1, "b", 2, "VOLO"), (1, "b", 3, "Made"), (2, "b", 4, "Volo")], "grp int, bucket string, pos int, term string")
     texts = spark.createDataFrame([(1, "nothing"), (1, "x" * 400 + " volo"), (2, "made")], "grp int, text string")
     assert [tuple(r) for r in lookups.consolidate(found, texts).collect()] == [(1, "b", "Volo", 2, 1)]
+
+
+def test_chat_lines_and_merge_modifiers(spark, tmp_path):
+    """Turns beyond 20 characters keep their rest; notes that share their first 12 characters stay apart."""
+    turns = [(1, 1, "user", "The same first words, and an end"), (1, 2, "bot", "the same first words, and AN END"), (1, 3, "user", "The same first words, another end"), (2, 1, "user", "é")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    chats = {r["conv_id"]: (r["turns"], r["chat"]) for r in QUERIES["chat_lines"](spark, str(tmp_path)).collect()}
+    assert chats == {1: (3, "\n".join(f"{role}: {text}" for _, _, role, text in turns[:3])), 2: (1, "user: é")}
+    merged = {r["conv_id"]: r["merged"] for r in QUERIES["merge_modifiers"](spark, str(tmp_path)).collect()}
+    assert merged == {1: "the same first words, and an end|the same first words, another end", 2: "é"}
