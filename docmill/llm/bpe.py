@@ -3,10 +3,12 @@
 ``encode`` halves a text until a part has at most ``LEAF`` characters, encodes the parts and joins neighbours. At a join only a
 window around the seam is encoded anew; it grows outwards until what lies outside provably can't change:
 
-* Between texts, the window grows to the next position where white space follows another character. The pattern's
-  matches never run over such a position and look no further than it, so the matches, and with them the ids,
+* Between texts, the window grows to the next position where a blank or line end follows a character that is no white space. The
+  pattern's matches never run over such a position and look no further than it, so the matches, and with them the ids,
   on either side are those of the halves.
-* Inside one match (a run without such a position can be as long as the text), its bytes are halved instead. There the window
+* A window without such a position can be as long as the text. It is split into matches first, by classes of characters that the
+  tokenizer itself is asked for: pattern libraries don't agree on the letters and digits of recent Unicode versions.
+* Inside one match, its bytes are halved instead. There the window
   grows by tokens, doubling, until the pair of tokens at either edge is stable: encoding the pair's bytes alone gives the pair
   again. A sequence all of whose neighbouring pairs are stable is the encoding of its bytes.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +36,10 @@ from . import textbatch as tb
 from .shared import text_of
 
 #: Characters and bytes up to which a part is encoded at once, and the tokens of the first window inside a match.
-LEAF, PIECE_LEAF, WINDOW = 8192, 256, 4
+LEAF, PIECE_LEAF, WINDOW = 512, 256, 4
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_SPACES = r"\s"
+#: What stands for a character of each class where a text is split: letter, number, other, white space; all of them old.
+_LIKE = {"a": "é", "1": "²", ".": "§", "": "\u2003"}
 
 
 class Coder:
@@ -47,7 +50,11 @@ class Coder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.edge = regex.compile(r"(?<=\S)(?=\s)")
+        self.edge = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?=[\x20\n\r\t])")
+        self.last_edge = regex.compile(r"(?r)(?<=[^\s\x1c-\x1f\x85\u180e])(?=[\x20\n\r\t])")
+        pairs = [x + bytes([b]) for x in (b"a", b"1", b".") for b in range(128, 256)]
+        self.probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)} | {x: 256 + k for k, x in enumerate(pairs)}, special_tokens={})
+        self.like: dict[int, str] = {}
         self.leaf, self.piece_leaf = leaf, piece_leaf
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes: list[bytes] = [b""] * len(self.lengths)
@@ -58,37 +65,42 @@ class Coder:
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.leaf:
-            return self.leaf_ids(text)
+            return self.core.encode_ordinary(text)
         half = len(text) // 2
         return self.join(text[:half], self.encode(text[:half]), text[half:], self.encode(text[half:]))
 
-    def leaf_ids(self, text: str) -> list[int]:
-        return self.core.encode_ordinary(text) if len(text) <= self.piece_leaf or self.edge.search(text) else self.matches_ids(text)
+    def class_of(self, char: str) -> str:
+        """What stands for a character beyond ASCII: the class whose run it continues for the tokenizer."""
+        return _LIKE[next((x for x in ("a", "1", ".") if self.probe.encode_ordinary(x + char)[0] >= 256), "")]
 
     def matches_ids(self, text: str) -> list[int]:
+        for char in set(text) if not text.isascii() else ():
+            if ord(char) > 127 and ord(char) not in self.like:
+                self.like[ord(char)] = self.class_of(char)
         out: list[int] = []
-        for match in self.pattern.findall(text):
-            out += self.encode_match(match.encode())
+        for match in self.pattern.finditer(text.translate(self.like)):
+            out += self.encode_match(text[match.start() : match.end()].encode())
         return out
 
     def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
         """Ids of ``left + right``; only the text between the nearest edges on both sides of the seam is encoded anew."""
-        at = next((m.start() for m in self.edge.finditer(left, max(0, len(left) - 256))), None)
-        if at is None:
-            at = max((m.start() for m in self.edge.finditer(left)), default=0)
-        # An edge inside the right half: its first position has a character before it in that half.
-        found = self.edge.search(right)
-        to = found.start() if found else len(right)
+        before, after = self.last_edge.search(left), self.edge.search(right)
+        at, to = before.start() if before else 0, after.start() if after else len(right)
         window = left[at:] + right[:to]
-        keep = self.ids_within(left_ids, len(left[:at].encode()))
+        keep = len(left_ids) - self.ids_within(reversed(left_ids), len(left[at:].encode()))
         drop = self.ids_within(right_ids, len(right[:to].encode()))
         middle = self.core.encode_ordinary(window) if len(window) <= self.leaf else self.matches_ids(window)
         return left_ids[:keep] + middle + right_ids[drop:]
 
-    def ids_within(self, ids: list[int], n_bytes: int) -> int:
+    def ids_within(self, ids: Iterable[int], n_bytes: int) -> int:
         """How many of the first ids make up ``n_bytes``, an edge between tokens."""
-        ends = np.cumsum(self.lengths[np.asarray(ids, np.int64)])
-        return int(np.searchsorted(ends, n_bytes, "right"))
+        count = 0
+        for i in ids:
+            if n_bytes <= 0:
+                break
+            n_bytes -= len(self.bytes[i])
+            count += 1
+        return count
 
     def encode_match(self, raw: bytes) -> list[int]:
         """Ids of one match of the pattern."""

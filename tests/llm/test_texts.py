@@ -86,6 +86,19 @@ def test_bpe_long(text):
     assert coder.encode(text) == coder.core.encode_ordinary(text)
 
 
+def test_bpe_recent_characters():
+    """Letters and digits that only some Unicode versions know, next to signs and contractions, in long texts without spaces."""
+    coder = bpe.encoder(RANKS)
+    odd = [chr(c) for c in (0x323B0, 0xA7CB, 0x1C89, 0x10D40, 0x2B7, 0x16EA0, 0x1E5D0, 0x11BC0, 0xA7DC, 0x33480, 0x180E, 0x85, 0x1C)]
+    rnd = random.Random(8)
+    spread = [chr(c) for c in range(128, 0x32400, 7) if not 0xD800 <= c < 0xE000]
+    for k in range(300):
+        alphabet = [*rnd.sample(odd, 5), *rnd.sample(spread, 20), "?", "'s", "'d", "'", "a", "1", *([" "] if k % 3 == 0 else [])]
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([200, 700, 900, 2500])))
+        ids = coder.encode(text)
+        assert ids == coder.core.encode_ordinary(text) and coder.decode(ids) == text.encode()
+
+
 def test_bpe_query(spark):
     core = bpe.encoder(RANKS).core
     sha = lambda raw: hashlib.sha256(raw).hexdigest()
