@@ -1,28 +1,33 @@
 """Operator 9, near-duplicates by HyperMinHash.
 
 Texts become sets of word shingles in numpy. Each set has ``REGISTERS`` registers: the minimum of one hash over the set, kept as its
-count of leading zeros and ``MANTISSA`` bits behind them, 16 bits in all. Registers are banded ``ROWS`` at a time: sets with a
-Jaccard index of 0.8 share none of the 32 bands with a chance of (1 - 0.8^4)^32, about 5e-8.
+count of leading zeros and ``MANTISSA`` bits behind them, 16 bits in all, four of them in one 64-bit number. That number is a
+band: sets with a Jaccard index of 0.8 share none of the 32 bands with a chance of (1 - 0.8^4)^32, about 5e-8.
 
 1. Documents with equal sets form a class at once; only one sketch of each class goes on.
-2. Classes that share a band bucket get a finer sketch: ``FINE`` registers of which only ``NIBBLE`` mantissa bits are kept, 256 bytes
-   in all. Bit operations on it give the Jaccard index, corrected for chance collisions of registers, within about 0.015; a
-   pair goes on to verification on its full sets unless the estimate is five standard errors under the threshold.
-3. In a band bucket, members are compared with one leader, never with one another, so a bucket of n gives n - 1 pairs; leaders
-   are the least by a hash, so a member meets only a few different ones over all its buckets; there are ``LEADERS`` such
-   hashes. Pairs whose estimate is too low aren't made. Verified links give connected components (min-label propagation with pointer jumping on tables).
-4. Last, in buckets that still hold several components, pairs between different components are estimated inside the join, and those
-   that pass are verified; a pair is made in the first of its common buckets only. Inside a component no pair is
-   needed. So every pair that shares a band is verified, already connected, or estimated to be clearly under the threshold.
-
-Shuffles: keys and 16-byte class names for bands; full sets (32-bit names of shingles) only of classes that share a bucket.
-Joins with a hot leader or key are plain equi-joins, which Spark splits when skewed; counts are pre-aggregated. Tables
-between steps are written to the shared folder.
+2. In a band bucket, members are paired with one leader, never with one another, so a bucket of n gives n - 1 pairs. The leader is
+   the member whose buckets hold most members, that is the one in the middle of a family, so over all its
+   buckets a member meets one or two leaders, and a family of copies of one text is linked at once.
+3. Pairs are estimated by their registers, corrected for registers that agree by chance, and go on unless the estimate is five
+   standard errors under the threshold; then their full sets (64-bit names) decide. Verified links give connected components
+   (min-label propagation with pointer jumping on tables).
+4. What is left are members of buckets that hold several components. Between them an exact prefix join finds what the leaders missed.
+   Shingles get one order, those that a single component has first, then the rare ones, so common ones come last. Two sets that
+   reach the threshold share a shingle among the first ``n - 0.8 n + 1`` of each, and from the first one that they share on, at
+   most what follows it in either set is common, which bounds the index. Members that no partner in a shingle's list could make
+   up for leave the list before any pair is made; pairs that pass the bound are estimated and verified.
+
+So every pair that shares a band is verified, already connected, or proved or estimated to be under the threshold. An edit of a text
+makes rare shingles, so members of a family that are too far from its middle leave the lists of the shingles that all have. Pairs grow
+with the square of a family only where its members hold nearly the same, frequent shingles and still aren't linked.
+
+Shuffles: keys and row numbers for bands; full sets only of classes that share a bucket. Joins with a hot leader or key are
+plain equi-joins, which Spark splits when skewed; counts are pre-aggregated. Tables between steps are written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than
 a shingle the whole sequence is the one shingle; rows that repeat an id are separate rows, whose links count for the id; a row
-without an id takes part in no link to others' components but by its set; an empty table gives an empty result; other
-columns are ignored.
+without an id takes part in no link to others' components but by its set; ids are whole numbers (others become null); an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +40,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import stash, text_of
+from .shared import discard, keep_rows, stash, text_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
-FINE, NIBBLE = 1024, 2
-LEADERS = 2
-#: Rows up to which a table of names is broadcast (under 8 MB); beyond, its joins are shuffled.
+BANDS = REGISTERS // ROWS
+#: Chance that registers of different minima agree: the sum over all register values of the square of their share.
+CHANCE = 2.0**-MANTISSA / 6
+#: Standard errors that an estimate may lie under the threshold.
+ERRORS = 5
+#: Rows up to which a table of numbers is broadcast (under 8 MB); beyond, its joins are shuffled.
 BROADCAST_ROWS = 100_000
 _GEN = np.random.Generator(np.random.PCG64(991))
-_XOR = _GEN.integers(0, 2**32, FINE, dtype=np.uint32)
-_MUL = _GEN.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _GEN.integers(0, 2**32, REGISTERS, dtype=np.uint32)
+_MUL = _GEN.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -53,8 +61,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     """(row, 64-bit name) of the distinct shingles of every text of a block, sorted by row and name."""
     data = _LOWER[data]
     start, stop, row = tb.words(data, offs)
-    prints = tb.byte_prints(data).of(start, stop)
-    run = tb.Prints(prints)
+    run = tb.Prints(tb.names(data, start, stop))
     n = len(offs) - 1
     count = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
@@ -77,54 +84,38 @@ def registers(low: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (shifted >> np.uint64(32 - MANTISSA))).astype(np.uint16)
 
 
-def minima(row: np.ndarray, names: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows with a set, their minima of ``count`` hashes)."""
+def sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """REGISTERS registers for each of ``n`` texts (zeros for an empty set), packed into BANDS numbers. One hash at a time."""
+    out = np.zeros((n, REGISTERS), np.uint16)
     full, first = np.unique(row, return_index=True)
-    low = np.empty((len(full), count), np.uint32)
     if len(full):
         x = (names >> np.uint64(16)).astype(np.uint32)
-        for k in range(count):
-            low[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], first)
-    return full, low
+        for k in range(REGISTERS):
+            y = (x ^ _XOR[k]) * _MUL[k]
+            y ^= y >> np.uint32(15)
+            y *= _MUL[k - 1]
+            out[full, k] = registers(np.minimum.reduceat(y, first))
+    return out.view(np.int64)
 
 
-def sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """REGISTERS registers for each of ``n`` texts (zeros for an empty set)."""
-    out = np.zeros((n, REGISTERS), np.uint16)
-    full, low = minima(row, names, REGISTERS)
-    out[full] = registers(low)
-    return out
+def differing(a: str, b: str) -> Column:
+    """Number of registers in which two sketches (arrays of BANDS numbers) differ, by operations on whole numbers."""
+    lowest = F.lit(0x0001000100010001)
 
+    def one(p: Column, q: Column) -> Column:
+        z = p.bitwiseXOR(q)
+        for step in (1, 2, 4, 8):  # the lowest bit of a register gathers all its bits
+            z = z.bitwiseOR(F.shiftright(z, step))
+        return F.bit_count(z.bitwiseAND(lowest))
 
-def fine_sketch(row: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """FINE registers cut to NIBBLE bits behind the leading zeros, packed into 64-bit numbers."""
-    per = 64 // NIBBLE
-    out = np.zeros((n, FINE // per), np.int64)
-    full, low = minima(row, names, FINE)
-    bits = (registers(low) >> np.uint16(MANTISSA - NIBBLE)).astype(np.uint64) & np.uint64(2**NIBBLE - 1)
-    shifted = bits.reshape(len(full), FINE // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(NIBBLE))
-    out[full] = np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
-    return out
+    return F.aggregate(F.zip_with(a, b, one), F.lit(0), lambda total, n: total + n)
 
 
 def may_reach(a: str, b: str, threshold: float) -> Column:
-    """Whether fine sketches differ in few enough registers for a Jaccard index of ``threshold``, five standard errors allowed.
-
-    Unequal minima share a register's NIBBLE bits with a chance of 2^-NIBBLE, for which the bound is corrected."""
-    chance = 2.0**-NIBBLE
-    equal = threshold + (1 - threshold) * chance
-    most = int(FINE * (1 - equal) + 5 * (FINE * equal * (1 - equal)) ** 0.5) + 1
-    ones = F.lit(sum(1 << k for k in range(0, 64, NIBBLE)))
-    differ = None
-    for k in range(FINE * NIBBLE // 64):
-        z = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        step = 1
-        while step < NIBBLE:
-            z = z.bitwiseOR(F.shiftright(z, step))
-            step *= 2
-        n = F.bit_count(z.bitwiseAND(ones))
-        differ = n if differ is None else differ + n
-    return differ <= most
+    """Whether sketches differ in few enough registers for a Jaccard index of ``threshold``: the collision-corrected estimate
+    ``(equal share - CHANCE) / (1 - CHANCE)`` is no more than ERRORS standard errors under it."""
+    equal = threshold + (1 - threshold) * CHANCE
+    return differing(a, b) <= int(REGISTERS * (1 - equal) + ERRORS * (REGISTERS * equal * (1 - equal)) ** 0.5) + 1
 
 
 def class_names(names: np.ndarray, count: np.ndarray) -> list[bytes | None]:
@@ -139,8 +130,8 @@ def class_names(names: np.ndarray, count: np.ndarray) -> list[bytes | None]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, cls (16-byte name of the set, null for an empty one), sig (registers)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    """doc_id, n, cls (16-byte name of the set, null for an empty one), sig (packed registers), key (hash of the text)."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +140,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 n = j - i
                 row, names = shingles(part, at, size)
                 count = np.bincount(row, minlength=n)
-                cls = class_names(names, count)
-                sig = sketch(row, names, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count, pa.int64()), pa.array(cls, pa.binary()), pa.array([sig[k].tobytes() if count[k] else None for k in range(n)], pa.binary())], names=["doc_id", "n", "cls", "sig"])
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(sketch(row, names, n).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count, pa.int64()), pa.array(class_names(names, count), pa.binary()), sig, batch.column(2).slice(i, n)], names=["doc_id", "n", "cls", "sig", "key"])
 
-    return plain.mapInArrow(run, "doc_id long, n long, cls binary, sig binary")
+    return plain.mapInArrow(run, "doc_id long, n long, cls binary, sig array<long>, key long")
 
 
 def full_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """cls, set (the shingles' 32-bit names), fine (the fine sketch) of every text that has shingles."""
+    """cls, set (the shingles' 64-bit names) of every text that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +155,10 @@ def full_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             for i, j, part, at in tb.blocks(data, offs):
                 row, names = shingles(part, at, size)
                 count = np.bincount(row, minlength=j - i)
-                ends = np.concatenate([[0], np.cumsum(count)])
-                sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((names >> np.uint64(20)).astype(np.uint32).view(np.int32)))
-                fine = fine_sketch(row, names, j - i)
-                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(class_names(names, count), pa.binary()), sets, fine], names=["cls", "set", "fine"])
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(names.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(class_names(names, count), pa.binary()), sets], names=["cls", "set"])
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "cls binary, set array<int>, fine array<long>").filter("cls IS NOT NULL")
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "cls binary, set array<long>").filter("cls IS NOT NULL")
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -188,69 +175,99 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(known.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = near.join(known, "node").select("node", F.least("comp", "near").alias("low"), "comp")
         jump = low.join(known.select(F.col("node").alias("low"), F.col("comp").alias("next")), "low")
+        old = labels
         new = stash(jump.select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels")
         labels = new.select("node", "comp")
-        if not new.filter("moved").limit(1).count():
+        labels.stash_path = new.stash_path
+        moved = new.filter("moved").limit(1).count()
+        discard(old)
+        if not moved:
+            discard(both)
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that reach the threshold: estimated first, then on their full sets."""
-    side = lambda c, x: sets.select(F.col("cls").alias(c), F.col("set").alias(f"{x}_set"), F.col("fine").alias(f"{x}_fine"))
-    joined = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").filter(may_reach("x_fine", "y_fine", threshold))
-    common = F.size(F.array_intersect("x_set", "y_set")).cast("long")
-    return joined.filter(common * 100 >= (F.size("x_set") + F.size("y_set") - common) * round(100 * threshold)).select("a", "b")
+    sig = lambda c: classes.select(F.col("c").alias(c), F.col("sig").alias(f"{c}_sig"))
+    full = lambda c: sets.select(F.col("c").alias(c), F.col("set").alias(f"{c}_set"))
+    near = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(may_reach("a_sig", "b_sig", threshold)).select("a", "b")
+    joined = near.join(full("b"), "b").join(full("a"), "a")
+    common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
+    return joined.filter(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * round(100 * threshold)).select("a", "b")
+
+
+def led_pairs(bands: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's leader. bands: key, c, in_key (members of the bucket)."""
+    middle = bands.groupBy("c").agg(F.sum("in_key").alias("middle"))
+    leaders = bands.join(middle, "c").groupBy("key").agg(F.max(F.struct("middle", "c"))["c"].alias("l"))
+    return _sorted(bands.join(leaders, "key").filter("c != l"), "l", "c")
+
+
+def open_classes(bands: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, comp, n of the members of buckets that still hold several components."""
+    member = bands.select("key", "c").join(bounded(comps).select(F.col("node").alias("c"), "comp"), "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    return member.join(several, "key", "left_semi").select("c", "comp").distinct().join(classes.select("c", "n"), "c")
+
+
+def rarest_first(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """s, c, comp, n, at: the shingles at the head of each set, in one order for all sets, in which shingles of a single component come
+    first and then the rare ones. The head is long enough to hold a shingle in common with any set that reaches the threshold."""
+    each = sets.join(members, "c").select("c", "comp", "n", F.explode("set").alias("s"))
+    rank = F.when(F.min("comp") == F.max("comp"), 0).otherwise(F.count(F.lit(1)))
+    ranked = each.join(each.groupBy("s").agg(rank.alias("rank")), "s")
+    per = ranked.groupBy("c", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("all"))
+    head = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return per.select("c", "comp", "n", F.posexplode(head).alias("at", "x")).filter("x.rank > 0").select("x.s", "c", "comp", "n", "at")
+
+
+def across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different components that share a shingle of their heads and, by what follows it, may reach the threshold."""
+    percent = round(100 * threshold)
+    heads = stash(rarest_first(members, sets, percent), "heads")
+    for _ in range(2):  # a member that could not make up for what comes before the shingle, with the smallest partner, leaves it
+        per = heads.groupBy("s").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("s", "least")
+        rest = F.col("n") - F.col("at")
+        kept = heads.join(per, "s").filter(rest * 100 >= (F.col("n") + F.greatest("least", rest) - rest) * percent).drop("least")
+        old, heads = heads, stash(kept, "heads")
+        discard(old)
+    x, y = heads.toDF("s", "a", "a_comp", "a_n", "a_at"), heads.toDF("s", "b", "b_comp", "b_n", "b_at")
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = x.join(y, "s").filter((F.col("a_comp") < F.col("b_comp")) & (most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent))
+    return _sorted(met, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. See the module for the method and the cases."""
+    """doc_id, n_shingles, component_id, kept, text_key (hash of the text), component (its number, null without words) for every row. See the module for the method and the cases."""
     rows = stash(sketches(docs, id_col, text_col, size), "sketches")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    classes = stash(classes, "classes")
-    n_bands = REGISTERS // ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(n_bands)])
-    bands = classes.select("cls", "rep", F.posexplode(keys).alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n"))
+    classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("c", "rep", F.posexplode("sig").alias("band", "value")).select("c", "rep", "band", F.xxhash64("band", "value").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1")
     bands = stash(bands.join(shared, "key"), "bands")
 
-    wanted = bands.filter("rep IS NOT NULL").select(F.col("rep").alias("__id")).distinct()
-    picked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(wanted.hint("merge"), "__id", "left_semi")
-    sets = full_sets(picked, "__text", size)
+    wanted = bands.filter("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    sets = full_sets(picked, "text", size)
     if _repeats_ids(rows):  # one id can then bear several sets, and several rows one
         sets = sets.dropDuplicates(["cls"])
-    sets = stash(sets, "sets")
-
-    near = stash(bands.join(sets.select("cls", "fine"), "cls").select("key", "cls", "fine"), "band-sketches")
-    ranks = [F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "fine") for k in range(LEADERS)]
-    leaders = near.groupBy("key").agg(*[F.min(r).alias(f"l{k}") for k, r in enumerate(ranks)])
-    met = near.join(leaders, "key")
-    pairs = None
-    for k in range(LEADERS):
-        meet = met.filter((F.col(f"l{k}.cls") != F.col("cls")) & may_reach(f"l{k}.fine", "fine", threshold)).select(F.col(f"l{k}.cls").alias("l"), "cls")
-        pairs = meet if pairs is None else pairs.unionByName(meet)
-    edges = stash(verified(_sorted(pairs, "l", "cls"), sets, threshold), "links")
-    comps = components(edges)
+    sets = stash(sets.join(classes.select("cls", "c"), "cls").select("c", "set"), "sets")
 
-    member = bands.join(bounded(comps).select(F.col("node").alias("cls"), "comp"), "cls", "left").select("band", "key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    wide = member.join(several, "key").join(classes.select("cls", keys.alias("keys")), "cls").join(sets.select("cls", "fine"), "cls")
-    wide = stash(wide.select("key", "band", "cls", "comp", "keys", "fine"), "mixed-buckets")
-    x = wide.toDF("key", "band", "a", "a_comp", "a_keys", "a_fine")
-    y = wide.select("key", "cls", "comp", "keys", "fine").toDF("key", "b", "b_comp", "b_keys", "b_fine")
-    first = F.array_position(F.zip_with("a_keys", "b_keys", lambda p, q: p == q), True) == F.col("band") + 1
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a_comp") < F.col("b_comp")) & may_reach("a_fine", "b_fine", threshold) & first)
-    found = stash(verified(_sorted(across, "a", "b"), sets, threshold), "links")
+    edges = stash(verified(led_pairs(bands), classes, sets, threshold), "links")
+    comps = components(edges)
+    members = stash(open_classes(bands, comps, classes), "open-classes")
+    found = stash(verified(across(members, sets, threshold), classes, sets, threshold), "links")
     if found.limit(1).count():
         comps = components(edges.unionByName(found))
 
-    named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    named = comps.join(classes.select(F.col("c").alias("node"), "rep"), "node")
     least = stash(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
-    linked = stash(comps.join(bounded(least), "comp").select(F.col("node").alias("cls"), "least"), "linked")
-    labelled = classes.select("cls", "rep").join(bounded(linked), "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
+    linked = stash(comps.join(bounded(least), "comp").select(F.col("node").alias("c"), "comp", "least"), "linked")
+    labelled = classes.select("cls", "c", "rep").join(bounded(linked), "c", "left").select("cls", F.coalesce("least", "rep").alias("least"), F.coalesce("comp", "c").alias("component"))
     # Classes of many rows are the hot keys of this join; Spark splits them.
-    final = rows.select("doc_id", "n", "cls").join(labelled, "cls", "left")
+    final = rows.select("doc_id", "n", "cls", "key").join(labelled, "cls", "left")
     comp = F.coalesce("least", "doc_id")
-    return final.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return final.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"), F.col("key").alias("text_key"), "component")
 
 
 def _sorted(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -263,10 +280,16 @@ def _repeats_ids(rows: DataFrame) -> bool:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each component; its columns are unchanged. Rows that share an id stay or go together."""
-    kept = near_duplicates(docs, id_col, text_col, size, threshold).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """``docs`` with one row of each component, the one of the least id; its columns are unchanged. Of rows that share that id and are in the
+    component, the one whose text has the least hash stays, and of rows that are equal in both one. Rows without words are
+    linked with nothing, so one of each id stays."""
+    found = near_duplicates(docs, id_col, text_col, size, threshold)
+    per = found.groupBy("doc_id", "component").agg(F.min(F.when(F.col("kept"), F.col("text_key"))).alias("key"), F.count(F.lit(1)).alias("rows"))
+    per = per.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.sum("rows").alias("rows"))
+    winners = stash(per.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"), (F.col("rows") == 1).alias("alone")), "near-kept")
+    return keep_rows(docs, id_col, winners, F.xxhash64(text_of(text_col)))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +17,12 @@ WORD_RE = rf"[^{WS_CLASS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset, a temporary one, but only if
+    driver and executors are one process: on a cluster each machine would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "docmill-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -28,7 +33,35 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stashed table that nothing reads any more. Tables that a result still reads stay until the folder is emptied."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.stash_path)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column in ``taken`` bears."""
+    low = {c.lower() for c in taken}
+    return [next(c for c in (f"{n}_{k}" for k in itertools.count()) if c.lower() not in low) for n in names]
+
+
+def keep_rows(docs: DataFrame, id_col: str, winners: DataFrame, key: Column) -> DataFrame:
+    """The row of ``docs`` that each of ``winners`` (id, key, alone: whether the id has one row) names, columns unchanged. ``key`` tells
+    the rows of one id apart; of rows that agree in it, one stays."""
+    t_id, t_key, t_own = fresh(docs.columns, "id", "key", "own")
+    alone = winners.filter("alone").select(F.col("id").alias(t_id))
+    left = docs.join(alone, docs[id_col].eqNullSafe(alone[t_id]), "left_semi")
+    several = winners.filter("NOT alone").select(F.col("id").alias(t_id), F.col("key").alias(t_key))
+    if not several.limit(1).count():
+        return left
+    rest = docs.withColumn(t_own, key).join(several, docs[id_col].eqNullSafe(several[t_id]) & (F.col(t_own) == F.col(t_key)))
+    return left.unionByName(rest.dropDuplicates([id_col, t_key]).select(*docs.columns))
 
 
 def text_of(col: str = "text") -> Column:

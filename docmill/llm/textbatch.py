@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,13 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+#: Key of all names; pass another (secret) one where texts may be written to collide.
+SEED = 0x51A7E0C39D5B24F1
+#: Bytes up to which a stretch is named in numpy; longer ones get a keyed digest.
+CHAIN = 256
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Bytes that are worked on at once; a longer text is a block of its own.
-BLOCK = 2 << 20
+#: Bytes and texts that are worked on at once; a longer text is a block of its own.
+BLOCK, BLOCK_ROWS = 512 << 10, 4096
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +38,7 @@ def blocks(data: np.ndarray, offs: np.ndarray, limit: int = BLOCK) -> Iterator[t
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
-        j = min(j, i + 65536)
+        j = min(j, i + BLOCK_ROWS)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
@@ -60,8 +64,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def names(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """64-bit names of stretches of bytes. Eight bytes at a time go through a keyed mix that is no polynomial, so no strings are
+    known to share a name; stretches of one length of at most eight bytes never do."""
+    size = stop - start
+    out = mixed(np.uint64(seed) ^ size.astype(np.uint64))
+    load = loads(data)
+    live, done = np.flatnonzero((size > 0) & (size <= CHAIN)), 0
+    while len(live):
+        left = np.minimum(8, size[live] - done)
+        value = load[start[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - 8 * left.astype(np.uint64)))
+        out[live] = mixed(out[live] ^ value)
+        done += 8
+        live = live[size[live] > done]
+    key = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(size > CHAIN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def doubled(data: np.ndarray, sizes: tuple[int, ...], seed: int = SEED) -> list[np.ndarray]:
+    """For each of the ascending ``sizes`` (8 or more) the names of the strings of that size from every position that has one.
+    A name is made of the names of two shorter strings, as ranks are in prefix doubling; the two may overlap."""
+    name, size, out = mixed(loads(data)[: max(0, len(data) - 7)] ^ np.uint64(seed)), 8, []
+    for wanted in sizes:
+        while size < wanted:
+            step = min(size, wanted - size)
+            name = mixed(mixed(name[: max(0, len(name) - step)] + np.uint64(step)) ^ (name[step:] * np.uint64(_ODD)))
+            size += step
+        out.append(name)
+    return out
+
+
 class Prints:
-    """Fingerprints of any stretches of a sequence from one running sum."""
+    """Fingerprints of short stretches of a sequence of names from one running sum. (Over bytes a sum of powers
+    could be made to collide; a few names that went through a keyed mix can't.)"""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -81,10 +125,6 @@ class Prints:
         return mixed((self.run[size:] - self.run[:n]) * self.down[:n] + np.uint64(size * int(_MIX1) % 2**64)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def byte_prints(data: np.ndarray) -> Prints:
-    return Prints(_BYTES[data])
-
-
 def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop, row) of every maximal run of marked bytes inside one text."""
     before = np.empty_like(mask)
