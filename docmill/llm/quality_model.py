@@ -56,7 +56,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for k in range(4):
         run = np.concatenate([[0], np.cumsum(_CLASS[k][data])])
         shares.append((run[offs[1:]] - run[offs[:-1]]) / chars)
-    prints = tb.byte_prints(data).of(start, stop)
+    prints = tb.names(data, start, stop)
     key = tb.mixed(prints ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     _, at, count = np.unique(key, return_index=True, return_counts=True)
     distinct = np.bincount(row[at], minlength=n) / nw

@@ -64,13 +64,12 @@ class Block:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int):
         self.data, self.offs, self.length = data, offs, length
-        self.prints = tb.byte_prints(data)
+        grams, self.whole = tb.doubled(data, (gram, length))
         count = np.maximum(0, np.diff(offs) - length + 1)
         self.first = np.concatenate([[0], np.cumsum(count)])
         total = int(self.first[-1])
         if total:
-            names = self.prints.fixed(gram)
-            at = elected(names, length - gram + 1)
+            at = elected(grams, length - gram + 1)
             self.window = np.arange(total) + np.repeat(offs[:-1] - self.first[:-1], count)
             at = at[self.window]
             new = np.ones(total, bool)
@@ -78,8 +77,9 @@ class Block:
             self.run = np.flatnonzero(new)
             self.size = np.diff(np.append(self.run, total))
             begin = self.window[self.run]
-            self.key = names[at[self.run]]
-            self.stretch = self.prints.of(begin, begin + self.size - 1 + length)
+            self.key = grams[at[self.run]]
+            # A run has fewer windows than ``length``, so its first and its last one overlap and are all of its stretch.
+            self.stretch = tb.mixed(tb.mixed(self.whole[begin] + self.size.astype(np.uint64)) ^ (self.whole[begin + self.size - 1] * np.uint64(0x9E3779B97F4A7C15)))
         else:
             self.window = self.run = self.size = np.zeros(0, np.int64)
             self.key = self.stretch = np.zeros(0, np.uint64)
@@ -89,8 +89,7 @@ class Block:
         return np.repeat(codes >= REPEATED_SENDS, self.size)
 
     def names(self, which: np.ndarray) -> np.ndarray:
-        start = self.window[which]
-        return self.prints.of(start, start + self.length)
+        return self.whole[self.window[which]]
 
 
 def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
