@@ -9,16 +9,16 @@
 4. All other digests, none of which is large, go through an ordinary shuffle.
 
 Defined cases: a null or empty text has the digest of the empty string, so all of them are one group; ties on length go
-to the smallest id (a null id sorts first, as the smallest); rows that repeat an id are copies of one another and stay or go
-by their common id; an empty table gives an empty result; other columns are ignored.
+to the smallest id (a null id sorts first, as the smallest), and of rows that are equal in both exactly one stays; rows of one id with
+different texts are judged each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WS_CLASS, stash, text_of
+from .shared import WS_CLASS, keep_rows, stash, text_of
 
 #: Counters of the sketch, and the most winners that are broadcast (32-byte digest, id, count: under 100 KB).
 TRACKED, HEAVY_MAX = 16384, 1000
@@ -26,41 +26,51 @@ TRACKED, HEAVY_MAX = 16384, 1000
 HEAVY_MIN = 16
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(F.regexp_replace(text, f"[{WS_CLASS}]+", ""), "UTF-8"), 256))
+
+
 def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row per document: id, SHA-256 of the normalised text (binary), code points of the original text."""
+    """One narrow row per document: its number, id, SHA-256 of the normalised text (binary), code points of the original text."""
     text = text_of(text_col)
-    norm = F.regexp_replace(text, f"[{WS_CLASS}]+", "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_cp"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), F.char_length(text).cast("long").alias("n_cp"))
 
 
 def _best():
-    return F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id")))
+    return F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id"), F.col("row")))
 
 
 def heavy_winners(table: DataFrame) -> DataFrame:
-    """Verified winners of the frequent digests: digest, keep_id, group_size; at most HEAVY_MAX rows."""
+    """Verified winners of the frequent digests: digest, keep_id, keep_row, group_size; at most HEAVY_MAX rows."""
     sketch = table.agg(F.expr(f"approx_top_k(xxhash64(digest), {HEAVY_MAX}, {TRACKED})").alias("top"))
     candidates = sketch.select(F.explode("top").alias("t")).select(F.col("t.item").alias("h")).limit(HEAVY_MAX)
     found = table.withColumn("h", F.xxhash64("digest")).join(F.broadcast(candidates), "h", "left_semi")
     exact = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best"))
-    return exact.filter(F.col("group_size") >= HEAVY_MIN).orderBy(F.desc("group_size"), "digest").limit(HEAVY_MAX).select("digest", F.col("best.doc_id").alias("keep_id"), "group_size")
+    top = exact.filter(F.col("group_size") >= HEAVY_MIN).orderBy(F.desc("group_size"), "digest").limit(HEAVY_MAX)
+    return top.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``. See the module for the cases."""
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, digest, keep_id, keep_row, group_size of every row."""
     table = stash(digest_table(docs, id_col, text_col), "digests")
     winners = stash(heavy_winners(table), "digest-winners")
-    hot = table.join(F.broadcast(winners), "digest").select("doc_id", "digest", "keep_id", "group_size")
+    hot = table.join(F.broadcast(winners), "digest").select("row", "doc_id", "digest", "keep_id", "keep_row", "group_size")
     rest = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     per_digest = Window.partitionBy("digest")
-    cold = rest.select("doc_id", "digest", _best().over(per_digest).alias("best"), F.count(F.lit(1)).over(per_digest).alias("group_size")).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size")
-    return hot.unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    cold = rest.select("row", "doc_id", "digest", _best().over(per_digest).alias("best"), F.count(F.lit(1)).over(per_digest).alias("group_size"))
+    return hot.unionByName(cold.select("row", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``. See the module for the cases."""
+    return _judged(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that another one stands for; its columns are unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """``docs`` with one row of each group of equal texts; its columns are unchanged."""
+    per = _judged(docs, id_col, text_col).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.collect_list(F.when(F.col("row") == F.col("keep_row"), F.col("digest"))).alias("keys"))
+    winners = stash(per.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"), (F.col("rows") == 1).alias("alone")), "exact-kept")
+    return keep_rows(docs, id_col, winners, _digest(text_of(text_col)))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -76,7 +86,7 @@ WITH n AS (
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS kept,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) = 1 AS kept,
        text_sha256
 FROM h
 """
