@@ -1,10 +1,11 @@
 """Operator 4, mixing sources to target weights by entropy balancing, DataFrame functions only.
 
 Each source has one token constraint: the words that the mix takes from it equal its target. Among all document rates
-between 0 and ``CAP`` that meet it, the one of largest (Fermi-Dirac) entropy tilts exponentially in the document's size:
-``rate = CAP / (1 + exp(-lambda_source * size / mean size))``. The multipliers maximise a concave dual that is
+between 0 and ``CAP`` that meet it, the one of least relative entropy to taking every document once tilts exponentially in the
+document's size: ``rate = min(CAP, exp(lambda_source * size / mean size))``. The multipliers maximise a concave dual that is
 separate per source; they are found by safeguarded Newton steps, each of which is one distributed aggregate over a table of
-(source, size, documents). No per-document state and no group goes to the driver.
+(source, size, documents). No per-document state and no group goes to the driver. Steps end when every source is within ``CLOSE``
+of its target, which is less than the rounding into copies loses; a dual that isn't solved in ``MAX_STEPS`` is an error.
 
 The rates are then rounded into whole copies: the integer part, and one more for the documents whose hashed uniform number falls
 short of the fraction by more than a source's threshold. The threshold is read off two nested histograms, so that a source's
@@ -13,19 +14,20 @@ taken words end within about one document of its target.
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 taken 0 words; a source without words has target 0; an empty table gives an empty result; reruns agree, for the
 uniform numbers are hashes of the ids (rows that repeat an id get the same number and so the same copies when their
-sizes agree); other columns are ignored.
+sizes agree); other columns are ignored. Ranks and shares of sources need them in order, which is one task over a row of three numbers
+for each source; that is meant for up to ten million sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, stash, text_of
+from .shared import discard, fresh, n_words, stash, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, CAP = 1.5, 2.0
-MAX_STEPS, CLOSE = 40, 1e-9
+MAX_STEPS, CLOSE = 60, 1e-7
 BINS = 2048
 #: Sources up to which their parameters are broadcast (under 10 MB); beyond, the join shuffles and Spark splits hot keys.
 BROADCAST_SOURCES = 100_000
@@ -49,36 +51,39 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap:
     return final.select("skey", "source_size", target.alias("target"))
 
 
-def _tilt(lam, x, cap):
-    return F.lit(cap) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * x))))
+def _tilt(lam: Column, x: Column, cap: float) -> Column:
+    return F.least(F.lit(cap), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * x))))
 
 
 def solve_dual(hist: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
-    """skey, scale, lambda: Newton on every source's dual at once, kept inside a bracket. hist: skey, size, docs.
+    """skey, scale, lam: Newton on every source's dual at once, kept inside a bracket. hist: skey, size, docs.
 
-    The state is a small table, one row per source, written to the shared folder after each step."""
+    The state is a small table, one row per source, written to the shared folder after each step. At the upper end of the bracket
+    every document's rate is ``cap``, at the lower end the rates are next to nothing."""
     scale = hist.groupBy("skey").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("scale"), F.min("size").alias("least"))
-    bound = F.lit(60.0) * F.col("scale") / F.col("least")
-    state = targets.join(scale, "skey").filter(F.col("target") < cap * F.col("source_size")).select("skey", "target", "scale", F.lit(0.0).alias("lam"), (-bound).alias("lo"), bound.alias("hi"), F.lit(1.0).alias("gap"))
+    short = F.col("scale") / F.col("least")
+    state = targets.join(scale, "skey").filter(F.col("target") < cap * F.col("source_size")).select("skey", "target", "scale", F.lit(0.0).alias("lam"), (F.lit(-60.0) * short).alias("lo"), (F.log(F.lit(cap)) * short).alias("hi"), F.lit(1.0).alias("gap"))
     state = stash(state, "dual")
     for _ in range(MAX_STEPS):
         x = F.col("size") / F.col("scale")
         rate = _tilt(F.col("lam"), x, cap)
         sums = hist.join(_small(state), "skey").groupBy("skey").agg(
             F.sum(F.col("docs") * F.col("size") * rate).alias("have"),
-            F.sum(F.col("docs") * F.col("size") * x * rate * (F.lit(1.0) - rate / F.lit(cap))).alias("slope"),
+            F.sum(F.when(rate < cap, F.col("docs") * F.col("size") * x * rate)).alias("slope"),
         )
         stepped = state.join(sums, "skey").withColumn("miss", F.col("target") - F.col("have"))
         lo = F.when(F.col("miss") > 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(F.col("miss") < 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") + F.col("miss") / F.col("slope")
         inside = F.col("slope").isNotNull() & (F.col("slope") > 0) & (newton > lo) & (newton < hi)
-        step = F.when(F.col("miss") == 0, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2)
+        step = F.when(F.abs("miss") <= CLOSE * F.col("target"), F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2)
+        old = state
         state = stash(stepped.select("skey", "target", "scale", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), (F.abs("miss") / F.col("target")).alias("gap")), "dual")
         gap = state.agg(F.max("gap")).first()[0] or 0.0
-        if gap < CLOSE:
-            break
-    return state.select("skey", "scale", "lam")
+        discard(old)
+        if gap <= CLOSE:
+            return state.select("skey", "scale", "lam")
+    raise RuntimeError(f"a source is still {gap:.1e} of its target away from it after {MAX_STEPS} steps")
 
 
 def _small(params: DataFrame) -> DataFrame:
@@ -134,9 +139,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with every document repeated as often as the mix takes it; its columns are unchanged. Documents without
     words have no part in the mix and stay once. Rows that repeat an id are all repeated by the largest of their copies."""
-    plan = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("__copies")).filter("__copies > 0")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    t_id, t_copies, t_copy = fresh(docs.columns, "id", "copies", "copy")
+    plan = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(t_id)).agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias(t_copies)).filter(F.col(t_copies) > 0)
+    joined = docs.join(plan, docs[id_col].eqNullSafe(plan[t_id]))
+    return joined.withColumn(t_copy, F.explode(F.sequence(F.lit(1), F.col(t_copies).cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

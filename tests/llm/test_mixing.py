@@ -1,5 +1,7 @@
 """The mix against its constraints and a brute-force reading of the targets; the pipeline end to end."""
 
+from math import exp
+
 import pytest
 
 from docmill.llm import mixing
@@ -56,14 +58,24 @@ def test_apply(spark, rows):
 
 
 def test_rates_tilt(spark):
-    """Without rounding, the rates meet the target: half of a source's words, long and short documents alike in odds."""
+    """Without rounding, the rates meet the target: their logarithms are in proportion to sizes, up to the cap."""
     hist = spark.createDataFrame([("sa", 1, 10), ("sa", 5, 10), ("sa", 50, 2)], "skey string, size int, docs long")
-    targets = spark.createDataFrame([("sa", 160, 120.0)], "skey string, source_size int, target double")
-    p = mixing.solve_dual(hist, targets).first()
-    from math import exp
+    for target in (0.5, 120.0, 160.0, 250.0, 319.9):
+        targets = spark.createDataFrame([("sa", 160, target)], "skey string, source_size int, target double")
+        p = mixing.solve_dual(hist, targets).first()
+        rate = lambda size: min(2, exp(p["lam"] * size / p["scale"]))  # noqa: E731, B023
+        assert abs(sum(n * s * rate(s) for s, n in ((1, 10), (5, 10), (50, 2))) - target) < 1e-5 * target
+
+
+def test_unsolved_dual_is_an_error(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix(frame(spark, rows))
+
 
-    rate = lambda size: 2 / (1 + exp(-p["lam"] * size / p["scale"]))
-    assert abs(sum(n * s * rate(s) for s, n in ((1, 10), (5, 10), (50, 2))) - 120) < 1e-6
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1, 2, 3), (2, "c d", "x", 4, 5, 6)], "doc_id long, text string, source string, id_0 int, copies_0 int, copy_0 int")
+    assert mixing.apply_mix(docs).columns == docs.columns and mixing.apply_mix(docs).count() == 3
 
 
 def test_empty(spark):
