@@ -5,9 +5,10 @@ Base: assignments, access keys and hex strings by pattern. Method: the words of
 tags are the most likely sequence (Viterbi). Tagged stretches that overlap no base span are added.
 
 Training is supervised by construction: ``TRAIN_DOCS`` texts of the corpus (the smallest by a hash of the id, of at most
-``TRAIN_CHARS`` code points each, which is the one bound here) get made-up secrets and look-alikes (addresses, numbers, dates, long
-words) at known places; their own base spans count as secrets too. The weights maximise the penalised conditional likelihood, with
-exact gradients by forward-backward.
+``TRAIN_CHARS`` code points each; these two are the bound of the sample) get made-up secrets and look-alikes (addresses, numbers, dates,
+long words) all along, after every ``GAP`` words; their own base spans count as secrets too. No other real secrets are in training.
+All words of these texts train, in chunks of ``CHUNK``. The ids are chosen first, so only the chosen texts go to the driver. The
+weights maximise the penalised conditional likelihood, with exact gradients by forward-backward.
 
 Decoding is exact but skips most words: where O leads by more than transitions and the neighbours' tags could ever make up, O is
 certain, and such words cut a text into short stretches that are decoded at once, side by side, in numpy.
@@ -37,6 +38,8 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 TRAIN_DOCS, TRAIN_CHARS, CHUNK, STEPS = 300, 20_000, 32, 80
+#: Words of a training text before the next made-up one, at least and at most.
+GAP = (4, 60)
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_tagged long"
 
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"bearer", b"credential", b"private")
@@ -246,37 +249,34 @@ def fit(texts: list[str], seed: int = 11) -> Field:
     chunks_x, chunks_y = [], []
     for text in texts:
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        keep, out = np.zeros(0, bool), []
-        marks: list[int] = []
+        out: list[str] = []
+        marks: list[int] = []  # -2: a word of the text itself
         i = 0
-        for _ in range(6):
-            j = min(len(words), i + rnd.randint(4, 60))
+        while i < len(words):
+            j = min(len(words), i + rnd.randint(*GAP))
             out += words[i:j]
             marks += [-2] * (j - i)
             extra, secret = _made_up(rnd)
             out += extra
             marks += [B if k == 0 else I for k in range(len(extra))] if secret else [O] * len(extra)
             i = j
-        out += words[i : i + 60]
-        marks += [-2] * (len(out) - len(marks))
         data, offs = tb.bytes_of(pa.array([" ".join(out)]))
         start, stop, row, x = word_features(data, offs)
-        y = np.where(np.array(marks) == -2, O, np.array(marks))
+        mark = np.array(marks)
+        y = np.where(mark == -2, O, mark)
         for _, a, _, z in base_spans(data, offs):
-            inside = np.flatnonzero((start < z) & (stop > a))
-            if len(inside) and (np.array(marks)[inside] == -2).all():
-                y[inside] = I
-                y[inside[0]] = B
-        keep = np.ones(len(y), bool)
+            lo, hi = np.searchsorted(stop, a, "right"), np.searchsorted(start, z, "left")
+            if hi > lo and (mark[lo:hi] == -2).all():
+                y[lo:hi] = I
+                y[lo] = B
         for a in range(0, len(y), CHUNK):
-            xs, ys = np.zeros((CHUNK, len(FEATURES))), np.full(CHUNK, -1)
+            xs, ys = np.zeros((CHUNK, len(FEATURES)), np.float32), np.full(CHUNK, -1)
             m = min(CHUNK, len(y) - a)
             xs[:m], ys[:m] = x[a : a + m], y[a : a + m]
             if ys[0] == I:
                 ys[0] = B
-            if keep[a]:
-                chunks_x.append(xs)
-                chunks_y.append(ys)
+            chunks_x.append(xs)
+            chunks_y.append(ys)
     return train(np.stack(chunks_x), np.stack(chunks_y))
 
 
@@ -338,8 +338,9 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """The field trained on a bounded sample of ``docs``."""
     text = text_of(text_col)
-    sample = docs.filter(F.length(text).between(1, TRAIN_CHARS)).select(F.col(id_col).cast("string").alias("id"), text.alias("text"))
-    chosen = sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
+    sized = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).filter(F.length("text").between(1, TRAIN_CHARS) & F.col("id").isNotNull())
+    ids = sized.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(TRAIN_DOCS)
+    chosen = sized.join(F.broadcast(ids), "id").orderBy("h", "id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
     return fit([r["text"] for r in chosen])
 
 
