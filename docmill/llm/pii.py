@@ -17,14 +17,23 @@ with entities show too often for ``REVEALS`` are not looked up in the rest of th
 are by (entity, term) with map-side partial sums, so a frequent entity isn't one task; lists are broadcast only when their counted
 size is under ``BROADCAST_TERMS``, and joined by a shuffle beyond that.
 
-Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all reported, and merged
-before a text is sanitised; rows that repeat an id share the terms found for it but have their own spans; an empty table
-gives an empty result; other columns are ignored.
+Terms are looked up in every text on the map side as long as there are ``LITERAL_TERMS`` at most; their table then travels with the
+plan, laid out in as many small lists as there are terms, so a look-up costs the same for any number. With more terms the words of
+the texts are joined with them, and texts with what was found.
+
+Texts are sanitised one kind after another in the order of ``KINDS``, terms last, and put together from pieces, so the time is in
+proportion to the text. Arrays that a fold builds grow in blocks of ``FOLD``, so a text may have any number of matches.
+
+Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all reported, and the first kind replaces
+the text that they share; rows that repeat an id have their own spans; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stash, text_of
@@ -41,7 +50,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 TERM = r"[\p{L}\p{M}\p{N}]++"
 SUPPORT, REVEALS, GENERALISE_BITS, REMOVE_BITS = 3, 0.9, 4.0, 10.0
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS, LITERAL_TERMS = 200_000, 5_000
+FOLD = 256
 
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
@@ -53,7 +63,6 @@ def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
 def _located(text: Column, pattern: str, wanted=None) -> Column:
     """array<struct<start, stop, value>> of all matches, or of those whose value is wanted, in code points."""
     found, gaps = _pieces(text, pattern)
-    empty = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,stop:int,value:string>>) AS out)")
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["gap"])
@@ -62,7 +71,22 @@ def _located(text: Column, pattern: str, wanted=None) -> Column:
         return F.struct(stop.alias("at"), (out if wanted is None else F.when(wanted(x["value"]), out).otherwise(acc["out"])).alias("out"))
 
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    return _folded(pairs, "struct<start:int,stop:int,value:string>", step)
+
+
+def _folded(items: Column, kind: str, step, last=None) -> Column:
+    """The array that ``step`` builds from (at, out) and each item, block by block: appending copies a block, not all there is.
+    ``last`` may turn the final position into one more array."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / FOLD).cast("int") - 1)), lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)))
+    none = F.expr(f"cast(array() AS array<{kind}>)")
+
+    def block(acc, x):
+        inner = F.aggregate(x, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        joined = F.transform(F.array(inner), lambda y: F.struct(y["at"].alias("at"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+        return joined[0]
+
+    end = (lambda acc: F.flatten(acc["out"])) if last is None else (lambda acc: F.concat(F.flatten(acc["out"]), last(acc["at"])))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS array<array<{kind}>>)").alias("out")), block, end)
 
 
 def _digits(value: Column) -> Column:
@@ -96,43 +120,30 @@ def base_matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), F.filter(_located(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))).otherwise(none)
 
 
-def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and an array of matches for each kind."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return plain.select("doc_id", "text", *[base_matches(F.col("text"), k).alias(k) for k in KINDS])
-
-
-def _tagged(col: str, before: Column | None, after: Column | str) -> Column:
-    """The column's matches as structs of ``before``, start, stop and ``after`` (a column, or the name of a field)."""
-    def one(m: Column) -> Column:
-        return F.struct(*[before] * (before is not None), m["start"].alias("start"), m["stop"].alias("stop"), m[after].alias(after) if isinstance(after, str) else after)
-
-    return F.transform(F.col(col), one)
+def with_base(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, text, an array of matches for each kind, and the columns ``more``."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *more)
+    return plain.select("doc_id", "text", *more, *[base_matches(F.col("text"), k).alias(k) for k in KINDS])
 
 
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def _outside(spans: Column) -> Column:
-    """The text without the spans (structs of start and stop, in order), a blank for each."""
-    def step(acc, m):
-        piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], m["stop"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    def last(acc):
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), " ")
-
-    return F.aggregate(spans, F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)"), step, last)
+def _outside() -> Column:
+    """The text with a blank in place of every entity."""
+    rest = F.col("text")
+    for kind in KINDS:
+        rest = F.when(F.size(kind) > 0, _replaced(rest, PATTERNS[kind], _marked(kind, " "))).otherwise(rest)
+    return rest
 
 
 def entities_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """entities and words of each row: its distinct entities, and its distinct words outside of them."""
-    hits = F.concat(*[_tagged(k, F.lit(k).alias("kind"), "value") for k in KINDS])
-    based = with_base(docs, id_col, text_col).select("text", hits.alias("hits"))
-    spans = F.array_sort(F.transform(F.col("hits"), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
-    entities = F.array_distinct(F.transform(F.col("hits"), lambda m: F.xxhash64(m["kind"], m["value"])))
-    return based.select(entities.alias("entities"), F.when(F.size("hits") > 0, _outside(spans)).otherwise(F.col("text")).alias("rest")).select("entities", _words(F.col("rest")).alias("words"))
+    based = with_base(docs, id_col, text_col)
+    hashed = lambda k: F.transform(k, lambda m: F.xxhash64(F.lit(k), m["value"]))
+    rest = based.select(F.array_distinct(F.concat(*map(hashed, KINDS))).alias("entities"), _outside().alias("rest"))
+    return rest.select("entities", _words(F.col("rest")).alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,19 +175,40 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return scored.filter((F.col("p") >= REVEALS) & (F.col("bits") >= GENERALISE_BITS)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 
+TERMS_TYPE = "array<struct<start:int,stop:int,value:string,bits:double>>"
+
+
+def _listed(terms: list[tuple[str, float]]):
+    """A function from a word to the bits of the term that it is, or null, with the terms in the plan."""
+    lists: list[list[dict]] = [[] for _ in range(max(1, len(terms)))]
+    spark = SparkSession.getActiveSession()
+    hashes = spark.createDataFrame([(t,) for t, _ in terms] or [("",)], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(len(lists))).alias("h")).collect()
+    where = {r["t"]: r["h"] for r in hashes}
+    for term, bits in terms:
+        lists[where[term]].append({"t": term, "b": bits})
+    table = F.from_json(F.lit(json.dumps(lists)), "array<array<struct<t:string,b:double>>>")  # folded into a constant
+    return lambda v: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(v), F.lit(len(lists))).cast("int")), lambda x: x["t"] == v), F.lit(0))["b"]
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, one array of matches per kind, and ``terms``: matches of disclosing terms with their bits."""
     listed = stash(disclosing_terms(docs, id_col, text_col), "disclosing-terms")
-    small = listed.count() <= BROADCAST_TERMS
-    held = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(_words(text_of(text_col))).alias("term"))
-    held = held.join(F.broadcast(listed) if small else listed, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "bits"))).alias("held"))
-    held = held.select(F.col("doc_id").alias("__id"), "held")
-    based = with_base(docs, id_col, text_col)
-    joined = based.join(held, based["doc_id"].eqNullSafe(held["__id"]), "left")
-    none = F.expr("cast(array() AS array<struct<start:int,stop:int,value:string,bits:double>>)")
-    located = _located(F.col("text"), TERM, lambda v: F.element_at(F.col("held"), v).isNotNull())
-    matches = F.transform(located, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), F.element_at(F.col("held"), m["value"]).alias("bits")))
-    return joined.select("doc_id", "text", *KINDS, F.when(F.col("held").isNotNull(), matches).otherwise(none).alias("terms"))
+    n_terms = listed.count()
+    if n_terms <= LITERAL_TERMS:
+        bits = _listed([(r["term"], r["bits"]) for r in listed.orderBy("term").collect()])
+        based = with_base(docs, id_col, text_col)
+        if not n_terms:
+            return based.withColumn("terms", F.expr(f"cast(array() AS {TERMS_TYPE})"))
+    else:
+        row, t_id = "row", "id"
+        numbered = docs.select(F.col(id_col).alias(t_id), text_of(text_col).alias("text")).withColumn(row, F.xxhash64(t_id, "text"))
+        words = numbered.select(row, F.explode(_words(F.col("text"))).alias("term"))
+        held = words.join(F.broadcast(listed) if n_terms <= BROADCAST_TERMS else listed, "term").groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("term", "bits"))).alias("held"))
+        based = with_base(numbered.join(held, row, "left"), t_id, "text", "held")
+        bits = lambda v: F.element_at(F.col("held"), v)
+    located = _located(F.col("text"), TERM, lambda v: bits(v).isNotNull())
+    matches = F.transform(located, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), bits(m["value"]).alias("bits")))
+    return based.select("doc_id", "text", *KINDS, F.coalesce(matches, F.expr(f"cast(array() AS {TERMS_TYPE})")).alias("terms"))
 
 
 def _spans(kind: str, col: str) -> Column:
@@ -187,25 +219,42 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def sanitise(found: DataFrame) -> DataFrame:
-    """doc_id, clean: the text with entities replaced by ``[KIND]``, disclosing terms generalised or removed."""
-    marks = F.concat(
-        *[_tagged(k, None, F.lit(f"[{k.upper()}]").alias("put")) for k in KINDS],
-        F.transform(F.col("terms"), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.when(m["bits"] >= REMOVE_BITS, "").otherwise("[NAME]").alias("put"))),
-    )
+def _action(bits: Column) -> Column:
+    return F.when(bits >= REMOVE_BITS, "remove").otherwise("generalise")
+
+
+def _marked(kind: str, mark: str):
+    return lambda v: F.when(_valid(kind, v), mark).otherwise(v)
 
-    def step(acc, m):
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), m["put"])
-        take = m["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], m["stop"]).alias("at"), F.when(take, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    def last(acc):
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+def _replaced(text: Column, pattern: str, put) -> Column:
+    """The text with ``put(match)`` in place of every match of the pattern."""
+    found, gaps = _pieces(text, pattern)
+    pieces = F.zip_with(gaps, F.transform(found, put), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
+    return F.array_join(pieces, "")
+
 
-    return found.select("doc_id", F.aggregate(F.array_sort(marks), F.expr("struct(0 AS at, '' AS out)"), step, last).alias("clean"))
+def sanitise(found: DataFrame) -> DataFrame:
+    """``found`` with ``clean``: the text with entities replaced by ``[KIND]``, disclosing terms by ``[NAME]`` or by nothing."""
+    out = found.withColumn("clean", F.col("text"))
+    for kind in KINDS:
+        put = _marked(kind, f"[{kind.upper()}]")
+        out = out.withColumn("clean", F.when(F.size(kind) > 0, _replaced(F.col("clean"), PATTERNS[kind], put)).otherwise(F.col("clean")))
+    held = F.map_from_entries(F.array_distinct(F.transform("terms", lambda m: F.struct(m["value"], _action(m["bits"])))))
+    marks = [f"[{k.upper()}]" for k in KINDS]
+    out = out.withColumn("held", held)
+    act = lambda v: F.when(F.element_at("held", v) == "remove", "").when(F.element_at("held", v) == "generalise", "[NAME]").otherwise(v)
+    put = lambda v: F.when(v.isin(marks), v).otherwise(act(v))
+    words = "|".join(rf"\\[{k.upper()}\\]" for k in KINDS) + "|" + TERM
+    return out.withColumn("clean", F.when(F.size("terms") > 0, _replaced(F.col("clean"), words, put)).otherwise(F.col("clean"))).drop("held")
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The contract's columns, then the terms found, what is done to each (start:stop:action), and a digest of the sanitised text."""
+    found = sanitise(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     base = F.concat(*[_spans(k, k) for k in KINDS])
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, _spans("term", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    actions = F.array_join(F.transform("terms", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"), _action(m["bits"]))), ",")
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, _spans("term", "terms"))).alias("spans"),
+        F.size("terms").cast("long").alias("n_terms"), actions.alias("actions"), F.sha2(F.encode("clean", "UTF-8"), 256).alias("clean_sha256"),
+    )

@@ -169,6 +169,11 @@ def test_secrets_base(spark, data, field):
     assert secrets_crf.scan_secrets(frame(spark, []), field).count() == 0
 
 
+def test_secrets_query_of_empty_table(spark, tmp_path):
+    frame(spark, []).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert secrets_crf.op8_secret_scan(spark, str(tmp_path)).count() == 0
+
+
 def test_secrets_viterbi(data, field):
     """Skipping certain words gives the tags of the whole Viterbi search."""
     texts = pd.read_parquet(f"{data}/documents.parquet").text.tolist()[:40] + SECRETS[-5:] + ["key sk-" + "aB3" * 14 + " then Bearer " + "x1Y" * 15]
@@ -228,7 +233,7 @@ def test_private_base(spark, data):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
-def test_private_terms(spark):
+def test_private_terms(spark, monkeypatch):
     texts = ["Meet Zephyrine at zeph@corp.example.com today"] * 2 + ["Zephyrine wrote zeph@corp.example.com again", "Zephyrine alone zeph@corp.example.com"]
     texts += [f"Common words here {i} and Common mail x{i}@y.example.com" for i in range(60)] + ["Nothing to see"] * 40
     found = pii.find_personal_data(frame(spark, texts))
@@ -236,6 +241,16 @@ def test_private_terms(spark):
     assert held == {"Zephyrine"}
     clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
     assert clean[3] == "[NAME] alone [EMAIL]" and clean[70] == "Nothing to see"
+    monkeypatch.setattr(pii, "REMOVE_BITS", 4.0)
+    clean = {r["doc_id"]: r["clean"] for r in pii.sanitise(found).collect()}
+    assert clean[3] == " alone [EMAIL]" and clean[2] == " wrote [EMAIL] again"
+
+
+def test_private_of_very_long_texts(spark):
+    """Thousands of matches in one text, found and replaced in time that is in proportion to it."""
+    text = " ".join(f"a{i}@b.cd x" for i in range(20_000))
+    (row,) = pii.sanitise(pii.find_personal_data(frame(spark, [text]))).collect()
+    assert [(m["start"], m["stop"]) for m in row["email"]] == brute_private(text)[0] and row["clean"] == " ".join(["[EMAIL] x"] * 20_000)
 
 
 def test_private_terms_of_whole_texts(spark, monkeypatch):
@@ -245,11 +260,12 @@ def test_private_terms_of_whole_texts(spark, monkeypatch):
     texts += [f"qo {far} 山田 {i}: q.r@corp.example.com" for i in range(3)] + [f"far{far} {i}" for i in range(200)] + [f"x{i}@corp.example.com {far}" for i in range(9)]
     texts += [f"{far} corp example com" for i in range(20)]
     got = {}
-    for limit in (pii.BROADCAST_TERMS, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    for limit in (5000, 2, 0):
+        monkeypatch.setattr(pii, "LITERAL_TERMS", limit)
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", 10 * limit)
         rows = pii.find_personal_data(frame(spark, texts)).collect()
         got[limit] = {r["doc_id"]: [(m["start"], m["value"]) for m in r["terms"]] for r in rows}
-    wide, narrow = got.values()
-    assert wide == narrow
+    wide, middle, narrow = got.values()
+    assert wide == middle == narrow
     assert {v for terms in wide.values() for _, v in terms} == {"Alexander", "qo", "山田"}
     assert wide[9] == [(texts[9].index("Alexander"), "Alexander")] and wide[10] == [(0, "qo"), (texts[10].index("山田"), "山田")]
