@@ -23,6 +23,8 @@ REPLACED, BACKSLASHES, VOWELS, SYMBOLS = 0.02, 0.025, 0.20, 0.45
 #: Parts of names that mark an embedding model; vendor words in front of device names.
 EMBEDDERS = ("embed", "bge-", "minilm", "e5-", "arctic-embed", "granite-embedding")
 VENDORS = ("nvidia ", "amd ", "intel(r) ", "intel ")
+#: Equal lines from which on a run collapses, and characters of a line up to which it counts as a table cell.
+LEAST_RUN, LONGEST_CELL = 6, 12
 #: Openings of a correction that describes its input.
 DESCRIBING = ("this passage", "the passage", "this text", "the text", "here is", "i cannot")
 #: Parts of error messages by class, tried in this order.
@@ -45,11 +47,30 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def collapsed_runs(c: Column) -> Column:
+    """Runs of at least LEAST_RUN equal short lines as one line with their number. Lines and runs are arrays of one row: each array is
+    built once and walked once, so time is in proportion to the text."""
+    lines = F.split(c, "\n")
+    cells = F.transform(lines, strip)
+    last = F.slice(F.concat(F.array(F.lit(None).cast("string")), cells), F.lit(1), F.size(cells))
+    pairs = F.zip_with(cells, last, lambda v, p: F.struct(v.alias("v"), v.eqNullSafe(p).alias("same")))
+    first = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x["v"].alias("v"), x["same"].alias("same"))), lambda x: ~x["same"])
+    ends = F.concat(F.slice(F.transform(first, lambda x: x["at"]), F.lit(2), F.size(cells)), F.array(F.size(cells)))
+    runs = F.zip_with(first, ends, lambda a, z: F.struct(a["v"].alias("v"), (z - a["at"]).alias("n")))
+
+    def of_lines(r: Column) -> Column:
+        cell = (r["v"] != "") & (F.length(r["v"]) <= LONGEST_CELL) & (r["n"] >= LEAST_RUN)
+        return F.transform(F.sequence(F.lit(1), r["n"]), lambda i: F.struct(i.alias("i"), F.when(cell, r["n"]).alias("n")))
+
+    marked = F.zip_with(lines, F.flatten(F.transform(runs, of_lines)), lambda line, m: F.when(m["n"].isNull(), line).when(m["i"] == 1, F.concat(F.regexp_extract(line, r"^\s*", 0), strip(line), F.lit(" (×"), m["n"].cast("string"), F.lit(")"))))
+    return F.array_join(F.array_compact(marked), "\n")
+
+
 def normalised(c: Column) -> Column:
-    """No NUL, single blanks, at most one empty line in a row, trimmed."""
+    """No NUL, single blanks, at most one empty line in a row, runs of table cells collapsed, trimmed."""
     c = F.regexp_replace(c, "\\x00", "")
     c = F.regexp_replace(F.regexp_replace(c, "[ \\t]+", " "), "\\n{3,}", "\n\n")
-    return strip(c)
+    return strip(collapsed_runs(c))
 
 
 def tokens(c: Column) -> Column:
@@ -65,11 +86,12 @@ def garbled(c: Column) -> Column:
     """Whether a page looks like broken extraction; short texts never do."""
     t = strip(c)
     n = F.length(t).cast("double")
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("double")
-    letters = count(r"\p{L}")
-    vowels = F.regexp_count(F.lower(t), F.lit("[aeiou]")).cast("double")
-    signs = count(r"[^\p{L}\p{N}\s]")
-    return (n >= 40) & ((count("�") / n > REPLACED) | (count(r"\\") / n > BACKSLASHES) | ((letters > 50) & (vowels / letters < VOWELS)) | (signs / n > SYMBOLS))
+    without = lambda p: F.length(F.regexp_replace(t, p, "")).cast("double")  # noqa: E731  runs of characters at once
+    letters = without(r"\P{L}+")
+    # Signs of which a few are enough are counted by what is left without them, and only where the others don't decide.
+    few = lambda signs, x=t: n - F.length(F.translate(x, signs, ""))
+    vowels = few("aeiou", F.lower(t))
+    return (n >= 40) & ((few("�") / n > REPLACED) | (few("\\") / n > BACKSLASHES) | ((letters > 50) & (vowels / letters < VOWELS)) | ((n - without(r"[^\p{L}\p{N}\s]+")) / n > SYMBOLS))
 
 
 def toc_fragment(c: Column) -> Column:

@@ -1,18 +1,44 @@
 """Full-text search: terms, inverted index, BM25 with two sets of constants, top-k.
 
-A query batch is a small table (qid, term); the index joins on the term, so only postings of query terms are scored."""
+A query batch is a table (qid, question). Texts are read once: every row becomes postings (row, term, count) of the batch's terms and
+one more of all its terms together, which are stored; document frequencies, sizes and scores come from the stored ones."""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.scratch import stored
+
 TERM = r"[\p{L}\p{N}]+"
+#: Rows up to which the terms of a batch are broadcast (some 5 MB); beyond, their joins are shuffled.
+BROADCAST_TERMS = 100_000
+#: Not a term: the posting of all terms of a row.
+ALL = ""
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters that are a letter and marks, and those letters alone."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.category(parts[0])[0] == "L" and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """In lower case and without accents."""
+    return F.translate(F.lower(text), *_accents())
 
 
 def terms(text: Column) -> Column:
-    """Runs of letters and numbers, in lower case, repeats kept."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t))
+    """Runs of letters and numbers, in lower case and without accents, repeats kept."""
+    return F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0))
 
 
 def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -20,29 +46,43 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
     return queries.select("qid", F.explode(terms(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """key, term, tf, dl for every term of every row."""
-    one = docs.select(key, terms(F.col(text_col)).alias("__t"))
-    return one.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text_col: str = "text", k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6, plus_one: bool = False) -> DataFrame:
-    """qid, key, score over all rows that hold a query term.
+def postings(docs: DataFrame, key: str, *text_cols: str, only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, dl for every term of every row over all its text columns; ``only`` (term) leaves other terms out."""
+    one = docs.select(key, F.concat(*[terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols or ("text",)]).alias("ts"))
+    each = one.select(key, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit(ALL))) if only is not None else "ts").alias("term"))
+    if only is not None:
+        each = each.join(_small(only.select("term").unionByName(each.sparkSession.createDataFrame([(ALL,)], "term string"))), "term", "left_semi")
+    return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
-    ``floor`` bounds the inverse document frequency from below; ``plus_one`` adds 1 inside its logarithm instead. Texts are
-    read once: lengths and the query terms' counts come from one pass, and rows are scored only for those terms."""
-    wanted = query_terms(queries)
-    one = docs.select(key, terms(F.col(text_col)).alias("__t"))
-    size = one.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__t")).alias("avgdl"))
-    hit = one.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    tf = hit.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
+
+def batch_index(docs: DataFrame, queries: DataFrame, key: str, *text_cols: str) -> tuple[DataFrame, DataFrame]:
+    """The batch's terms (qid, term, times) and the postings of these terms, both stored. One scan of the texts."""
+    wanted = stored(query_terms(queries), "query-terms")
+    return wanted, stored(postings(docs, key, *text_cols, only=wanted.select("term").distinct()), "postings")
+
+
+def scores(wanted: DataFrame, index: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6, plus_one: bool = False) -> DataFrame:
+    """qid, key, score over all rows that hold a query term. ``floor`` bounds the inverse document frequency from below; ``plus_one``
+    adds 1 inside its logarithm instead. Frequencies are joined to the batch's terms first, so each posting is joined once."""
+    size = index.filter(F.col("term") == ALL).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    real = index.filter(F.col("term") != ALL)
+    df = real.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + ratio) if plus_one else F.greatest(F.log(ratio), F.lit(floor))
+    weighed = wanted.join(df, "term").crossJoin(F.broadcast(size)).select("qid", "term", "avgdl", (idf * F.col("times") * (k1 + 1)).alias("w"))
     dl = F.greatest(F.col("dl"), F.lit(1))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return scored.withColumn("w", weight).join(F.broadcast(wanted), "term").groupBy("qid", key).agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
+    small = wanted.count() <= BROADCAST_TERMS
+    return real.join(F.broadcast(weighed) if small else weighed, "term").groupBy("qid", key).agg(F.sum(part).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, *text_cols: str, **constants) -> DataFrame:
+    """qid, key, score of a batch of questions against all rows; see ``scores``."""
+    return scores(*batch_index(docs, queries, key, *text_cols), key, **constants)
 
 
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import strip
-
-LEAST_RUN, LONGEST_CELL = 6, 12
+from docmill.functions.text import collapsed_runs
 
 
 def collapse_runs(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """key, lines, text: runs of at least LEAST_RUN equal short lines become one line with their number."""
-    one = df.select(key, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("v", strip(F.col("line")))
-    w = Window.partitionBy(key).orderBy("pos")
-    one = one.withColumn("run", F.sum(F.when(F.lag("v").over(w).eqNullSafe(F.col("v")), 0).otherwise(1)).over(w))
-    group = Window.partitionBy(key, "run")
-    one = one.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("i", F.row_number().over(group.orderBy("pos")))
-    cell = (F.col("v") != "") & (F.length("v") <= LONGEST_CELL) & (F.col("n") >= LEAST_RUN)
-    head = F.concat(F.regexp_extract("line", r"^\s*", 0), F.col("v"), F.lit(" (×"), F.col("n").cast("string"), F.lit(")"))
-    kept = one.withColumn("s", F.when(cell, F.when(F.col("i") == 1, head)).otherwise(F.col("line"))).filter("s IS NOT NULL")
-    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "\n").alias("text"))
+    """key, lines, text: runs of equal short lines become one line with their number. Per row, no shuffle."""
+    return df.select(key, collapsed_runs(F.col(text_col)).alias("text")).select(key, F.size(F.split("text", "\n")).cast("long").alias("lines"), "text")

@@ -20,6 +20,12 @@ def rrf(lists: list[DataFrame], key: str, k: int = RRF) -> DataFrame:
     return all_.groupBy("qid", key).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("rrf"))
 
 
+def top(scored: DataFrame, key: str, score: str, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; scores equal to twelve places are ties, which go by key."""
+    order = Window.partitionBy("qid").orderBy(F.round(score, 12).desc(), key)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def fuse(vec: DataFrame, fts: DataFrame, key: str, k: int, constant: int = RRF) -> DataFrame:
     """Two ranked lists (qid, key, rank, score) as one: rank, rrf, both ranks, score and kind of the hit.
 
@@ -53,10 +59,10 @@ def attention_order(hits: DataFrame) -> DataFrame:
 
 def rerank(hits: DataFrame, queries: DataFrame, text: str, k: int) -> DataFrame:
     """new_rank by a stand-in for a cross-encoder: the share of the question's distinct terms that the text holds."""
-    q = queries.select("qid", F.array_distinct(terms(F.col("question"))).alias("__q"))
-    scored = hits.join(F.broadcast(q), "qid").withColumn("overlap", F.size(F.array_intersect("__q", terms(F.col(text)))) / F.greatest(F.lit(1), F.size("__q")))
+    q = queries.select("qid", F.array_distinct(terms(F.col("question"))).alias("asked"))
+    scored = hits.join(q, "qid").withColumn("overlap", F.size(F.array_intersect("asked", terms(F.col(text)))) / F.greatest(F.lit(1), F.size("asked")))
     order = Window.partitionBy("qid").orderBy(F.desc("overlap"), "rank")
-    return scored.drop("__q").withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= k)
+    return scored.drop("asked").withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= k)
 
 
 def mmr(hits: DataFrame, key: str, vec: str, k: int, balance: float) -> DataFrame:

@@ -242,7 +242,7 @@ def apply_modifiers(spark, d):
     return table(spark, d, "benchmark").select("item_id", prompts.wrapped(F.col("text"), F.lit("In context:"), F.lit("  "), neg).alias("prompt"))
 
 
-@query("merge_modifiers", "SELECT conv_id, array_to_string(list_distinct_ordered, '|') AS merged FROM (SELECT conv_id, list(w ORDER BY first) AS list_distinct_ordered FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM (SELECT conv_id, lower(substr(text, 1, 12)) AS w, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE n <= 5 GROUP BY conv_id)")
+@query("merge_modifiers", "SELECT conv_id, array_to_string(list_distinct_ordered, '|') AS merged FROM (SELECT conv_id, list(w ORDER BY first) AS list_distinct_ordered FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM (SELECT conv_id, lower(text) AS w, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE n <= 5 GROUP BY conv_id)")
 def merge_modifiers(spark, d):
     """The first five distinct notes of each conversation, without regard to case, in order."""
     t = table(spark, d, "conversations").groupBy("conv_id", F.lower("text").alias("w")).agg(F.min("turn").alias("first"))
@@ -270,8 +270,8 @@ def entities_all(spark, d):
     return one.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["v"]), "|").alias("entities"))
 
 
-@query("consolidate_entities", """WITH t AS (SELECT source AS grp, lang AS bucket, doc_id AS pos, trim(regexp_extract(text, '[A-Za-z]+')) AS term FROM documents), s AS (SELECT source AS grp, string_agg(left(text, 300), ' ' ORDER BY doc_id) AS text FROM documents WHERE doc_id % 2 = 0 GROUP BY source),
-g AS (SELECT t.grp, bucket, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS form FROM t JOIN s ON s.grp = t.grp WHERE length(term) > 1 AND contains(lower(s.text), lower(term)) GROUP BY ALL),
+@query("consolidate_entities", """WITH t AS (SELECT source AS grp, lang AS bucket, doc_id AS pos, trim(regexp_extract(text, '[A-Za-z]+')) AS term FROM documents), s AS (SELECT DISTINCT t.grp, lower(t.term) AS key FROM (SELECT DISTINCT grp, lower(term) AS term FROM t WHERE length(term) > 1) t JOIN documents d ON d.source = t.grp AND contains(lower(d.text), t.term)),
+g AS (SELECT t.grp, bucket, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS form FROM t JOIN s ON s.grp = t.grp AND s.key = lower(t.term) WHERE length(term) > 1 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, bucket ORDER BY n DESC, key) AS place FROM g) SELECT grp, bucket, form, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 30""")
 def consolidate_entities(spark, d):
     """Forms of the texts' first words, checked against the whole texts of all rows of their group."""
@@ -286,10 +286,11 @@ def stratified_sample(spark, d):
     return lookups.stratified(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 8)
 
 
-@query("random_sample")
+@query("random_sample", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 80 ORDER BY md5(doc_id || '-7'), doc_id LIMIT 12")
 def random_sample(spark, d):
-    """Twelve rows over 80 characters in a seeded random order: a sampling operator."""
-    return table(spark, d, "documents").filter(F.length("text") > 80).select("doc_id", F.substring("text", 1, 80).alias("head")).orderBy(F.rand(7)).limit(12)
+    """Twelve rows over 80 characters in an order that a seed and the ids give, whatever the layout: a sampling operator."""
+    seeded = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-7")).cast("binary"))
+    return table(spark, d, "documents").filter(F.length("text") > 80).select("doc_id", F.length("text").cast("long").alias("n")).orderBy(seeded, "doc_id").limit(12)
 
 
 @query("per_file_brief", "SELECT source, string_agg('doc ' || doc_id || ' [' || lang || ']', '; ' ORDER BY doc_id) AS brief FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")

@@ -166,13 +166,14 @@ def detect_chapters(spark, d):
     return many.unionByName(rest.select("file_id", F.lit(1).alias("chapter"), F.lit("Document").alias("title"), "start_ord", "end_ord"))
 
 
-HITS = "hits AS (SELECT file_id, ord, row_number() OVER (ORDER BY md5(file_id || '-' || ord)) AS rank FROM s WHERE file_id % 5 = 0)"
+#: Every section is a hit of its file's ranked list.
+HITS = "hits AS (SELECT file_id, ord, row_number() OVER (PARTITION BY file_id ORDER BY md5(file_id || '-' || ord)) AS rank FROM s)"
 
 
 def _hits(spark, d):
-    h = sections(spark, d).filter("file_id % 5 = 0").select("file_id", "ord")
+    h = sections(spark, d).select("file_id", "ord")
     key = F.md5(F.concat(F.col("file_id").cast("string"), F.lit("-"), F.col("ord").cast("string")).cast("binary"))
-    return h.withColumn("rank", F.row_number().over(Window.orderBy(key)).cast("long"))
+    return h.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(key)).cast("long"))
 
 
 @query("find_chapter", ISLANDS + f", {HITS}, j AS (SELECT h.file_id, h.ord, c.chapter, c.title, row_number() OVER (PARTITION BY h.file_id, h.ord ORDER BY c.chapter) AS n FROM hits h LEFT JOIN ch c ON c.file_id = h.file_id AND h.ord BETWEEN c.start_ord AND c.end_ord) SELECT file_id, ord, chapter, title FROM j WHERE n = 1")
@@ -183,8 +184,8 @@ def find_chapter(spark, d):
 @query("expand_to_chapter", ISLANDS + f""", {HITS}, j AS (SELECT h.file_id, h.ord, h.rank, c.chapter, c.title FROM hits h LEFT JOIN ch c ON c.file_id = h.file_id AND h.ord BETWEEN c.start_ord AND c.end_ord),
 k AS (SELECT *, CASE WHEN title IS NOT NULL THEN row_number() OVER (PARTITION BY file_id, title ORDER BY rank) END AS turn FROM j),
 whole AS (SELECT c.file_id, c.chapter, string_agg(s.text, chr(10) || chr(10) ORDER BY s.ord) AS whole FROM ch c JOIN s ON s.file_id = c.file_id AND s.ord BETWEEN c.start_ord AND c.end_ord AND s.text <> '' GROUP BY ALL)
-SELECT k.file_id, k.ord, k.rank, k.title, CASE WHEN k.title IS NULL THEN 'none' WHEN turn > 1 THEN 'chapter-dup' WHEN length(whole) > 3000 THEN 'chapter-skip' ELSE 'chapter' END AS kind, length(whole) AS n FROM k LEFT JOIN whole t ON t.file_id = k.file_id AND t.chapter = k.chapter""")
+SELECT k.file_id, k.ord, k.rank, k.title, CASE WHEN k.title IS NULL THEN 'none' WHEN turn > 1 THEN 'chapter-dup' WHEN length(whole) > 16000 THEN 'chapter-skip' ELSE 'chapter' END AS kind, length(whole) AS n FROM k LEFT JOIN whole t ON t.file_id = k.file_id AND t.chapter = k.chapter""")
 def expand_to_chapter(spark, d):
     s = sections(spark, d)
-    found = expand.expand_chapters(_hits(spark, d), s, expand.section_chapters(s), 3000)
+    found = expand.expand_chapters(_hits(spark, d), s, expand.section_chapters(s), 16_000)
     return found.select("file_id", "ord", "rank", "title", "kind", F.length("whole").cast("long").alias("n"))

@@ -51,10 +51,22 @@ def vendor_csv(spark, d):
 @query("power_csv", "SELECT event_id, printf('%.3f', epoch(ts)) || ',' || event_type || ',' || printf('%.2f', value) AS line FROM events")
 def power_csv(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", F.concat_ws(",", F.format_string("%.3f", F.unix_micros("ts") / 1e6), "event_type", F.format_string("%.2f", "value")).alias("line"))
+    return e.select("event_id", F.concat_ws(",", stamp(F.unix_micros("ts")), "event_type", F.format_string("%.2f", "value")).alias("line"))
 
 
-@query("chat_lines", "SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
+def stamp(micros):
+    """Seconds with three places, as a floating-point second prints them: the nearest double of an instant from 2004 to 2038 is a multiple
+    of 2^-22 s, and that exact number is rounded, halves to even. Whole numbers all through."""
+    second, rest = F.floor(micros / F.lit(1_000_000)), F.pmod(micros, F.lit(1_000_000))
+    units = F.floor((rest * 131072 + 15625) / F.lit(31250)).cast("long")  # nearest; never a half, as 15,625 is odd
+    scaled = units * 125
+    whole, left = F.floor(scaled / F.lit(524288)).cast("long"), F.pmod(scaled, F.lit(524288))
+    up = (left > 262144) | ((left == 262144) & (whole % 2 == 1))
+    total = second.cast("long") * 1000 + whole + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(total / F.lit(1000)).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(total, F.lit(1000)).cast("string"), 3, "0"))
+
+
+@query("chat_lines", "SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def chat_lines(spark, d):
     """Each conversation as lines of role and whole text, in order."""
     line = F.concat("role", F.lit(": "), "text")

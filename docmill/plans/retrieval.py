@@ -5,24 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docmill.operators import lexical, ranking, vectors
+from docmill.functions.text import tokens
+from docmill.operators import lexical, ranking, retrieve, vectors
 from docmill.sources.tables import chunks, files, table
 
 from .registry import CHUNKS, FILES, query
 
-#: The batch of questions: a fixed text each, paired with a stored vector.
-QUESTIONS = ((1, "the thing with that and the other", 3), (2, "ouwhea there reading of the and", 17), (3, "que des les dans une", 42))
-Q_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in QUESTIONS) + ") AS t(qid, question, vec_id))"
+#: The batch of questions: what users say in the conversations whose id is divisible by 50, whole, each with the vector of that id.
+Q_SQL = "q AS (SELECT conv_id * 1000 + turn AS qid, text AS question, conv_id AS vec_id FROM conversations WHERE role = 'user' AND conv_id % 50 = 0)"
+#: Entity terms that are added to the tokens of the texts that hold them.
+ENTITIES = ("The", "That", "Und", "Les", "the", "Zebra")
 
 
-def questions(spark):
-    return spark.createDataFrame(QUESTIONS, "qid int, question string, vec_id long")
+def questions(spark, d):
+    c = table(spark, d, "conversations").filter("role = 'user' AND conv_id % 50 = 0")
+    return c.select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"), F.col("conv_id").alias("vec_id"))
 
 
-TERMS = r"""
-t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ts FROM documents),
+def boost(text):
+    """Entity terms that the text holds, in lower case, once each, in order."""
+    held = F.filter(F.array(*map(F.lit, ENTITIES)), lambda t: F.contains(F.lower(text), F.lower(t)))
+    return F.array_distinct(F.transform(held, lambda t: F.lower(t)))
+
+
+def indexed(spark, d):
+    """documents with both indexed columns: the text, and its tokens with the entity terms that it holds."""
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", "text", F.array_join(F.concat(tokens(text), boost(text)), " ").alias("tokens"))
+
+
+TERMS_SQL = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+INDEXED_SQL = r"list_concat(" + TERMS_SQL.format("text") + ", " + TERMS_SQL.format(r"array_to_string(list_concat(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]*'), lambda x: lower(x)), list_filter(['the', 'that', 'und', 'les', 'zebra'], lambda t: contains(lower(text), t))), ' ')") + ")"
+TERMS = rf"""
+t AS (SELECT doc_id, {INDEXED_SQL} AS ts FROM documents),
 size AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
-qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS term FROM q) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TERMS_SQL.format('question')}) AS term FROM q) GROUP BY ALL),
 x AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
@@ -37,34 +54,34 @@ vs AS (SELECT qid, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DO
 """
 
 
-def _bm25(spark, d, **kw):
-    return lexical.bm25(table(spark, d, "documents"), questions(spark), "doc_id", **kw)
+def _bm25(spark, d, k, batch=None, **constants):
+    return lexical.top_k(lexical.bm25(indexed(spark, d), questions(spark, d) if batch is None else batch, "doc_id", "text", "tokens", **constants), "doc_id", k)
 
 
-def _vec(spark, d):
+def _vec(spark, d, k, batch=None):
     e = table(spark, d, "embeddings")
-    q = e.join(F.broadcast(questions(spark)), "vec_id").select("qid", F.col("embedding").alias("qvec"))
-    return vectors.vector_scores(e.withColumnRenamed("vec_id", "doc_id"), q, "doc_id")
+    batch = questions(spark, d) if batch is None else batch
+    return vectors.top_k(e.withColumnRenamed("vec_id", "doc_id"), e.join(batch.select("qid", "vec_id"), "vec_id").select("qid", F.col("embedding").alias("qvec")), "doc_id", k)
 
 
-@query("fts_terms", f"WITH {Q_SQL} SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(list_transform(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))) AS term FROM q) GROUP BY ALL")
+@query("fts_terms", f"WITH {Q_SQL} SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TERMS_SQL.format('question')}) AS term FROM q) GROUP BY ALL")
 def fts_terms(spark, d):
-    return lexical.query_terms(questions(spark))
+    return lexical.query_terms(questions(spark, d))
 
 
-@query("build_bm25_index", r"""
+@query("build_bm25_index", f"""
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM (
-  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS term FROM documents) GROUP BY ALL)
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({INDEXED_SQL}) AS term FROM documents) GROUP BY ALL)
 GROUP BY term""")
 def build_bm25_index(spark, d):
-    p = lexical.postings(table(spark, d, "documents"), "doc_id")
+    p = lexical.postings(indexed(spark, d), "doc_id", "text", "tokens")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 @query("bm25_topk", f"""WITH {Q_SQL}, {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def bm25_topk(spark, d):
-    return lexical.top_k(_bm25(spark, d), "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("bm25_okapi_topk", f"""WITH {Q_SQL}, {TERMS},
@@ -73,14 +90,17 @@ bm AS (SELECT qid, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def bm25_okapi_topk(spark, d):
-    scored = _bm25(spark, d, k1=1.5, plus_one=True).filter("score > 0")
-    return lexical.top_k(scored, "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, 20, k1=1.5, plus_one=True).filter("score > 0").select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("vector_topk", f"""WITH {Q_SQL}, {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs)
+@query("vector_topk", f"""WITH vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qvec FROM embeddings WHERE vec_id % 50 = 0), {VEC.split('),', 1)[1]},
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def vector_topk(spark, d):
-    return lexical.top_k(_vec(spark, d), "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+    """Every vector whose id is divisible by 50 against all vectors."""
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return vectors.top_k(e.withColumnRenamed("vec_id", "doc_id"), q, "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("scan_embeddings", "SELECT vec_id, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first, label FROM embeddings")
@@ -111,17 +131,14 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DES
 """
 
 
-def hybrid(spark, d, k=8, fetch=30):
+def hybrid(spark, d, k=8, fetch=30, batch=None):
     """Both ranked lists, fused: qid, doc_id, rank, rrf, ranks and scores, kind."""
-    fts = lexical.top_k(_bm25(spark, d), "doc_id", fetch)
-    vec = lexical.top_k(_vec(spark, d), "doc_id", fetch)
-    return ranking.fuse(vec, fts, "doc_id", k)
+    return ranking.fuse(_vec(spark, d, fetch, batch), _bm25(spark, d, fetch, batch), "doc_id", k)
 
 
 @query("rrf_fusion", RANKED + "SELECT qid, doc_id, round(rrf, 9) AS rrf FROM fused")
 def rrf_fusion(spark, d):
-    fts, vec = lexical.top_k(_bm25(spark, d), "doc_id", 30), lexical.top_k(_vec(spark, d), "doc_id", 30)
-    return ranking.rrf([vec, fts], "doc_id").select("qid", "doc_id", F.round("rrf", 9).alias("rrf"))
+    return ranking.rrf([_vec(spark, d, 30), _bm25(spark, d, 30)], "doc_id").select("qid", "doc_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query("hybrid_search", RANKED + """SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(vec_rank AS INTEGER) AS vec_rank, CAST(fts_rank AS INTEGER) AS fts_rank, round(rrf, 9) AS rrf,
@@ -146,7 +163,7 @@ def reorder_attention(spark, d):
 
 
 RERANK = RANKED + r""", h AS (SELECT h.qid, h.doc_id, h.rank, q.question, d.text FROM hy h JOIN documents d USING (doc_id) JOIN q USING (qid) WHERE h.rank <= 30),
-s AS (SELECT qid, doc_id, rank, list_distinct(list_transform(regexp_extract_all(question, '[\p{L}\p{N}]+'), lambda x: lower(x))) AS qt, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS tt FROM h),
+s AS (SELECT qid, doc_id, rank, list_distinct(regexp_extract_all(strip_accents(lower(question)), '[\p{L}\p{N}]+')) AS qt, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tt FROM h),
 o AS (SELECT qid, doc_id, rank, len(list_intersect(qt, tt)) / greatest(1, len(qt))::DOUBLE AS overlap FROM s),
 rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank) AS new_rank FROM o)
 """
@@ -155,56 +172,121 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank
 @query("rerank_lexical", RERANK + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(overlap, 6) AS overlap, CAST(new_rank AS INTEGER) AS new_rank FROM rr WHERE new_rank <= 8")
 def rerank_lexical(spark, d):
     hits = hybrid(spark, d, 30).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return ranking.rerank(hits, questions(spark), "text", 8).select("qid", "doc_id", "rank", F.round("overlap", 6).alias("overlap"), "new_rank")
+    return ranking.rerank(hits, questions(spark, d), "text", 8).select("qid", "doc_id", "rank", F.round("overlap", 6).alias("overlap"), "new_rank")
 
 
 @query("mmr_select")
 def mmr_select(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    hits = lexical.top_k(_vec(spark, d), "doc_id", 24).join(e.select("doc_id", "embedding"), "doc_id")
+    hits = _vec(spark, d, 24).join(e.select("doc_id", "embedding"), "doc_id")
     return ranking.mmr(hits, "doc_id", "embedding", 8, 0.5)
 
 
-@query("smart_retrieve", RERANK + """, picked AS (SELECT r.qid, r.doc_id, r.new_rank, d.source FROM rr r JOIN documents d USING (doc_id) WHERE r.new_rank <= 22),
+FINAL = """
 sd AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY new_rank) AS n FROM picked),
 dv AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY n > 3, new_rank) AS fr FROM sd),
-f AS (SELECT qid, doc_id, fr, count(*) OVER (PARTITION BY qid) AS n FROM dv WHERE fr <= 8)
-SELECT qid, doc_id, CAST(fr AS INTEGER) AS rank, CAST(CASE WHEN n <= 2 THEN fr - 1 WHEN (fr - 1) % 2 = 0 THEN (fr - 1) // 2 ELSE n - 1 - (fr - 2) // 2 END AS BIGINT) AS position FROM f""")
+f AS (SELECT qid, doc_id, fr, count(*) OVER (PARTITION BY qid) AS n FROM dv WHERE fr <= {k})
+SELECT qid, doc_id, CAST(fr AS INTEGER) AS rank, CAST(CASE WHEN n <= 2 THEN fr - 1 WHEN (fr - 1) % 2 = 0 THEN (fr - 1) // 2 ELSE n - 1 - (fr - 2) // 2 END AS BIGINT) AS position FROM f"""
+PICKED = ", picked AS (SELECT r.qid, r.doc_id, r.new_rank, d.source FROM rr r JOIN documents d USING (doc_id) WHERE r.new_rank <= {n}),"
+SMART = RERANK + PICKED.format(n=22) + FINAL.format(k=8)
+
+
+def smart(spark, d, config, batch=None, **models):
+    """Hits of a batch of questions by all steps that ``config`` asks for."""
+    batch = questions(spark, d) if batch is None else batch
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return retrieve.smart(batch, lambda q, k, fetch: hybrid(spark, d, k, fetch, q), docs, e, config, **models)
+
+
+@query("smart_retrieve", SMART)
 def smart_retrieve(spark, d):
     """Fetch wide, rerank, cap per source, cut, order for attention."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    hits = hybrid(spark, d, 30).join(docs, "doc_id")
-    ranked = ranking.rerank(hits, questions(spark), "text", 2 * 8 + 6).drop("rank").withColumnRenamed("new_rank", "rank")
-    spread = ranking.diversify(ranked, "source", 3, 8).drop("rank").withColumnRenamed("new_rank", "rank")
-    return ranking.attention_order(spread).select("qid", "doc_id", "rank", "position")
+    return smart(spark, d, retrieve.Config()).select("qid", "doc_id", "rank", "position")
 
 
-MULTI = """WITH q AS (SELECT * FROM (VALUES (1, 'the and of', 3), (1, 'that with in', 5), (1, 'reading there', 9), (2, 'que des', 42), (2, 'les une', 17)) AS t(base, question, vec_id)),
-qq AS (SELECT base, base * 100 + vec_id AS qid, question FROM q)
-"""
+@query("smart_retrieve_plain", RANKED + """, f AS (SELECT qid, doc_id, rank AS fr, count(*) OVER (PARTITION BY qid) AS n FROM hy WHERE rank <= 8)
+SELECT qid, doc_id, CAST(fr AS INTEGER) AS rank, CAST(fr - 1 AS BIGINT) AS position FROM f""")
+def smart_retrieve_plain(spark, d):
+    """All steps switched off: the fused list."""
+    return smart(spark, d, retrieve.Config(rerank=False, per_source=0, reorder=False)).select("qid", "doc_id", "rank", "position")
+
+
+@query("smart_retrieve_mmr")
+def smart_retrieve_mmr(spark, d):
+    """Relevance diversification by vectors in place of the cap per source. Greedy, so without SQL."""
+    return smart(spark, d, retrieve.Config(mmr=True)).select("qid", "doc_id", "rank", "position")
 
 
-@query("multi_query_rrf", MULTI.replace("WITH q AS", "WITH q0 AS").replace("FROM q)", "FROM q0)").replace("qq AS", "q AS") + "," + BM25 + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm),
-f AS (SELECT base, doc_id, sum(1e0 / (60 + rank)) AS rrf, count(*) AS lists FROM r JOIN q USING (qid) WHERE rank <= 12 GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY round(rrf, 12) DESC, doc_id) AS rank FROM f)
-SELECT base, doc_id, lists, round(rrf, 9) AS rrf, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 12""")
+@query("smart_retrieve_crag", RERANK + PICKED.format(n=22) + FINAL.format(k=8).replace("f AS (SELECT qid, doc_id, fr, count(*) OVER (PARTITION BY qid) AS n FROM dv WHERE fr <= 8)", """
+c AS (SELECT v.*, length(d.text) % 3 <> 0 AS fits FROM (SELECT * FROM dv WHERE fr <= 8) v JOIN documents d USING (doc_id)),
+g AS (SELECT qid, doc_id, fr, fits OR NOT bool_or(fits) OVER (PARTITION BY qid) AS stays FROM c),
+f AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY fr) AS fr, count(*) OVER (PARTITION BY qid) AS n FROM g WHERE stays)"""))
+def smart_retrieve_crag(spark, d):
+    """A model drops hits that don't fit, unless none would stay; the stand-in keeps texts whose length isn't a multiple of three."""
+    return smart(spark, d, retrieve.Config(crag=True), judge=F.length("text") % 3 != 0).select("qid", "doc_id", "rank", "position")
+
+
+LIST_Q = Q_SQL.replace("text AS question", "'List ' || text AS asked, text || ' names examples' AS question")
+
+
+@query("smart_retrieve_list", RERANK.replace(Q_SQL, LIST_Q) + PICKED.format(n=38) + FINAL.format(k=16))
+def smart_retrieve_list(spark, d):
+    """Questions for lists: an imagined answer is searched in place of the question, and twice as many hits are kept."""
+    batch = questions(spark, d).withColumn("question", F.concat(F.lit("List "), "question"))
+    imagined = F.concat(F.expr("substring(question, 6)"), F.lit(" names examples"))
+    return smart(spark, d, retrieve.Config(), batch, imagine=imagined).select("qid", "doc_id", "rank", "position")
+
+
+@query("smart_retrieve_window", SMART.split("SELECT qid, doc_id, CAST(fr")[0].rstrip() + rf""", {CHUNKS},
+o2 AS (SELECT f.qid, f.doc_id, f.fr, c.ord, len(list_intersect(list_distinct({TERMS_SQL.format('q.question')}), {TERMS_SQL.format('c.text')})) AS shared FROM f JOIN q USING (qid) JOIN chunks c ON c.file_id = f.doc_id),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY shared DESC, ord) AS n FROM o2)
+SELECT b.qid, b.doc_id, CAST(b.fr AS INTEGER) AS rank, b.ord, count(*) AS parts, md5(string_agg(c.text, chr(10) || chr(10) ORDER BY c.ord)) AS digest
+FROM b2 b JOIN chunks c ON c.file_id = b.doc_id AND c.ord BETWEEN b.ord - 1 AND b.ord + 1 WHERE b.n = 1 GROUP BY ALL""")
+def smart_retrieve_window(spark, d):
+    """Every hit as its best window and the windows on both sides."""
+    hits = smart(spark, d, retrieve.Config()).select("qid", "doc_id", "rank")
+    out = retrieve.with_window(hits, questions(spark, d), chunks(spark, d), 1)
+    return out.select("qid", "doc_id", "rank", "ord", "parts", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: A question's variants: itself, its long words, its short ones; each with a vector of its own.
+VARIANT_SQL = rf"""WITH q AS (SELECT qid * 10 + v AS qid, qid AS base, vec_id + v AS vec_id, CASE v WHEN 0 THEN question
+  WHEN 1 THEN array_to_string(list_filter({TERMS_SQL.format('question')}, lambda x: length(x) > 3), ' ') ELSE array_to_string(list_filter({TERMS_SQL.format('question')}, lambda x: length(x) <= 3), ' ') END AS question
+  FROM (SELECT conv_id * 1000 + turn AS qid, text AS question, conv_id AS vec_id, unnest([0, 1, 2]) AS v FROM conversations WHERE role = 'user' AND conv_id % 50 = 0))"""
+
+
+def variants(batch):
+    words = lexical.terms(F.col("question"))
+    texts = F.array(F.col("question"), F.array_join(F.filter(words, lambda x: F.length(x) > 3), " "), F.array_join(F.filter(words, lambda x: F.length(x) <= 3), " "))
+    each = batch.select(F.col("qid").alias("base"), "vec_id", F.posexplode(texts).alias("v", "question"))
+    return each.select((F.col("base") * 10 + F.col("v")).alias("qid"), "base", (F.col("vec_id") + F.col("v")).alias("vec_id"), "question")
+
+
+@query("multi_query_rrf", RANKED.replace("WITH " + Q_SQL, VARIANT_SQL) + f""",
+lists AS (SELECT q.base, h.doc_id, h.rank FROM hy h JOIN q USING (qid) WHERE h.rank <= 12),
+fu AS (SELECT base, doc_id, sum(1e0 / (60 + rank)) AS rrf FROM lists GROUP BY ALL),
+ca AS (SELECT base AS qid, doc_id, row_number() OVER (PARTITION BY base ORDER BY round(rrf, 12) DESC, doc_id) AS rank FROM fu),
+s2 AS (SELECT ca.qid, ca.doc_id, ca.rank, len(list_intersect(list_distinct({TERMS_SQL.format('o.question')}), {TERMS_SQL.format('d.text')})) / greatest(1, len(list_distinct({TERMS_SQL.format('o.question')})))::DOUBLE AS overlap
+  FROM ca JOIN q o ON o.qid = ca.qid * 10 JOIN documents d USING (doc_id) WHERE ca.rank <= 32),
+rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank) AS new_rank FROM s2)
+""" + PICKED.format(n=8) + FINAL.format(k=8))
 def multi_query_rrf(spark, d):
-    """Variants of a question each rank alone; their lists are fused per question."""
-    rows = [(1, "the and of", 3), (1, "that with in", 5), (1, "reading there", 9), (2, "que des", 42), (2, "les une", 17)]
-    q = spark.createDataFrame(rows, "base int, question string, vec_id int").withColumn("qid", F.col("base") * 100 + F.col("vec_id"))
-    ranked = lexical.top_k(lexical.bm25(table(spark, d, "documents"), q, "doc_id"), "doc_id", 12).join(F.broadcast(q.select("qid", "base")), "qid")
-    fused = ranked.groupBy("base", "doc_id").agg(F.sum(F.lit(1.0) / (60 + F.col("rank"))).alias("rrf"), F.count(F.lit(1)).alias("lists"))
-    order = Window.partitionBy("base").orderBy(F.round("rrf", 12).desc(), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(order)).filter("rank <= 12").select("base", "doc_id", "lists", F.round("rrf", 9).alias("rrf"), "rank")
+    """Variants of a question are searched each alone; their lists are fused, reranked once by the question itself, capped, cut, ordered."""
+    batch = questions(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    asked = variants(batch)
+    lists = hybrid(spark, d, 12, 30, asked).join(asked.select("qid", "base"), "qid").select(F.col("base").alias("qid"), "doc_id", "rank")
+    return retrieve.finish_many(lists, batch, docs, retrieve.Config()).select("qid", "doc_id", "rank", "position")
 
 
 @query("agentic_retrieve")
 def agentic_retrieve(spark, d):
-    """Rounds of retrieval that a model steers; here it is a stand-in that asks for the two rarest terms of the best hit."""
+    """Rounds of retrieval that a model steers; here it is a stand-in that asks for the two longest words of the best hit."""
     from docmill.operators.agent import agentic
 
-    return agentic(spark, table(spark, d, "documents"), questions(spark))
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return agentic(spark, questions(spark, d), docs, lambda q: smart(spark, d, retrieve.Config(), q))
 
 
 @query("chunk_fixed", f"WITH {CHUNKS} SELECT file_id, ord, md5(text) AS digest FROM chunks")
@@ -219,22 +301,23 @@ def chunk_recursive(spark, d):
     return recursive_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("get_chunks", f"""WITH {CHUNKS}, ids AS (SELECT file_id, ord, row_number() OVER (ORDER BY md5(CAST(file_id AS VARCHAR)), ord) AS rank FROM chunks WHERE file_id % 50 = 0), {FILES}
+@query("get_chunks", f"""WITH {CHUNKS}, ids AS (SELECT file_id, ord, row_number() OVER (PARTITION BY file_id ORDER BY md5(CAST(ord AS VARCHAR)), ord) AS rank FROM chunks WHERE file_id % 50 = 0), {FILES}
 SELECT i.rank, c.file_id, c.ord, f.path, length(c.text) AS n FROM ids i JOIN chunks c USING (file_id, ord) JOIN files f USING (file_id)""")
 def get_chunks(spark, d):
-    """Rows of ranked ids, in the order of the ids; unknown ids fall out."""
+    """Rows of ranked lists of ids, one list for each queried file, in the order of the list; unknown ids fall out."""
     c = chunks(spark, d)
-    ids = c.filter("file_id % 50 = 0").select("file_id", "ord").withColumn("rank", F.row_number().over(Window.orderBy(F.md5(F.col("file_id").cast("string").cast("binary")), "ord")).cast("long"))
+    order = Window.partitionBy("file_id").orderBy(F.md5(F.col("ord").cast("string").cast("binary")), "ord")
+    ids = c.filter("file_id % 50 = 0").select("file_id", "ord").withColumn("rank", F.row_number().over(order).cast("long"))
     return ids.join(c, ["file_id", "ord"]).join(files(spark, d), "file_id").select("rank", "file_id", "ord", "path", F.length("text").cast("long").alias("n"))
 
 
-@query("expand_neighbors", f"""WITH {CHUNKS}, h AS (SELECT file_id, ord FROM chunks WHERE file_id % 7 = 0)
+@query("expand_neighbors", f"""WITH {CHUNKS}, h AS (SELECT file_id, ord FROM chunks)
 SELECT h.file_id, h.ord, count(*) AS parts, md5(string_agg(c.text, chr(10) || chr(10) ORDER BY c.ord)) AS digest FROM h JOIN chunks c ON c.file_id = h.file_id AND c.ord BETWEEN h.ord - 1 AND h.ord + 1 GROUP BY ALL""")
 def expand_neighbors(spark, d):
     from docmill.operators.expand import neighbours
 
     c = chunks(spark, d)
-    return neighbours(c, 1).filter("file_id % 7 = 0").select("file_id", "ord", "parts", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return neighbours(c, 1).select("file_id", "ord", "parts", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("chunk_concat", f"WITH {CHUNKS} SELECT file_id, count(*) AS parts, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord)) AS digest FROM chunks GROUP BY file_id")
@@ -247,10 +330,8 @@ def chunk_concat(spark, d):
 @query("entity_boost", r"""WITH e AS (SELECT source, ['The', 'That', 'Und', 'Les', 'the', 'Zebra'] AS terms FROM documents GROUP BY source)
 SELECT doc_id, list_filter(['the', 'that', 'und', 'les', 'zebra'], lambda t: contains(lower(text), t)) AS found FROM documents JOIN e USING (source)""")
 def entity_boost(spark, d):
-    """Entity terms that the text holds, in lower case, once each, in order: what is added to its tokens."""
-    terms = F.array(*map(F.lit, ["The", "That", "Und", "Les", "the", "Zebra"]))
-    held = F.filter(terms, lambda t: F.contains(F.lower("text"), F.lower(t)))
-    return table(spark, d, "documents").select("doc_id", F.array_distinct(F.transform(held, lambda t: F.lower(t))).alias("found"))
+    """What is added to the tokens of a text."""
+    return table(spark, d, "documents").select("doc_id", boost(F.col("text")).alias("found"))
 
 
 @query("citations", RANKED + "SELECT h.qid, CAST(h.rank AS INTEGER) AS rank, d.source || '/' || h.doc_id AS path, substr(d.text, 1, 240) AS snippet FROM hy h JOIN documents d USING (doc_id) WHERE h.rank <= 8")

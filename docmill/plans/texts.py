@@ -18,13 +18,23 @@ def values(*rows: tuple) -> str:
 
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-NORM = STRIP.format(r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+SPACED = r"regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
-@query("normalize_text", f"SELECT doc_id, length({NORM}) AS n, md5({NORM}) AS digest FROM documents")
+def collapse_sql(of: str) -> str:
+    """SQL of tables up to k (doc_id, pos, s): the lines of ``of`` (doc_id, text), runs of equal short ones as one."""
+    return rf"""l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {of}),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l),
+y AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS v FROM x),
+z AS (SELECT *, sum(CASE WHEN v IS NOT DISTINCT FROM pv AND pos > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY pos) AS pv FROM y)),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS i FROM z),
+k AS (SELECT doc_id, pos, CASE WHEN v <> '' AND length(v) <= 12 AND n >= 6 THEN CASE WHEN i = 1 THEN regexp_extract(line, '^\s*') || v || ' (×' || n || ')' END ELSE line END AS s FROM g)"""
+
+
+@query("normalize_text", f"WITH spaced AS (SELECT doc_id, {SPACED} AS text FROM documents), {collapse_sql('spaced')}, j AS (SELECT doc_id, {STRIP.format('string_agg(s, chr(10) ORDER BY pos)')} AS t FROM k GROUP BY doc_id) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM j")
 def normalize_text(spark, d):
-    n = tx.normalised(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(n).cast("long").alias("n"), F.md5(n.cast("binary")).alias("digest"))
+    n = table(spark, d, "documents").select("doc_id", tx.normalised(F.col("text")).alias("n"))
+    return n.select("doc_id", F.length("n").cast("long").alias("n"), F.md5(F.col("n").cast("binary")).alias("digest"))
 
 
 @query("tokenize", r"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]*'), lambda x: lower(x)), ' ')) AS digest, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]*')) AS n FROM documents")
@@ -68,13 +78,7 @@ def is_list_query(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.is_list_query(F.col("text")).alias("is_list"))
 
 
-@query("collapse_table_runs", r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, ' ', chr(10), 'g'), chr(10)) AS ls FROM documents),
-x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l),
-y AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS v FROM x),
-z AS (SELECT *, sum(CASE WHEN v IS NOT DISTINCT FROM pv AND pos > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY pos) AS pv FROM y)),
-g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS i FROM z),
-k AS (SELECT doc_id, pos, CASE WHEN v <> '' AND length(v) <= 12 AND n >= 6 THEN CASE WHEN i = 1 THEN regexp_extract(line, '^\s*') || v || ' (×' || n || ')' END ELSE line END AS s FROM g)
-SELECT doc_id, count(s) AS lines, md5(string_agg(s, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY doc_id""")
+@query("collapse_table_runs", f"WITH laid AS (SELECT doc_id, regexp_replace(text, ' ', chr(10), 'g') AS text FROM documents), {collapse_sql('laid')} SELECT doc_id, count(s) AS lines, md5(string_agg(s, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY doc_id")
 def collapse_table_runs(spark, d):
     from docmill.operators.lines import collapse_runs
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docmill.scratch import folder
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "docmill-checkpoints")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return folder(spark, "stream")
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:

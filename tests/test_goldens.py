@@ -106,8 +106,8 @@ def test_query_repeats_count_twice(spark):
 
 def test_vector_width(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "id int, embedding array<double>")
-    with pytest.raises(ValueError):
-        vectors.vector_scores(v, spark.createDataFrame([(1, [1.0])], "qid int, qvec array<double>"), "id").count()
+    with pytest.raises(Exception, match="differ in width"):
+        vectors.top_k(v, spark.createDataFrame([(1, [1.0])], "qid int, qvec array<double>"), "id", 3).count()
 
 
 def test_upsert(spark):
