@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import device_name
 
+from .prefix import running
+
 
 def nearest_spec(probes: DataFrame, catalog: DataFrame) -> DataFrame:
     """probes (id, name, vram) with the catalogue row (pos, name, aliases, vram_gb) whose name or alias is theirs, the one
@@ -28,9 +30,8 @@ def assignment_for(wanted: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def stratified(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
     """``count`` rows of each group: two at the head, two at the tail, the rest at even steps between; small groups whole,
-    and fewer than four rows spread evenly."""
-    w = Window.partitionBy(by)
-    r = df.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    and fewer than four rows spread evenly. ``order`` is a whole number that is unique in a group."""
+    r = running(df, by, order, place="1L").withColumn("i", F.col("place") - 1).withColumnRenamed("place_all", "n").drop("place")
     if count < 4:
         wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.floor(k * F.col("n") / F.lit(float(count))))
         return r.filter((F.col("n") <= count) | F.array_contains(wanted, F.col("i").cast("long"))).drop("i", "n")

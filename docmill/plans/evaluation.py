@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docmill.operators.prefix import running
 from docmill.operators import evaluation as ev
 from docmill.sources.tables import table
 
@@ -174,9 +175,9 @@ def strategy_summary(spark, d):
 
 @query("failure_cutoff", CELLS + ", f AS (SELECT model, doc_id, err, coalesce(sum(CASE WHEN err <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cells) SELECT model, doc_id, CASE WHEN before >= 2 THEN 'skipped' WHEN err <> '' THEN 'failed' ELSE 'done' END AS state FROM f")
 def failure_cutoff(spark, d):
-    w = Window.partitionBy("model").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("err") != "", 1).otherwise(0)).over(w), F.lit(0))
-    return cells(spark, d).select("model", "doc_id", F.when(before >= 2, "skipped").when(F.col("err") != "", "failed").otherwise("done").alias("state"))
+    r = running(cells(spark, d).select("model", "doc_id", "err"), "model", "doc_id", failed="CAST(err <> '' AS INT)")
+    before = F.col("failed") - F.when(F.col("err") != "", 1).otherwise(0)
+    return r.select("model", "doc_id", F.when(before >= 2, "skipped").when(F.col("err") != "", "failed").otherwise("done").alias("state"))
 
 
 @query("tok_rate", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey % 5, 0), 6) AS rate FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.operators import expand, ingest
+from docmill.operators.prefix import running
 from docmill.sources.tables import chunks, files, table
 
 from .registry import CHUNKS, FILES, query
@@ -88,16 +89,13 @@ def bundle_manifest(spark, d):
 
 @query("running_byte_cap", "SELECT source, doc_id, CAST(run AS BIGINT) AS run FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) WHERE run <= 20000")
 def running_byte_cap(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("run")).filter("run <= 20000")
+    return running(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", run="n_chars").filter("run <= 20000").select("source", "doc_id", "run")
 
 
 @query("ingest_progress", "WITH r AS (SELECT source, doc_id, sum(n_chars) OVER w AS live, sum(n_chars) OVER (PARTITION BY source) AS total, row_number() OVER w AS secs FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, round(live / secs::DOUBLE, 6) AS rate, round((total - live) / nullif(live / secs::DOUBLE, 0), 6) AS eta, round(100e0 * live / total, 4) AS pct FROM r")
 def ingest_progress(spark, d):
     """Bytes a second so far, seconds left and percent done, a document a second."""
-    whole = Window.partitionBy("source")
-    w = whole.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = table(spark, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("live"), F.sum("n_chars").over(whole).alias("total"), F.count(F.lit(1)).over(w).alias("secs"))
+    r = running(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", live="n_chars", secs="1L").withColumnRenamed("live_all", "total")
     rate = F.col("live") / F.col("secs")
     return r.select("source", "doc_id", F.round(rate, 6).alias("rate"), F.round(F.try_divide(F.col("total") - F.col("live"), rate), 6).alias("eta"), F.round(F.lit(100.0) * F.col("live") / F.col("total"), 4).alias("pct"))
 
