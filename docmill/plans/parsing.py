@@ -25,11 +25,6 @@ def parse_csv_linearize(spark, d):
     return rows.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-@query("html_card_extract", r"SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p')) AS paragraphs FROM pages")
-def html_card_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_count("html", F.lit("<p")).cast("long").alias("paragraphs"))
-
-
 @query("ocr_join_lines", "SELECT l_orderkey, string_agg(l_returnflag || l_partkey, chr(10) ORDER BY round_even(l_quantity / 12, 0), l_extendedprice, l_linenumber) AS text FROM lineitem GROUP BY l_orderkey")
 def ocr_join_lines(spark, d):
     """Boxes of a page in reading order: by line (height over 12, rounded half to even), then from the left."""
