@@ -195,20 +195,23 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     listed = stash(disclosing_terms(docs, id_col, text_col), "disclosing-terms")
     n_terms = listed.count()
     if n_terms <= LITERAL_TERMS:
-        bits = _listed([(r["term"], r["bits"]) for r in listed.orderBy("term").collect()])
+        found = [(r["term"], r["bits"]) for r in listed.orderBy("term").collect()]
+        bits = _listed(found)
         based = with_base(docs, id_col, text_col)
         if not n_terms:
             return based.withColumn("terms", F.expr(f"cast(array() AS {TERMS_TYPE})"))
+        # Most texts hold no such term, which one look at all their words tells: positions are for the others.
+        any_term = F.arrays_overlap(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.from_json(F.lit(json.dumps([t for t, _ in found])), "array<string>"))
     else:
         row, t_id = "row", "id"
         numbered = docs.select(F.col(id_col).alias(t_id), text_of(text_col).alias("text")).withColumn(row, F.xxhash64(t_id, "text"))
         words = numbered.select(row, F.explode(_words(F.col("text"))).alias("term"))
         held = words.join(F.broadcast(listed) if n_terms <= BROADCAST_TERMS else listed, "term").groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct("term", "bits"))).alias("held"))
         based = with_base(numbered.join(held, row, "left"), t_id, "text", "held")
-        bits = lambda v: F.element_at(F.col("held"), v)
+        bits, any_term = (lambda v: F.element_at(F.col("held"), v)), F.col("held").isNotNull()
     located = _located(F.col("text"), TERM, lambda v: bits(v).isNotNull())
     matches = F.transform(located, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), bits(m["value"]).alias("bits")))
-    return based.select("doc_id", "text", *KINDS, F.coalesce(matches, F.expr(f"cast(array() AS {TERMS_TYPE})")).alias("terms"))
+    return based.select("doc_id", "text", *KINDS, F.coalesce(F.when(any_term, matches), F.expr(f"cast(array() AS {TERMS_TYPE})")).alias("terms"))
 
 
 def _spans(kind: str, col: str) -> Column:
