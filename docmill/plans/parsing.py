@@ -17,14 +17,6 @@ def parse_html(spark, d):
     return table(spark, d, "pages").select("page_id", "url", html_to_text("html").alias("text"))
 
 
-@query("parse_csv_linearize", "SELECT n_regionkey, string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
-def parse_csv_linearize(spark, d):
-    """Rows as cells joined by bars, a group as one text."""
-    line = F.concat_ws(" | ", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
-    rows = table(spark, d, "nation").select("n_regionkey", "n_nationkey", line.alias("line"))
-    return rows.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
-
-
 @query("ocr_join_lines", "SELECT l_orderkey, string_agg(l_returnflag || l_partkey, chr(10) ORDER BY round_even(l_quantity / 12, 0), l_extendedprice, l_linenumber) AS text FROM lineitem GROUP BY l_orderkey")
 def ocr_join_lines(spark, d):
     """Boxes of a page in reading order: by line (height over 12, rounded half to even), then from the left."""

@@ -1 +1,166 @@
-"""Queries over services."""
+"""Queries over files and services: walking a corpus, parsers, archives, reports, sidecars, caches, progress, answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docmill.operators import services, sidecars
+from docmill.scratch import folder
+from docmill.sources import parsers
+from docmill.sources.tables import table
+
+from .registry import query
+from .retrieval import RANKED, hybrid, questions
+from .texts import SPACED, STRIP, collapse_sql, values
+
+
+@query("corpus_walk", "SELECT source, bool_or(length(text) > 0) AS found, true AS fine FROM documents GROUP BY source")
+def corpus_walk(spark, d):
+    """Texts written as files in folders of their own beside files that no parser takes; the folder is walked and parsed."""
+    path = folder(spark, "corpus")
+    docs = table(spark, d, "documents")
+    docs.select(F.concat(F.lit("s-"), "source").alias("part"), "text").write.partitionBy("part").text(path)
+    docs.select("doc_id").limit(1).write.json(f"{path}/part=s-other")
+    found = parsers.parsed(parsers.corpus(spark, path))
+    name = F.regexp_extract("path", "/part=s-([^/]+)/", 1)
+    return found.groupBy(F.url_decode(name).alias("source")).agg(F.bool_or(F.length("text") > 0).alias("found"), F.bool_and(F.col("error").isNull()).alias("fine"))
+
+
+@query("parse_text", f"WITH spaced AS (SELECT doc_id, {SPACED} AS text FROM documents), {collapse_sql('spaced')}, j AS (SELECT doc_id, {STRIP.format('string_agg(s, chr(10) ORDER BY pos)')} AS t FROM k GROUP BY doc_id) SELECT doc_id, 1 AS sections, length(t) AS n, md5(t) AS digest FROM j")
+def parse_text(spark, d):
+    """The text parser over the bytes of the documents, every third in Latin-1 where its letters allow."""
+    t = table(spark, d, "documents")
+    narrow = (F.col("doc_id") % 3 == 0) & ~F.regexp_like("text", F.lit(r"[^\x00-\xFF]"))
+    raw = F.when(narrow, F.encode(F.when(narrow, F.col("text")).otherwise(""), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    files = t.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(".md").alias("suffix"), raw.alias("content"))
+    one = parsers.parsed(files).select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "text")
+    return one.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("sections"), F.max(F.length("text")).cast("long").alias("n"), F.max(F.md5(F.col("text").cast("binary"))).alias("digest"))
+
+
+@query("parse_csv_linearize", "SELECT n_regionkey, string_agg(n_nationkey || ' | ' || n_name || ', \"x\" | ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def parse_csv_linearize(spark, d):
+    """The CSV parser over files of rows with quoted cells: cells joined by bars, one line a row."""
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit(', ""x"""')), F.col("n_regionkey").cast("string"))
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\r\n").alias("raw"))
+    files = rows.select(F.concat(F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.lit(".csv").alias("suffix"), F.encode("raw", "UTF-8").alias("content"))
+    return parsers.parsed(files).select(F.split("path", r"\.")[0].cast("int").alias("n_regionkey"), "text")
+
+
+@query("parse_mail", "SELECT conv_id, 'Subject: Conversation ' || conv_id || chr(10) || 'From: a@example.org' || chr(10) || 'To: ' AS head, count(*) AS n FROM conversations GROUP BY conv_id")
+def parse_mail(spark, d):
+    """The mail parser: three header lines, present or not, then the body."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), "\n")
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(body.alias("body"))
+    raw = F.concat(F.lit("Subject: Conversation "), F.col("conv_id").cast("string"), F.lit("\r\nFrom: a@example.org\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "body")
+    files = c.select(F.concat(F.col("conv_id").cast("string"), F.lit(".eml")).alias("path"), F.lit(".eml").alias("suffix"), F.encode(raw, "UTF-8").alias("content"))
+    text = F.split("text", "\n\n", 2)
+    out = parsers.parsed(files).select(F.split("path", r"\.")[0].cast("long").alias("conv_id"), text[0].alias("head"), F.size(F.split(F.trim(text[1]), "\n")).cast("long").alias("n"))
+    return out
+
+
+@query("workspace_archive", "SELECT * FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier)")
+def workspace_archive(spark, d):
+    """Tables of a workspace exported to a folder with a manifest, which is checked on import."""
+    path = folder(spark, "archive")
+    services.export({n: table(spark, d, n) for n in ("nation", "region", "supplier")}, path)
+    return services.manifest(spark, path).select("name", "n")
+
+
+@query("report_checkpoints", "SELECT (n - 1) // 25 AS batch, count(*) AS cells, CAST(sum(doc_id) AS BIGINT) AS total FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL")
+def report_checkpoints(spark, d):
+    """Cells of a run written as JSON, 25 at a time; a rerun of a batch replaces its file."""
+    path = folder(spark, "report")
+    cells = table(spark, d, "documents").filter("doc_id % 50 = 0").select("doc_id", "source")
+    for _ in range(2):
+        services.checkpoint(cells, "doc_id", 25, path)
+    return spark.read.schema("doc_id long, source string, batch long").json(path).groupBy("batch").agg(F.count(F.lit(1)).alias("cells"), F.sum("doc_id").alias("total"))
+
+
+PATHS = ((1, "docs/a.pdf"), (2, "docs\\b\\c.pdf"), (3, "docs/../../etc/passwd"), (4, "x/../y.txt"), (5, "/etc/passwd"), (6, ""), (7, "  z.md "), (8, "a/../../b"), (9, ".."))
+
+
+@query("path_guard", "SELECT * FROM (" + values((1, "a.pdf"), (2, "b/c.pdf"), (3, None), (4, "y.txt"), (5, None), (6, None), (7, "z.md"), (8, None), (9, None)) + ") AS t(id, inside)")
+def path_guard(spark, d):
+    """Paths of citations as paths under the folder of sources; those that would leave it are missing."""
+    return spark.createDataFrame(PATHS, "id int, path string").select("id", services.inside(F.col("path")).alias("inside"))
+
+
+@query("workspaces_by_mtime", "SELECT user_id AS workspace, max(ts) AS changed, CAST(row_number() OVER (ORDER BY max(ts) DESC, user_id) AS INTEGER) AS place FROM events GROUP BY user_id QUALIFY place <= 20")
+def workspaces_by_mtime(spark, d):
+    """The twenty workspaces that changed last, newest first."""
+    w = table(spark, d, "events").groupBy(F.col("user_id").alias("workspace")).agg(F.max("ts").alias("changed"))
+    top = w.orderBy(F.desc("changed"), "workspace").limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("changed"), "workspace")))
+
+
+QUOTED = r"""CASE WHEN contains(v, '''') THEN '"' || replace(replace(v, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' ELSE '''' || v || '''' END"""
+
+
+@query("toml_quote", f"SELECT page_id, {QUOTED} AS quoted FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '''s \"' || chr(92) ELSE '\"' || chr(92) END AS v FROM pages)")
+def toml_quote(spark, d):
+    v = F.concat("url", F.when(F.col("page_id") % 3 == 0, "'s \"\\").otherwise('"\\'))
+    return table(spark, d, "pages").select("page_id", sidecars.quoted(v).alias("quoted"))
+
+
+@query("sidecar_toml", "SELECT doc_id, 'Title ''' || lang || ''' ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'global' WHEN 1 THEN 'topic-aware' ELSE 'file-only' END AS scope, lang || ',' || source AS topics, doc_id % 7 = 0 AS broken FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, '', 'topic-aware', '', true FROM documents WHERE doc_id % 7 = 0")
+def sidecar_toml(spark, d):
+    """Sidecars written as TOML and read back; a broken file gives the defaults."""
+    t = table(spark, d, "documents")
+    scope = F.when(F.col("doc_id") % 3 == 0, "global").when(F.col("doc_id") % 3 == 1, "topic-aware").otherwise("file-only")
+    written = t.select("doc_id", sidecars.rendered(F.concat(F.lit("Title '"), "lang", F.lit("' "), F.col("doc_id").cast("string")), scope, F.array("lang", "source")).alias("toml"))
+    broken = written.withColumn("toml", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("= ["), "toml")).otherwise(F.col("toml")))
+    return sidecars.read(broken, "doc_id", "toml").select("doc_id", "title", "scope", F.array_join("topics", ",").alias("topics"), "broken")
+
+
+@query("progress_throttle")
+def progress_throttle(spark, d):
+    """Progress events of each file at most every ten seconds, and always the last: sequential for each file."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros("ts").alias("at"))
+    return services.throttled(e, "user_id", "at", "event_id", 10_000_000)
+
+
+@query("ttl_cache")
+def ttl_cache(spark, d):
+    """Look-ups by key against a cache whose entries live four hours: whether each is a hit."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros("ts").alias("at"))
+    return services.cached(e, "key", "at", "event_id", 4 * 3600 * 1_000_000)
+
+
+@query("telemetry_snapshot", "SELECT event_type AS device, date_trunc('minute', ts) AS at, arg_max(round(value, 4), [epoch_us(ts), event_id]) AS value, count(*) AS samples FROM events GROUP BY ALL")
+def telemetry_snapshot(spark, d):
+    """The last sample of each device in every minute, from lines of a sampler."""
+    lines = table(spark, d, "events").select("event_id", F.concat_ws(",", "event_type", F.unix_micros("ts").cast("string"), F.round("value", 4).cast("string")).alias("line"))
+    c = F.split("line", ",")
+    s = lines.select("event_id", c[0].alias("device"), F.timestamp_micros(c[1].cast("long")).alias("ts"), c[2].cast("double").alias("value"))
+    return s.groupBy("device", F.date_trunc("minute", "ts").alias("at")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count(F.lit(1)).alias("samples"))
+
+
+@query("answer_messages", RANKED + """, c AS (SELECT h.qid, string_agg('[' || h.rank || '] (' || d.source || ' p.' || (h.rank + 1) || ')' || chr(10) || d.text, chr(10) || chr(10) ORDER BY h.rank) AS context FROM hy h JOIN documents d USING (doc_id) WHERE h.rank <= 8 GROUP BY h.qid)
+SELECT q.qid, CASE WHEN c.context IS NULL OR q.qid % 2 = 1 THEN 'plain' WHEN q.qid % 4 = 2 THEN 'list' ELSE 'sources' END AS system, md5('Question: ' || CASE WHEN q.qid % 4 = 2 THEN 'list ' ELSE '' END || q.question || CASE WHEN c.context IS NULL OR q.qid % 2 = 1 THEN '' ELSE chr(10) || chr(10) || 'Context:' || chr(10) || c.context END) AS digest
+FROM q LEFT JOIN c USING (qid)""")
+def answer_messages(spark, d):
+    """What a model is sent for each question: a system prompt for sources, lists or no sources, and the question with its context."""
+    from docmill.operators.prompts import context_block
+
+    batch = questions(spark, d).withColumn("question", F.concat(F.when(F.col("qid") % 4 == 2, "list ").otherwise(""), "question"))
+    hits = hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").filter("qid % 2 = 0")
+    context = context_block(hits.withColumn("page", F.col("rank") + 1), "source")
+    return services.messages(batch, context).select("qid", "system", F.md5(F.col("user").cast("binary")).alias("digest"))
+
+
+@query("chat_messages", """WITH n AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS latest FROM conversations)
+SELECT conv_id, count(*) + 1 AS messages, md5('system: plain' || chr(10) || string_agg(CASE WHEN turn = latest THEN 'user: Question: ' || text ELSE role || ': ' || text END, chr(10) ORDER BY turn)) AS digest FROM n WHERE role <> 'system' AND turn <= latest GROUP BY conv_id""")
+def chat_messages(spark, d):
+    """Chats as lists of messages: a system prompt, the history in order, the latest question last."""
+    c = table(spark, d, "conversations").filter("role <> 'system'")
+    return services.chat(c).select("conv_id", F.size("messages").cast("long").alias("messages"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").cast("binary")).alias("digest"))
+
+
+@query("merged_modifiers")
+def merged_modifiers(spark, d):
+    """Modifiers of the files of a question's hits, merged in rank order by scope. A fold with a search inside, so without SQL."""
+    hits = hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(questions(spark, d), "qid")
+    scope = F.when(F.col("doc_id") % 3 == 0, "global").when(F.col("doc_id") % 3 == 1, "topic-aware").otherwise("file-only")
+    meta = hits.select("qid", "rank", F.col("source").alias("path"), "question", scope.alias("scope"), F.array(F.lit("the"), F.lit("de")).alias("topics"), F.concat(F.lit("In "), "lang").alias("prefix"), F.lit("briefly").alias("suffix"), F.array("lang", F.upper("lang"), "source").alias("negatives"))
+    return sidecars.merged(meta, "Answer:", "", ["none"])

@@ -43,11 +43,6 @@ def tokenize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(t, " ").cast("binary")).alias("digest"), F.size(t).cast("long").alias("n"))
 
 
-@query("parse_text", "SELECT doc_id, 1 AS sections, length(text) AS n FROM documents WHERE length(text) > 0")
-def parse_text(spark, d):
-    return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.lit(1).alias("sections"), F.length("text").cast("long").alias("n"))
-
-
 @query("ws_collapse", r"SELECT doc_id, md5(regexp_replace(text, '\s+', ' ', 'g')) AS digest FROM documents")
 def ws_collapse(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", r"\s+", " ").cast("binary")).alias("digest"))

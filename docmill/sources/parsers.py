@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.text import normalised
+
 Section = tuple[int | None, str, str]
 PARSERS: dict[str, Callable[[bytes], list[Section]]] = {}
 SCHEMA = "path string, page int, section string, text string, error string"
@@ -108,18 +110,19 @@ def book(raw: bytes) -> list[Section]:
 @register(".eml")
 def mail(raw: bytes) -> list[Section]:
     m = email.message_from_bytes(raw, policy=email.policy.default)
-    head = "\n".join(f"{k}: {m[k]}" for k in ("Subject", "From", "To") if m[k])
+    head = "\n".join(f"{k}: {m[k] or ''}" for k in ("Subject", "From", "To"))
     body: list[str] = []
     for part in m.walk():
         if part.get_content_type() == "text/plain":
             body.append(part.get_content())
         elif part.get_content_type() == "text/html" and not body:
             body.append(html_text(part.get_content()))
-    return [(None, "", "\n\n".join([head, *body]).strip())]
+    return [(None, "", "\n\n".join([head, *body]))]
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 @register(".docx")
@@ -148,9 +151,15 @@ def sheets(raw: bytes) -> list[Section]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = z.namelist()
         shared = [("".join(t.text or "" for t in s.iter(f"{_S}t"))) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+        listed = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"))
         files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        for title, name in zip(titles, files, strict=False):
+        if "xl/_rels/workbook.xml.rels" in names:  # a sheet's file is named by its relationship
+            target = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            paths = [target.get(s.get(_ID), "") for s in listed]
+            files = [x.lstrip("/") if x.startswith("/") else f"xl/{x}" for x in paths]
+        for title, name in zip((s.get("name") for s in listed), files, strict=False):
+            if name not in names:
+                continue
             rows = []
             for row in ElementTree.fromstring(z.read(name)).iter(f"{_S}row"):
                 cells = []
@@ -165,15 +174,48 @@ def sheets(raw: bytes) -> list[Section]:
     return out
 
 
+#: Suffixes of pictures.
+PICTURES = (".png", ".jpg", ".jpeg", ".webp", ".tiff", ".tif", ".bmp")
+
+
+def recognise_pictures(recogniser: Callable[[bytes], str]) -> None:
+    """Make a text recogniser the parser of pictures; a picture without text gives no section."""
+
+    def read(raw: bytes) -> list[Section]:
+        text = recogniser(raw)
+        return [(None, "", text)] if text and text.strip() else []
+
+    register(*PICTURES)(read)
+
+
+def page_rows(files: DataFrame, extract: Callable[[bytes], list[tuple[str, str]]]) -> DataFrame:
+    """file_id, page, text, ocr of files (file_id, content) whose pages ``extract`` reads: the text layer and what recognition found, for
+    each page. Which of the two is used is for ``passes.recovered`` to say. A file that can't be read gives no page."""
+    kind = dict(files.dtypes)["file_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, content in zip(batch["file_id"], batch["content"], strict=True):
+                try:
+                    found = extract(bytes(content))
+                except Exception:  # as with parsers: one bad file must not end the job
+                    found = []
+                rows += [(key, n, layer, seen) for n, (layer, seen) in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["file_id", "page", "text", "ocr"])
+
+    return files.select("file_id", "content").mapInPandas(run, f"file_id {kind}, page int, text string, ocr string")
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """path, suffix, content of the files under a folder that some parser takes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return files.withColumn("suffix", suffix).filter(F.col("suffix").isin(*PARSERS)).select("path", "suffix", "content")
+    wanted = "*.{" + ",".join(sorted({c for s in PARSERS for c in (s[1:], s[1:].upper())})) + "}"  # files are chosen by name before any is read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", wanted).load(folder)
+    return files.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), "content")
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """One row per section of the files; a failing file gives one row with its error."""
+    """One row per section of the files, its text normalised; a failing file gives one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,7 +227,7 @@ def parsed(files: DataFrame) -> DataFrame:
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "page", "section", "text", "error"]).astype({"page": "Int32"})
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInPandas(run, SCHEMA).withColumn("text", normalised(F.col("text")))
 
 
 @F.pandas_udf(T.StringType())

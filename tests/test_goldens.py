@@ -142,8 +142,15 @@ def test_parsers(spark, tmp_path):
     sheet = f'<worksheet xmlns="{s}"><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row><row><c/></row></sheetData></worksheet>'
     book = _zip(**{"xl/workbook.xml": f'<workbook xmlns="{s}"><sheets><sheet name="S"/></sheets></workbook>', "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>x</t></si></sst>', "xl/worksheets/sheet1.xml": sheet})
     assert parsers.sheets(book) == [(None, "S", "x | 5")]
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    named = _zip(**{
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="A" r:id="i2"/><sheet name="B" r:id="i1"/></sheets></workbook>', "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>x</t></si></sst>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i1" Target="worksheets/sheet1.xml"/><Relationship Id="i2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": sheet.replace("<v>5</v>", "<v>6</v>"),
+    })
+    assert parsers.sheets(named) == [(None, "A", "x | 6"), (None, "B", "x | 5")]
     assert parsers.book(_zip(**{"b.xhtml": "<p>two</p>", "a.html": "<nav>n</nav><p>one</p>", "c.css": "x"})) == [(None, "a.html", "one"), (None, "b.xhtml", "two")]
-    assert parsers.mail(b"Subject: hi\nFrom: a@b.c\nContent-Type: text/plain\n\nbody\n") == [(None, "", "Subject: hi\nFrom: a@b.c\n\nbody")]
+    assert parsers.mail(b"Subject: hi\nFrom: a@b.c\nContent-Type: text/plain\n\nbody\n") == [(None, "", "Subject: hi\nFrom: a@b.c\nTo: \n\nbody\n")]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.md").write_bytes("é".encode("latin-1"))
     (tmp_path / "in/b.docx").write_bytes(b"not a zip")
