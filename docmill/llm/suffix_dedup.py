@@ -8,17 +8,19 @@ that are left get names of longer strings until they are unique or the length is
 * Round 1, ``GRAM`` bytes, at sampled positions: each window of ``length`` bytes elects the position of its least gram name
   (rightmost on ties). Equal windows elect equal grams at equal places, so a window can be repeated only if the name of
   its elected gram is. Consecutive windows with one elected position form a run, about one run for 68 bytes.
-* Round 2, the whole stretch of a run (``length`` to about ``2 * length`` bytes): runs whose name pair (gram, stretch) is repeated
+* Round 2, the whole stretch of a run (``length`` to about ``2 * length`` bytes): runs whose pair of names (gram, stretch) is repeated
   are repeated as a whole. What is left are runs that share their gram but not their stretch.
 * Round 3, ``length`` bytes, at every position of such runs, and of one run for each distinct stretch they could match.
 
-Rounds 1 and 2 need one shuffle together, for the pair of names is sent at once. Names travel packed: a bucket of
-whole texts (about ``BUCKET`` bytes, by hash) sends one array of names to each part of the name space, and gets back one code
-or bit for each name in the same order, so positions never travel. Texts are shuffled to their buckets once, and Spark
-reuses that exchange in all three passes. A passage that a third of all texts share adds equal names, which stay
-spread by value over parts, and edge windows, which are distinct; no group of rows is gathered by a common key.
+Names of a length are made of the names of two shorter strings, as ranks are. They travel packed: a bucket of whole texts
+(about ``BUCKET`` bytes, by hash) sends an array of names to each part of the name space, and gets back one code or bit for each name
+in the same order, so positions never travel. A bucket sends a gram and a pair once, however often it holds them: grams go to
+parts by gram, pairs by gram and stretch. So a passage that a third of all texts share is one name for each bucket, and the pairs
+at its edges, which differ from text to text, are dealt to all parts; no group of rows is gathered by a common gram. Texts are
+shuffled to their buckets once, and Spark reuses that exchange in all three passes.
 
-Names are 64-bit fingerprints: among n different strings that are compared, two share a name with a chance of n^2 / 2^65.
+Names are 64-bit fingerprints under a key: among n different strings that are compared, two share a name with a chance of n^2 / 2^65; runs
+are compared by two of them.
 
 Defined cases: a null or empty text has no bytes and one digest; texts under ``length`` bytes keep all; repeated rows are texts of their
 own and so repeat each other; an empty table gives an empty result; other columns are ignored.
@@ -39,11 +41,13 @@ from .shared import text_of
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a bucket, and bytes of text whose names meet in one part.
 BUCKET, PART = 4 << 20, 48 << 20
-NAMES = "part int, bucket long, names binary"
+NAMES = "round int, part int, bucket long, names binary"
 REPLY = "bucket long, round int, part int, codes binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 UNIQUE, REPEATED, REPEATED_SENDS, OPEN_SENDS = 0, 1, 2, 3
+#: Messages and their answers: grams, pairs of gram and stretch, windows.
+GRAMS, PAIRS, WINDOWS = 1, 2, 3
 
 
 def elected(names: np.ndarray, width: int) -> np.ndarray:
@@ -99,51 +103,99 @@ def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return table.column("doc_id").combine_chunks(), data, offs
 
 
-def _sent(bucket: int, part: np.ndarray, names: list[np.ndarray]) -> pa.Table:
+def _sent(round_: int, bucket: int, part: np.ndarray, names: list[np.ndarray]) -> pa.Table:
     """One row of names for each part; several arrays of names are laid one after the other."""
     order = np.argsort(part, kind="stable")
     parts, begin = np.unique(part[order], return_index=True)
     ends = np.append(begin, len(order))[1:]
     names = [x[order] for x in names]
     packed = [b"".join(x[i:j].tobytes() for x in names) for i, j in zip(begin, ends, strict=True)]
-    return pa.table({"part": pa.array(parts, pa.int32()), "bucket": pa.array([bucket] * len(parts), pa.int64()), "names": pa.array(packed, pa.binary())})
+    n = len(parts)
+    return pa.table({"round": pa.array([round_] * n, pa.int32()), "part": pa.array(parts, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "names": pa.array(packed, pa.binary())})
 
 
 def _part(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
 
 
-def judge_runs(key: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """A code for each run from the names of its gram and of its stretch."""
+def _new(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.ones(len(sorted_[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
+    return out
+
+
+class Runs:
+    """The runs of a bucket by distinct gram and by distinct pair of gram and stretch."""
+
+    def __init__(self, key: np.ndarray, stretch: np.ndarray, parts: int):
+        order = np.lexsort((stretch, key))
+        k, s = key[order], stretch[order]
+        new_key, new_pair = _new(k), _new(k, s)
+        n_key, n_pair = np.cumsum(new_key) - 1, np.cumsum(new_pair) - 1
+        self.gram_of, self.pair_of, self.first = (np.empty(len(k), x) for x in (np.int64, np.int64, bool))
+        self.gram_of[order], self.pair_of[order], self.first[order] = n_key, n_pair, new_pair
+        self.grams, self.pair_key, self.pair_stretch = k[new_key], k[new_pair], s[new_pair]
+        # The only stretch of a gram here, or 0 for several; what a part has to know beside is whether there are several runs.
+        several = np.bincount(n_key[new_pair], minlength=len(self.grams)) > 1
+        self.only = np.where(several, np.uint64(0), s[new_key])
+        self.often = (np.bincount(n_key, minlength=len(self.grams)) > 1).astype(np.uint64)
+        self.twice = (np.bincount(n_pair, minlength=len(self.pair_key)) > 1).astype(np.uint64)
+        self.gram_part = _part(self.grams, parts)
+        self.pair_part = _part(tb.mixed(self.pair_key + self.pair_stretch), parts)
+
+    def messages(self, bucket: int) -> pa.Table:
+        """A flag goes in the lowest bit of a name, which loses nothing that a comparison of 63 bits, and of another name, would miss."""
+        grams = _sent(GRAMS, bucket, self.gram_part, [(self.grams << np.uint64(1)) | self.often, self.only])
+        pairs = _sent(PAIRS, bucket, self.pair_part, [(self.pair_key << np.uint64(1)) | self.twice, self.pair_stretch])
+        return pa.concat_tables([grams, pairs])
+
+    def codes(self, reply: pa.Table) -> np.ndarray:
+        """A code for each run."""
+        gram, pair = _answers(reply, GRAMS, self.gram_part)[self.gram_of], _answers(reply, PAIRS, self.pair_part)[self.pair_of]
+        repeated = np.where((gram == 2) & (pair == 2) & self.first, REPEATED_SENDS, REPEATED)
+        return np.where(gram == 0, UNIQUE, np.where(pair > 0, repeated, OPEN_SENDS)).astype(np.uint8)
+
+
+def judge_grams(tagged: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """For grams of all buckets: 0 for one that a single run has, 1 for one with a single stretch, 2 for one with several."""
+    key, often = tagged >> np.uint64(1), (tagged & np.uint64(1)).astype(bool)
+    order = np.lexsort((only, key))
+    k, s = key[order], only[order]
+    no = np.cumsum(_new(k)) - 1
+    runs = np.bincount(no, 1 + often[order])
+    several = (np.bincount(no, _new(k, s)) > 1) | (np.bincount(no, s == 0) > 0)
+    out = np.empty(len(k), np.uint8)
+    out[order] = np.where(runs == 1, 0, np.where(several, 2, 1))[no]
+    return out
+
+
+def judge_pairs(tagged: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """For pairs of all buckets: 0 for one that a single run has, else 1, and 2 in the first bucket that holds it."""
+    key, twice = tagged >> np.uint64(1), (tagged & np.uint64(1)).astype(bool)
     order = np.lexsort((stretch, key))
-    k, s = key[order], stretch[order]
-    new_key = np.ones(len(k), bool)
-    new_key[1:] = k[1:] != k[:-1]
-    new_pair = new_key.copy()
-    new_pair[1:] |= s[1:] != s[:-1]
-    key_no, pair_no = np.cumsum(new_key) - 1, np.cumsum(new_pair) - 1
-    in_key = np.bincount(key_no)[key_no]
-    in_pair = np.bincount(pair_no)[pair_no]
-    pairs = np.bincount(key_no, new_pair)[key_no]
-    code = np.where(in_pair >= 2, np.where(new_pair & (pairs > 1), REPEATED_SENDS, REPEATED), OPEN_SENDS)
-    code[in_key == 1] = UNIQUE
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
+    new = _new(key[order], stretch[order])
+    no = np.cumsum(new) - 1
+    runs = np.bincount(no, 1 + twice[order])
+    out = np.empty(len(key), np.uint8)
+    out[order] = np.where(runs[no] == 1, 0, np.where(new, 2, 1))
     return out
 
 
-def _meet(table: pa.Table, round_: int) -> pa.Table:
+def _meet(table: pa.Table) -> pa.Table:
     """What a part answers to the buckets that sent it names."""
     table = table.sort_by("bucket")  # two passes compute this answer, and must find the same
-    buckets, part = table.column("bucket").to_pylist(), table.column("part")[0].as_py()
+    round_, buckets, part = table.column("round")[0].as_py(), table.column("bucket").to_pylist(), table.column("part")[0].as_py()
     sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names").combine_chunks()]
-    if round_ == 1:
-        code = judge_runs(np.concatenate([x[: len(x) // 2] for x in sent]), np.concatenate([x[len(x) // 2 :] for x in sent]))
-        ends = np.cumsum([len(x) // 2 for x in sent])
-    else:
+    if round_ == WINDOWS:
         code = tb.repeated(np.concatenate(sent))
         ends = np.cumsum([len(x) for x in sent])
-    packed = [(np.packbits(x) if round_ == 2 else x).tobytes() for x in np.split(code, ends[:-1])]
+    else:
+        judge = judge_grams if round_ == GRAMS else judge_pairs
+        code = judge(np.concatenate([x[: len(x) // 2] for x in sent]), np.concatenate([x[len(x) // 2 :] for x in sent]))
+        ends = np.cumsum([len(x) // 2 for x in sent])
+    packed = [(np.packbits(x) if round_ == WINDOWS else x).tobytes() for x in np.split(code, ends[:-1])]
     n = len(buckets)
     return pa.table({"bucket": pa.array(buckets, pa.int64()), "round": pa.array([round_] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "codes": pa.array(packed, pa.binary())})
 
@@ -160,7 +212,7 @@ def _answers(reply: pa.Table, round_: int, part: np.ndarray) -> np.ndarray:
         if r == round_:
             at = where[p]
             x = np.frombuffer(codes, np.uint8)
-            out[at] = np.unpackbits(x, count=len(at)) if round_ == 2 else x
+            out[at] = np.unpackbits(x, count=len(at)) if round_ == WINDOWS else x
     return out
 
 
@@ -180,27 +232,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids, data, offs = _ordered(table)
         return [(i, j, Block(part, at, length, gram)) for i, j, part, at in tb.blocks(data, offs)], ids
 
+    def judged(found: list, reply: pa.Table) -> list[np.ndarray]:
+        """Codes of the runs, block by block."""
+        if not found:
+            return []
+        codes = Runs(_cat([b.key for *_, b in found]), _cat([b.stretch for *_, b in found]), parts).codes(reply)
+        return np.split(codes, np.cumsum([len(b.key) for *_, b in found])[:-1])
+
     def send_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found, _ = blocks_of(table)
-        names, stretch = _cat([b.key for *_, b in found]), _cat([b.stretch for *_, b in found])
-        return _sent(key[0].as_py(), _part(names, parts), [names, stretch])
+        return Runs(_cat([b.key for *_, b in found]), _cat([b.stretch for *_, b in found]), parts).messages(key[0].as_py())
 
     def send_windows(key: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _sent(0, np.zeros(0, np.int32), [np.zeros(0, np.uint64)])
-        found, _ = blocks_of(table)
-        codes = _answers(reply, 1, _part(_cat([b.key for *_, b in found]), parts))
-        cut = np.cumsum([len(b.key) for *_, b in found])[:-1]
-        names = _cat([b.names(b.sending(c)) for (*_, b), c in zip(found, np.split(codes, cut), strict=True)])
-        return _sent(key[0].as_py(), _part(names, parts), [names])
+        found, _ = blocks_of(table) if table.num_rows else ([], None)
+        names = _cat([b.names(b.sending(c)) for (*_, b), c in zip(found, judged(found, reply), strict=True)])
+        return _sent(WINDOWS, key[0].as_py() if found else 0, _part(names, parts), [names])
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         found, ids = blocks_of(table) if table.num_rows else ([], pa.array([], pa.int64()))
-        codes = _answers(reply, 1, _part(_cat([b.key for *_, b in found]), parts))
-        code_of = np.split(codes, np.cumsum([len(b.key) for *_, b in found])[:-1]) if found else []
+        code_of = judged(found, reply)
         which = [b.sending(c) for (*_, b), c in zip(found, code_of, strict=True)]
         names = [b.names(w) for (*_, b), w in zip(found, which, strict=True)]
-        bits = _answers(reply, 2, _part(_cat(names), parts))
+        bits = _answers(reply, WINDOWS, _part(_cat(names), parts))
         bit_of = np.split(bits, np.cumsum([len(x) for x in names])[:-1]) if found else []
         size, removed, spans, digest, rest = [], [], [], [], []
         for (_, _, b), c, w, bit in zip(found, code_of, which, bit_of, strict=True):
@@ -226,8 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(out | ({"rest": pa.array(rest, pa.binary())} if texts else {}))
 
     by_bucket = dealt.groupBy("bucket")
-    first = by_bucket.applyInArrow(send_runs, NAMES).groupBy("part").applyInArrow(lambda t: _meet(t, 1), REPLY)
-    third = by_bucket.cogroup(first.groupBy("bucket")).applyInArrow(send_windows, NAMES).groupBy("part").applyInArrow(lambda t: _meet(t, 2), REPLY)
+    first = by_bucket.applyInArrow(send_runs, NAMES).groupBy("round", "part").applyInArrow(_meet, REPLY)
+    third = by_bucket.cogroup(first.groupBy("bucket")).applyInArrow(send_windows, NAMES).groupBy("round", "part").applyInArrow(_meet, REPLY)
     answers = first.unionByName(third)
     return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(finish, RESULT + (", rest binary" if texts else ""))
 

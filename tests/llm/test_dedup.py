@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, near_dedup, suffix_dedup
+from docmill.llm import exact_dedup, near_dedup, suffix_dedup, textbatch
 
 WORDS = [f"w{i}" for i in range(300)]
 ODD = [(None, "no id"), (900, None), (901, ""), (902, " \n "), (903, "one"), (904, "ONE"), (905, "a b c"), (905, "a b c"), (905, " ".join(WORDS[:90])), (907, " ".join(WORDS[:89])), (906, "x " * 3000)]
@@ -103,6 +105,27 @@ def test_suffix(spark, rows, length, gram, bucket, part):
     assert sorted(map(tuple, got), key=key) == sorted(brute_suffix(rows + periodic, length), key=key)
 
 
+def test_suffix_hot_passage_spreads():
+    """Texts that share a passage: a bucket sends each gram once, and the pairs at the passage's edges go to all parts."""
+    rnd = random.Random(1)
+    passage = " ".join(rnd.choice(WORDS) for _ in range(120))
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(300)) + passage + "".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(400)]
+    b = suffix_dedup.Block(*textbatch.bytes_of(pa.array(texts)), 200, 64)
+    runs = suffix_dedup.Runs(b.key, b.stretch, 16)
+    hot = Counter(b.key.tolist()).most_common(1)[0]
+    assert hot[1] >= 400 and len(set(runs.grams.tolist())) == len(runs.grams)
+    edges = runs.pair_part[runs.pair_key == max(set(b.key.tolist()), key=lambda k: len(set(b.stretch[b.key == k].tolist())))]
+    assert len(edges) >= 400 and max(np.bincount(edges, minlength=16)) < 2 * len(edges) / 16
+    codes = runs.codes(suffix_dedup.pa.concat_tables([suffix_dedup._meet(t) for t in by_part(runs.messages(0))]))
+    assert (codes[b.key == hot[0]] != suffix_dedup.UNIQUE).all()
+
+
+def by_part(messages):
+    rows = messages.to_pylist()
+    for key in sorted({(r["round"], r["part"]) for r in rows}):
+        yield pa.Table.from_pylist([r for r in rows if (r["round"], r["part"]) == key], schema=messages.schema)
+
+
 def test_suffix_texts(spark):
     got = suffix_dedup.remove_repeats(frame(spark, [(1, "x" * 5 + "shared passage" * 3), (2, "shared passage" * 3 + "tail")]), length=42, gram=8, texts=True).orderBy("doc_id").collect()
     assert [bytes(r["rest"]) for r in got] == [b"xxxxx", b"tail"]
@@ -153,7 +176,7 @@ def test_names_of_known_strings_differ(spark):
     b = a.translate(str.maketrans("ab", "ba"))
     got = near_dedup.near_duplicates(frame(spark, [(1, a[:1024]), (2, b[:1024]), (3, a[:64]), (4, b[:64])]), size=4).collect()
     assert all(r["kept"] for r in got)
-    from docmill.llm import quality_rules, textbatch
+    from docmill.llm import quality_rules
 
     found = quality_rules.measure(*textbatch.bytes_of(pa.array([a + "\n" + b])))
     assert found["n_dup_lines"].tolist() == [0]
@@ -195,3 +218,17 @@ def test_empty(spark):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_plain_prefix_doubling_agrees(spark, rows):
+    """The method in its plain form removes the same bytes."""
+    from docmill.llm import suffix_ranks
+
+    docs = frame(spark, rows + [(2000, "ab" * 80), (2001, "a" * 150)], True).coalesce(1)
+    found = suffix_ranks.repeated_positions(docs, length=33).groupBy("row").agg(F.collect_set("pos").alias("at"))
+    per = {r["row"]: len({p + k for p in r["at"] for k in range(33)}) for r in found.collect()}
+    texts = [r["text"] or "" for r in docs.collect()]
+    want = suffix_dedup.remove_repeats(docs.withColumn("doc_id", F.monotonically_increasing_id()), length=33, gram=16).collect()
+    assert len(texts) == len(want)
+    assert {r["doc_id"]: r["n_removed"] for r in want if r["n_removed"]} == per
+    assert suffix_ranks.repeated_positions(frame(spark, [])).count() == 0
