@@ -10,8 +10,8 @@ long words) all along, after every ``GAP`` words; their own base spans count as
 All words of these texts train, in chunks of ``CHUNK``. The ids are chosen first, so only the chosen texts go to the driver. The
 weights maximise the penalised conditional likelihood, with exact gradients by forward-backward.
 
-Decoding is exact but skips most words: where O leads by more than transitions and the neighbours' tags could ever make up, O is
-certain, and such words cut a text into short stretches that are decoded at once, side by side, in numpy.
+Decoding is exact but skips most words: where no stretch around a word could make up for tagging it, O is certain, and such words
+cut a text into short stretches that are decoded at once, side by side, in numpy.
 
 Defined cases: a null or empty text has no spans; ties between tag sequences go to the earlier tag in the order O, B, I;
 repeated rows are scanned each for itself; an empty table trains on the made-up words alone and gives an empty result; other
@@ -139,15 +139,32 @@ class Field:
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps
 
+    def possible(self, e: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which words some best sequence could tag. Tags of a stretch in place of O add at most the sum of what each word and the step
+        into it can add, and a constant for the steps at both ends; a word is out if no stretch around it can reach 0."""
+        s = self.steps
+        inner = max(s[B, B], s[B, I], s[I, B], s[I, I]) - s[O, O]
+        ends = s[O, B] + max(s[B, O], s[I, O]) - 2 * s[O, O] - inner
+        gain = np.maximum(e[:, B], e[:, I]) - e[:, O] + inner
+
+        def best_before(gain: np.ndarray, row: np.ndarray) -> np.ndarray:
+            """The largest sum of a stretch of the same text that ends right before each word, 0 for none."""
+            run = np.concatenate([[0.0], np.cumsum(gain)])
+            # A text begins with its own lowest sum: what came before is lifted out of the way.
+            lift = 2.0 * (np.abs(run).max() + 1.0) * (row - row[0])
+            low = np.minimum.accumulate(run[:-1] - lift) + lift
+            return run[:-1] - low
+
+        left, right = best_before(gain, row), best_before(gain[::-1], (row.max() - row)[::-1])[::-1]
+        return left + gain + right + ends >= -1e-6 * (1 + np.abs(gain).max())
+
     def decode(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The most likely tags of the words."""
         e = x @ self.weights.astype(np.float32)
         tags = np.zeros(len(e), np.int8)
         if not len(e):
             return tags
-        allowed = self.steps[self.steps > _NEVER / 2]
-        room = 3 * float(allowed.max() - allowed.min()) + max(0.0, float((e[:, I] - e[:, B]).max()))
-        open_ = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= room)
+        open_ = np.flatnonzero(self.possible(e.astype(float), row))
         if not len(open_):
             return tags
         new = np.ones(len(open_), bool)
