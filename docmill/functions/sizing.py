@@ -76,3 +76,20 @@ def readable_bytes(n: Column) -> Column:
     n = n.cast("double")
     out = F.when(n < 1024, F.format_string("%.0f B", n)).when(n < 1024.0**2, F.format_string("%.0f KB", n / 1024.0))
     return out.when(n < 1024.0**3, F.format_string("%.1f MB", n / 1024.0**2)).when(n < 1024.0**4, F.format_string("%.1f GB", n / 1024.0**3)).otherwise(F.format_string("%.1f TB", n / 1024.0**4))
+
+
+MISSING = "—"
+
+
+def whole(v: Column, unit: str) -> Column:
+    """A measure rounded to a whole number (halves to even) with its unit, a dash where it is missing."""
+    return F.when(v.isNull(), MISSING).otherwise(F.concat(F.bround(v, 0).cast("long").cast("string"), F.lit(unit)))
+
+
+def gigabytes(v: Column) -> Column:
+    return F.when(v.isNull(), MISSING).otherwise(F.format_string("%.1f GB", F.bround(v, 1)))
+
+
+def about_vram(gb: Column) -> Column:
+    """An estimate of memory: megabytes under one gigabyte, nothing where it is missing."""
+    return F.when(gb.isNull(), "").when(gb < 1, F.format_string("~%.0f MB", F.bround(gb * 1024, 0))).otherwise(F.format_string("~%.1f GB", F.bround(gb, 1)))

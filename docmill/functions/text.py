@@ -140,16 +140,27 @@ def without_tags(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
 
 
+def _bare(line: Column, marks: str) -> Column:
+    x = F.regexp_replace(strip(line), f"^[{marks}]+|[{marks}]+$", "")
+    return F.regexp_replace(F.regexp_replace(x, r'^"+|"+$', ""), r"^'+|'+$", "")
+
+
 def list_lines(c: Column, query: Column, n: int) -> Column:
     """The first n lines without list marks and quotes, but empty ones and the query itself."""
-    def clean(x: Column) -> Column:
-        x = F.regexp_replace(strip(x), r"^[-•*0-9. ]+|[-•*0-9. ]+$", "")
-        return F.regexp_replace(F.regexp_replace(x, r'^"+|"+$', ""), r"^'+|'+$", "")
-
-    kept = F.filter(F.transform(F.split(c, "\n"), clean), lambda x: (x != "") & (F.lower(x) != F.lower(query)))
+    kept = F.filter(F.transform(F.split(c, "\n"), lambda x: _bare(x, "-•*0-9. ")), lambda x: (x != "") & (F.lower(x) != F.lower(query)))
     return F.slice(kept, 1, n)
 
 
+#: Suggestions that fit any corpus, and the shortest one that counts.
+GENERIC, GENERIC_START, SHORTEST = ("what topics are covered?", "list the documents and their main points."), "summarize ", 8
+
+
+def suggestions(c: Column, n: int) -> Column:
+    """The first n questions that a model suggests, without list marks and quotes, but short and generic ones."""
+    bare = F.transform(F.split(c, "\n"), lambda x: _bare(x, "-•*0-9.) "))
+    return F.slice(F.filter(bare, lambda x: (F.length(x) >= SHORTEST) & ~F.startswith(F.lower(x), F.lit(GENERIC_START)) & ~F.lower(x).isin(*GENERIC)), 1, n)
+
+
 def error_class(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,17 +60,29 @@ def recursive_chunks(df: DataFrame, key: str, text_col: str, tokens: int = 512,
     """key, ord, text: the recursive splitter with the tail of the last piece in front of each piece.
 
     Both sizes are tokens, three quarters of which count as words, ``least`` words at least."""
+    return _split(df, [key], text_col, tokens, overlap, least)
+
+
+def section_chunks(df: DataFrame, file: str, section: str, text_col: str, tokens: int = 512, overlap: int = 64, least: int = 64) -> DataFrame:
+    """file, section, piece, ord, text: sections (numbered inside a file) split each for itself, with the tail of the piece before only inside a
+    section; ``ord`` goes on from section to section."""
+    pieces = _split(df, [file, section], text_col, tokens, overlap, least).withColumnRenamed("ord", "piece")
+    place = F.row_number().over(Window.partitionBy(file).orderBy(section, "piece")) - 1
+    return pieces.withColumn("ord", place).select(file, section, "piece", "ord", "text")
+
+
+def _split(df: DataFrame, keys: list[str], text_col: str, tokens: int, overlap: int, least: int) -> DataFrame:
     limit, tail = max(least, int(0.75 * tokens)), max(least, int(0.75 * overlap))
-    schema = T.StructType([df.schema[key], T.StructField("ord", T.IntegerType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("ord", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, text in zip(batch[key], batch[text_col], strict=True):
+            for *k, text in zip(*[batch[c] for c in keys], batch[text_col], strict=True):
                 pieces = split_words(text or "", limit)
                 for i, piece in enumerate(pieces):
                     lead = " ".join(pieces[i - 1].split()[-tail:]) + " " if i else ""
-                    rows.append((k, i, lead + piece))
-            yield pd.DataFrame(rows, columns=[key, "ord", "text"])
+                    rows.append((*k, i, lead + piece))
+            yield pd.DataFrame(rows, columns=[*keys, "ord", "text"])
 
-    return df.select(key, text_col).mapInPandas(run, schema)
+    return df.select(*keys, text_col).mapInPandas(run, schema)

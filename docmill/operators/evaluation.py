@@ -58,12 +58,44 @@ def dimensions(scores: DataFrame, dims: list[str]) -> DataFrame:
     return scores.select("model", first(F.greatest(*rounded)).alias("strongest"), first(F.least(*rounded)).alias("weakest"), band.alias("verdict"))
 
 
-def energy(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Joules by trapezoids between samples in time order, mean and peak power, samples, seconds."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+#: Samples of a segment are cut at hours, so that no window holds more than an hour of one device.
+HOUR = 3_600_000_000
+
+
+def energy(samples: DataFrame, keys: list[str], log: DataFrame | None = None) -> DataFrame:
+    """Joules by trapezoids between samples in time order, mean and peak power, mean utilisation, peak memory, samples, seconds: those
+    that the segment log (segment, logged) has, else from the first sample to the last.
+
+    Trapezoids run inside hours; the last sample of an hour is carried into the next hour that has one, which are few rows."""
     micros = F.unix_micros("ts")
-    step = (F.col("watts") + F.lag("watts").over(w)) / 2 * (micros - F.lag(micros).over(w)) / 1e6
-    return samples.withColumn("joules", step).groupBy(*keys).agg(
-        F.round(F.sum("joules"), 2).alias("joules"), F.round(F.avg("watts"), 6).alias("mean_w"), F.round(F.max("watts"), 6).alias("peak_w"),
-        F.count(F.lit(1)).alias("samples"), F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6, 6).alias("secs"),
+    cut = samples.withColumn("at", micros).withColumn("hour", F.floor(micros / F.lit(HOUR)))
+    inside = Window.partitionBy(*keys, "hour").orderBy("at", "event_id")
+    step = (F.col("watts") + F.lag("watts").over(inside)) / 2 * (F.col("at") - F.lag("at").over(inside)) / 1e6
+    per = cut.withColumn("joules", step).groupBy(*keys, "hour").agg(
+        F.sum("joules").alias("joules"), F.sum("watts").alias("watts"), F.max("watts").alias("peak"), F.sum("util").alias("util"), F.max("mem").alias("mem"), F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("at", "event_id", "watts")).alias("head"), F.max(F.struct("at", "event_id", "watts")).alias("tail"),
+    )
+    last = F.lag("tail").over(Window.partitionBy(*keys).orderBy("hour"))
+    edge = (F.col("head.watts") + last["watts"]) / 2 * (F.col("head.at") - last["at"]) / 1e6
+    whole = per.withColumn("edge", edge).groupBy(*keys).agg(
+        F.round(F.coalesce(F.sum("joules"), F.lit(0.0)) + F.coalesce(F.sum("edge"), F.lit(0.0)), 2).alias("joules"), F.round(F.sum("watts") / F.sum("n"), 6).alias("mean_w"), F.round(F.max("peak"), 6).alias("peak_w"),
+        F.sum("n").alias("samples"), F.round(F.sum("util") / F.sum("n"), 6).alias("mean_util"), F.max("mem").alias("peak_mem"), F.round((F.max("tail.at") - F.min("head.at")) / 1e6, 6).alias("secs"),
     )
+    if log is None:
+        return whole
+    return whole.join(F.broadcast(log), keys[0], "left").withColumn("secs", F.coalesce("logged", "secs")).drop("logged")
+
+
+def gaps(cells: DataFrame) -> DataFrame:
+    """Mean scores of models that reason less those of the others, the spread of embedders, and whether that matters."""
+    fine = F.avg(F.when(F.col("err") == "", F.col("total")))
+    model = cells.groupBy("model", "reasons").agg(fine.alias("score")).agg((F.avg(F.when(F.col("reasons"), F.col("score"))) - F.avg(F.when(~F.col("reasons"), F.col("score")))).alias("gap"))
+    spread = cells.groupBy("embedder").agg(fine.alias("score")).agg((F.max("score") - F.min("score")).alias("spread"))
+    return model.crossJoin(spread).select(F.round("gap", 6).alias("reasoning_gap"), F.round("spread", 6).alias("embedder_spread"), (F.col("spread") >= 0.5).alias("spread_matters"))
+
+
+def issues(on: Column) -> Column:
+    """What speaks against the side where ``on`` holds: errors anywhere, more seconds, a lower score."""
+    mean = lambda c, side: F.avg(F.when(side, F.col(c)))
+    found = F.array(F.when(F.count_if(F.col("err") != "") > 0, "errors"), F.when(mean("seconds", on) > mean("seconds", ~on), "slower"), F.when(mean("total", on) < mean("total", ~on), "worse"))
+    return F.array_join(F.array_compact(found), ",")

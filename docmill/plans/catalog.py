@@ -53,16 +53,19 @@ DAEMONS = ((0, "u0", 8000, 1000), (1, "u1", 16000, 2000), (2, "u2", 24000, 23000
 @query("resolve_url", f"""WITH a AS (SELECT * FROM ({values(*ASSIGNED)}) AS t(model, role, device)), w AS (SELECT * FROM ({values(*WANTED)}) AS t(model, role)), dm AS (SELECT * FROM ({values(*DAEMONS)}) AS t(device, url, total, used)),
 x AS (SELECT w.model, w.role, min(dm.url) AS url FROM w LEFT JOIN a ON a.model = w.model AND a.role = w.role LEFT JOIN dm ON dm.device = a.device GROUP BY ALL),
 y AS (SELECT w.model, w.role, min(dm.url) AS url FROM w LEFT JOIN a ON a.model = w.model AND a.role = 'any' LEFT JOIN dm ON dm.device = a.device GROUP BY ALL)
-SELECT x.model, x.role, coalesce(x.url, y.url, (SELECT arg_max(url, total - used) FROM dm)) AS url FROM x JOIN y ON x.model = y.model AND x.role = y.role""")
+SELECT x.model, x.role, coalesce(x.url, y.url, CASE x.model WHEN 'm4' THEN 'u2' END, (SELECT arg_max(url, total - used) FROM dm)) AS url FROM x JOIN y ON x.model = y.model AND x.role = y.role""")
 def resolve_url(spark, d):
-    """The assigned device's address, that of the role any, else the one with most free memory."""
+    """The assigned device's address, that of the role any, that of a device which holds the model already, else the one with most free memory."""
     w, a = spark.createDataFrame(WANTED, "model string, role string"), spark.createDataFrame(ASSIGNED, "model string, role string, device int")
     dm = spark.createDataFrame(DAEMONS, "device int, url string, total int, used int")
     urls = a.join(F.broadcast(dm.select("device", "url")), "device")
     exact = urls.groupBy("model", "role").agg(F.min("url").alias("exact"))
     any_ = urls.filter("role = 'any'").groupBy("model").agg(F.min("url").alias("any"))
     free = dm.agg(F.max_by("url", F.col("total") - F.col("used")).alias("free"))
-    return w.join(exact, ["model", "role"], "left").join(any_, "model", "left").crossJoin(F.broadcast(free)).select("model", "role", F.coalesce("exact", "any", "free").alias("url"))
+    loaded = spark.createDataFrame([("m4", 2)], "model string, device int")
+    sticky = loaded.join(F.broadcast(dm.select("device", "url")), "device").groupBy("model").agg(F.min("url").alias("sticky"))
+    known = w.join(exact, ["model", "role"], "left").join(any_, "model", "left").join(sticky, "model", "left")
+    return known.crossJoin(F.broadcast(free)).select("model", "role", F.coalesce("exact", "any", "sticky", "free").alias("url"))
 
 
 TAGS = ((1, "llama:7b", 5000), (2, "llama", 6000), (3, "qwen", 3000), (4, "qwen", 4000))
@@ -116,7 +119,8 @@ def used_vram(spark, d):
 SENSORS = (("acpi", 40.0), ("coretemp", 61.0), ("coretemp", 63.0), ("nvme", 70.0))
 
 
-@query("cpu_temp_pick", f"SELECT avg(t) AS celsius FROM ({values(*SENSORS)}) AS v(grp, t) WHERE grp = 'coretemp'")
+@query("cpu_temp_pick", f"""WITH s AS (SELECT *, list_position(['k10temp', 'coretemp', 'cpu_thermal'], grp) AS p FROM ({values(*SENSORS)}) AS v(grp, t))
+SELECT coalesce((SELECT avg(t) FROM s WHERE p = (SELECT min(p) FROM s)), (SELECT max(t) FROM s)) AS celsius""")
 def cpu_temp_pick(spark, d):
     """The mean of the first preferred sensor group that exists, else the hottest of all."""
     s = spark.createDataFrame(SENSORS, "grp string, t double")
@@ -196,6 +200,17 @@ def fmt_size(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sizing.readable_bytes(b).alias("size"))
 
 
+DASH = "chr(8212)"
+
+
+@query("fmt_units", f"SELECT event_id, CASE WHEN v IS NULL THEN {DASH} ELSE round_even(v, 0)::BIGINT || '%' END AS percent, CASE WHEN v IS NULL THEN {DASH} ELSE round_even(v, 0)::BIGINT || chr(176) || 'C' END AS celsius, CASE WHEN v IS NULL THEN {DASH} ELSE round_even(v, 0)::BIGINT || ' W' END AS watts, CASE WHEN v IS NULL THEN {DASH} ELSE printf('%.1f GB', v / 16) END AS gb, CASE WHEN v IS NULL THEN '' WHEN v / 64 < 1 THEN '~' || printf('%.0f MB', v / 64 * 1024) ELSE '~' || printf('%.1f GB', v / 64) END AS vram FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN (event_id % 500) / 4e0 END AS v FROM events)")
+def fmt_units(spark, d):
+    """Measures as text, a dash for a missing one; numbers that binary fractions hold exactly."""
+    v = F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 500) / 4.0)
+    e = table(spark, d, "events").select("event_id", v.alias("v"))
+    return e.select("event_id", sizing.whole(F.col("v"), "%").alias("percent"), sizing.whole(F.col("v"), "°C").alias("celsius"), sizing.whole(F.col("v"), " W").alias("watts"), sizing.gigabytes(F.col("v") / 16).alias("gb"), sizing.about_vram(F.col("v") / 64).alias("vram"))
+
+
 @query("map_suffix_max", "SELECT event_id, greatest(4096, CAST(json_extract(props, '$.k') AS INTEGER) * 100) AS ctx FROM events")
 def map_suffix_max(spark, d):
     """The largest value under keys that end in a suffix, 4,096 at least."""
@@ -293,6 +308,19 @@ def random_sample(spark, d):
     return table(spark, d, "documents").filter(F.length("text") > 80).select("doc_id", F.length("text").cast("long").alias("n")).orderBy(seeded, "doc_id").limit(12)
 
 
+@query("source_brief", """WITH q AS (SELECT conv_id, turn, lower(text) AS asked, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+b AS (SELECT *, CASE turn % 3 WHEN 0 THEN true WHEN 1 THEN place = 1 ELSE contains(asked, 'the') OR contains(asked, 'de') END AS applies FROM q)
+SELECT conv_id, string_agg('• f' || turn || ' — Title ' || turn || '.' || chr(10) || '  Topics: the, de.' || chr(10) || '  Known entities: E' || turn || '.', chr(10) || chr(10) ORDER BY turn) AS brief FROM b WHERE applies GROUP BY conv_id""")
+def source_brief(spark, d):
+    """What the files of a conversation's hits are, file by file in rank order, by scope: global, first hit only, or by topics of the question."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("place", F.row_number().over(w))
+    scope = F.when(F.col("turn") % 3 == 0, "global").when(F.col("turn") % 3 == 1, "file-only").otherwise("topic-aware")
+    turn = F.col("turn").cast("string")
+    meta = c.select(F.col("conv_id").alias("qid"), F.col("place").alias("rank"), F.concat(F.lit("f"), turn).alias("path"), F.col("text").alias("question"), scope.alias("scope"), F.concat(F.lit("Title "), turn).alias("title"), F.lit("").alias("description"), F.array(F.lit("the"), F.lit("de")).alias("topics"), F.array(F.concat(F.lit("E"), turn)).alias("entities"))
+    return prompts.brief(meta).select(F.col("qid").alias("conv_id"), "brief")
+
+
 @query("per_file_brief", "SELECT source, string_agg('doc ' || doc_id || ' [' || lang || ']', '; ' ORDER BY doc_id) AS brief FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")
 def per_file_brief(spark, d):
     r = table(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docmill.operators.prefix import running
 from docmill.operators import evaluation as ev
+from docmill.operators.prefix import running
 from docmill.sources.tables import table
 
 from .registry import query
 
 #: Judged cells: documents joined to labels; a missing label is an error.
 CELLS = """WITH cells AS (SELECT d.doc_id, d.source AS model, d.lang AS embedder, CASE WHEN CAST(substr(d.source, 4) AS INTEGER) < 10 THEN 'small' ELSE 'large' END AS family, CAST(substr(d.source, 4) AS INTEGER) + 1 AS params,
-  CASE WHEN l.quality IS NULL THEN 'error' ELSE '' END AS err, coalesce(l.quality, 0) * 6 + coalesce(l.toxic, 0) * 3 AS total, d.n_chars / 1000e0 AS seconds, CAST(d.doc_id % 10 AS INTEGER) AS question
+  CASE WHEN l.quality IS NULL THEN 'error' ELSE '' END AS err, coalesce(l.quality, 0) * 6 + coalesce(l.toxic, 0) * 3 AS total, d.n_chars / 1000e0 AS seconds, CAST(d.doc_id % 10 AS INTEGER) AS question, CASE WHEN d.doc_id % 10 < 4 THEN 'fact' WHEN d.doc_id % 10 < 8 THEN 'list' ELSE 'open' END AS category
   FROM documents d LEFT JOIN labels l USING (doc_id))
 """
 
@@ -25,6 +25,7 @@ def cells(spark, d):
         "doc_id", F.col("source").alias("model"), F.col("lang").alias("embedder"), F.when(no < 10, "small").otherwise("large").alias("family"), (no + 1).alias("params"),
         F.when(F.col("quality").isNull(), "error").otherwise("").alias("err"), (F.coalesce("quality", F.lit(0)) * 6 + F.coalesce("toxic", F.lit(0)) * 3).alias("total"),
         (F.col("n_chars") / 1000.0).alias("seconds"), (F.col("doc_id") % 10).cast("int").alias("question"),
+        F.when(F.col("doc_id") % 10 < 4, "fact").when(F.col("doc_id") % 10 < 8, "list").otherwise("open").alias("category"),
     )
 
 
@@ -33,11 +34,12 @@ def judge_summary(spark, d):
     return cells(spark, d).groupBy("model").agg(*ev.summary())
 
 
-@query("bench_grouping_sets", CELLS + "SELECT model, embedder, family, question, count(*) AS n, count(*) FILTER (err <> '') AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 6) AS secs FROM cells GROUP BY GROUPING SETS ((model), (embedder), (family), (question), (model, question), (model, embedder))")
+@query("bench_grouping_sets", CELLS + "SELECT model, embedder, family, category, question, count(*) AS n, count(DISTINCT model) AS models, count(*) FILTER (err <> '') AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 6) AS secs FROM cells GROUP BY GROUPING SETS ((model), (embedder), (family), (category), (question), (model, category), (model, question), (model, embedder))")
 def bench_grouping_sets(spark, d):
-    sets = [["model"], ["embedder"], ["family"], ["question"], ["model", "question"], ["model", "embedder"]]
-    cols = ["model", "embedder", "family", "question"]
-    return cells(spark, d).groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(*ev.summary())
+    sets = [["model"], ["embedder"], ["family"], ["category"], ["question"], ["model", "category"], ["model", "question"], ["model", "embedder"]]
+    cols = ["model", "embedder", "family", "category", "question"]
+    c = cells(spark, d).withColumn("whose", F.col("model"))
+    return c.groupingSets([[F.col(x) for x in s] for s in sets], *cols).agg(*ev.summary(), F.count_distinct("whose").alias("models"))
 
 
 @query("latency_percentiles", CELLS + "SELECT model, round(quantile_cont(seconds, 0.5), 6) AS p50, round(quantile_cont(seconds, 0.95), 6) AS p95, round(quantile_cont(seconds, 0.99), 6) AS p99 FROM cells GROUP BY model")
@@ -57,6 +59,26 @@ def heatmap_pivot(spark, d):
     return cells(spark, d).groupBy("model").pivot("embedder", ["en", "de", "fr", "es"]).agg(F.round(good, 6))
 
 
+@query("heatmap_questions", CELLS + "SELECT model, " + ", ".join(f"round(avg(total) FILTER (question = {k} AND err = ''), 6) AS q{k}" for k in range(10)) + " FROM cells GROUP BY model")
+def heatmap_questions(spark, d):
+    good = F.round(F.avg(F.when(F.col("err") == "", F.col("total"))), 6)
+    wide = cells(spark, d).groupBy("model").pivot("question", list(range(10))).agg(good)
+    return wide.select("model", *[F.col(str(k)).alias(f"q{k}") for k in range(10)])
+
+
+@query("speed_band", CELLS + "SELECT model, CASE WHEN avg(seconds) < 2 THEN 'fast' WHEN avg(seconds) < 15 THEN 'fair' ELSE 'slow' END AS band FROM cells GROUP BY model")
+def speed_band(spark, d):
+    s = F.avg("seconds")
+    return cells(spark, d).groupBy("model").agg(F.when(s < 2, "fast").when(s < 15, "fair").otherwise("slow").alias("band"))
+
+
+@query("finding_gaps", CELLS + """, m AS (SELECT model, any_value(params) AS params, avg(total) FILTER (err = '') AS score FROM cells GROUP BY model), e AS (SELECT embedder, avg(total) FILTER (err = '') AS score FROM cells GROUP BY embedder)
+SELECT round(avg(score) FILTER (params % 2 = 1) - avg(score) FILTER (params % 2 = 0), 6) AS reasoning_gap, (SELECT round(max(score) - min(score), 6) FROM e) AS embedder_spread, (SELECT max(score) - min(score) >= 0.5 FROM e) AS spread_matters FROM m""")
+def finding_gaps(spark, d):
+    """Models that reason (here those of odd size) against the others, and how far embedders lie apart."""
+    return ev.gaps(cells(spark, d).withColumn("reasons", F.col("params") % 2 == 1))
+
+
 PER = CELLS + ", m AS (SELECT model, family, min(params) AS params, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(100e0 * count(*) FILTER (total > 0) / count(*), 6) AS gold FROM cells GROUP BY model, family)"
 
 
@@ -120,16 +142,17 @@ def gold_rank(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.count(F.lit(1)).alias("turns"))
 
 
-@query("config_matrix", CELLS + "SELECT embedder, count(*) FILTER (total > 0) AS hits, round(avg(seconds), 6) AS secs, array_to_string(list_sort(list(CAST(doc_id AS VARCHAR)) FILTER (err = '' AND total = 0)), ',') AS failing FROM cells GROUP BY embedder")
+@query("config_matrix", CELLS + "SELECT embedder, count(*) FILTER (total > 0) AS hits, round(avg(seconds), 6) AS secs, array_to_string(list_sort(list(DISTINCT CAST(question AS VARCHAR)) FILTER (err = '' AND total = 0)), ',') AS failing FROM cells GROUP BY embedder")
 def config_matrix(spark, d):
-    bad = F.array_sort(F.collect_list(F.when((F.col("err") == "") & (F.col("total") == 0), F.col("doc_id").cast("string"))))
+    """Hits, mean seconds and the questions that some cell fails; a set of questions is small and fixed."""
+    bad = F.array_sort(F.collect_set(F.when((F.col("err") == "") & (F.col("total") == 0), F.col("question").cast("string"))))
     return cells(spark, d).groupBy("embedder").agg(F.count_if(F.col("total") > 0).alias("hits"), F.round(F.avg("seconds"), 6).alias("secs"), F.nullif(F.array_join(bad, ","), F.lit("")).alias("failing"))
 
 
-@query("rag_vs_raw", CELLS + "SELECT family, count(*) FILTER (total > 0 AND embedder = 'en') AS with_, count(*) FILTER (total > 0 AND embedder <> 'en') AS without_, round(avg(seconds) FILTER (embedder = 'en'), 6) AS secs_with, round(avg(seconds) FILTER (embedder <> 'en'), 6) AS secs_without FROM cells GROUP BY family")
+@query("rag_vs_raw", CELLS + "SELECT family, count(*) FILTER (total > 0 AND embedder = 'en') AS with_, count(*) FILTER (total > 0 AND embedder <> 'en') AS without_, round(avg(seconds) FILTER (embedder = 'en'), 6) AS secs_with, round(avg(seconds) FILTER (embedder <> 'en'), 6) AS secs_without, array_to_string(list_filter([CASE WHEN count(*) FILTER (err <> '') > 0 THEN 'errors' END, CASE WHEN avg(seconds) FILTER (embedder = 'en') > avg(seconds) FILTER (embedder <> 'en') THEN 'slower' END, CASE WHEN avg(total) FILTER (embedder = 'en') < avg(total) FILTER (embedder <> 'en') THEN 'worse' END], lambda x: x IS NOT NULL), ',') AS issues FROM cells GROUP BY family")
 def rag_vs_raw(spark, d):
     on, hit = F.col("embedder") == "en", F.col("total") > 0
-    return cells(spark, d).groupBy("family").agg(F.count_if(hit & on).alias("with_"), F.count_if(hit & ~on).alias("without_"), F.round(F.avg(F.when(on, F.col("seconds"))), 6).alias("secs_with"), F.round(F.avg(F.when(~on, F.col("seconds"))), 6).alias("secs_without"))
+    return cells(spark, d).groupBy("family").agg(F.count_if(hit & on).alias("with_"), F.count_if(hit & ~on).alias("without_"), F.round(F.avg(F.when(on, F.col("seconds"))), 6).alias("secs_with"), F.round(F.avg(F.when(~on, F.col("seconds"))), 6).alias("secs_without"), ev.issues(on).alias("issues"))
 
 
 @query("answerable_questions", "SELECT item_id FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -145,13 +168,14 @@ def eval_grid(spark, d):
     return grid.select(F.col("r_name").alias("model"), F.col("n_name").alias("question"), F.row_number().over(Window.orderBy("r_regionkey", "n_nationkey")).cast("long").alias("cell"))
 
 
-POWER = "WITH p AS (SELECT event_type AS segment, CAST(user_id % 2 AS INTEGER) AS gpu, event_id, ts, value AS watts FROM events), s AS (SELECT *, lag(ts) OVER w AS t0, lag(watts) OVER w AS w0 FROM p WINDOW w AS (PARTITION BY segment, gpu ORDER BY ts, event_id))"
+POWER = "WITH p AS (SELECT event_type AS segment, CAST(user_id % 2 AS INTEGER) AS gpu, event_id, ts, value AS watts, CAST(user_id % 100 AS DOUBLE) AS util, CAST(event_id % 24000 AS BIGINT) AS mem FROM events), s AS (SELECT *, lag(ts) OVER w AS t0, lag(watts) OVER w AS w0 FROM p WINDOW w AS (PARTITION BY segment, gpu ORDER BY ts, event_id))"
 
 
-@query("power_segments", POWER + " SELECT segment, gpu, round(sum((watts + w0) / 2 * (epoch_us(ts) - epoch_us(t0)) / 1e6), 2) AS joules, round(avg(watts), 6) AS mean_w, round(max(watts), 6) AS peak_w, count(*) AS samples, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS secs FROM s GROUP BY segment, gpu")
+@query("power_segments", POWER + " SELECT segment, gpu, round(sum((watts + w0) / 2 * (epoch_us(ts) - epoch_us(t0)) / 1e6), 2) AS joules, round(avg(watts), 6) AS mean_w, round(max(watts), 6) AS peak_w, count(*) AS samples, round(avg(util), 6) AS mean_util, max(mem) AS peak_mem, CASE WHEN segment = 'click' THEN 3600e0 ELSE round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) END AS secs FROM s GROUP BY segment, gpu")
 def power_segments(spark, d):
-    p = table(spark, d, "events").select(F.col("event_type").alias("segment"), (F.col("user_id") % 2).cast("int").alias("gpu"), "event_id", "ts", F.col("value").alias("watts"))
-    return ev.energy(p, ["segment", "gpu"])
+    p = table(spark, d, "events").select(F.col("event_type").alias("segment"), (F.col("user_id") % 2).cast("int").alias("gpu"), "event_id", "ts", F.col("value").alias("watts"), (F.col("user_id") % 100).cast("double").alias("util"), (F.col("event_id") % 24000).cast("long").alias("mem"))
+    log = spark.createDataFrame([("click", 3600.0)], "segment string, logged double")
+    return ev.energy(p, ["segment", "gpu"], log)
 
 
 @query("energy_by_model", POWER + ", e AS (SELECT 'answer.' || segment || '.' || gpu AS label, sum((watts + w0) / 2 * (epoch_us(ts) - epoch_us(t0)) / 1e6) AS joules FROM s GROUP BY segment, gpu) SELECT string_split(label, '.')[3] AS model, round(sum(round(joules, 2)), 1) AS joules, count(*) AS segments FROM e GROUP BY 1")

@@ -32,10 +32,41 @@ def ingest_diff(spark, d):
     return ingest.diff(stored(spark, d), files(spark, d)).select("path", "state")
 
 
-@query("ingest_stats", DIFF + "SELECT count(*) FILTER (state <> 'removed') AS seen, count(*) FILTER (state = 'new') AS new, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'unchanged') AS unchanged, count(*) FILTER (state = 'removed') AS removed FROM diff")
+#: Files of every thirteenth number have a suffix that no parser takes, every seventeenth can't be parsed.
+KINDS_SQL = "CASE WHEN CAST(string_split(path, '/')[2] AS BIGINT) % 13 = 0 THEN 'unsupported' WHEN CAST(string_split(path, '/')[2] AS BIGINT) % 17 = 0 THEN 'errored' ELSE 'fine' END"
+
+
+@query("ingest_stats", DIFF.replace("WITH ", f"WITH {CHUNKS}, ", 1) + f""", k AS (SELECT *, {KINDS_SQL} AS kind, state IN ('new', 'changed') AS work FROM diff), c AS (SELECT f.path, count(*) AS n FROM chunks c JOIN files f ON f.file_id = c.file_id GROUP BY f.path)
+SELECT count(*) FILTER (state <> 'removed' AND kind <> 'unsupported') AS seen, count(*) FILTER (state = 'new') AS new, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'unchanged') AS unchanged, count(*) FILTER (state = 'removed') AS removed,
+count(*) FILTER (state <> 'removed' AND kind = 'unsupported') AS unsupported, count(*) FILTER (work AND kind = 'errored') AS errored, CAST(coalesce(sum(n) FILTER (work AND kind = 'fine'), 0) AS BIGINT) AS chunks FROM k LEFT JOIN c USING (path)""")
 def ingest_stats(spark, d):
-    x = ingest.diff(stored(spark, d), files(spark, d))
-    return x.agg(F.count_if(F.col("state") != "removed").alias("seen"), *[F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "unchanged", "removed")])
+    """What a run would count: files by state, those that no parser takes, those that fail, and the chunks that are written."""
+    no = F.split("path", "/")[1].cast("long")
+    kind = F.when(no % 13 == 0, "unsupported").when(no % 17 == 0, "errored").otherwise("fine")
+    x = ingest.diff(stored(spark, d), files(spark, d)).withColumn("kind", kind).withColumn("work", F.col("state").isin("new", "changed"))
+    n = chunks(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).join(files(spark, d).select("file_id", "path"), "file_id").select("path", "n")
+    here = F.col("state") != "removed"
+    return x.join(n, "path", "left").agg(
+        F.count_if(here & (F.col("kind") != "unsupported")).alias("seen"), *[F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "unchanged", "removed")], F.count_if(here & (F.col("kind") == "unsupported")).alias("unsupported"),
+        F.count_if(F.col("work") & (F.col("kind") == "errored")).alias("errored"), F.coalesce(F.sum(F.when(F.col("work") & (F.col("kind") == "fine"), F.col("n"))), F.lit(0)).alias("chunks"),
+    )
+
+
+@query("ingest_forced", DIFF + "SELECT path, CASE state WHEN 'unchanged' THEN 'changed' ELSE state END AS state FROM diff")
+def ingest_forced(spark, d):
+    """With force, files that are known and still there are done anew."""
+    return ingest.diff(stored(spark, d), files(spark, d), force=True).select("path", "state")
+
+
+@query("upsert_cascade", DIFF.replace("WITH ", f"WITH {CHUNKS}, ", 1) + """, p AS (SELECT f.path, c.ord, c.text FROM chunks c JOIN files f ON f.file_id = c.file_id)
+SELECT path, ord, CASE state WHEN 'unchanged' THEN 'old' ELSE 'new' END AS version FROM p JOIN diff USING (path) WHERE state <> 'removed' AND NOT (state = 'unchanged' AND ord % 3 = 2)""")
+def upsert_cascade(spark, d):
+    """Chunks after an ingest: those of unchanged files as they were stored (here without every third), those of others anew."""
+    states = ingest.diff(stored(spark, d), files(spark, d)).select("path", "state")
+    now = chunks(spark, d).join(files(spark, d).select("file_id", "path"), "file_id").select("path", "ord")
+    before = now.filter("ord % 3 <> 2").withColumn("version", F.lit("old"))
+    gone = files(spark, d).filter("file_id < 40").select(F.concat(F.lit("gone/"), F.col("file_id").cast("string")).alias("path"), F.lit(0).alias("ord"), F.lit("old").alias("version"))
+    return ingest.cascade(before.unionByName(gone), states, now.withColumn("version", F.lit("new")))
 
 
 @query("upsert_files", f"WITH {FILES}, {STORED} SELECT path, sha256, bytes FROM files UNION ALL SELECT path, sha256, bytes FROM stored WHERE path NOT IN (SELECT path FROM files)")
@@ -43,6 +74,13 @@ def upsert_files(spark, d):
     return ingest.upsert(stored(spark, d), files(spark, d).select("path", "sha256", "bytes"))
 
 
+@query("delete_missing_count", DIFF + "SELECT count(*) FILTER (state = 'removed') AS deleted, count(*) FILTER (state <> 'removed' AND state <> 'new') AS left_ FROM diff")
+def delete_missing_count(spark, d):
+    """How many stored files a deletion of the missing ones takes away, and how many it leaves."""
+    x = ingest.diff(stored(spark, d), files(spark, d))
+    return x.agg(F.count_if(F.col("state") == "removed").alias("deleted"), F.count_if(~F.col("state").isin("removed", "new")).alias("left_"))
+
+
 @query("delete_missing_anti", f"WITH {FILES}, {STORED} SELECT path FROM stored WHERE path NOT IN (SELECT path FROM files)")
 def delete_missing_anti(spark, d):
     return stored(spark, d).join(files(spark, d).select("path"), "path", "left_anti").select("path")

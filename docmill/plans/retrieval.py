@@ -22,9 +22,9 @@ def questions(spark, d):
     return c.select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"), F.col("conv_id").alias("vec_id"))
 
 
-def boost(text):
+def boost(text, terms=None):
     """Entity terms that the text holds, in lower case, once each, in order."""
-    held = F.filter(F.array(*map(F.lit, ENTITIES)), lambda t: F.contains(F.lower(text), F.lower(t)))
+    held = F.filter(F.array(*map(F.lit, ENTITIES)) if terms is None else terms, lambda t: F.contains(F.lower(text), F.lower(t)))
     return F.array_distinct(F.transform(held, lambda t: F.lower(t)))
 
 
@@ -301,6 +301,15 @@ def chunk_recursive(spark, d):
     return recursive_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("chunk_sections")
+def chunk_sections(spark, d):
+    """Windows as sections of their files, split to some 96 words with overlap inside a section."""
+    from docmill.operators.chunking import section_chunks
+
+    out = section_chunks(chunks(spark, d).withColumnRenamed("ord", "section"), "file_id", "section", "text", 128, 16, 16)
+    return out.select("file_id", "section", "piece", "ord", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("get_chunks", f"""WITH {CHUNKS}, ids AS (SELECT file_id, ord, row_number() OVER (PARTITION BY file_id ORDER BY md5(CAST(ord AS VARCHAR)), ord) AS rank FROM chunks WHERE file_id % 50 = 0), {FILES}
 SELECT i.rank, c.file_id, c.ord, f.path, length(c.text) AS n FROM ids i JOIN chunks c USING (file_id, ord) JOIN files f USING (file_id)""")
 def get_chunks(spark, d):
@@ -327,11 +336,15 @@ def chunk_concat(spark, d):
     return chunks(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("parts"), F.md5(joined_text("ord", "text").cast("binary")).alias("digest"))
 
 
-@query("entity_boost", r"""WITH e AS (SELECT source, ['The', 'That', 'Und', 'Les', 'the', 'Zebra'] AS terms FROM documents GROUP BY source)
-SELECT doc_id, list_filter(['the', 'that', 'und', 'les', 'zebra'], lambda t: contains(lower(text), t)) AS found FROM documents JOIN e USING (source)""")
+@query("entity_boost", r"""WITH e AS (SELECT source, CASE WHEN ord % 2 = 0 THEN ['The', 'That', 'Und', 'Les', 'the', 'Zebra'] ELSE ['Und', 'of', 'OF'] END AS terms FROM (SELECT source, row_number() OVER (ORDER BY source) AS ord FROM documents GROUP BY source))
+SELECT doc_id, array_to_string(list_filter(CASE WHEN len(terms) = 6 THEN ['the', 'that', 'und', 'les', 'zebra'] ELSE ['und', 'of'] END, lambda t: contains(lower(text), t)), ' ') AS found FROM documents JOIN e USING (source)""")
 def entity_boost(spark, d):
-    """What is added to the tokens of a text."""
-    return table(spark, d, "documents").select("doc_id", boost(F.col("text")).alias("found"))
+    """What is added to the tokens of a text: the entity terms of its source, a table, that the text holds."""
+    docs = table(spark, d, "documents")
+    place = F.row_number().over(Window.orderBy("source"))
+    terms = F.when(place % 2 == 0, F.array(*map(F.lit, ENTITIES))).otherwise(F.array(F.lit("Und"), F.lit("of"), F.lit("OF")))
+    known = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", terms.alias("terms"))
+    return docs.join(known, "source").select("doc_id", F.array_join(boost(F.col("text"), F.col("terms")), " ").alias("found"))
 
 
 @query("citations", RANKED + "SELECT h.qid, CAST(h.rank AS INTEGER) AS rank, d.source || '/' || h.doc_id AS path, substr(d.text, 1, 240) AS snippet FROM hy h JOIN documents d USING (doc_id) WHERE h.rank <= 8")

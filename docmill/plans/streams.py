@@ -39,6 +39,20 @@ def session_windows(spark, d):
     return st.sessions(table(spark, d, "events"), "30 minutes")
 
 
+@query("session_stream", """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l),
+m AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, run) SELECT * FROM m""")
+def session_stream(spark, d):
+    """The same sessions from a stream; a marker event far ahead lets the watermark close the last ones."""
+    return st.drain_sessions(_stream(spark, d).select("user_id", "ts"), "30 minutes")
+
+
+@query("label_segments", """WITH l AS (SELECT user_id, event_id, ts, event_type AS label, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), s AS (SELECT *, sum(CASE WHEN label IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM l),
+g AS (SELECT user_id, run, label, min(ts) AS start, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, label, start, lead(start) OVER (PARTITION BY user_id ORDER BY run) AS stop, n FROM g""")
+def label_segments(spark, d):
+    """Intervals between changes of a label: each ends where the next one begins."""
+    return st.segments(table(spark, d, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("label")))
+
+
 @query("stream_dedup", "SELECT user_id, event_type, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY ALL")
 def stream_dedup(spark, d):
     """Events of one kind, user and hour once: state is kept for as long as the watermark allows."""
@@ -75,26 +89,23 @@ def health_debounce_stream(spark, d):
 @query("stall_severity", """WITH p AS (SELECT user_id AS task, ts, event_id, floor(value / 50) AS bytes, event_id // 1000 AS page, event_type AS status FROM events),
 a AS (SELECT *, lag(bytes) OVER w IS NULL OR bytes > lag(bytes) OVER w OR page > lag(page) OVER w OR status <> lag(status) OVER w AS advanced FROM p WINDOW w AS (PARTITION BY task ORDER BY ts, event_id)),
 i AS (SELECT *, (epoch_us(ts) - epoch_us(max(CASE WHEN advanced THEN ts END) OVER (PARTITION BY task ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))) / 1e6 AS idle FROM a)
-SELECT task, event_id, round(idle, 6) AS idle, CASE WHEN idle >= 45 THEN 'stalled' WHEN idle >= 10 THEN 'slow' ELSE 'ok' END AS severity FROM i""")
+, v AS (SELECT *, CASE WHEN idle >= 45 THEN 'stalled' WHEN idle >= 10 THEN 'slow' ELSE 'ok' END AS severity FROM i)
+SELECT task, event_id, round(idle, 6) AS idle, severity, severity = 'ok' AND coalesce(lag(severity) OVER (PARTITION BY task ORDER BY ts, event_id), 'ok') <> 'ok' AS resumed FROM v""")
 def stall_severity(spark, d):
     p = table(spark, d, "events").select(F.col("user_id").alias("task"), "ts", "event_id", F.floor(F.col("value") / 50).alias("bytes"), F.floor(F.col("event_id") / 1000).alias("page"), F.col("event_type").alias("status"))
-    return st.stalls(p).select("task", "event_id", F.round("idle", 6).alias("idle"), "severity")
+    return st.stalls(p).select("task", "event_id", F.round("idle", 6).alias("idle"), "severity", "resumed")
 
 
 @query("recovery_state", "SELECT user_id, event_type, arg_max(value, [epoch_us(ts), event_id]) AS last_value, count(*) AS updates FROM events GROUP BY ALL")
 def recovery_state(spark, d):
-    """The latest state of each key."""
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.count(F.lit(1)).alias("updates"))
+    """The latest state of each key, kept by a stream."""
+    latest = _stream(spark, d).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.count(F.lit(1)).alias("updates"))
+    return st.drain(latest, "complete")
 
 
-@query("stream_ingest", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY source")
+@query("stream_ingest", "SELECT source || '/' || doc_id AS path, sha256(text) AS sha256, n_chars AS bytes FROM documents")
 def stream_ingest(spark, d):
-    """New files of a watched folder are applied batch by batch."""
-    path = st.scratch(spark)
-
-    def apply(batch, number):
-        batch.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("bytes")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/applied")
-
-    q = _stream(spark, d, "documents").writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/applied").groupBy("source").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    """A watched folder: every batch of files is compared with the stored listing, and what is new or changed replaces it."""
+    docs = _stream(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"))
+    stale = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.lit("stale").alias("sha256"), F.col("n_chars").alias("bytes"))
+    return st.watch(docs, stale)

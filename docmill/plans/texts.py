@@ -178,6 +178,26 @@ def clean_lines(spark, d):
     return spark.createDataFrame(LINES, "id int, t string").select("id", F.array_join(tx.list_lines(F.col("t"), F.lit("q one"), 3), "|").alias("lines"))
 
 
+SUGGESTED = ((1, "1) Summarize the files\n- \"What about the fee schedule?\"\n3. short\n\nWhat topics are covered?\n* Who signed the lease in 2019"), (2, "a\nList the documents and their main points.\n- Which parts are new 7.)"))
+
+
+@query("suggestion_lines", rf"""WITH r AS (SELECT * FROM ({values(*SUGGESTED)}) AS v(id, t)), l AS (SELECT id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[-•*0-9.) ]+|[-•*0-9.) ]+$', '', 'g'), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g')), lambda x: length(x) >= 8 AND NOT starts_with(lower(x), 'summarize ') AND lower(x) NOT IN ('what topics are covered?', 'list the documents and their main points.')) AS ls FROM r)
+SELECT id, array_to_string(ls[1:3], '|') AS lines FROM l""")
+def suggestion_lines(spark, d):
+    """Questions that a model suggests, without marks, and without those that fit any corpus."""
+    return spark.createDataFrame(SUGGESTED, "id int, t string").select("id", F.array_join(tx.suggestions(F.col("t"), 3), "|").alias("lines"))
+
+
+TWICE = ((1, "", "second"), (2, "first", "second"), (3, "  ", ""), (4, None, "late"))
+
+
+@query("answer_retry", f"SELECT id, CASE WHEN trim(coalesce(a, '')) <> '' THEN a ELSE coalesce(b, '') END AS answer, trim(coalesce(a, '')) = '' AS retried FROM ({values(*TWICE)}) AS v(id, a, b)")
+def answer_retry(spark, d):
+    """An empty answer is asked for once more."""
+    empty = F.trim(F.coalesce("a", F.lit(""))) == ""
+    return spark.createDataFrame(TWICE, "id int, a string, b string").select("id", F.when(~empty, F.col("a")).otherwise(F.coalesce("b", F.lit(""))).alias("answer"), empty.alias("retried"))
+
+
 FENCES = ((1, "```json\n{\"a\": 1}\n```"), (2, "no fence"), (3, "```\nx\ny"), (4, "  ```py\nz```  "))
 
 
@@ -211,15 +231,15 @@ def placeholder_sub(spark, d):
     return table(spark, d, "part").select("p_partkey", F.aggregate(parts, F.lit("{{name}} by {{brand}}"), lambda a, x: F.replace(a, x["k"], x["v"])).alias("line"))
 
 
-@query("crag_filter", r"""WITH r AS (SELECT * FROM (VALUES (1, 'keep 2, 5 and 99'), (2, 'no idea'), (3, '1 1 3')) AS t(qid, reply)),
+@query("crag_filter", r"""WITH r AS (SELECT * FROM (VALUES (1, 'keep 2, 5 and 99'), (2, 'no idea'), (3, '1 1 3'), (4, 'None of them')) AS t(qid, reply)),
 p AS (SELECT qid, regexp_extract_all(lower(reply), '\d+') AS ids FROM r), h AS (SELECT qid, unnest(range(1, 9)) AS rank FROM r)
-SELECT h.qid, CAST(h.rank AS INTEGER) AS rank FROM h JOIN p USING (qid) WHERE len(ids) = 0 OR list_contains(ids, CAST(h.rank AS VARCHAR))""")
+SELECT h.qid, CAST(h.rank AS INTEGER) AS rank FROM h JOIN p USING (qid) WHERE (len(ids) = 0 AND qid <> 4) OR list_contains(ids, CAST(h.rank AS VARCHAR))""")
 def crag_filter(spark, d):
-    """Hits whose number a model's reply names, in their order; all where it names none."""
-    r = spark.createDataFrame([(1, "keep 2, 5 and 99"), (2, "no idea"), (3, "1 1 3")], "qid int, reply string")
+    """Hits whose number a model's reply names, in their order; all where it names none, no hit where it says ``none``."""
+    r = spark.createDataFrame([(1, "keep 2, 5 and 99"), (2, "no idea"), (3, "1 1 3"), (4, "None of them")], "qid int, reply string")
     ids = F.transform(F.regexp_extract_all(F.lower("reply"), F.lit(r"(\d+)")), lambda x: x.cast("int"))
-    hits = r.select("qid", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank"))
-    return hits.filter((F.size("ids") == 0) | F.array_contains("ids", F.col("rank"))).select("qid", "rank")
+    hits = r.select("qid", F.contains(F.lower("reply"), F.lit("none")).alias("none"), ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank"))
+    return hits.filter(((F.size("ids") == 0) & ~F.col("none")) | F.array_contains("ids", F.col("rank"))).select("qid", "rank")
 
 
 @query("section_context", f"""WITH {CHUNKS} SELECT file_id, ord, right(lag(text) OVER w, 400) AS before, left(lead(text) OVER w, 400) AS after FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY ord)""")

@@ -101,10 +101,49 @@ def health_stream(probes: DataFrame, misses: int = 2) -> DataFrame:
 
 
 def stalls(progress: DataFrame, slow: float = 10.0, stalled: float = 45.0) -> DataFrame:
-    """Rows (task, ts, bytes, page, status) with the seconds since the task last advanced, and how bad that is."""
+    """Rows (task, ts, bytes, page, status) with the seconds since the task last advanced, how bad that is, and whether it has resumed."""
     w = Window.partitionBy("task").orderBy("ts", "event_id")
     advanced = F.lag("bytes").over(w).isNull() | (F.col("bytes") > F.lag("bytes").over(w)) | (F.col("page") > F.lag("page").over(w)) | (F.col("status") != F.lag("status").over(w))
     last = F.max(F.when(F.col("advanced"), F.col("ts"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = progress.withColumn("advanced", advanced).withColumn("idle", (F.unix_micros("ts") - F.unix_micros(last)) / 1e6)
     severity = F.when(F.col("idle") >= stalled, "stalled").when(F.col("idle") >= slow, "slow").otherwise("ok")
-    return marked.withColumn("severity", severity)
+    last_severity = F.coalesce(F.lag("severity").over(w), F.lit("ok"))
+    return marked.withColumn("severity", severity).withColumn("resumed", (F.col("severity") == "ok") & (last_severity != "ok"))
+
+
+def segments(events: DataFrame) -> DataFrame:
+    """user_id, label, start, stop, n of intervals between changes of a label (user_id, event_id, ts, label); the last one is open."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    changed = events.withColumn("first", ~F.col("label").eqNullSafe(F.lag("label").over(w)) | (F.row_number().over(w) == 1))
+    runs = changed.withColumn("run", F.sum(F.col("first").cast("int")).over(w))
+    each = runs.groupBy("user_id", "run", "label").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"))
+    return each.withColumn("stop", F.lead("start").over(Window.partitionBy("user_id").orderBy("run"))).select("user_id", "label", "start", "stop", "n")
+
+
+def drain_sessions(events: DataFrame, gap: str) -> DataFrame:
+    """Sessions (user_id, start, stop, n) of all events of a stream, whatever their lateness: the state is written at every batch."""
+    s = F.session_window("ts", gap).alias("s")
+    counted = events.groupBy("user_id", s).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n")
+    return drain(counted, "complete")
+
+
+def watch(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """The listing (path, sha256, bytes) after a stream of files: each batch replaces what is new or changed. A version of the listing is
+    written under the batch's number, so a batch that is run again overwrites its own version only."""
+    from docmill.operators.ingest import diff, upsert
+
+    spark = files.sparkSession
+    path = scratch(spark)
+    listing.write.parquet(f"{path}/version=-1")
+    schema = listing.schema
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{path}/version={number - 1}")
+        todo = diff(before, batch).filter("state IN ('new', 'changed')").select("path")
+        upsert(before, batch.join(todo, "path", "left_semi")).write.mode("overwrite").parquet(f"{path}/version={number}")
+        done.append(number)
+
+    done = [-1]
+    q = files.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/version={max(done)}")
