@@ -14,7 +14,7 @@ window around the seam is encoded anew; it grows outwards until what lies outsid
 
 Decoding concatenates bytes up the same kind of tree; its operation is concatenation, so any tree gives the same bytes.
 
-Defined cases: a null or empty text has no ids; rows are encoded each for itself; an empty table gives an empty result; other
+Defined cases: a null or empty text has no ids; rows are encoded each for itself; ids that aren't whole numbers are null; an empty table gives an empty result; other
 columns are passed over. The ranks come from a file whose path is a parameter; every executor needs it at that path.
 """
 
@@ -147,7 +147,7 @@ def encoder(path: str, pattern: str | None = None, **sizes: int) -> Coder:
 
 def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes; with ``ids`` also the ids themselves."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks_path)

@@ -131,7 +131,7 @@ def class_names(names: np.ndarray, count: np.ndarray) -> list[bytes | None]:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """doc_id, n, cls (16-byte name of the set, null for an empty one), sig (packed registers), key (hash of the text)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = stash(bands.join(shared, "key"), "bands")
 
     wanted = bands.filter("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    picked = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     sets = full_sets(picked, "text", size)
     if _repeats_ids(rows):  # one id can then bear several sets, and several rows one
         sets = sets.dropDuplicates(["cls"])

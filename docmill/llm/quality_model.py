@@ -6,12 +6,12 @@ two-split tree (three leaves) on the residual of the logistic loss, added at a s
 the pairs of features that explain most of what is left get tables over coarser bins in the same way. Scoring adds up table
 entries and is vectorised over documents.
 
-Training rows are those of ``labels`` whose ``crc32(doc_id as text) % 3`` is not 1, at most ``TRAIN_ROWS`` of them, the smallest
-by a hash of the id, which is the one bound here. Only their measures (some twenty numbers each) go to the driver. Labels, language,
+Training rows are those of ``labels`` whose ``crc32(doc_id as text) % 3`` is not 1, at most ``TRAIN_ROWS`` labels, the smallest
+by a hash of the id, and at most twice as many documents where ids repeat; this is the one bound here. Only their measures (some twenty numbers each) go to the driver. Labels, language,
 source and ids are never inputs of a score.
 
 Defined cases: a null or empty text has measures of 0 and gets a score like any other; rows that repeat an id are scored alike;
-labels without a document or null labels are not used; without training rows of both classes every score is the share of ones
+labels without a document or null labels are not used; ids of any type are compared as text; without training rows of both classes every score is the share of ones
 (0.5 where there are no rows); an empty table gives an empty result; in ``score_rows`` all columns of the input come back.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import textbatch as tb
 from .quality_rules import measure
-from .shared import text_of
+from .shared import fresh, text_of
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
@@ -188,7 +188,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def score_rows(docs: DataFrame, model: Additive, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with all its columns and the score of each row."""
+    """``docs`` with all its columns and the score of each row; a column of the score's name is replaced."""
+    docs = docs.drop(score_col)
     names = docs.columns
     at_text = names.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
@@ -205,7 +206,8 @@ def score_rows(docs: DataFrame, model: Additive, text_col: str = "text", score_c
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model, trained on the labelled ones among them, doesn't reject."""
     model = fit(*training_rows(docs, labels, id_col, text_col))
-    return score_rows(docs, model, text_col, "__score").filter(F.col("__score") >= threshold).select(*docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    return score_rows(docs, model, text_col, score).filter(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op6_quality_model(spark, sf_dir: str) -> DataFrame:

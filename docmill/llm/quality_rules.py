@@ -9,7 +9,7 @@ A text fails when any share is above the limit of its length, or when the share
 repeated words of the base rule are counted on the bytes themselves wherever names are equal.
 
 Defined cases: a null or empty text has no words and fails the base rule; ties and repeated rows are judged alike, each
-for itself; an empty table gives an empty result; other columns are passed over.
+for itself; ids that aren't whole numbers are null; an empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of measures and the verdict ``kept`` for each row of ``docs``."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

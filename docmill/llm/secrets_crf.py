@@ -14,7 +14,7 @@ Decoding is exact but skips most words: where no stretch around a word could mak
 cut a text into short stretches that are decoded at once, side by side, in numpy.
 
 Defined cases: a null or empty text has no spans; ties between tag sequences go to the earlier tag in the order O, B, I;
-repeated rows are scanned each for itself; an empty table trains on the made-up words alone and gives an empty result; other
+repeated rows are scanned each for itself; ids that aren't whole numbers are null; an empty table trains on the made-up words alone and gives an empty result; other
 columns are passed over. Work is per row; nothing is shuffled.
 """
 
@@ -336,7 +336,7 @@ def scan_block(field: Field, data: np.ndarray, offs: np.ndarray) -> list[list[tu
 
 def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, the digest of the base spans, and all spans. See the module for the cases."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     names = (*KINDS, "crf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ Names are 64-bit fingerprints under a key: among n different strings that are co
 are compared by two of them.
 
 Defined cases: a null or empty text has no bytes and one digest; texts under ``length`` bytes keep all; repeated rows are texts of their
-own and so repeat each other; an empty table gives an empty result; other columns are ignored.
+own and so repeat each other; ids that aren't whole numbers are null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -223,7 +223,7 @@ def _cat(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET, part_bytes: int = PART, texts: bool = False) -> DataFrame:
     """One row per document: its bytes, those removed, the maximal runs removed, a digest of the rest; with ``texts`` the
     bytes that are left, too. See the module for the method and the cases."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = total // bucket_bytes + 1, total // part_bytes + 1
     dealt = plain.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).alias("bucket"), "doc_id", "text")

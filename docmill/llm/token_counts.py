@@ -7,11 +7,13 @@ as intervals (binary search of sorted starts), and a token that crosses a sectio
 * ``most``: to the section that holds most of its bytes, the earlier one on a tie,
 * ``split``: to every section that it touches, in proportion to bytes (fractional counts).
 
-Sections are the lines of a text (each with its line feed), or spans given in a column of (start, stop) code points, which
-must be sorted and disjoint; tokens outside all spans count in ``n_outside``.
+Sections are the lines of a text (each with its line feed), or spans given in a column of (start, stop) code points, in any order;
+where spans overlap, the bytes belong to the one that starts first (of equal starts, the one given first), so every token counts
+once; empty spans are left out. Tokens outside all spans count in ``n_outside``.
 
 Defined cases: a null or empty text has no sections and no tokens; ties and repeated rows are counted each for itself;
-an empty table gives an empty result; a null span list counts as no spans; other columns are passed over. Work is per row;
+an empty table gives an empty result; a null span list counts as no spans; ids that aren't whole numbers are null; other columns are passed
+over. Work is per row;
 nothing is shuffled.
 """
 
@@ -33,7 +35,19 @@ SCHEMA = "doc_id long, n_tokens long, n_sections long, n_crossing long, n_outsid
 
 
 def allocate(starts: np.ndarray, stops: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, int, float]:
-    """(tokens per section, tokens over a boundary, tokens outside) for token and section byte intervals, both sorted."""
+    """(tokens per section, tokens over a boundary, tokens outside) for token intervals, sorted, and section intervals, in any order."""
+    order = np.argsort(lo, kind="stable")
+    upto = np.concatenate([[0], np.maximum.accumulate(hi[order])[:-1]]) if len(lo) else lo
+    cut = np.maximum(lo[order], upto)
+    real = cut < hi[order]
+    counts, crossing, outside = _allocated(starts, stops, cut[real], hi[order][real], rule)
+    out = np.zeros(len(lo))
+    out[order[real]] = counts
+    return out, crossing, outside
+
+
+def _allocated(starts: np.ndarray, stops: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, int, float]:
+    """The same for sections that are sorted and disjoint."""
     out = np.zeros(len(lo))
     if not len(starts):
         return out, 0, 0.0
@@ -45,18 +59,18 @@ def allocate(starts: np.ndarray, stops: np.ndarray, lo: np.ndarray, hi: np.ndarr
     out += np.bincount(first[whole], minlength=len(lo))[: len(lo)]
     outside = float((first > last).sum())
     crossing = np.flatnonzero(~whole & (first <= last))
+    if rule == "start":
+        held = lo[first[crossing]] <= starts[crossing]
+        np.add.at(out, first[crossing][held], 1)
+        return out, len(crossing), outside + float((~held).sum())
     for t in crossing:
         s = np.arange(first[t], last[t] + 1)
         part = np.minimum(hi[s], stops[t]) - np.maximum(lo[s], starts[t])
         if rule == "split":
             out[s] += part / (stops[t] - starts[t])
             outside += 1 - part.sum() / (stops[t] - starts[t])
-        elif rule == "most":
-            out[s[np.argmax(part)]] += 1
-        elif lo[s[0]] <= starts[t]:
-            out[s[0]] += 1
         else:
-            outside += 1
+            out[s[np.argmax(part)]] += 1
     return out, len(crossing), outside
 
 
@@ -72,7 +86,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spans = F.col(spans_col).cast("array<struct<start:int,stop:int>>") if spans_col else F.lit(None).cast("array<struct<start:int,stop:int>>")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), spans.alias("spans"))
+    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"), spans.alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks_path)

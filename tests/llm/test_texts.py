@@ -1,6 +1,7 @@
 """Operators over single texts against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as some
 
@@ -129,6 +131,62 @@ def test_token_rules():
     assert token_counts.allocate(starts, stops, lo[:0], hi[:0], "start") [2] == 3
 
 
+def brute_allocation(tokens, sections, rule):
+    """Bytes belong to the first section that starts at or before them; each token goes by the rule."""
+    order = sorted(range(len(sections)), key=lambda k: (sections[k][0], k))
+    owner = {}
+    for k in order:
+        for b in range(*sections[k]):
+            owner.setdefault(b, k)
+    out, outside = [0.0] * len(sections), 0.0
+    for a, z in tokens:
+        held = [owner.get(b) for b in range(a, z)]
+        if rule == "start":
+            k = held[0]
+        elif rule == "most":
+            first = {k: n for n, k in reversed(list(enumerate(held))) if k is not None}
+            k = max(first, key=lambda x: (held.count(x), -first[x])) if first else None
+        else:
+            for k in held:
+                if k is None:
+                    outside += 1 / (z - a)
+                else:
+                    out[k] += 1 / (z - a)
+            continue
+        if k is None:
+            outside += 1
+        else:
+            out[k] += 1
+    return out, outside
+
+
+@settings(max_examples=300, deadline=None)
+@given(some.lists(some.integers(1, 6), max_size=25), some.lists(some.tuples(some.integers(0, 70), some.integers(1, 20)), max_size=8), some.sampled_from(token_counts.RULES))
+def test_token_allocation(lengths, spans, rule):
+    stops = np.cumsum(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
+    starts = stops - np.array(lengths, np.int64)
+    sections = [(a, a + n) for a, n in spans]
+    lo, hi = (np.array([s[k] for s in sections], np.int64) for k in (0, 1))
+    counts, _, outside = token_counts.allocate(starts, stops, lo, hi, rule)
+    want, want_outside = brute_allocation(list(zip(starts.tolist(), stops.tolist(), strict=True)), sections, rule)
+    assert np.allclose(counts, want) and abs(outside - want_outside) < 1e-9
+
+
+def test_token_sections_of_documents(spark, data):
+    """Every line of every document: tokens by their first byte, by brute force over the tokens."""
+    texts = pd.read_parquet(f"{data}/documents.parquet").text.tolist()[:60]
+    coder = bpe.encoder(RANKS)
+    got = token_counts.count_tokens(frame(spark, texts), RANKS).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        raw, at, per = (t or "").encode(), 0, {}
+        for i in coder.core.encode_ordinary(t or ""):
+            line = raw[:at].count(b"\n")
+            per[line] = per.get(line, 0) + 1
+            at += len(coder.bytes[i])
+        n_lines = raw.count(b"\n") + (not raw.endswith(b"\n") if raw else 0)
+        assert r["section_tokens"] == [per.get(k, 0) for k in range(n_lines)]
+
+
 def test_token_spans(spark):
     df = spark.createDataFrame([(1, "hello world again", [(0, 5), (5, 11)]), (2, "é x", None)], "doc_id long, text string, spans array<struct<start:int,stop:int>>")
     a, b = token_counts.count_tokens(df, RANKS, spans_col="spans").orderBy("doc_id").collect()
@@ -193,6 +251,44 @@ def test_secrets_viterbi(data, field):
             tag = int(back[n - 1][tag]) if n else tag
 
 
+def test_secrets_spans(data, field):
+    """Spans of the method: stretches that a plain Viterbi search over the whole text tags, trimmed, beside the base spans."""
+    texts = [t for t in pd.read_parquet(f"{data}/documents.parquet").text.tolist()[:80] if t] + ["key sk-" + "aB3" * 14 + " then (Bearer " + "x1Y" * 15 + "), password=hunter2hunter"]
+    trim = secrets_crf._TRIM.decode()
+    seen = 0
+    for t in texts:
+        d_, o_ = tb.bytes_of(pa.array([t]))
+        _, _, row, x = secrets_crf.word_features(d_, o_)
+        e = (x @ field.weights.astype(np.float32)).astype(float)
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        tags, best, back = [], field.steps[0] + e[0] if len(e) else None, []
+        for k in range(1, len(e)):
+            paths = best[:, None] + field.steps
+            back.append(paths.argmax(0))
+            best = paths.max(0) + e[k]
+        if len(e):
+            tags = [int((best + field.steps[:, 0]).argmax())]
+            for b in reversed(back):
+                tags.insert(0, int(b[tags[0]]))
+        base, spans, k = brute_secrets(t), [], 0
+        while k < len(tags):
+            if tags[k] == secrets_crf.B:
+                j = k + 1
+                while j < len(tags) and tags[j] == secrets_crf.I:
+                    j += 1
+                a, z = words[k][0], words[j - 1][1]
+                a += len(t[a:z]) - len(t[a:z].lstrip(trim))
+                z -= len(t[a:z]) - len(t[a:z].rstrip(trim))
+                if z > a and all(z <= p or a >= q for p, _, q in base):
+                    spans.append((a, 3, z))
+                k = j
+            else:
+                k += 1
+        seen += len(spans)
+        assert secrets_crf.scan_block(field, d_, o_)[0] == sorted([*base, *spans])
+    assert seen
+
+
 def test_secrets_held_out(field):
     """Made-up secrets of another seed are found, look-alikes are left alone."""
     rnd = random.Random(99)
@@ -253,6 +349,51 @@ def test_private_of_very_long_texts(spark):
     assert [(m["start"], m["stop"]) for m in row["email"]] == brute_private(text)[0] and row["clean"] == " ".join(["[EMAIL] x"] * 20_000)
 
 
+def brute_terms(texts):
+    """Terms that disclose an entity, with the most bits, from sets of words and entities of every text."""
+    kinds = ("email", "ip", "card", "phone")
+    words, entities = [], []
+    for t in texts:
+        spans = brute_private(t)
+        entities.append({(k, t[a:z]) for k, s in zip(kinds, spans, strict=True) for a, z in s})
+        rest = list(t)
+        for s in spans:
+            for a, z in s:
+                rest[a:z] = " " * (z - a)
+        words.append(set(regex.findall(r"[\p{L}\p{M}\p{N}]+", "".join(rest))))
+    n, out = len(texts), {}
+    for e in set().union(*entities):
+        docs = [k for k in range(n) if e in entities[k]]
+        for t in set().union(*(words[k] for k in docs)):
+            both, n_t = sum(t in words[k] for k in docs), sum(t in w for w in words)
+            bits = math.log2(both * n / (n_t * len(docs)))
+            if both >= pii.SUPPORT and both / n_t >= pii.REVEALS and bits >= pii.GENERALISE_BITS:
+                out[t] = max(bits, out.get(t, 0))
+    return out
+
+
+def test_private_terms_by_brute_force(spark):
+    rnd = random.Random(4)
+    names = [f"name{k}" for k in range(30)]
+    texts = []
+    for _ in range(400):
+        who = rnd.choice(names)
+        said = [rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)]
+        if rnd.random() < 0.5:
+            said.append(f"{who}@mail.example.org" if rnd.random() < 0.8 else "+49 30 1234567")
+            said.append(rnd.choice([who, f"tag{who}", "omega"]))
+        rnd.shuffle(said)
+        texts.append(" ".join(said))
+    want = brute_terms(texts)
+    got = {r["term"]: r["bits"] for r in pii.disclosing_terms(frame(spark, texts)).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    found = pii.find_personal_data(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(found, texts, strict=True):
+        spans = brute_private(t)
+        inside = [m for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t) if m[0] in want]
+        assert [(m["start"], m["stop"]) for m in r["terms"]] == [m.span() for m in inside], (t, spans)
+
+
 def test_private_terms_of_whole_texts(spark, monkeypatch):
     """Terms count wherever they stand in a document, of any case, script and length, and not inside of entities."""
     far = " and so on" * 30
