@@ -10,7 +10,7 @@ def summary() -> list[Column]:
     """Cells, errors, mean total over the cells without error, mean seconds over all."""
     fine = F.col("err") == ""
     score = F.coalesce(F.sum(F.when(fine, F.col("total"))), F.lit(0)) / F.greatest(F.lit(1), F.count_if(fine))
-    return [F.count(F.lit(1)).alias("n"), F.count_if(~fine).alias("errs"), F.round(score, 6).alias("score"), F.round(F.avg("seconds"), 6).alias("secs")]
+    return [F.count(F.lit(1)).alias("n"), F.count_if(~fine).alias("errs"), F.round(score, 6).alias("score"), F.round(F.avg("seconds"), 9).alias("secs")]
 
 
 def per_model(cells: DataFrame) -> DataFrame:

@@ -29,12 +29,12 @@ def cells(spark, d):
     )
 
 
-@query("judge_summary", CELLS + "SELECT model, count(*) AS n, CAST(count(*) FILTER (err <> '') AS BIGINT) AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 6) AS secs FROM cells GROUP BY model")
+@query("judge_summary", CELLS + "SELECT model, count(*) AS n, CAST(count(*) FILTER (err <> '') AS BIGINT) AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 9) AS secs FROM cells GROUP BY model")
 def judge_summary(spark, d):
     return cells(spark, d).groupBy("model").agg(*ev.summary())
 
 
-@query("bench_grouping_sets", CELLS + "SELECT model, embedder, family, category, question, count(*) AS n, count(DISTINCT model) AS models, count(*) FILTER (err <> '') AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 6) AS secs FROM cells GROUP BY GROUPING SETS ((model), (embedder), (family), (category), (question), (model, category), (model, question), (model, embedder))")
+@query("bench_grouping_sets", CELLS + "SELECT model, embedder, family, category, question, count(*) AS n, count(DISTINCT model) AS models, count(*) FILTER (err <> '') AS errs, round(coalesce(sum(total) FILTER (err = ''), 0) / greatest(1, count(*) FILTER (err = ''))::DOUBLE, 6) AS score, round(avg(seconds), 9) AS secs FROM cells GROUP BY GROUPING SETS ((model), (embedder), (family), (category), (question), (model, category), (model, question), (model, embedder))")
 def bench_grouping_sets(spark, d):
     sets = [["model"], ["embedder"], ["family"], ["category"], ["question"], ["model", "category"], ["model", "question"], ["model", "embedder"]]
     cols = ["model", "embedder", "family", "category", "question"]

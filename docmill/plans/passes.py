@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docmill.operators import asks as ask
 from docmill.operators import models, passes
-from docmill.sources.tables import chunks
+from docmill.sources.tables import chunks, table
 
 from .registry import CHUNKS, query
 
@@ -79,3 +80,41 @@ def contextualize_pass(spark, d):
     said = F.when(F.col("ord") % 4 != 2, F.concat(F.lit("Part "), F.col("ord").cast("string"), F.lit(" of "), "source", F.lit(". ")))
     out = passes.contextualised(chunks(spark, d), said)
     return out.select("file_id", "ord", F.md5(F.col("embed_text").cast("binary")).alias("embed_digest"), F.md5(F.col("text").cast("binary")).alias("text_digest"))
+
+
+class Echo:
+    """A stand-in for a model: numbers the last paragraph of the prompt and a longer form of it."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        last = prompt.rsplit("\n\n", 1)[-1].replace("\n", " ")
+        if last.startswith("fail"):
+            raise ValueError("no reply")
+        return f"1. {last}\n2. {last} again\n- yes"
+
+
+#: Questions in a form that the stand-in repeats as it is: words and blanks, a letter first.
+ASKS_SQL = r"asks AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN 'fail ' ELSE 'why ' END || array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:12], ' ') AS q FROM conversations WHERE role = 'user')"
+
+
+def asks(spark, d):
+    c = table(spark, d, "conversations").filter("role = 'user'")
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 12)
+    return c.select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 9 == 0, "fail ").otherwise("why "), F.array_join(words, " ")).alias("q"))
+
+
+@query("question_variants", f"WITH {ASKS_SQL} SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN q ELSE trim(q) || '|' || trim(q) || ' again' END AS variants FROM (SELECT conv_id, turn, trim(q) AS q FROM asks)")
+def question_variants(spark, d):
+    """Other wordings of each question behind the question itself; without a reply the question alone."""
+    a = asks(spark, d).withColumn("q", F.trim("q"))
+    return a.select("conv_id", "turn", F.array_join(ask.variants(F.col("q"), Echo, 1), "|").alias("variants"))
+
+
+@query("question_suggestions", f"WITH {ASKS_SQL} SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE array_to_string(list_filter([q, q || ' again'], lambda x: length(x) >= 8), '|') END AS lines FROM (SELECT conv_id, turn, trim(q) AS q FROM asks)")
+def question_suggestions(spark, d):
+    return asks(spark, d).select("conv_id", "turn", F.array_join(ask.suggested(F.trim("q"), Echo, 3), "|").alias("lines"))
+
+
+@query("imagined_answers", f"WITH {ASKS_SQL} SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN q ELSE q || ' 1. ' || q || chr(10) || '2. ' || q || ' again' || chr(10) || '- yes' END AS searched FROM (SELECT conv_id, turn, trim(q) AS q FROM asks)")
+def imagined_answers(spark, d):
+    """What is searched for in place of a question for a list."""
+    return asks(spark, d).select("conv_id", "turn", ask.imagined_list(F.trim("q"), Echo).alias("searched"))

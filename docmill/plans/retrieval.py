@@ -205,7 +205,7 @@ def smart_retrieve(spark, d):
     return smart(spark, d, retrieve.Config()).select("qid", "doc_id", "rank", "position")
 
 
-@query("smart_retrieve_plain", RANKED + """, f AS (SELECT qid, doc_id, rank AS fr, count(*) OVER (PARTITION BY qid) AS n FROM hy WHERE rank <= 8)
+@query("smart_retrieve_plain", RANKED + """, f AS (SELECT qid, doc_id, rank AS fr, count(*) OVER (PARTITION BY qid) AS n FROM hy JOIN documents USING (doc_id) WHERE rank <= 8)
 SELECT qid, doc_id, CAST(fr AS INTEGER) AS rank, CAST(fr - 1 AS BIGINT) AS position FROM f""")
 def smart_retrieve_plain(spark, d):
     """All steps switched off: the fused list."""

@@ -12,9 +12,9 @@ def test_names():
     assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry(spark):
+def test_entry(spark, data):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["qid", "doc_id", "rank", "vec_rank", "fts_rank", "rrf", "kind"] and df.count() == 24
+    assert df.columns == ["qid", "doc_id", "rank", "vec_rank", "fts_rank", "rrf", "kind"] and df.count() == 8 * spark.read.parquet(f"{data}/conversations.parquet").filter("role = 'user' AND conv_id % 50 = 0").count()
 
 
 def test_without_the_subpackage(monkeypatch):
