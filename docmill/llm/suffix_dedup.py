@@ -40,7 +40,7 @@ from .shared import text_of
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a bucket, and bytes of text whose names meet in one part.
-BUCKET, PART = 4 << 20, 48 << 20
+BUCKET, PART = 4 << 20, 16 << 20
 NAMES = "round int, part int, bucket long, names binary"
 REPLY = "bucket long, round int, part int, codes binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
