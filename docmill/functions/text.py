@@ -47,23 +47,41 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def trimmed(c: Column) -> Column:
+    """The same for short strings, without a pattern."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapsed_runs(c: Column) -> Column:
     """Runs of at least LEAST_RUN equal short lines as one line with their number. Lines and runs are arrays of one row: each array is
-    built once and walked once, so time is in proportion to the text."""
-    lines = F.split(c, "\n")
-    cells = F.transform(lines, strip)
-    last = F.slice(F.concat(F.array(F.lit(None).cast("string")), cells), F.lit(1), F.size(cells))
-    pairs = F.zip_with(cells, last, lambda v, p: F.struct(v.alias("v"), v.eqNullSafe(p).alias("same")))
-    first = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("at"), x["v"].alias("v"), x["same"].alias("same"))), lambda x: ~x["same"])
-    ends = F.concat(F.slice(F.transform(first, lambda x: x["at"]), F.lit(2), F.size(cells)), F.array(F.size(cells)))
-    runs = F.zip_with(first, ends, lambda a, z: F.struct(a["v"].alias("v"), (z - a["at"]).alias("n")))
-
-    def of_lines(r: Column) -> Column:
-        cell = (r["v"] != "") & (F.length(r["v"]) <= LONGEST_CELL) & (r["n"] >= LEAST_RUN)
-        return F.transform(F.sequence(F.lit(1), r["n"]), lambda i: F.struct(i.alias("i"), F.when(cell, r["n"]).alias("n")))
-
-    marked = F.zip_with(lines, F.flatten(F.transform(runs, of_lines)), lambda line, m: F.when(m["n"].isNull(), line).when(m["i"] == 1, F.concat(F.regexp_extract(line, r"^\s*", 0), strip(line), F.lit(" (×"), m["n"].cast("string"), F.lit(")"))))
-    return F.array_join(F.array_compact(marked), "\n")
+    built once and walked once, so time is in proportion to the text; most texts have no such run and stay as they are."""
+
+    def of_cells(lines: Column, cells: Column) -> Column:
+        last = F.slice(F.concat(F.array(F.lit(None).cast("string")), cells), F.lit(1), F.size(cells))
+        starts = F.filter(F.transform(F.zip_with(cells, last, lambda v, p: F.when(~v.eqNullSafe(p), v)), lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda x: x["v"].isNotNull())
+
+        def of_starts(first: Column) -> Column:
+            ends = F.concat(F.slice(F.transform(first, lambda x: x["at"]), F.lit(2), F.size(cells)), F.array(F.size(cells)))
+            runs = F.zip_with(first, ends, lambda a, z: F.struct(a["at"].alias("at"), a["v"].alias("v"), (z - a["at"]).alias("n")))
+            cell = lambda r: (r["n"] >= LEAST_RUN) & (r["v"] != "") & (F.length(r["v"]) <= LONGEST_CELL)
+
+            def of_runs(found: Column) -> Column:
+                marks = F.flatten(F.transform(found, lambda r: F.when(cell(r), F.concat(F.array(r["n"]), F.array_repeat(F.lit(0), r["n"] - 1))).otherwise(F.array_repeat(F.lit(1), r["n"]))))
+                line = lambda x, m: F.when(m == 1, x).when(m > 1, F.concat(F.regexp_extract(x, r"^\s*", 0), trimmed(x), F.lit(" (×"), m.cast("string"), F.lit(")")))
+                return F.when(F.exists(found, cell), F.array_join(F.array_compact(F.zip_with(lines, marks, line)), "\n")).otherwise(c)
+
+            return let(runs, of_runs)
+
+        return let(starts, of_starts)
+
+    # Six lines take five line feeds.
+    whole = let(F.split(c, "\n"), lambda lines: let(F.transform(lines, trimmed), lambda cells: of_cells(lines, cells)))
+    return F.when(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) >= LEAST_RUN - 1, whole).otherwise(c)
 
 
 def normalised(c: Column) -> Column:

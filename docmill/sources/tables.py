@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 WINDOW, OVERLAP = 220, 30
 
 
+#: Bytes of a table between which its rows are dealt out where it has fewer files than there are cores.
+DEAL = (4 << 20, 64 << 20)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table of long texts in as many partitions as there are cores. One small file is one row group and so one task, whatever its
+    work; a table of any size has a task for each block and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not DEAL[0] <= size <= DEAL[1] or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; its time columns become timestamps in the session's zone."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = dealt(df) if name in ("documents", "pages") else df
     return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
 
 
