@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import text_of
+from .shared import documents, text_of
 
 #: Characters and bytes up to which a part is encoded at once, and the tokens of the first window inside a match.
 LEAF, PIECE_LEAF, WINDOW = 512, 256, 4
@@ -175,4 +175,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WS_CLASS, keep_rows, stash, text_of
+from .shared import WS_CLASS, documents, keep_rows, stash, text_of
 
 #: Counters of the sketch, and the most winners that are broadcast (32-byte digest, id, count: under 100 KB).
 TRACKED, HEAVY_MAX = 16384, 1000
@@ -74,7 +74,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(documents(spark, sf_dir))
 
 
 OP2_SQL = r"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, fresh, n_words, stash, text_of
+from .shared import discard, documents, fresh, n_words, stash, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, CAP = 1.5, 2.0
@@ -146,4 +146,4 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(documents(spark, sf_dir))

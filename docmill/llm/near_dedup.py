@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import discard, keep_rows, stash, text_of
+from .shared import discard, documents, keep_rows, stash, text_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -291,7 +291,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
+    found = near_duplicates(documents(spark, sf_dir), size=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

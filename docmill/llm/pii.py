@@ -36,7 +36,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash, text_of
+from .shared import documents, stash, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -254,7 +254,7 @@ def sanitise(found: DataFrame) -> DataFrame:
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, then the terms found, what is done to each (start:stop:action), and a digest of the sanitised text."""
-    found = sanitise(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = sanitise(find_personal_data(documents(spark, sf_dir)))
     base = F.concat(*[_spans(k, k) for k in KINDS])
     actions = F.array_join(F.transform("terms", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"), _action(m["bits"]))), ",")
     return found.select(

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import textbatch as tb
 from .quality_rules import measure
-from .shared import fresh, text_of
+from .shared import documents, fresh, text_of
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
@@ -211,7 +211,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op6_quality_model(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(*training_rows(docs, labels))
     scored = score_rows(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbatch as tb
-from .shared import text_of
+from .shared import documents, text_of
 
 #: n-gram length and the largest share of word characters that its repeats may cover.
 NGRAM_LIMITS = ((4, 0.40), (6, 0.38), (8, 0.36), (10, 0.34))
@@ -126,4 +126,4 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judge_quality(documents(spark, sf_dir))

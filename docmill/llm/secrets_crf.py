@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import text_of
+from .shared import documents, text_of
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -362,5 +362,5 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> F
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return scan_secrets(docs, fit_on(docs))

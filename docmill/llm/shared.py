@@ -3,35 +3,27 @@
 from __future__ import annotations
 
 import itertools
-import os
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.scratch import folder
+from docmill.sources.tables import dealt
+
 #: White space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
 WORD_RE = rf"[^{WS_CLASS}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset, a temporary one, but only if
-    driver and executors are one process: on a cluster each machine would write to its own disk."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "docmill-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; a small single file is dealt to all cores."""
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import text_of
+from .shared import documents, text_of
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a bucket, and bytes of text whose names meet in one part.
@@ -286,4 +286,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(documents(spark, sf_dir))

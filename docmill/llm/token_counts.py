@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .bpe import encoder
-from .shared import text_of
+from .shared import documents, text_of
 
 RULES = ("start", "most", "split")
 SCHEMA = "doc_id long, n_tokens long, n_sections long, n_crossing long, n_outside double, section_tokens array<double>"
@@ -116,6 +116,6 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     whole = F.transform("section_tokens", lambda x: x.cast("long"))
     return found.select("doc_id", "n_tokens", "n_sections", "n_crossing", whole.alias("section_tokens"))
