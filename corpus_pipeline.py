@@ -18,7 +18,7 @@ from docmill.llm.exact_dedup import drop_exact_copies
 from docmill.llm.mixing import apply_mix
 from docmill.llm.near_dedup import drop_near_copies
 from docmill.llm.quality_model import keep_good
-from docmill.llm.shared import stash
+from docmill.llm.shared import documents, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
