@@ -104,3 +104,42 @@ def test_scans_and_corrections(spark):
     df = spark.createDataFrame(pages, "file_id int, page int, text string, ocr string")
     got = sorted((r["file_id"], r["page"], r["origin"]) for r in passes.recovered(df).collect())
     assert got == [(1, 1, "scan"), (2, 1, "layer"), (2, 2, "recognised")]
+
+
+def test_recursive_chunks_keep_all_words(spark, data):
+    """Pieces hold at most the limit of words, and in order they are the text's words, once the repeated tails are taken off."""
+    from docmill.operators.chunking import recursive_chunks
+
+    texts = {r["doc_id"]: (r["text"] or "").split() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    pieces: dict[int, list[list[str]]] = {}
+    for r in recursive_chunks(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text", 128, 32, 16).orderBy("doc_id", "ord").collect():
+        pieces.setdefault(r["doc_id"], []).append(r["text"].split())
+    assert {k for k, t in texts.items() if t} == set(pieces)
+    for key, parts in pieces.items():
+        words, last = [], []
+        for i, part in enumerate(parts):
+            tail = min(24, len(last)) if i else 0
+            assert part[:tail] == last[len(last) - tail :]
+            last = part[tail:]
+            assert 0 < len(last) <= 96
+            words += last
+        # A mark at which a text is split, as the end of a sentence, goes with the split.
+        bare = lambda ws: [w.rstrip(".?!;") for w in ws]
+        assert bare(words) == bare(texts[key])
+
+
+def test_section_chunks_go_on(spark):
+    from docmill.operators.chunking import section_chunks, split_words
+
+    rows = [(f, s, " ".join(f"w{f}.{s}.{k}" for k in range(n))) for f, s, n in ((1, 0, 50), (1, 1, 10), (1, 2, 40), (2, 0, 5))]
+    got = section_chunks(spark.createDataFrame(rows, "f int, s int, t string"), "f", "s", "t", 27, 8, 6).orderBy("f", "ord").collect()
+    want = []
+    for f in (1, 2):
+        place = 0
+        for g, s, t in rows:
+            if g == f:
+                parts = split_words(t, 20)
+                for i, p in enumerate(parts):
+                    want.append((f, s, i, place, (" ".join(parts[i - 1].split()[-6:]) + " " if i else "") + p))
+                    place += 1
+    assert [tuple(r) for r in got] == want
