@@ -286,7 +286,7 @@ def agentic_retrieve(spark, d):
     from docmill.operators.agent import agentic
 
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return agentic(spark, questions(spark, d), docs, lambda q: smart(spark, d, retrieve.Config(), q))
+    return agentic(questions(spark, d), docs, lambda q: smart(spark, d, retrieve.Config(), q))
 
 
 @query("chunk_fixed", f"WITH {CHUNKS} SELECT file_id, ord, md5(text) AS digest FROM chunks")

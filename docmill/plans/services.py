@@ -113,14 +113,20 @@ def sidecar_toml(spark, d):
     return sidecars.read(broken, "doc_id", "toml").select("doc_id", "title", "scope", F.array_join("topics", ",").alias("topics"), "broken")
 
 
-@query("progress_throttle")
+CHAIN = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n, count(*) OVER (PARTITION BY user_id) AS cnt FROM events),
+r AS (SELECT key, event_id, tm, n, cnt, tm AS prev, {first} AS flag FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e.event_id, e.tm, e.n, e.cnt, CASE WHEN e.tm - r.prev >= {gap} THEN e.tm ELSE r.prev END, (e.tm - r.prev >= {gap}) = {sent} FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+"""
+
+
+@query("progress_throttle", CHAIN.format(first="true", gap="10000000", sent="true") + "SELECT key AS user_id, event_id, tm AS at FROM r WHERE flag OR n = cnt")
 def progress_throttle(spark, d):
     """Progress events of each file at most every ten seconds, and always the last: sequential for each file."""
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros("ts").alias("at"))
     return services.throttled(e, "user_id", "at", "event_id", 10_000_000)
 
 
-@query("ttl_cache")
+@query("ttl_cache", CHAIN.format(first="false", gap="14400000000", sent="false") + "SELECT key, event_id, flag AS hit FROM r")
 def ttl_cache(spark, d):
     """Look-ups by key against a cache whose entries live four hours: whether each is a hit."""
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros("ts").alias("at"))
