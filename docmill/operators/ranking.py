@@ -81,7 +81,7 @@ def mmr(hits: DataFrame, key: str, vec: str, k: int, balance: float) -> DataFram
             near = np.full(len(pdf), -np.inf)
             while left and len(out) < k:
                 gain = [balance * rel[i] - (1 - balance) * near[i] if out else rel[i] for i in left]
-                best = left.pop(int(np.argmax(gain)))
+                best = left.pop(int(np.argmax(np.round(gain, 9))))  # equal to nine places is a tie, which goes by rank
                 out.append(best)
                 near = np.maximum(near, m @ m[best])
         return pd.DataFrame({"qid": pdf["qid"].iloc[out].to_numpy(), key: pdf[key].iloc[out].to_numpy(), "new_rank": range(1, len(out) + 1)})

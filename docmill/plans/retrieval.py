@@ -175,7 +175,22 @@ def rerank_lexical(spark, d):
     return ranking.rerank(hits, questions(spark, d), "text", 8).select("qid", "doc_id", "rank", F.round("overlap", 6).alias("overlap"), "new_rank")
 
 
-@query("mmr_select")
+def mmr_sql(candidates: str) -> str:
+    """SQL of tables up to chosen (qid, doc_id, fr) from cand (qid, doc_id, rank, rel, v): greedy choice of eight, one step of recursion each."""
+    return f"""cand AS ({candidates}), cn AS (SELECT qid, count(*) AS n FROM cand GROUP BY qid),
+sim AS (SELECT a.qid, a.doc_id AS a, b.doc_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM cand a JOIN cand b ON a.qid = b.qid),
+st AS (SELECT qid, 1 AS step, [arg_max(doc_id, [round(rel, 9), -rank])] AS chosen FROM cand GROUP BY qid
+  UNION ALL SELECT qid, step + 1, list_append(any_value(chosen), arg_max(doc_id, [round(gain, 9), -rank])) FROM (
+    SELECT st.qid, st.step, any_value(st.chosen) AS chosen, c.doc_id, any_value(c.rank) AS rank, 0.5e0 * any_value(c.rel) - 0.5e0 * max(sim.s) AS gain
+    FROM st JOIN cand c ON c.qid = st.qid AND NOT list_contains(st.chosen, c.doc_id) JOIN sim ON sim.qid = st.qid AND sim.a = c.doc_id AND list_contains(st.chosen, sim.b) WHERE st.step < 8 GROUP BY st.qid, st.step, c.doc_id) GROUP BY qid, step),
+picks AS (SELECT qid, unnest(chosen) AS doc_id, unnest(range(1, len(chosen) + 1)) AS fr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step DESC) AS i FROM st) WHERE i = 1),
+chosen AS (SELECT c.qid, c.doc_id, CASE WHEN cn.n <= 8 THEN row_number() OVER (PARTITION BY c.qid ORDER BY c.rank) ELSE p.fr END AS fr FROM cand c JOIN cn USING (qid) LEFT JOIN picks p ON p.qid = c.qid AND p.doc_id = c.doc_id WHERE cn.n <= 8 OR p.fr IS NOT NULL)"""
+
+
+VECTOR_HITS = "SELECT r.qid, r.doc_id, r.rank, r.score AS rel, CAST(e.embedding AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs) r JOIN embeddings e ON e.vec_id = r.doc_id WHERE r.rank <= 24"
+
+
+@query("mmr_select", f"WITH RECURSIVE {Q_SQL}, {VEC}, {mmr_sql(VECTOR_HITS)} SELECT qid, doc_id, CAST(fr AS INTEGER) AS new_rank FROM chosen")
 def mmr_select(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     hits = _vec(spark, d, 24).join(e.select("doc_id", "embedding"), "doc_id")
@@ -212,9 +227,13 @@ def smart_retrieve_plain(spark, d):
     return smart(spark, d, retrieve.Config(rerank=False, per_source=0, reorder=False)).select("qid", "doc_id", "rank", "position")
 
 
-@query("smart_retrieve_mmr")
+RERANKED_HITS = "SELECT r.qid, r.doc_id, r.new_rank AS rank, r.overlap AS rel, CAST(e.embedding AS DOUBLE[]) AS v FROM rr r JOIN embeddings e ON e.vec_id = r.doc_id WHERE r.new_rank <= 24"
+
+
+@query("smart_retrieve_mmr", RERANK.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {mmr_sql(RERANKED_HITS)}, f AS (SELECT qid, doc_id, fr, count(*) OVER (PARTITION BY qid) AS n FROM chosen)
+SELECT qid, doc_id, CAST(fr AS INTEGER) AS rank, CAST(CASE WHEN n <= 2 THEN fr - 1 WHEN (fr - 1) % 2 = 0 THEN (fr - 1) // 2 ELSE n - 1 - (fr - 2) // 2 END AS BIGINT) AS position FROM f""")
 def smart_retrieve_mmr(spark, d):
-    """Relevance diversification by vectors in place of the cap per source. Greedy, so without SQL."""
+    """Relevance diversification by vectors in place of the cap per source."""
     return smart(spark, d, retrieve.Config(mmr=True)).select("qid", "doc_id", "rank", "position")
 
 
