@@ -8,8 +8,9 @@ separate per source; they are found by safeguarded Newton steps, each of which i
 of its target, which is less than the rounding into copies loses; a dual that isn't solved in ``MAX_STEPS`` is an error.
 
 The rates are then rounded into whole copies: the integer part, and one more for the documents whose hashed uniform number falls
-short of the fraction by more than a source's threshold. The threshold is read off two nested histograms, so that a source's
-taken words end within about one document of its target.
+short of the fraction by more than a source's threshold. The threshold is read off two nested histograms; what is left of a
+target is then filled ``FILLS`` times with documents that fit into it, so a source's taken words end under its target by less than a
+document that would still fit, as far as there are small ones.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 taken 0 words; a source without words has target 0; an empty table gives an empty result; reruns agree, for the
@@ -29,6 +30,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, CAP = 1.5, 2.0
 MAX_STEPS, CLOSE = 60, 1e-7
 BINS = 2048
+#: Times that what is left of a target is filled with smaller documents.
+FILLS = 3
 #: Sources up to which their parameters are broadcast (under 10 MB); beyond, the join shuffles and Spark splits hot keys.
 BROADCAST_SOURCES = 100_000
 
@@ -125,15 +128,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     need = keyed.groupBy("skey").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
     open_ = keyed.filter("size > 0").select("doc_id", "skey", "size", "key")
     cuts = _threshold(open_.select("skey", "size", "key"), need)
-    # The document at the cut can be long: what is left is filled, in another hashed order, with copies that fit into it.
-    once = keyed.join(_small(cuts), "skey", "left").withColumn("first", F.col("whole") + F.when((F.col("size") > 0) & (F.col("key") < F.col("cut")), 1).otherwise(0))
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("first") < F.lit(int(cap)))
-    key2 = F.when(fits, (F.xxhash64(F.col("doc_id").cast("string"), F.lit("fill")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 51)) - 1)
-    once = once.withColumn("key2", key2)
-    again = _threshold(once.filter("key2 IS NOT NULL").select("skey", "size", F.col("key2").alias("key")), cuts.select("skey", F.col("left").alias("need"))).select("skey", F.col("cut").alias("cut2"))
-    final = once.join(_small(again), "skey", "left")
-    copies = (F.col("first") + F.when(F.col("key2") < F.col("cut2"), 1).otherwise(0)).cast("long")
-    return final.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # The document at the cut can be long: what is left is filled, each time in another hashed order, with copies that fit into it.
+    left = cuts.select("skey", F.col("left").alias("need"))
+    now = keyed.join(_small(cuts), "skey", "left").withColumn("copies", F.col("whole") + F.when((F.col("size") > 0) & (F.col("key") < F.col("cut")), 1).otherwise(0))
+    now = now.select("doc_id", "skey", "size", "source_size", "target", "copies")
+    for k in range(FILLS):
+        order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(f"fill-{k}")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 51)) - 1
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("copies") < F.lit(int(cap)))
+        open_ = stash(now.join(_small(left), "skey", "left").withColumn("key", F.when(fits, order)).drop("need"), "filling")
+        found = _threshold(open_.filter("key IS NOT NULL").select("skey", "size", "key"), left)
+        left = found.select("skey", F.col("left").alias("need"))
+        more = F.when(F.col("key") < F.col("cut"), 1).otherwise(0)
+        now = open_.join(_small(found.select("skey", "cut")), "skey", "left").withColumn("copies", F.col("copies") + more).drop("key", "cut")
+    copies = F.col("copies").cast("long")
+    return now.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
