@@ -6,7 +6,8 @@
    among them.
 3. The candidates are verified by exact counting. Winners (at most ``HEAVY_MAX`` rows of fixed width) are broadcast and
    decide their rows on the map side, so a group with a third of all rows is never shuffled.
-4. All other digests, none of which is large, go through an ordinary shuffle.
+4. All other digests go through an ordinary shuffle: groups are counted and decided by partial aggregation, and their rows find
+   the result by an equi-join, which Spark can split; a group of up to a thousandth of all rows isn't gathered in a task.
 
 Defined cases: a null or empty text has the digest of the empty string, so all of them are one group; ties on length go
 to the smallest id (a null id sorts first, as the smallest), and of rows that are equal in both exactly one stays; rows of one id with
@@ -15,7 +16,7 @@ different texts are judged each for itself; an empty table gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WS_CLASS, documents, keep_rows, stash, text_of
@@ -56,9 +57,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     winners = stash(heavy_winners(table), "digest-winners")
     hot = table.join(F.broadcast(winners), "digest").select("row", "doc_id", "digest", "keep_id", "keep_row", "group_size")
     rest = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    per_digest = Window.partitionBy("digest")
-    cold = rest.select("row", "doc_id", "digest", _best().over(per_digest).alias("best"), F.count(F.lit(1)).over(per_digest).alias("group_size"))
-    return hot.unionByName(cold.select("row", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"))
+    each = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best"))
+    cold = rest.join(each.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "digest")
+    return hot.unionByName(cold.select("row", "doc_id", "digest", "keep_id", "keep_row", "group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +69,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; its columns are unchanged."""
-    per = _judged(docs, id_col, text_col).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.collect_list(F.when(F.col("row") == F.col("keep_row"), F.col("digest"))).alias("keys"))
-    winners = stash(per.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"), (F.col("rows") == 1).alias("alone")), "exact-kept")
-    return keep_rows(docs, id_col, winners, _digest(text_of(text_col)))
+    judged = _judged(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.col("digest").alias("key"), (F.col("row") == F.col("keep_row")).alias("kept"))
+    rows = stash(judged, "exact-judged")
+    return keep_rows(docs, id_col, rows.select("id"), rows.filter("kept").select("id", "key"), _digest(text_of(text_col)))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

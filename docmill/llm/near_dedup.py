@@ -25,9 +25,12 @@ Shuffles: keys and row numbers for bands; full sets only of classes that share a
 plain equi-joins, which Spark splits when skewed; counts are pre-aggregated. Tables between steps are written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with fewer words than
-a shingle the whole sequence is the one shingle; rows that repeat an id are separate rows, whose links count for the id; a row
-without an id takes part in no link to others' components but by its set; ids are whole numbers (others become null); an empty table
-gives an empty result; other columns are ignored.
+a shingle the whole sequence is the one shingle; rows that repeat an id are separate rows, whose links count for the id; rows
+without an id are linked like others, and a component of such rows alone has a null component_id; ids are of any type that has an order; an
+empty table gives an empty result; other columns are ignored.
+
+Shingles travel as 64-bit names under a secret key that the driver draws for each run (``textbatch.names``): no texts can be built whose
+shingles share one, and among the shingles of two given texts some do with a chance of their number squared over 2^64.
 """
 
 from __future__ import annotations
@@ -57,11 +60,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, size: int, key: bytes = tb.HERE) -> tuple[np.ndarray, np.ndarray]:
     """(row, 64-bit name) of the distinct shingles of every text of a block, sorted by row and name."""
     data = _LOWER[data]
     start, stop, row = tb.words(data, offs)
-    run = tb.Prints(tb.names(data, start, stop))
+    run = tb.Prints(tb.names(data, start, stop, key))
     n = len(offs) - 1
     count = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
@@ -129,31 +132,31 @@ def class_names(names: np.ndarray, count: np.ndarray) -> list[bytes | None]:
     return [both[k].tobytes() if count[k] else None for k in range(len(count))]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, secret: bytes) -> DataFrame:
     """doc_id, n, cls (16-byte name of the set, null for an empty one), sig (packed registers), key (hash of the text)."""
-    plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tb.bytes_of(batch.column(1))
             for i, j, part, at in tb.blocks(data, offs):
                 n = j - i
-                row, names = shingles(part, at, size)
+                row, names = shingles(part, at, size, secret)
                 count = np.bincount(row, minlength=n)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(sketch(row, names, n).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count, pa.int64()), pa.array(class_names(names, count), pa.binary()), sig, batch.column(2).slice(i, n)], names=["doc_id", "n", "cls", "sig", "key"])
 
-    return plain.mapInArrow(run, "doc_id long, n long, cls binary, sig array<long>, key long")
+    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n long, cls binary, sig array<long>, key long")
 
 
-def full_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+def full_sets(docs: DataFrame, text_col: str, size: int, secret: bytes) -> DataFrame:
     """cls, set (the shingles' 64-bit names) of every text that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tb.bytes_of(batch.column(0))
             for i, j, part, at in tb.blocks(data, offs):
-                row, names = shingles(part, at, size)
+                row, names = shingles(part, at, size, secret)
                 count = np.bincount(row, minlength=j - i)
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(names.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(class_names(names, count), pa.binary()), sets], names=["cls", "set"])
@@ -239,17 +242,26 @@ def across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key (hash of the text), component (its number, null without words) for every row. See the module for the method and the cases."""
-    rows = stash(sketches(docs, id_col, text_col, size), "sketches")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n"))
+    secret = tb.fresh_key()
+    rows = stash(sketches(docs, id_col, text_col, size, secret), "sketches")
+    least_row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.coalesce(least_row["key"], F.min("key")).alias("rep_key"), F.min("sig").alias("sig"), F.min("n").alias("n"))
     classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    bands = classes.select("c", "rep", F.posexplode("sig").alias("band", "value")).select("c", "rep", "band", F.xxhash64("band", "value").alias("key"))
+    bands = classes.select("c", "rep", "rep_key", F.posexplode("sig").alias("band", "value")).select("c", "rep", "rep_key", "band", F.xxhash64("band", "value").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1")
     bands = stash(bands.join(shared, "key"), "bands")
 
-    wanted = bands.filter("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct()
-    picked = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
-    sets = full_sets(picked, "text", size)
-    if _repeats_ids(rows):  # one id can then bear several sets, and several rows one
+    # A class is read from the text of its least id; one whose rows all lack an id, from any of them by the hash of its text.
+    wanted = stash(bands.select(F.col("rep").alias("id"), F.col("rep_key").alias("of")).distinct(), "wanted")
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = told.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi").select("text")
+    lacking = wanted.filter("id IS NULL").select("of")
+    odd = _repeats_ids(rows)  # one id can then bear several sets, and several rows one
+    sets = full_sets(named, "text", size, secret)
+    if lacking.limit(1).count():
+        unnamed = told.filter("id IS NULL").withColumn("of", F.xxhash64(text_of("text"))).join(lacking.distinct().hint("merge"), "of", "left_semi")
+        sets, odd = sets.unionByName(full_sets(unnamed, "text", size, secret)), True
+    if odd:
         sets = sets.dropDuplicates(["cls"])
     sets = stash(sets.join(classes.select("cls", "c"), "cls").select("c", "set"), "sets")
 
@@ -284,14 +296,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component, the one whose text has the least hash stays, and of rows that are equal in both one. Rows without words are
     linked with nothing, so one of each id stays."""
     found = near_duplicates(docs, id_col, text_col, size, threshold)
-    per = found.groupBy("doc_id", "component").agg(F.min(F.when(F.col("kept"), F.col("text_key"))).alias("key"), F.count(F.lit(1)).alias("rows"))
-    per = per.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.sum("rows").alias("rows"))
-    winners = stash(per.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"), (F.col("rows") == 1).alias("alone")), "near-kept")
-    return keep_rows(docs, id_col, winners, F.xxhash64(text_of(text_col)))
+    rows = stash(found.select(F.col("doc_id").alias("id"), "component", "kept", F.col("text_key").alias("key")), "near-judged")
+    winners = stash(rows.filter("kept").groupBy("id", "component").agg(F.min("key").alias("key")), "near-kept")
+    return keep_rows(docs, id_col, rows.select("id"), winners.select("id", "key"), F.xxhash64(text_of(text_col)))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(documents(spark, sf_dir), size=4)
+    docs = documents(spark, sf_dir)
+    found = near_duplicates(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text"), size=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

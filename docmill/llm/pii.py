@@ -11,11 +11,12 @@ reaches ``REVEALS``, at least ``SUPPORT`` documents show both, and the informati
 documents (rows) over the whole corpus. Spans of disclosing terms are added in every document that has them, with or without the
 entity; at ``REMOVE_BITS`` or more the term is removed from the sanitised text, below it is generalised to ``[NAME]``.
 
-Scale: entity-term rows come only from documents with entities, never from pairs of terms, and only for entities that can still
-be disclosed: those in ``SUPPORT`` documents that aren't so common that no term could give the bits. Terms that other documents
-with entities show too often for ``REVEALS`` are not looked up in the rest of the corpus. Neither changes the result. All counts
-are by (entity, term) with map-side partial sums, so a frequent entity isn't one task; lists are broadcast only when their counted
-size is under ``BROADCAST_TERMS``, and joined by a shuffle beyond that.
+Scale: entity-term rows come only from documents with entities, and only for entities that can still be disclosed: those in ``SUPPORT``
+documents that aren't so common that no term could give the bits. Entities that stand in the same documents count as one, and so do terms, so a long list of
+contacts in copies of a text isn't multiplied with its words. Of what is left a document makes pairs of an entity and those of its terms only
+that are rare enough for ``REVEALS``. None of this changes the result. All counts are by (entity, term) with map-side partial sums, so a
+frequent entity isn't one task; lists are broadcast only when their counted size is under ``BROADCAST_TERMS``, and joined by a
+shuffle beyond that.
 
 Terms are looked up in every text on the map side as long as there are ``LITERAL_TERMS`` at most; their table then travels with the
 plan, laid out in as many small lists as there are terms, so a look-up costs the same for any number. With more terms the words of
@@ -146,6 +147,27 @@ def entities_and_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     return rest.select("entities", _words(F.col("rest")).alias("words"))
 
 
+def _classes(postings: DataFrame, of: str) -> DataFrame:
+    """of, n, a, b: how many rows hold each value, and two hashes of the set of these rows."""
+    return postings.groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+
+
+def _firsts(classes: DataFrame, of: str) -> DataFrame:
+    """One value for each set of rows."""
+    return classes.groupBy("n", "a", "b").agg(F.min(of).alias(of)).select(of, "n")
+
+
+def met(seen: DataFrame, entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """entity, term, n_seen for each row of ``seen`` (row, entities, words) in which both occur and the term may reveal the entity. entities: entity,
+    n_e; terms: term, n_seen. Both lists of a row are brought together once, and a pair is made only if the term isn't too common for the entity."""
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    left = seen.select("row", F.explode("entities").alias("entity")).join(small(entities), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("es"))
+    right = seen.select("row", F.explode("words").alias("term")).join(small(terms), "term").groupBy("row").agg(F.collect_list(F.struct("term", "n_seen")).alias("ts"))
+    each = left.join(right, "row").select(F.explode("es").alias("e"), "ts")
+    reach = F.filter("ts", lambda t: t["n_seen"] * REVEALS <= F.col("e.n_e") * (1 + 1e-9))
+    return each.select("e.entity", F.explode(reach).alias("t")).select("entity", "t.term", "t.n_seen")
+
+
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, bits: the terms that reveal some protected entity of the corpus, with the most information that they give."""
     rows = entities_and_words(docs, id_col, text_col)
@@ -153,25 +175,27 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = stash(rows.select(F.monotonically_increasing_id().alias("row"), "entities", marked), "entity-words").filter("size(entities) > 0")
     n = docs.count()
     # P(e | t) is 1 at most, so a more common entity can't reach the bits by any term.
-    possible = (F.col("n_e") >= SUPPORT) & (F.col("n_e") * 2**GENERALISE_BITS <= n * (1 + 1e-9))
-    with_entity = stash(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(possible), "entity-counts")
-    if with_entity.count() <= BROADCAST_TERMS:
-        linked = seen.select(F.explode("entities").alias("entity"), "words").join(F.broadcast(with_entity), "entity", "left_semi")
-    else:  # narrow rows meet the entities, words are moved once for each document
-        links = seen.select("row", F.explode("entities").alias("entity")).join(with_entity, "entity", "left_semi").groupBy("row").agg(F.collect_list("entity").alias("linked"))
-        linked = seen.join(links, "row").select(F.explode("linked").alias("entity"), "words")
-    both = linked.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    at_least = seen.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_seen")).filter(F.col("n_seen") >= SUPPORT)
-    both = both.join(at_least, "term").filter(F.col("n_both") / F.col("n_seen") >= REVEALS).select("entity", "term", "n_both")
-    both = stash(both, "entity-term-counts")
-    wanted = both.select("term").distinct()
+    possible = (F.col("n") >= SUPPORT) & (F.col("n") * 2**GENERALISE_BITS <= n * (1 + 1e-9))
+    with_entity = _firsts(_classes(seen.select("row", F.explode("entities").alias("entity")), "entity").filter(possible), "entity")
+    with_entity = stash(with_entity.withColumnRenamed("n", "n_e"), "entity-counts")
+    most = with_entity.agg(F.max("n_e").alias("n")).first()["n"] or 0
+    # A term that more rows with entities hold than P(e | t) allows for the most common of them reveals none.
+    open_ = (F.col("n") >= SUPPORT) & (F.col("n") * REVEALS <= most * (1 + 1e-9))
+    classes = stash(_classes(seen.select("row", F.explode("words").alias("term")), "term").filter(open_), "term-classes")
+    firsts = stash(_firsts(classes, "term").withColumnRenamed("n", "n_seen"), "term-counts")
+    both = met(seen, with_entity, firsts).groupBy("entity", "term", "n_seen").agg(F.count(F.lit(1)).alias("n_both"))
+    both = both.filter((F.col("n_both") >= SUPPORT) & (F.col("n_both") / F.col("n_seen") >= REVEALS)).join(with_entity, "entity")
+    # What holds for a term holds for all that stand in the same rows.
+    found = both.select("term", "n_both", "n_e").distinct().join(classes.select("term", "n", "a", "b"), "term").drop("term")
+    alike = stash(found.join(classes, ["n", "a", "b"]).select("term", "n_both", "n_e"), "entity-term-counts")
+    wanted = alike.select("term").distinct()
     n_wanted = wanted.count()
     # explode() would add a filter on the words' number, for which the patterns run a second time; the joins drop null terms.
     terms = rows.select(F.explode_outer("words").alias("term"))
     if n_wanted <= BROADCAST_TERMS:
         terms = terms.join(F.broadcast(wanted), "term", "left_semi")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = both.join(with_entity, "entity").join(df, "term").withColumn("p", F.col("n_both") / F.col("n_t")).withColumn("bits", F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
+    scored = alike.join(df, "term").withColumn("p", F.col("n_both") / F.col("n_t")).withColumn("bits", F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
     return scored.filter((F.col("p") >= REVEALS) & (F.col("bits") >= GENERALISE_BITS)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 

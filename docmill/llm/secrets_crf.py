@@ -4,10 +4,10 @@ Base: assignments, access keys and hex strings by pattern. Method: the words of
 (I) or outside (O) by a conditional random field over features of a word's shape, of the words beside it and of the file; the
 tags are the most likely sequence (Viterbi). Tagged stretches that overlap no base span are added.
 
-Training is supervised by construction: ``TRAIN_DOCS`` texts of the corpus (the smallest by a hash of the id, of at most
-``TRAIN_CHARS`` code points each; these two are the bound of the sample) get made-up secrets and look-alikes (addresses, numbers, dates,
+Training is supervised by construction: ``TRAIN_DOCS`` texts of the corpus (the smallest by a hash of the id; of a text over ``TRAIN_CHARS``
+code points a stretch of that size, which begins where a hash of the id says; these two are the bound of the sample) get made-up secrets and look-alikes (addresses, numbers, dates,
 long words) all along, after every ``GAP`` words; their own base spans count as secrets too. No other real secrets are in training.
-All words of these texts train, in chunks of ``CHUNK``. The ids are chosen first, so only the chosen texts go to the driver. The
+All words of these stretches train, in chunks of ``CHUNK``. The ids are chosen first, so only the chosen texts go to the driver. The
 weights maximise the penalised conditional likelihood, with exact gradients by forward-backward.
 
 Decoding is exact but skips most words: where no stretch around a word could make up for tagging it, O is certain, and such words
@@ -355,7 +355,10 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """The field trained on a bounded sample of ``docs``."""
     text = text_of(text_col)
-    sized = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).filter(F.length("text").between(1, TRAIN_CHARS) & F.col("id").isNotNull())
+    size = F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)
+    stretch = F.when(F.length("text") > TRAIN_CHARS, F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit("stretch")), size) + 1).cast("int"), F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    plain = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != ""))
+    sized = plain.select("id", stretch.alias("text"))
     ids = sized.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(TRAIN_DOCS)
     chosen = sized.join(F.broadcast(ids), "id").orderBy("h", "id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
     return fit([r["text"] for r in chosen])

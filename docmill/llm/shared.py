@@ -43,15 +43,18 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return [next(c for c in (f"{n}_{k}" for k in itertools.count()) if c.lower() not in low) for n in names]
 
 
-def keep_rows(docs: DataFrame, id_col: str, winners: DataFrame, key: Column) -> DataFrame:
-    """The row of ``docs`` that each of ``winners`` (id, key, alone: whether the id has one row) names, columns unchanged. ``key`` tells
-    the rows of one id apart; of rows that agree in it, one stays."""
+def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame, winners: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` that ``winners`` (id, key) name, columns unchanged. ``ids`` (id) has the id of every row of ``docs``; ``key`` tells the
+    rows of one id apart, and of rows that agree in both, one stays. Ids are of any type and may be missing."""
     t_id, t_key, t_own = fresh(docs.columns, "id", "key", "own")
-    alone = winners.filter("alone").select(F.col("id").alias(t_id))
+    repeated = stash(ids.groupBy("id").count().filter("count > 1").select(F.col("id").alias("twice")), "repeated-ids")
+    if not repeated.limit(1).count():
+        names = winners.select(F.col("id").alias(t_id))
+        return docs.join(names, docs[id_col].eqNullSafe(names[t_id]), "left_semi")
+    of = F.col("id").eqNullSafe(F.col("twice"))
+    alone = winners.join(repeated, of, "left_anti").select(F.col("id").alias(t_id))
+    several = winners.join(repeated, of, "left_semi").select(F.col("id").alias(t_id), F.col("key").alias(t_key))
     left = docs.join(alone, docs[id_col].eqNullSafe(alone[t_id]), "left_semi")
-    several = winners.filter("NOT alone").select(F.col("id").alias(t_id), F.col("key").alias(t_key))
-    if not several.limit(1).count():
-        return left
     rest = docs.withColumn(t_own, key).join(several, docs[id_col].eqNullSafe(several[t_id]) & (F.col(t_own) == F.col(t_key)))
     return left.unionByName(rest.dropDuplicates([id_col, t_key]).select(*docs.columns))
 

@@ -19,8 +19,9 @@ parts by gram, pairs by gram and stretch. So a passage that a third of all texts
 at its edges, which differ from text to text, are dealt to all parts; no group of rows is gathered by a common gram. Texts are
 shuffled to their buckets once, and Spark reuses that exchange in all three passes.
 
-Names are 64-bit fingerprints under a key: among n different strings that are compared, two share a name with a chance of n^2 / 2^65; runs
-are compared by two of them.
+Names are made under secret keys that the driver draws for each run (``textbatch.names``), so no texts can be built that share one. What removes
+bytes rests on two of them: runs are compared by gram and by the name of their whole stretch, windows by two names of independent keys, by which
+any two different windows are taken for equal once in 2^128 keys.
 
 Defined cases: a null or empty text has no bytes and one digest; texts under ``length`` bytes keep all; repeated rows are texts of their
 own and so repeat each other; ids that aren't whole numbers are null; an empty table gives an empty result; other columns are ignored.
@@ -66,9 +67,9 @@ def elected(names: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """The runs of the windows of a block of texts."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int):
-        self.data, self.offs, self.length = data, offs, length
-        grams, self.whole = tb.doubled(data, (gram, length))
+    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int, keys: tuple[bytes, bytes] = (tb.HERE, tb.HERE)):
+        self.data, self.offs, self.length, self.keys = data, offs, length, keys
+        grams = tb.doubled(data, gram, keys[0])
         count = np.maximum(0, np.diff(offs) - length + 1)
         self.first = np.concatenate([[0], np.cumsum(count)])
         total = int(self.first[-1])
@@ -82,8 +83,7 @@ class Block:
             self.size = np.diff(np.append(self.run, total))
             begin = self.window[self.run]
             self.key = grams[at[self.run]]
-            # A run has fewer windows than ``length``, so its first and its last one overlap and are all of its stretch.
-            self.stretch = tb.mixed(tb.mixed(self.whole[begin] + self.size.astype(np.uint64)) ^ (self.whole[begin + self.size - 1] * np.uint64(0x9E3779B97F4A7C15)))
+            self.stretch = tb.names(data, begin, begin + length + self.size - 1, keys[1])
         else:
             self.window = self.run = self.size = np.zeros(0, np.int64)
             self.key = self.stretch = np.zeros(0, np.uint64)
@@ -93,7 +93,9 @@ class Block:
         return np.repeat(codes >= REPEATED_SENDS, self.size)
 
     def names(self, which: np.ndarray) -> np.ndarray:
-        return self.whole[self.window[which]]
+        """Two names for each window."""
+        at = self.window[which]
+        return np.stack([tb.names(self.data, at, at + self.length, k) for k in self.keys])
 
 
 def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -183,18 +185,25 @@ def judge_pairs(tagged: np.ndarray, stretch: np.ndarray) -> np.ndarray:
     return out
 
 
+def judge_windows(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which windows of all buckets are repeated, by both names."""
+    out = tb.repeated(first)
+    at = np.flatnonzero(out)
+    order = at[np.lexsort((second[at], first[at]))]
+    new = _new(first[order], second[order])
+    no = np.cumsum(new) - 1
+    out[order] = np.bincount(no)[no] > 1
+    return out
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """What a part answers to the buckets that sent it names."""
     table = table.sort_by("bucket")  # two passes compute this answer, and must find the same
     round_, buckets, part = table.column("round")[0].as_py(), table.column("bucket").to_pylist(), table.column("part")[0].as_py()
     sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names").combine_chunks()]
-    if round_ == WINDOWS:
-        code = tb.repeated(np.concatenate(sent))
-        ends = np.cumsum([len(x) for x in sent])
-    else:
-        judge = judge_grams if round_ == GRAMS else judge_pairs
-        code = judge(np.concatenate([x[: len(x) // 2] for x in sent]), np.concatenate([x[len(x) // 2 :] for x in sent]))
-        ends = np.cumsum([len(x) // 2 for x in sent])
+    judge = {GRAMS: judge_grams, PAIRS: judge_pairs, WINDOWS: judge_windows}[round_]
+    code = judge(np.concatenate([x[: len(x) // 2] for x in sent]), np.concatenate([x[len(x) // 2 :] for x in sent]))
+    ends = np.cumsum([len(x) // 2 for x in sent])
     packed = [(np.packbits(x) if round_ == WINDOWS else x).tobytes() for x in np.split(code, ends[:-1])]
     n = len(buckets)
     return pa.table({"bucket": pa.array(buckets, pa.int64()), "round": pa.array([round_] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "codes": pa.array(packed, pa.binary())})
@@ -220,17 +229,22 @@ def _cat(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _side_by_side(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.uint64)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET, part_bytes: int = PART, texts: bool = False) -> DataFrame:
     """One row per document: its bytes, those removed, the maximal runs removed, a digest of the rest; with ``texts`` the
     bytes that are left, too. See the module for the method and the cases."""
     plain = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = total // bucket_bytes + 1, total // part_bytes + 1
+    keys = tb.fresh_key(), tb.fresh_key()
     dealt = plain.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).alias("bucket"), "doc_id", "text")
 
     def blocks_of(table: pa.Table):
         ids, data, offs = _ordered(table)
-        return [(i, j, Block(part, at, length, gram)) for i, j, part, at in tb.blocks(data, offs)], ids
+        return [(i, j, Block(part, at, length, gram, keys)) for i, j, part, at in tb.blocks(data, offs)], ids
 
     def judged(found: list, reply: pa.Table) -> list[np.ndarray]:
         """Codes of the runs, block by block."""
@@ -245,16 +259,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send_windows(key: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         found, _ = blocks_of(table) if table.num_rows else ([], None)
-        names = _cat([b.names(b.sending(c)) for (*_, b), c in zip(found, judged(found, reply), strict=True)])
-        return _sent(WINDOWS, key[0].as_py() if found else 0, _part(names, parts), [names])
+        names = _side_by_side([b.names(b.sending(c)) for (*_, b), c in zip(found, judged(found, reply), strict=True)])
+        return _sent(WINDOWS, key[0].as_py() if found else 0, _part(names[0], parts), [*names])
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         found, ids = blocks_of(table) if table.num_rows else ([], pa.array([], pa.int64()))
         code_of = judged(found, reply)
         which = [b.sending(c) for (*_, b), c in zip(found, code_of, strict=True)]
         names = [b.names(w) for (*_, b), w in zip(found, which, strict=True)]
-        bits = _answers(reply, WINDOWS, _part(_cat(names), parts))
-        bit_of = np.split(bits, np.cumsum([len(x) for x in names])[:-1]) if found else []
+        bits = _answers(reply, WINDOWS, _part(_side_by_side(names)[0], parts))
+        bit_of = np.split(bits, np.cumsum([x.shape[1] for x in names])[:-1]) if found else []
         size, removed, spans, digest, rest = [], [], [], [], []
         for (_, _, b), c, w, bit in zip(found, code_of, which, bit_of, strict=True):
             twice = np.repeat((c == REPEATED) | (c == REPEATED_SENDS), b.size)

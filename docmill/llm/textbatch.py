@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: Key of all names; pass another (secret) one where texts may be written to collide.
-SEED = 0x51A7E0C39D5B24F1
 #: Bytes up to which a stretch is named in numpy; longer ones get a keyed digest.
-CHAIN = 256
+CHAIN = 512
+_LOW = np.uint64(0xFFFFFFFF)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes and texts that are worked on at once; a longer text is a block of its own.
 BLOCK, BLOCK_ROWS = 512 << 10, 4096
@@ -71,41 +72,60 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
 
 
-def names(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """64-bit names of stretches of bytes. Eight bytes at a time go through a keyed mix that is no polynomial, so no strings are
-    known to share a name; stretches of one length of at most eight bytes never do."""
+def fresh_key() -> bytes:
+    """A secret key, to be drawn on the driver for each run whose names travel."""
+    return secrets.token_bytes(16)
+
+
+#: Key of names that never leave this process.
+HERE = fresh_key()
+
+
+@cache
+def _factors(key: bytes) -> np.ndarray:
+    """Two rows of secret factors: one to start from, one for the size, one for each four bytes."""
+    n = CHAIN // 4 + 2
+    return np.frombuffer(hashlib.shake_256(b"names" + key).digest(16 * n), "<u8").reshape(2, n)
+
+
+def names(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: bytes = HERE) -> np.ndarray:
+    """64-bit names of stretches of bytes under a secret key: the high halves of two sums of four bytes at a time by secret 64-bit factors.
+    That family is strongly universal: two different strings, whatever they are, share a name for one key in 2^64; longer
+    ones get a keyed BLAKE2. Without the key, which is drawn for each run, no strings can be built that share one."""
     size = stop - start
-    out = mixed(np.uint64(seed) ^ size.astype(np.uint64))
+    low, high = _factors(key)
+    a, b = low[0] + size.astype(np.uint64) * low[1], high[0] + size.astype(np.uint64) * high[1]
     load = loads(data)
     live, done = np.flatnonzero((size > 0) & (size <= CHAIN)), 0
     while len(live):
         left = np.minimum(8, size[live] - done)
         value = load[start[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - 8 * left.astype(np.uint64)))
-        out[live] = mixed(out[live] ^ value)
+        first, second, k = value & _LOW, value >> np.uint64(32), 2 + done // 4
+        a[live] += first * low[k] + second * low[k + 1]
+        b[live] += first * high[k] + second * high[k + 1]
         done += 8
         live = live[size[live] > done]
-    key = seed.to_bytes(8, "little")
+    out = mixed(((a & ~_LOW) | (b >> np.uint64(32))) ^ low[0])
     for k in np.flatnonzero(size > CHAIN):
         out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]], digest_size=8, key=key).digest(), "little")
     return out
 
 
-def doubled(data: np.ndarray, sizes: tuple[int, ...], seed: int = SEED) -> list[np.ndarray]:
-    """For each of the ascending ``sizes`` (8 or more) the names of the strings of that size from every position that has one.
-    A name is made of the names of two shorter strings, as ranks are in prefix doubling; the two may overlap."""
-    name, size, out = mixed(loads(data)[: max(0, len(data) - 7)] ^ np.uint64(seed)), 8, []
-    for wanted in sizes:
-        while size < wanted:
-            step = min(size, wanted - size)
-            name = mixed(mixed(name[: max(0, len(name) - step)] + np.uint64(step)) ^ (name[step:] * np.uint64(_ODD)))
-            size += step
-        out.append(name)
-    return out
+def doubled(data: np.ndarray, size: int, key: bytes = HERE) -> np.ndarray:
+    """Quick names of the strings of ``size`` bytes (8 or more) from every position that has one, made of the names of two shorter strings
+    as ranks are in prefix doubling; the two may overlap. They choose and sieve: equal strings share one, and where others do, ``names`` decide."""
+    factor = _factors(key)[0]
+    name, now = mixed(loads(data)[: max(0, len(data) - 7)] ^ factor[0]), 8
+    while now < size:
+        step = min(now, size - now)
+        name = mixed(mixed(name[: max(0, len(name) - step)] + np.uint64(step)) ^ (name[step:] * (factor[1] | np.uint64(1))))
+        now += step
+    return name
 
 
 class Prints:
-    """Fingerprints of short stretches of a sequence of names from one running sum. (Over bytes a sum of powers
-    could be made to collide; a few names that went through a keyed mix can't.)"""
+    """Fingerprints of short stretches of a sequence of names from one running sum of powers. The names are secret, so no stretches can be
+    built that share one."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)

@@ -182,6 +182,76 @@ def test_names_of_known_strings_differ(spark):
     assert found["n_dup_lines"].tolist() == [0]
 
 
+#: Strings that shared a name when names were made by steps that can be undone, under a key that stood in the source.
+BUILT_WORDS = ("3dgig25uwordword p q r", "k9icafo9r^>2(4y] p q r")
+BUILT_STARTS = ("35KWciPWwordword", "kdKYzOTK,)|mciU1")
+
+
+def test_strings_built_to_collide_are_told_apart(spark):
+    got = near_dedup.near_duplicates(frame(spark, list(enumerate(BUILT_WORDS))), size=4).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(0, 0, True), (1, 1, True)]
+    rest = "".join(random.Random(2).choice("abcdefgh ") for _ in range(184))
+    got = suffix_dedup.remove_repeats(frame(spark, [(k, s + rest) for k, s in enumerate(BUILT_STARTS)])).collect()
+    assert [(r["n_bytes"], r["n_removed"]) for r in got] == [(200, 0), (200, 0)]
+
+
+def test_names_need_their_key():
+    """Equal strings share a name under one key; another key gives other names; neither a flip nor a length of any size goes unseen."""
+    rnd = random.Random(7)
+    texts = [bytes(rnd.randrange(256) for _ in range(n)) for n in (0, 1, 3, 4, 5, 8, 9, 16, 17, 200, 511, 512, 513, 900)]
+    texts += [t[:k] + bytes([t[k] ^ 1 << rnd.randrange(8)]) + t[k + 1 :] for t in texts if t for k in {0, len(t) // 2, len(t) - 1}]
+    texts += [b"\0" * n for n in range(1, 40)]
+    data = np.frombuffer(b"".join(texts * 2), np.uint8)
+    ends = np.cumsum([len(t) for t in texts * 2])
+    one, two = textbatch.fresh_key(), textbatch.fresh_key()
+    start = np.concatenate([[0], ends[:-1]])
+    a, b = textbatch.names(data, start, ends, one), textbatch.names(data, start, ends, two)
+    n, distinct = len(texts), len(set(texts))
+    assert (a[:n] == a[n:]).all() and len(set(a.tolist())) == distinct == len(set(b.tolist())) and not set(a.tolist()) & set(b.tolist())
+
+
+def test_windows_count_as_equal_by_both_names():
+    first = np.array([1, 1, 2, 2, 3, 1], np.uint64)
+    second = np.array([7, 8, 9, 9, 9, 7], np.uint64)
+    assert suffix_dedup.judge_windows(first, second).tolist() == [True, False, True, True, False, True]
+    assert suffix_dedup.judge_windows(first[:0], second[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("name", [lambda i: f"a-{i}", lambda i: None if i % 3 else f"{i}", lambda i: None])
+def test_near_and_exact_stages_take_any_ids(spark, name):
+    """Texts and null or textual ids: one row of each group stays, of the least id where there is one."""
+    rnd = random.Random(11)
+    texts = family(rnd, 12, 2) + family(rnd, 8, 3) + [" ".join(rnd.choice(WORDS) for _ in range(40)) for _ in range(9)]
+    texts += [texts[0], texts[-1], "", None, "one"]
+    rows = [(name(i), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id string, text string, component int").repartition(3)
+    sets = [shingle_set(t, 5) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            c = len(sets[a] & sets[b])
+            if c and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                x, y = comp[a], comp[b]
+                comp = [min(x, y) if v in (x, y) else v for v in comp]
+    groups = {}
+    for k, c in enumerate(comp):
+        groups.setdefault(c, []).append(k)
+    left = near_dedup.drop_near_copies(docs).collect()
+    by_text = {}
+    for k, (_, t) in enumerate(rows):
+        by_text.setdefault(t, set()).add(comp[k])
+    worded = [g for c, g in groups.items() if sets[g[0]]]
+    kept = [r for r in left if shingle_set(r["text"], 5)]
+    assert docs.columns == ["doc_id", "text", "component"] and len(kept) == len(worded)
+    for g in worded:
+        least = min((rows[k][0] for k in g if rows[k][0] is not None), default=None)
+        mine = [r for r in kept if by_text[r["text"]] == {comp[g[0]]}]
+        assert [r["doc_id"] for r in mine] == [least]
+    assert len(left) - len(kept) == len({rows[k][0] for k in range(len(rows)) if not sets[k]})
+    exact = exact_dedup.drop_exact_copies(docs).collect()
+    assert len(exact) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in texts})
+
+
 def star(rnd, size):
     """Copies of one text with few to many edits: near to it, but often not to one another."""
     vocabulary = [f"v{i}" for i in range(5000)]

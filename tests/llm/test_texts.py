@@ -394,6 +394,33 @@ def test_private_terms_by_brute_force(spark):
         assert [(m["start"], m["stop"]) for m in r["terms"]] == [m.span() for m in inside], (t, spans)
 
 
+def test_long_lists_of_contacts_dont_square(spark, monkeypatch):
+    """Copies of a text of 200 addresses and 2,000 words, edited a little, among texts that use the same words: rows of entity and term stay under the
+    words of the texts, and the terms are those of brute force."""
+    rnd = random.Random(9)
+    common, own = [f"common{k}" for k in range(1500)], [f"own{k}" for k in range(500)]
+    addresses = [f"p{k}@corp{k % 9}.example.org" for k in range(200)]
+    texts = []
+    for k in range(4):
+        words = common + own + addresses
+        rnd.shuffle(words)
+        texts.append(" ".join(w for w in words if rnd.random() < 0.995))
+    texts += [" ".join([*rnd.sample(common, 400), f"only{k}@corp.example.org"]) for k in range(30)] + [" ".join(rnd.sample(common, 200)) for _ in range(60)]
+    made = []
+    plain = pii.met
+
+    def counting(*args):
+        out = plain(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "met", counting)
+    got = {r["term"]: r["bits"] for r in pii.disclosing_terms(frame(spark, texts)).collect()}
+    want = brute_terms(texts)
+    assert len(want) > 300 and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert made[0] < 2_000  # 4 * 200 * 2,000 rows of entity and word
+
+
 def test_private_terms_of_whole_texts(spark, monkeypatch):
     """Terms count wherever they stand in a document, of any case, script and length, and not inside of entities."""
     far = " and so on" * 30
