@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.scratch import stored
+
 BREAK = "\n\n"
 
 
@@ -69,3 +71,18 @@ def outline_chapters(outline: DataFrame, chunks: DataFrame) -> DataFrame:
     start = F.when(F.row_number().over(w) == 1, F.col("first_ord")).otherwise(F.col("lo"))
     placed = placed.withColumn("start_ord", start)
     return placed.select("file_id", F.row_number().over(w).alias("chapter"), "title", "start_ord", F.coalesce(F.lead("start_ord").over(w) - 1, F.col("last_ord")).alias("end_ord"), F.col("page").alias("start_page"), "end_page")
+
+
+def dispatched(chunks: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """file_id, chapter, title, start_ord, end_ord of every file of ``chunks`` (file_id, ord, section, page): by its bookmarks where
+    it has an outline (file_id, pos, title, page) that leads somewhere, else by its sections if there are several, else one chapter for all of it."""
+    cols = ["file_id", "chapter", "title", "start_ord", "end_ord"]
+    by_section = section_chapters(chunks).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file_id"))).filter("n > 1").select(*cols)
+    whole = chunks.groupBy("file_id").agg(F.min("ord").alias("start_ord"), F.max("ord").alias("end_ord")).select("file_id", F.lit(1).alias("chapter"), F.lit("Document").alias("title"), "start_ord", "end_ord")
+    found = None
+    if outline is not None:
+        found = stored(outline_chapters(outline, chunks.select("file_id", "ord", "page")).select(*cols), "outline-chapters")
+        by_section = by_section.join(found.select("file_id").distinct(), "file_id", "left_anti")
+    known = by_section if found is None else found.unionByName(by_section)
+    known = stored(known, "chapters")
+    return known.unionByName(whole.join(known.select("file_id").distinct(), "file_id", "left_anti"))

@@ -31,13 +31,3 @@ def cascade(stored: DataFrame, states: DataFrame, fresh: DataFrame, key: str = "
     stays = states.filter("state = 'unchanged'").select(key)
     comes = states.filter("state IN ('new', 'changed')").select(key)
     return stored.join(stays, key, "left_semi").unionByName(fresh.join(comes, key, "left_semi"))
-
-
-def present_only(stored: DataFrame, scan: DataFrame, key: str = "path") -> DataFrame:
-    """Rows of files that a scan still finds."""
-    return stored.join(scan.select(key), key, "left_semi")
-
-
-def replace_partition(df: DataFrame, path: str, by: str) -> None:
-    """Write ``df`` over the partitions that it holds, and leave the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -1,7 +1,7 @@
 """Full-text search: terms, inverted index, BM25 with two sets of constants, top-k.
 
-A query batch is a table (qid, question). Texts are read once: every row becomes postings (row, term, count) of the batch's terms and
-one more of all its terms together, which are stored; document frequencies, sizes and scores come from the stored ones."""
+A query batch is a table (qid, question). A row's terms are sorted and counted inside the row, so postings (row, term, count) come without a
+shuffle. ``text_index`` stores them; what is here works on any postings."""
 
 from __future__ import annotations
 
@@ -11,14 +11,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.text import let
 from docmill.scratch import stored
 
 TERM = r"[\p{L}\p{N}]+"
 #: Rows up to which the terms of a batch are broadcast (some 5 MB); beyond, their joins are shuffled.
 BROADCAST_TERMS = 100_000
-#: Not a term: the posting of all terms of a row.
-ALL = ""
-
 
 @cache
 def _accents() -> tuple[str, str]:
@@ -50,39 +48,58 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
-def postings(docs: DataFrame, key: str, *text_cols: str, only: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, dl for every term of every row over all its text columns; ``only`` (term) leaves other terms out."""
-    one = docs.select(key, F.concat(*[terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols or ("text",)]).alias("ts"))
-    each = one.select(key, F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit(ALL))) if only is not None else "ts").alias("term"))
-    if only is not None:
-        each = each.join(_small(only.select("term").unionByName(each.sparkSession.createDataFrame([(ALL,)], "term string"))), "term", "left_semi")
-    return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def counted(ts: Column) -> Column:
+    """array<struct<term, tf>>: each distinct term of an array and how often it holds it, in order. The array is sorted and walked once."""
 
+    def of_sorted(s: Column) -> Column:
+        last = F.slice(F.concat(F.array(F.lit(None).cast("string")), s), F.lit(1), F.size(s))
+        changes = F.transform(F.zip_with(s, last, lambda t, p: F.when(~t.eqNullSafe(p), t)), lambda t, i: F.struct(i.alias("at"), t.alias("term")))
 
-def batch_index(docs: DataFrame, queries: DataFrame, key: str, *text_cols: str) -> tuple[DataFrame, DataFrame]:
-    """The batch's terms (qid, term, times) and the postings of these terms, both stored. One scan of the texts."""
-    wanted = stored(query_terms(queries), "query-terms")
-    return wanted, stored(postings(docs, key, *text_cols, only=wanted.select("term").distinct()), "postings")
+        def of_starts(first: Column) -> Column:
+            ends = F.concat(F.slice(F.transform(first, lambda x: x["at"]), F.lit(2), F.size(s)), F.array(F.size(s)))
+            return F.zip_with(first, ends, lambda x, z: F.struct(x["term"].alias("term"), (z - x["at"]).alias("tf")))
+
+        return let(F.filter(changes, lambda x: x["term"].isNotNull()), of_starts)
+
+    none = F.expr("cast(array() AS array<struct<term: string, tf: int>>)")
+    return F.when(F.size(ts) > 0, let(F.array_sort(ts), of_sorted)).otherwise(none)
+
+
+def all_terms(*text_cols: str) -> Column:
+    """The terms of several columns of a row, one behind the other."""
+    return F.concat(*[terms(F.coalesce(F.col(c), F.lit(""))) for c in text_cols or ("text",)])
 
 
-def scores(wanted: DataFrame, index: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6, plus_one: bool = False) -> DataFrame:
-    """qid, key, score over all rows that hold a query term. ``floor`` bounds the inverse document frequency from below; ``plus_one``
-    adds 1 inside its logarithm instead. Frequencies are joined to the batch's terms first, so each posting is joined once."""
-    size = index.filter(F.col("term") == ALL).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    real = index.filter(F.col("term") != ALL)
-    df = real.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ratio = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+def term_rows(docs: DataFrame, key: str, *text_cols: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, dl (number of terms), runs (``counted``) of every row."""
+    return docs.select(key, *more, all_terms(*text_cols).alias("ts")).select(key, *more, F.size("ts").alias("dl"), counted(F.col("ts")).alias("runs"))
+
+
+def postings(docs: DataFrame, key: str, *text_cols: str) -> DataFrame:
+    """key, term, tf, dl for every term of every row over all its text columns."""
+    return term_rows(docs, key, *text_cols).select(key, "dl", F.inline("runs"))
+
+
+def scores(wanted: DataFrame, found: DataFrame, key: str, n: int, avgdl: float, k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6, plus_one: bool = False) -> DataFrame:
+    """qid, key, score over all rows that hold a query term. wanted: qid, term, times; found: the postings of these terms among ``n`` rows of
+    ``avgdl`` terms. ``floor`` bounds the inverse document frequency from below; ``plus_one`` adds 1 inside its logarithm
+    instead. Frequencies are joined to the batch's terms first, so each posting is joined once."""
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ratio = (n - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + ratio) if plus_one else F.greatest(F.log(ratio), F.lit(floor))
-    weighed = wanted.join(df, "term").crossJoin(F.broadcast(size)).select("qid", "term", "avgdl", (idf * F.col("times") * (k1 + 1)).alias("w"))
+    weighed = wanted.join(df, "term").select("qid", "term", (idf * F.col("times") * (k1 + 1)).alias("w"))
     dl = F.greatest(F.col("dl"), F.lit(1))
-    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    small = wanted.count() <= BROADCAST_TERMS
-    return real.join(F.broadcast(weighed) if small else weighed, "term").groupBy("qid", key).agg(F.sum(part).alias("score"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.lit(avgdl)))
+    return found.join(F.broadcast(weighed) if wanted.count() <= BROADCAST_TERMS else weighed, "term").groupBy("qid", key).agg(F.sum(part).alias("score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, *text_cols: str, **constants) -> DataFrame:
-    """qid, key, score of a batch of questions against all rows; see ``scores``."""
-    return scores(*batch_index(docs, queries, key, *text_cols), key, **constants)
+    """qid, key, score of a batch of questions against rows that no index holds: their postings are made for the batch."""
+    wanted = stored(query_terms(queries), "query-terms")
+    rows = stored(term_rows(docs, key, *text_cols), "term-rows")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = rows.select(key, "dl", F.inline("runs")).join(_small(wanted.select("term").distinct()), "term", "left_semi")
+    return scores(wanted, found, key, size["n"], size["avgdl"] or 1.0, **constants)
 
 
 def top_k(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import device_name
+from docmill.scratch import stored
 
 from .prefix import running
 
@@ -42,17 +43,30 @@ def stratified(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
     return r.filter((F.col("n") <= count) | (F.col("i") < 2) | (F.col("i") >= F.col("n") - 2) | inside).drop("i", "n")
 
 
+#: Characters at the head of a term by which it meets the texts that may hold it.
+GRAM = 3
+
+
 def consolidate(found: DataFrame, sampled: DataFrame, most: int = 30) -> DataFrame:
     """Terms (grp, bucket, pos, term) as frequent forms: those that some sampled text (grp, text; any number of rows in a group)
     holds, counted without regard to case, first form kept, at most ``most`` in a bucket by count and name. Where ``found`` has
-    ``own``, one of the sampled texts, only terms that it doesn't hold are looked up in the group's other texts."""
+    ``own``, one of the sampled texts, only terms that it doesn't hold are looked up in the group's other texts.
+
+    Such a term meets the texts of its group that hold its first characters, by a join on these, and only those are searched for it."""
     t = found.withColumn("term", F.trim("term")).filter(F.length("term") > 1).withColumn("key", F.lower("term"))
     own = F.coalesce(F.contains(F.lower("own"), F.col("key")), F.lit(False)) if "own" in found.columns else F.lit(False)
-    t = t.withColumn("sure", own).select("grp", "bucket", "pos", "term", "key", "sure")
+    t = stored(t.withColumn("sure", own).select("grp", "bucket", "pos", "term", "key", "sure"), "terms")
     terms = t.groupBy("grp", "key").agg(F.max("sure").alias("sure"))
-    unsure = terms.filter(~F.col("sure")).select("grp", "key")
-    seen = sampled.select("grp", F.lower("text").alias("text")).join(F.broadcast(unsure), "grp").filter(F.contains("text", "key")).select("grp", "key").distinct()
-    held = terms.filter("sure").select("grp", "key").unionByName(seen)
+    unsure = stored(terms.filter(~F.col("sure")).select("grp", "key", F.substring("key", 1, GRAM).alias("gram")), "unsure-terms")
+    held = terms.filter("sure").select("grp", "key")
+    if unsure.limit(1).count():
+        texts = sampled.select("grp", F.lower("text").alias("text")).filter("text IS NOT NULL").withColumn("digest", F.xxhash64("text"))
+        at = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # noqa: E731  from every place
+        grams = texts.select("grp", "digest", F.explode(F.array_distinct(F.concat(at(2), at(GRAM)))).alias("gram"))
+        near = grams.join(unsure.select("grp", "gram").distinct(), ["grp", "gram"], "left_semi").distinct()
+        may = near.join(unsure, ["grp", "gram"]).select("grp", "digest", "key")
+        seen = texts.join(may, ["grp", "digest"]).filter(F.contains("text", "key")).select("grp", "key").distinct()
+        held = held.unionByName(seen)
     g = t.join(held, ["grp", "key"], "left_semi").groupBy("grp", "bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", "pos").alias("form"))
     place = F.row_number().over(Window.partitionBy("grp", "bucket").orderBy(F.desc("n"), "key"))
     return g.withColumn("place", place).filter(F.col("place") <= most).select("grp", "bucket", "form", "n", "place")

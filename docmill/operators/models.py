@@ -77,16 +77,19 @@ def embedded(text: Column, factory: Callable[[], Embedder] = Hashed) -> Column:
 
 
 def pair_scores(question: Column, text: Column, factory: Callable[[], PairScorer]) -> Column:
-    """A score for each pair, missing where the model fails."""
+    """A score for each pair; missing for all pairs of a question for which the model fails."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
         for a, b in batches:
-            try:
-                yield pd.Series(model.score(list(zip(a, b, strict=True))), dtype=float)
-            except Exception:  # the caller keeps its own order for pairs without a score
-                yield pd.Series([None] * len(a), dtype=float)
+            out = pd.Series([None] * len(a), dtype=float)
+            for _, rows in pd.DataFrame({"q": a, "t": b}).reset_index(drop=True).groupby("q", sort=False, dropna=False):
+                try:
+                    out[rows.index] = model.score(list(zip(rows["q"], rows["t"], strict=True)))
+                except Exception:  # the caller keeps its own order for pairs without a score
+                    continue
+            yield out
 
     return run(question, text)
 

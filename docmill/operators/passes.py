@@ -32,6 +32,14 @@ def recovered(pages: DataFrame, permissive: bool = False) -> DataFrame:
     return found.select("file_id", "page", F.when(F.col("origin") == "layer", normalised(F.col("text"))).otherwise(normalised(F.col("ocr"))).alias("text"), "origin", (F.col("origin") == "questionable").alias("questionable"))
 
 
+def to_recognise(pages: DataFrame) -> DataFrame:
+    """The pages (file_id, page, text of the text layer) that have to be recognised: all of a file with next to no text layer, garbled ones of others."""
+    file = Window.partitionBy("file_id")
+    text = F.coalesce("text", F.lit(""))
+    scan = F.sum(F.length(text)).over(file) < SCAN_CHARS * F.count(F.lit(1)).over(file)
+    return pages.withColumn("scan", scan).filter(F.col("scan") | ((strip(text) != "") & garbled(text))).drop("scan")
+
+
 def inspected(sections: DataFrame, verdict: Column) -> DataFrame:
     """Sections that a model doesn't call garbled, with ``partial``; blank sections stay without being asked about."""
     state = F.when(strip(F.coalesce("text", F.lit(""))) == "", "blank").otherwise(F.coalesce(verdict, F.lit("unknown")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import terms
+from .models import PairScorer, reranked
 
 RRF = 60
 
@@ -29,15 +31,18 @@ def top(scored: DataFrame, key: str, score: str, k: int) -> DataFrame:
 def fuse(vec: DataFrame, fts: DataFrame, key: str, k: int, constant: int = RRF) -> DataFrame:
     """Two ranked lists (qid, key, rank, score) as one: rank, rrf, both ranks, score and kind of the hit.
 
-    Ties keep the order of insertion: hits of the vector list first, then those of the text list alone."""
+    The score is the better one of both, 0 for a list that lacks the hit; the kind goes by which scores are positive (to nine places). Ties keep
+    the order of insertion: hits of the vector list first, then those of the text list alone."""
     v = vec.select("qid", key, F.col("rank").alias("vec_rank"), F.col("score").alias("vec_score"))
     f = fts.select("qid", key, F.col("rank").alias("fts_rank"), F.col("score").alias("fts_score"))
     both = v.join(f, ["qid", key], "full_outer")
     part = lambda c: F.coalesce(F.lit(1.0) / (constant + F.col(c)), F.lit(0.0))
     both = both.withColumn("rrf", part("vec_rank") + part("fts_rank"))
     order = Window.partitionBy("qid").orderBy(F.round("rrf", 12).desc(), F.col("vec_rank").isNull(), F.coalesce("vec_rank", "fts_rank"))
-    kind = F.when(F.col("vec_rank").isNotNull() & F.col("fts_rank").isNotNull(), "hybrid").when(F.col("vec_rank").isNotNull(), "vec").otherwise("fts")
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("kind", kind)
+    by_vec, by_fts = (F.coalesce(F.round(c, 9), F.lit(0.0)) for c in ("vec_score", "fts_score"))
+    kind = F.when((by_vec > 0) & (by_fts > 0), "hybrid").when(by_vec > 0, "vec").otherwise("fts")
+    score = F.greatest(F.coalesce("vec_score", F.lit(0.0)), F.coalesce("fts_score", F.lit(0.0)))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("kind", kind).withColumn("score", score)
 
 
 def diversify(hits: DataFrame, path: str, cap: int, k: int) -> DataFrame:
@@ -57,8 +62,11 @@ def attention_order(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", place.cast("long"))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, text: str, k: int) -> DataFrame:
-    """new_rank by a stand-in for a cross-encoder: the share of the question's distinct terms that the text holds."""
+def rerank(hits: DataFrame, queries: DataFrame, text: str, k: int, factory: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """new_rank and overlap by the scores of a model of pairs, or by its stand-in: the share of the question's distinct terms that the text
+    holds. A question for which the model fails keeps its order."""
+    if factory is not None:
+        return reranked(hits, queries, text, factory, k).withColumnRenamed("pair_score", "overlap")
     q = queries.select("qid", F.array_distinct(terms(F.col("question"))).alias("asked"))
     scored = hits.join(q, "qid").withColumn("overlap", F.size(F.array_intersect("asked", terms(F.col(text)))) / F.greatest(F.lit(1), F.size("asked")))
     order = Window.partitionBy("qid").orderBy(F.desc("overlap"), "rank")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import is_list_query
+from docmill.scratch import stored
+
+from .models import TextModel, completed
 
 
 def export(tables: dict[str, DataFrame], path: str) -> None:
@@ -83,16 +88,35 @@ def cached(lookups: DataFrame, key: str, at: str, order: str, ttl: int) -> DataF
     return lookups.select(key, order, at).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean")
 
 
-def messages(batch: DataFrame, context: DataFrame) -> DataFrame:
-    """qid, system, user: which system prompt goes with a question (``sources``, ``list`` or ``plain`` where nothing was found), and the
-    question with its context (qid, context)."""
+def messages(batch: DataFrame, context: DataFrame, briefs: DataFrame | None = None) -> DataFrame:
+    """qid, system, user: which system prompt goes with a question (``sources``, ``list`` or ``plain`` where nothing was found), with what is known
+    of the files of its hits (qid, brief) below it, and the question with its context (qid, context)."""
     joined = batch.join(context.select("qid", "context"), "qid", "left")
     found = F.col("context").isNotNull()
     system = F.when(~found, "plain").when(is_list_query(F.col("question")), "list").otherwise("sources")
+    if briefs is not None:
+        joined = joined.join(briefs.select("qid", "brief"), "qid", "left")
+        system = F.concat(system, F.when(found & (F.coalesce("brief", F.lit("")) != ""), F.concat(F.lit("\n\n"), "brief")).otherwise(""))
     user = F.concat(F.lit("Question: "), "question", F.when(found, F.concat(F.lit("\n\nContext:\n"), "context")).otherwise(""))
     return joined.select("qid", system.alias("system"), user.alias("user"))
 
 
+def replied(asked: DataFrame, model: Callable[[], TextModel], fallback: DataFrame, max_tokens: int = 1000) -> DataFrame:
+    """qid, text, backend: a model's answer to each of ``asked`` (qid, system, user), or the passages (qid, text) that were found where it has none."""
+    reply = completed(F.concat_ws("\n\n", "system", "user"), model, max_tokens)
+    said = stored(asked.select("qid", F.trim(reply).alias("reply")), "replies").join(fallback.select("qid", F.col("text").alias("passages")), "qid", "left")
+    none = F.col("reply") == ""
+    return said.select("qid", F.when(none, F.coalesce("passages", F.lit("(nothing found)"))).otherwise(F.col("reply")).alias("text"), F.when(none, "none").otherwise("model").alias("backend"))
+
+
+def completion(replies: DataFrame, citations: DataFrame, model: str) -> DataFrame:
+    """qid, body: the reply as a chat service sends it: an object with one choice and the citations (qid, rank, path, score) in order."""
+    cited = citations.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", F.round("score", 6).cast("decimal(18,6)").alias("score")))), lambda c: F.struct(c["path"].alias("path"), c["score"].alias("score"))).alias("citations"))
+    choice = F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))
+    body = F.struct(F.concat(F.lit("chatcmpl-"), F.col("qid").cast("string")).alias("id"), F.lit("chat.completion").alias("object"), F.lit(model).alias("model"), F.array(choice).alias("choices"), F.coalesce("citations", F.expr("cast(array() AS array<struct<path: string, score: decimal(18,6)>>)")).alias("citations"))
+    return replies.join(cited, "qid", "left").select("qid", F.to_json(body).alias("body"))
+
+
 def chat(turns: DataFrame, system: str = "plain") -> DataFrame:
     """conv_id, messages: a system prompt, the turns before the latest question in order, and that question."""
     latest = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))

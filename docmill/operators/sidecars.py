@@ -68,6 +68,21 @@ def merged(meta: DataFrame, prefix: str, suffix: str, negatives: list[str]) -> D
     return folded.select("qid", F.substring("m.prefix", 1, LONGEST).alias("prefix"), F.substring("m.suffix", 1, LONGEST).alias("suffix"), F.slice("m.negatives", 1, MOST).alias("negatives"))
 
 
+def applied(question: Column, prefix: Column, suffix: Column, negatives: Column) -> Column:
+    """The text that is embedded for a question: prefix, question, suffix with blanks between, then what to avoid."""
+    some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    avoid = F.when(F.size(negatives) > 0, F.concat(F.lit("  Avoid: "), F.array_join(negatives, ", "))).otherwise("")
+    return F.concat(F.concat_ws(" ", some(prefix), some(question), some(suffix)), avoid)
+
+
+def modified(batch: DataFrame, meta: DataFrame, prefix: str, suffix: str, negatives: list[str]) -> DataFrame:
+    """qid, question, searched: every question of a batch (qid, question) with the workspace's modifiers and those of its hits' files (``meta`` as in
+    ``merged``); one without hits, or without files that apply, has the workspace's alone."""
+    own = F.array(*map(F.lit, negatives[:MOST])).cast("array<string>")
+    m = batch.select("qid", "question").join(merged(meta, prefix, suffix, negatives), "qid", "left")
+    return m.select("qid", "question", applied(F.col("question"), F.coalesce("prefix", F.lit(prefix[:LONGEST])), F.coalesce("suffix", F.lit(suffix[:LONGEST])), F.coalesce("negatives", own)).alias("searched"))
+
+
 def _first_forms(words: Column) -> Column:
     """Each word once without regard to case, in its first form."""
     low = F.transform(words, lambda n: F.lower(n))

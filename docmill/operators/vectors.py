@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-12
 #: Queries that are multiplied with a batch of vectors at once.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def doubles(v: Column) -> Column:
@@ -41,46 +37,34 @@ def padded(v: Column, width: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, key: str, k: int, vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, key: str, k: int, vec_col: str = "embedding", block: int = BLOCK, part: int = 8192) -> DataFrame:
     """qid, key, score, rank: the k nearest vectors of every query by cosine, among all of them; ties to nine places go by key.
 
-    Queries go in blocks of about ``block``, by a hash of their id, so what is sent to tasks is bounded however many there are. A block is
-    a matrix; tasks multiply it with batches of vectors and hand on the k best of each batch, so the shuffle is small."""
-    numbered = queries.select(F.col("qid").cast("long").alias("qid"), doubles(F.col("qvec")).alias("qvec"))
-    blocks = max(1, -(-numbered.count() // block))
-    plain = vectors.select(F.col(key).cast("long").alias(key), doubles(F.col(vec_col)).alias("v"))
-    parts = []
-    for i in range(blocks):
-        rows = numbered.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()
-        if rows:
-            parts.append(plain.mapInArrow(_nearest([r["qid"] for r in rows], [r["qvec"] for r in rows], key, k), f"qid long, {key} long, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"qid long, {key} long, score double, rank int")
-    best = reduce(DataFrame.unionByName, parts)
+    Vectors are dealt to parts and queries to blocks, by a hash of their ids; every part meets every block in a task, which multiplies two matrices of
+    bounded size and hands on the k best for each query, so the shuffle of results is small and nothing passes the driver."""
+    from .vector_index import met
+
+    one = F.lit(0).alias("list")
+    q = queries.select(F.col("qid").cast("long").alias("qid"), doubles(F.col("qvec")).alias("v"), one)
+    v = vectors.select(F.col(key).cast("long").alias(key), doubles(F.col(vec_col)).alias("v"), one)
+    return best(met(v, q, key, k, block, part), key, k)
+
+
+def best(found: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.asc(key))
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _nearest(ids: list[int], rows: list[list[float]], key: str, k: int):
-    q = np.array(rows, float)
-    q /= np.linalg.norm(q, axis=1, keepdims=True) + TINY
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) != len(keys) * q.shape[1]:
-                raise ValueError(f"vectors and queries differ in width ({q.shape[1]})")
-            if not len(keys):
-                continue
-            v = flat.reshape(len(keys), -1)
-            found = (v / (np.linalg.norm(v, axis=1, keepdims=True) + TINY)) @ q.T
-            for j, qid in enumerate(ids):
-                rounded = np.round(found[:, j], 9)
-                at = np.arange(len(keys))
-                if len(at) > k:  # all that tie with the k-th stay until ties are broken by key
-                    at = np.flatnonzero(rounded >= np.partition(rounded, len(at) - k)[len(at) - k])
-                at = at[np.lexsort((keys[at], -rounded[at]))][:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qid)), pa.array(keys[at]), pa.array(found[at, j])], names=["qid", key, "score"])
-
-    return run
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest(qids: np.ndarray, q: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, key, score) of the ``k`` best rows of ``v`` by cosine for each row of ``q``; ties to nine places go by key."""
+    found = (v / (np.linalg.norm(v, axis=1, keepdims=True) + TINY)) @ (q / (np.linalg.norm(q, axis=1, keepdims=True) + TINY)).T
+    out: list[list[np.ndarray]] = [[], [], []]
+    for j, qid in enumerate(qids):
+        rounded = np.round(found[:, j], 9)
+        at = np.arange(len(keys))
+        if len(at) > k:  # all that tie with the k-th stay until ties are broken by key
+            at = np.flatnonzero(rounded >= np.partition(rounded, len(at) - k)[len(at) - k])
+        at = at[np.lexsort((keys[at], -rounded[at]))][:k]
+        for x, y in zip(out, (np.full(len(at), qid), keys[at], found[at, j]), strict=True):
+            x.append(y)
+    return tuple(np.concatenate(x) for x in out)

@@ -285,13 +285,19 @@ def entities_all(spark, d):
     return one.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["v"]), "|").alias("entities"))
 
 
-@query("consolidate_entities", """WITH t AS (SELECT source AS grp, lang AS bucket, doc_id AS pos, trim(regexp_extract(text, '[A-Za-z]+')) AS term FROM documents), s AS (SELECT DISTINCT t.grp, lower(t.term) AS key FROM (SELECT DISTINCT grp, lower(term) AS term FROM t WHERE length(term) > 1) t JOIN documents d ON d.source = t.grp AND contains(lower(d.text), t.term)),
+@query("consolidate_entities", r"""WITH w AS (SELECT source AS grp, lang AS bucket, doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+')) AS word, unnest(range(0, len(regexp_extract_all(text, '\b[A-Z][a-z]+')))) AS i FROM documents),
+t AS (SELECT grp, bucket, doc_id * 1000000 + i AS pos, CASE WHEN i % 7 = 6 THEN reverse(word) ELSE word END AS term FROM w),
+k AS (SELECT DISTINCT grp, lower(term) AS key FROM t WHERE length(term) > 1), s AS (SELECT DISTINCT k.grp, k.key FROM k JOIN documents d ON d.source = k.grp AND contains(lower(d.text), k.key)),
 g AS (SELECT t.grp, bucket, lower(term) AS key, count(*) AS n, arg_min(term, pos) AS form FROM t JOIN s ON s.grp = t.grp AND s.key = lower(t.term) WHERE length(term) > 1 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, bucket ORDER BY n DESC, key) AS place FROM g) SELECT grp, bucket, form, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 30""")
 def consolidate_entities(spark, d):
-    """Forms of the texts' first words, checked against the whole texts of all rows of their group."""
+    """Forms of all capitalised words of the texts, every seventh garbled, checked against the whole texts of all rows of their group."""
     docs = table(spark, d, "documents")
-    found = docs.select(F.col("source").alias("grp"), F.col("lang").alias("bucket"), F.col("doc_id").alias("pos"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("term"), F.col("text").alias("own"))
+    words = F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+"), F.lit(0))
+    each = docs.select(F.col("source").alias("grp"), F.col("lang").alias("bucket"), "doc_id", F.lower("text").alias("own"), words.alias("ws"))
+    term = F.transform("ws", lambda w, i: F.struct((F.col("doc_id") * 1_000_000 + i).alias("pos"), F.when(i % 7 == 6, F.reverse(w)).otherwise(w).alias("term")))
+    sure = F.transform(term, lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"), F.when(F.contains(F.col("own"), F.lower(x["term"])), x["term"]).alias("own")))
+    found = each.select("grp", "bucket", F.inline(sure))
     return lookups.consolidate(found, docs.select(F.col("source").alias("grp"), "text"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.operators import evaluation as ev
+from docmill.operators import sketches
 from docmill.operators.prefix import running
+from docmill.scratch import folder
 from docmill.sources.tables import table
 
 from .registry import query
@@ -47,6 +49,21 @@ def latency_percentiles(spark, d):
     return cells(spark, d).groupBy("model").agg(*[F.round(F.percentile("seconds", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
+@query("latency_sketches", "WITH t AS (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS q) SELECT event_type, q, count(*) AS n, true AS close FROM events CROSS JOIN t GROUP BY ALL")
+def latency_sketches(spark, d):
+    """Quantiles from sketches by day, some days sketched anew, rolled up: whether the share of rows up to each is within the sketch's bound of its rank."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("grp"), F.to_date("ts").alias("day"), "value")
+    stored_ = sketches.DaySketches(spark, folder(spark, "sketches"))
+    stored_.update(e.withColumn("value", F.when(F.dayofmonth("day") % 4 == 0, -1.0).otherwise(F.col("value"))))
+    stored_.update(e.filter(F.dayofmonth("day") % 4 == 0))
+    ranks = [0.5, 0.9, 0.99]
+    found = stored_.rollup(ranks).select("grp", F.explode(F.arrays_zip(F.array(*map(F.lit, ranks)).alias("q"), F.col("q").alias("v"))).alias("x")).select("grp", "x.q", "x.v")
+    # All quantiles of a group are few; rows meet them by the group.
+    off = lambda more: F.sum(F.when(F.col("value") < F.col("v") if more else F.col("value") <= F.col("v"), 1).otherwise(0)) / F.count(F.lit(1))
+    near = (off(True) <= F.col("q") + sketches.BOUND) & (off(False) >= F.col("q") - sketches.BOUND)
+    return e.join(F.broadcast(found), "grp").groupBy(F.col("grp").alias("event_type"), "q").agg(F.count(F.lit(1)).alias("n"), near.alias("close"))
+
+
 @query("ratio_metrics", CELLS + "SELECT model, round(sum(total) / nullif(sum(seconds), 0), 6) AS per_second, round(100e0 * count(*) FILTER (total > 0) / greatest(1, count(*)), 1) AS gold_pct, round(avg(seconds) FILTER (seconds > 0), 6) AS mean_positive FROM cells GROUP BY model")
 def ratio_metrics(spark, d):
     c = F.col

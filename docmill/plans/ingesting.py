@@ -184,10 +184,15 @@ q AS (SELECT *, CASE WHEN chapter = 1 THEN first_ord ELSE lo END AS start_ord FR
 @query("outline_chapters", OUTLINE + "SELECT file_id, CAST(chapter AS INTEGER) AS chapter, title, start_ord, coalesce(lead(start_ord) OVER (PARTITION BY file_id ORDER BY page) - 1, last_ord) AS end_ord, CAST(page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM q")
 def outline_chapters(spark, d):
     c = chunks(spark, d).select("file_id", "ord", (F.floor(F.col("ord") / 2) + 1).alias("page"))
-    pages = c.select("file_id", "page").distinct()
+    return expand.outline_chapters(_outline(spark, d), c)
+
+
+def _outline(spark, d):
+    """Bookmarks of every second page, and later ones of every fourth, which a page has already."""
+    pages = chunks(spark, d).select("file_id", (F.floor(F.col("ord") / 2) + 1).alias("page")).distinct()
     even = pages.filter("page % 2 = 0").select("file_id", F.col("page").alias("pos"), F.concat(F.lit("B"), F.col("page").cast("string")).alias("title"), "page")
     fourth = pages.filter("page % 4 = 0").select("file_id", (F.col("page") + 100).alias("pos"), F.concat(F.lit("X"), F.col("page").cast("string")).alias("title"), "page")
-    return expand.outline_chapters(even.unionByName(fourth), c)
+    return even.unionByName(fourth)
 
 
 @query("detect_chapters", ISLANDS + """, k AS (SELECT file_id, count(*) AS n FROM ch GROUP BY file_id), a AS (SELECT file_id, min(ord) AS lo, max(ord) AS hi, min(page) AS p0, max(page) AS p1 FROM s GROUP BY file_id)
@@ -195,11 +200,20 @@ SELECT ch.file_id, chapter, title, start_ord, end_ord FROM ch JOIN k ON ch.file_
 UNION ALL SELECT a.file_id, 1, 'Document', lo, hi FROM a LEFT JOIN k ON a.file_id = k.file_id WHERE coalesce(n, 0) <= 1""")
 def detect_chapters(spark, d):
     """Section chapters where a file has several, else one chapter for all of it."""
-    s = sections(spark, d)
-    ch = expand.section_chapters(s).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file_id")))
-    many = ch.filter("n > 1").select("file_id", "chapter", "title", "start_ord", "end_ord")
-    rest = s.groupBy("file_id").agg(F.min("ord").alias("start_ord"), F.max("ord").alias("end_ord")).join(many.select("file_id").distinct(), "file_id", "left_anti")
-    return many.unionByName(rest.select("file_id", F.lit(1).alias("chapter"), F.lit("Document").alias("title"), "start_ord", "end_ord"))
+    return expand.dispatched(sections(spark, d))
+
+
+_COLS = "file_id, chapter, title, start_ord, end_ord"
+
+
+@query("detect_chapters_outline", "WITH oc AS (" + OUTLINE + """SELECT file_id, CAST(chapter AS INTEGER) AS chapter, title, start_ord, coalesce(lead(start_ord) OVER (PARTITION BY file_id ORDER BY page) - 1, last_ord) AS end_ord FROM q WHERE file_id % 3 = 0),
+sc AS (""" + ISLANDS + """SELECT ch.file_id, chapter, title, start_ord, end_ord FROM ch JOIN (SELECT file_id FROM ch GROUP BY file_id HAVING count(*) > 1) USING (file_id)),
+""" + CHUNKS + f""" SELECT {_COLS} FROM oc UNION ALL SELECT {_COLS} FROM sc WHERE file_id NOT IN (SELECT file_id FROM oc)
+UNION ALL SELECT file_id, 1, 'Document', min(ord), max(ord) FROM chunks WHERE file_id NOT IN (SELECT file_id FROM oc) AND file_id NOT IN (SELECT file_id FROM sc) GROUP BY file_id""")
+def detect_chapters_outline(spark, d):
+    """Files with bookmarks take their chapters from these, the others from their sections, or are one chapter."""
+    s = sections(spark, d).withColumn("page", F.floor(F.col("ord") / 2) + 1)
+    return expand.dispatched(s, _outline(spark, d).filter("file_id % 3 = 0"))
 
 
 #: Every section is a hit of its file's ranked list.

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from docmill.operators import asks as ask
-from docmill.operators import models, passes
+from docmill.operators import models, passes, scan
+from docmill.scratch import folder, stored
+from docmill.sources import paged
 from docmill.sources.tables import chunks, table
 
 from .registry import CHUNKS, query
@@ -45,6 +50,32 @@ def pdf_recovery_permissive(spark, d):
     return passes.recovered(pages(spark, d), permissive=True).select("file_id", "page", "origin", F.length("text").cast("long").alias("n"))
 
 
+class Mirror:
+    """A stand-in for a recogniser: a picture is its text, turned round and encoded."""
+
+    def __call__(self, picture: bytes) -> str:
+        return picture.decode("utf-8")[::-1]
+
+
+def paged_files(spark, d):
+    """The pages as paged files in a new folder, and the folder."""
+    path = folder(spark, "paged")
+    rows = pages(spark, d).select("file_id", F.struct("page", "text", F.encode(F.reverse("ocr"), "UTF-8").alias("picture")).alias("p"))
+    paged.write_paged(rows.groupBy("file_id").agg(F.array_sort(F.collect_list("p")).alias("pages")), path)
+    return path
+
+
+@query("pdf_pages", _RECOVERED.replace("{more}", ""))
+def pdf_pages(spark, d):
+    """Paged files read by ranges; only pages that need it are recognised, in a second pass over their pictures."""
+    path = paged_files(spark, d)
+    number = F.regexp_extract("path", r"(-?\d+)\.paged$", 1).cast("long").alias("file_id")
+    layer = stored(paged.read_pages(spark, path).select("path", number, "page", "text"), "page-layers")
+    seen = stored(paged.recognised(passes.to_recognise(layer), path, Mirror), "recognised-pages")
+    both = layer.join(seen, ["path", "page"], "left").select("file_id", "page", "text", "ocr")
+    return passes.recovered(both).select("file_id", F.col("page").cast("int").alias("page"), "origin", F.length("text").cast("long").alias("n"))
+
+
 class LengthJudge:
     """A stand-in for a model: answers by the length of the prompt, and fails on some."""
 
@@ -64,24 +95,89 @@ def inspect_pass(spark, d):
     return passes.inspected(c, F.when(F.col("reply") == "", "unknown").otherwise(F.col("reply"))).select("file_id", "ord", "partial")
 
 
-@query("correct_pass", f"""WITH {CHUNKS}, w AS (SELECT *, trim(regexp_replace(right(coalesce(lag(text) OVER o, ''), 400) || chr(10) || chr(10) || left(coalesce(lead(text) OVER o, ''), 400), '^\\s+|\\s+$', '', 'g')) AS around FROM chunks WINDOW o AS (PARTITION BY file_id ORDER BY ord))
-SELECT file_id, ord, ord % 3 = 1 AS corrected, md5(CASE WHEN ord % 3 = 1 THEN text || length(around) ELSE text END) AS digest FROM w WHERE NOT (ord % 3 = 1 AND length(text) % 5 = 0)""")
+class Mender:
+    """A stand-in for a model that restores texts: it sees the text and what stands around it, gives some up, talks about others and fails on some."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        around, text = prompt.split("Text around it:\n\n", 1)[1].rsplit("\n\nText:\n\n", 1)
+        if len(text) % 11 == 0:
+            raise ValueError("no reply")
+        if len(text) % 5 == 0:
+            return "UNRECOVERABLE."
+        if len(text) % 7 == 0:
+            return "I cannot tell what this says."
+        return f"```\n{text}{len(around)}\n```"
+
+
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query("correct_pass", f"""WITH {CHUNKS}, w AS (SELECT *, {_STRIPPED.format("right(coalesce(lag(text) OVER o, ''), 400) || chr(10) || chr(10) || left(coalesce(lead(text) OVER o, ''), 400)")} AS around FROM chunks WINDOW o AS (PARTITION BY file_id ORDER BY ord)),
+r AS (SELECT *, CASE WHEN length(text) % 11 = 0 OR length(text) % 5 = 0 OR length(text) % 7 = 0 OR length(text || length(around)) < 20 THEN NULL ELSE {_STRIPPED.format("text || length(around)")} END AS cleaned FROM w)
+SELECT file_id, ord, ord % 3 = 1 AS corrected, md5(CASE WHEN ord % 3 = 1 THEN cleaned ELSE text END) AS digest FROM r WHERE ord % 3 <> 1 OR cleaned IS NOT NULL""")
 def correct_pass(spark, d):
-    """Questionable sections as a model rewrites them with their neighbours in view; those it gives up go."""
-    c = passes.with_context(chunks(spark, d))
-    cleaned = F.when(F.length("text") % 5 != 0, F.concat("text", F.length("around").cast("string")))
-    out = passes.corrected(c, F.col("ord") % 3 == 1, cleaned)
+    """Questionable sections as a model rewrites them with their neighbours in view; those it gives up, or only talks about, go."""
+    c = stored(passes.with_context(chunks(spark, d)), "sections-in-context")
+    asked = c.filter("ord % 3 = 1")  # the model sees only these
+    cleaned = stored(asked.select("file_id", "ord", ask.corrected(F.col("text"), F.col("around"), Mender).alias("cleaned")), "corrections")
+    out = passes.corrected(c.join(cleaned, ["file_id", "ord"], "left"), F.col("ord") % 3 == 1, F.col("cleaned"))
     return out.select("file_id", "ord", "corrected", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("contextualize_pass", f"WITH {CHUNKS} SELECT file_id, ord, md5(CASE WHEN ord % 4 = 2 THEN text ELSE 'Part ' || ord || ' of ' || source || '.' || chr(10) || chr(10) || text END) AS embed_digest, md5(text) AS text_digest FROM chunks")
+class Situator:
+    """A stand-in for a model that places a chunk in its document; it fails on some."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        document, chunk = prompt.split("\n\n", 1)[1].split("\n\nChunk:\n\n", 1)
+        if len(chunk) % 4 == 2:
+            raise ValueError("no reply")
+        return f" At {document.find(chunk[:40])} of {len(document)}. " if len(chunk) % 4 else ""
+
+
+@query("contextualize_pass", f"""WITH {CHUNKS}, p AS (SELECT c.file_id, c.ord, c.text, substr(d.text, 1, 3000) AS document FROM chunks c JOIN documents d ON d.doc_id = c.file_id),
+r AS (SELECT *, CASE WHEN length(text) % 4 IN (0, 2) OR contains(document, chr(10) || chr(10) || 'Chunk:') THEN '' ELSE 'At ' || (strpos(document, left(text, 40)) - 1) || ' of ' || length(document) || '.' END AS said FROM p)
+SELECT file_id, ord, md5(CASE said WHEN '' THEN text ELSE said || chr(10) || chr(10) || text END) AS embed_digest, md5(text) AS text_digest FROM r""")
 def contextualize_pass(spark, d):
-    """A sentence about its place before each chunk, for the embedder only; without a reply the chunk alone."""
-    said = F.when(F.col("ord") % 4 != 2, F.concat(F.lit("Part "), F.col("ord").cast("string"), F.lit(" of "), "source", F.lit(". ")))
-    out = passes.contextualised(chunks(spark, d), said)
+    """A model's sentence about its place before each chunk, for the embedder only; without a reply the chunk alone."""
+    documents = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.substring("text", 1, passes.DOCUMENT).alias("document"))
+    c = chunks(spark, d).join(documents, "file_id")
+    out = passes.contextualised(c.withColumn("said", ask.situated(F.col("text"), F.col("document"), Situator)), F.col("said"))
     return out.select("file_id", "ord", F.md5(F.col("embed_text").cast("binary")).alias("embed_digest"), F.md5(F.col("text").cast("binary")).alias("text_digest"))
 
 
+class Topics:
+    """A stand-in for a model that sums up excerpts: an object in a fence, with words of the excerpts; on some it says nothing that can be read."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        text = prompt.split("\n\n", 1)[1]
+        if len(text) % 9 == 4:
+            return "There is no object {here"
+        words = list(dict.fromkeys(w for w in re.findall(r"\w+", text) if len(w) >= 6))
+        return "```json\n" + json.dumps({"title": " ".join(words[:3]), "description": f"{len(text)} characters", "topics": [*words[:12], 7, "", None]}) + "\n```"
+
+
+class Names:
+    """A stand-in for a model that lists names: capitalised words by length, one of them made up; it fails on some excerpts."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        text = prompt.split("\n\n", 1)[1]
+        if len(text) % 8 == 5:
+            raise ValueError("no reply")
+        found: dict[str, list] = {}
+        for w in re.findall(r"\b[A-Z][a-z]+", text):
+            found.setdefault(scan.BUCKETS[len(w) % 8], []).append(w)
+        found.setdefault("npcs", []).append("Zzyzx the Unheard")
+        return "Here: " + json.dumps(found | {"other": ["Left Out"], "spells": "none"}) + " and that is all."
+
+
+@query("sidecar_scan")
+def sidecar_scan(spark, d):
+    """Title, topics and names of every file by way of sampled windows and two models; without SQL, as the stand-ins read what they are sent."""
+    found = scan.scan(chunks(spark, d), Topics, Names)
+    lists = F.array_join(F.transform("entities", lambda e: F.concat(e["bucket"], F.lit(": "), F.array_join(e["terms"], ", "))), "; ")
+    return found.select("file_id", "title", "description", F.array_join("topics", "|").alias("topics"), lists.alias("entities"))
+
+
 class Echo:
     """A stand-in for a model: numbers the last paragraph of the prompt and a longer form of it."""
 
@@ -93,12 +189,12 @@ class Echo:
 
 
 #: Questions in a form that the stand-in repeats as it is: words and blanks, a letter first.
-ASKS_SQL = r"asks AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN 'fail ' ELSE 'why ' END || array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:12], ' ') AS q FROM conversations WHERE role = 'user')"
+ASKS_SQL = r"asks AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN 'fail ' ELSE 'why ' END || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS q FROM conversations WHERE role = 'user')"
 
 
 def asks(spark, d):
     c = table(spark, d, "conversations").filter("role = 'user'")
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 12)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     return c.select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 9 == 0, "fail ").otherwise("why "), F.array_join(words, " ")).alias("q"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import tokens
-from docmill.operators import lexical, ranking, retrieve, vectors
+from docmill.operators import lexical, ranking, retrieve, text_index, vector_index, vectors
+from docmill.scratch import stored
 from docmill.sources.tables import chunks, files, table
 
 from .registry import CHUNKS, FILES, query
@@ -28,10 +29,14 @@ def boost(text, terms=None):
     return F.array_distinct(F.transform(held, lambda t: F.lower(t)))
 
 
-def indexed(spark, d):
-    """documents with both indexed columns: the text, and its tokens with the entity terms that it holds."""
+def _two_columns(docs):
+    """Both indexed columns: the text, and its tokens with the entity terms that it holds."""
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", "text", F.array_join(F.concat(tokens(text), boost(text)), " ").alias("tokens"))
+    return docs.select("doc_id", "text", F.array_join(F.concat(tokens(text), boost(text)), " ").alias("tokens"))
+
+
+def indexed(spark, d):
+    return _two_columns(table(spark, d, "documents"))
 
 
 TERMS_SQL = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
@@ -54,8 +59,13 @@ vs AS (SELECT qid, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DO
 """
 
 
+def index_of(spark, d):
+    """The stored index of the documents."""
+    return text_index.opened(spark, f"{d}/documents", spark.read.parquet(f"{d}/documents.parquet"), indexed(spark, d), "text", "tokens")
+
+
 def _bm25(spark, d, k, batch=None, **constants):
-    return lexical.top_k(lexical.bm25(indexed(spark, d), questions(spark, d) if batch is None else batch, "doc_id", "text", "tokens", **constants), "doc_id", k)
+    return lexical.top_k(index_of(spark, d).bm25(questions(spark, d) if batch is None else batch, **constants), "doc_id", k)
 
 
 def _vec(spark, d, k, batch=None):
@@ -75,7 +85,7 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FR
 GROUP BY term""")
 def build_bm25_index(spark, d):
     p = lexical.postings(indexed(spark, d), "doc_id", "text", "tokens")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").cast("long").alias("max_tf"))
 
 
 @query("bm25_topk", f"""WITH {Q_SQL}, {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
@@ -84,6 +94,25 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+#: After an upkeep: every fifth text is another one, every seventh document is gone, some are new.
+KEPT_SQL = """kept AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang || ' ' || source || ' ' || text || ' anew' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3
+  UNION ALL SELECT 1000000000 + doc_id, text FROM documents WHERE doc_id % 11 = 0)"""
+
+
+@query("index_upkeep", f"""WITH {Q_SQL}, {KEPT_SQL}, {BM25.replace('FROM documents', 'FROM kept')}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)
+SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20""")
+def index_upkeep(spark, d):
+    """A search after files were changed, removed and added: the index takes the changes in, two commits behind the first."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    index = text_index.temporary(spark, "text", "tokens")
+    index.refresh(_two_columns(docs))
+    other = F.when(F.col("doc_id") % 5 == 0, F.concat_ws(" ", "lang", "source", "text", F.lit("anew"))).otherwise(F.col("text"))
+    here = docs.filter("doc_id % 7 <> 3").withColumn("text", other).select("doc_id", "text")
+    index.refresh(_two_columns(here))
+    index.apply(_two_columns(docs.filter("doc_id % 11 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text")))
+    return lexical.top_k(index.bm25(questions(spark, d)), "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("bm25_okapi_topk", f"""WITH {Q_SQL}, {TERMS},
 bm AS (SELECT qid, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl))) AS score
   FROM tf JOIN df USING (term) CROSS JOIN size JOIN qt USING (term) GROUP BY ALL),
@@ -103,6 +132,36 @@ def vector_topk(spark, d):
     return vectors.top_k(e.withColumnRenamed("vec_id", "doc_id"), q, "doc_id", 20).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+VECTOR_LISTS = f"""WITH vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qvec FROM embeddings WHERE vec_id % 50 = 0), {VEC.split('),', 1)[1]},
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs)"""
+
+
+def vector_index_of(spark, d):
+    """An index of the vectors, half of them built and the other half taken in behind it."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = vector_index.temporary(spark)
+    index.build(e.filter("doc_id % 2 = 0"))
+    index.apply(e.filter("doc_id % 2 = 1"))
+    return index, e.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@query("vector_index_topk", VECTOR_LISTS + " SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def vector_index_topk(spark, d):
+    """The exact search by way of all lists of the index."""
+    index, q = vector_index_of(spark, d)
+    return index.top_k(q, 20, probes=None).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_recall", VECTOR_LISTS + " SELECT qid, count(*) AS found, true AS enough FROM r WHERE rank <= 20 GROUP BY qid")
+def vector_index_recall(spark, d):
+    """Searches of some lists against all rows: hits for each query, and whether the batch finds nine tenths of what the exact search finds."""
+    index, q = vector_index_of(spark, d)
+    some, all_ = (stored(index.top_k(q, 20, probes=n).select("qid", "doc_id"), "found") for n in (0, None))
+    both = some.join(all_, ["qid", "doc_id"]).agg(F.count(F.lit(1)).alias("both")).crossJoin(all_.agg(F.count(F.lit(1)).alias("all")))
+    enough = both.select((F.col("both") >= 0.9 * F.col("all")).alias("enough"))
+    return some.groupBy("qid").agg(F.count(F.lit(1)).alias("found")).crossJoin(F.broadcast(enough))
+
+
 @query("scan_embeddings", "SELECT vec_id, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first, label FROM embeddings")
 def scan_embeddings(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("width"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), "label")
@@ -141,10 +200,14 @@ def rrf_fusion(spark, d):
     return ranking.rrf([_vec(spark, d, 30), _bm25(spark, d, 30)], "doc_id").select("qid", "doc_id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("hybrid_search", RANKED + """SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(vec_rank AS INTEGER) AS vec_rank, CAST(fts_rank AS INTEGER) AS fts_rank, round(rrf, 9) AS rrf,
-CASE WHEN vec_rank IS NOT NULL AND fts_rank IS NOT NULL THEN 'hybrid' WHEN vec_rank IS NOT NULL THEN 'vec' ELSE 'fts' END AS kind FROM hy WHERE rank <= 8""")
+KIND_SQL = """greatest(coalesce(vec_score, 0), coalesce(fts_score, 0)) AS score,
+CASE WHEN coalesce(round(vec_score, 9), 0) > 0 AND coalesce(round(fts_score, 9), 0) > 0 THEN 'hybrid' WHEN coalesce(round(vec_score, 9), 0) > 0 THEN 'vec' ELSE 'fts' END AS kind"""
+
+
+@query("hybrid_search", RANKED + f"""SELECT qid, doc_id, rank, vec_rank, fts_rank, rrf, round(score, 6) AS score, kind FROM (SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(vec_rank AS INTEGER) AS vec_rank,
+CAST(fts_rank AS INTEGER) AS fts_rank, round(rrf, 9) AS rrf, {KIND_SQL} FROM hy WHERE rank <= 8)""")
 def hybrid_search(spark, d):
-    return hybrid(spark, d).select("qid", "doc_id", "rank", "vec_rank", "fts_rank", F.round("rrf", 9).alias("rrf"), "kind")
+    return hybrid(spark, d).select("qid", "doc_id", "rank", "vec_rank", "fts_rank", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"), "kind")
 
 
 @query("diversify_by_source", RANKED + """, h AS (SELECT h.qid, h.doc_id, h.rank, d.source FROM hy h JOIN documents d USING (doc_id) WHERE h.rank <= 20),

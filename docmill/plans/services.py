@@ -5,26 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docmill.functions.text import strip
 from docmill.operators import services, sidecars
-from docmill.scratch import folder
-from docmill.sources import parsers
+from docmill.scratch import folder, stored
+from docmill.sources import parsers, written
 from docmill.sources.tables import table
 
-from .registry import query
-from .retrieval import RANKED, hybrid, questions
+from .registry import SQL, query
+from .retrieval import KIND_SQL, RANKED, hybrid, questions
 from .texts import SPACED, STRIP, collapse_sql, values
 
 
-@query("corpus_walk", "SELECT source, bool_or(length(text) > 0) AS found, true AS fine FROM documents GROUP BY source")
+def normal_sql(of: str, key: str) -> str:
+    """SQL of tables up to j (key, t): texts of ``of`` (key, text) as parsers give them."""
+    return f"spaced AS (SELECT {key} AS doc_id, {SPACED} AS text FROM {of}), {collapse_sql('spaced')}, j AS (SELECT doc_id AS {key}, {STRIP.format('string_agg(s, chr(10) ORDER BY pos)')} AS t FROM k GROUP BY doc_id)"
+
+
+@query("corpus_walk", f"WITH {normal_sql('documents', 'doc_id')} SELECT 's-' || coalesce(source, '') || '/' || (doc_id % 10) || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' ELSE '.rst' END AS path, length(t) AS n, md5(t) AS digest FROM j JOIN documents USING (doc_id) WHERE doc_id % 10 <> 3")
 def corpus_walk(spark, d):
-    """Texts written as files in folders of their own beside files that no parser takes; the folder is walked and parsed."""
+    """Texts written as files in nested folders, some with suffixes that no parser takes; the folder is walked and every file parsed, a row for each."""
     path = folder(spark, "corpus")
-    docs = table(spark, d, "documents")
-    docs.select(F.concat(F.lit("s-"), "source").alias("part"), "text").write.partitionBy("part").text(path)
-    docs.select("doc_id").limit(1).write.json(f"{path}/part=s-other")
-    found = parsers.parsed(parsers.corpus(spark, path))
-    name = F.regexp_extract("path", "/part=s-([^/]+)/", 1)
-    return found.groupBy(F.url_decode(name).alias("source")).agg(F.bool_or(F.length("text") > 0).alias("found"), F.bool_and(F.col("error").isNull()).alias("fine"))
+    suffix = F.when(F.col("doc_id") % 10 == 3, ".bin").when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".TXT").otherwise(".rst")
+    name = F.concat(F.lit("s-"), F.coalesce("source", F.lit("")), F.lit("/"), (F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), suffix)
+    written.write_files(table(spark, d, "documents").select(name.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), path)
+    found = parsers.parsed(parsers.corpus(spark, path)).orderBy("path")
+    return found.select(F.regexp_extract("path", r"/(s-.*)$", 1).alias("path"), F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: Chats as paragraphs: lines of a turn that aren't blank, trimmed; characters that XML can't hold are left out.
+_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+LINES_SQL = r"""c AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM conversations)"""
+
+
+def _lines(spark, d):
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", _XML, ""), "\n"), strip), lambda x: x != "")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", lines.alias("ls"))
+
+
+def _walked(spark, rows, key, pattern):
+    """Files (path, content) written, walked and parsed: key from the path, section, text."""
+    path = folder(spark, "files")
+    written.write_files(rows, path)
+    return parsers.parsed(parsers.corpus(spark, path)).select(F.regexp_extract("path", pattern, 1).cast("long").alias(key), "section", "text")
+
+
+@query("parse_docx", f"""WITH {LINES_SQL}, last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+raw AS (SELECT c.conv_id * 1000 + c.turn AS no, '# ' || role || ' ' || c.turn || CASE WHEN len(ls) > 0 THEN chr(10) || array_to_string(ls, chr(10)) ELSE '' END || CASE WHEN c.turn = last.turn THEN chr(10) || c.conv_id || ' | end' ELSE '' END AS text FROM c JOIN last USING (conv_id)),
+{normal_sql('raw', 'no')} SELECT no // 1000 AS conv_id, role || ' ' || turn AS section, length(t) AS n, md5(t) AS digest FROM j JOIN conversations ON conv_id * 1000 + turn = no""")
+def parse_docx(spark, d):
+    """Chats as DOCX files: a heading for each turn, its lines as paragraphs, a table at the end that goes into the last section."""
+    heading = F.concat("role", F.lit(" "), F.col("turn").cast("string"))
+    per = _lines(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", heading.alias("h"), "ls"))).alias("s"))
+    content = written.word_files(F.transform("s", lambda x: x["h"]), F.transform("s", lambda x: x["ls"]), F.array(F.col("conv_id").cast("string"), F.lit("end")))
+    found = _walked(spark, per.select(F.concat((F.col("conv_id") % 8).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("path"), content.alias("content")), "conv_id", r"/(\d+)\.docx$")
+    return found.select("conv_id", "section", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("parse_xlsx", """WITH o AS (SELECT o_custkey % 50 AS book, o_orderstatus AS section, o_orderkey, o_orderkey || ' |  | ' || o_orderpriority AS line FROM orders)
+SELECT book, section, count(*) AS rows, md5(string_agg(replace(line, '  ', ' '), chr(10) ORDER BY o_orderkey)) AS digest FROM o GROUP BY ALL""")
+def parse_xlsx(spark, d):
+    """Orders as workbooks: a sheet for each state, rows with an empty cell, and rows of blanks, which are left out."""
+    cells = F.array(F.col("o_orderkey").cast("string"), F.lit(""), "o_orderpriority")
+    blank = F.array(F.lit(" "), F.lit(""))
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("long").alias("book"), "o_orderstatus", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.array(cells, blank)).otherwise(F.array(cells)).alias("rows"))
+    sheets = o.groupBy("book", "o_orderstatus").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "rows"))), lambda x: x["rows"])).alias("rows"))
+    books = sheets.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("o_orderstatus", "rows"))).alias("s"))
+    content = written.sheet_files(F.transform("s", lambda x: x["o_orderstatus"]), F.transform("s", lambda x: x["rows"]))
+    found = _walked(spark, books.select(F.concat(F.col("book").cast("string"), F.lit(".xlsx")).alias("path"), content.alias("content")), "book", r"/(\d+)\.xlsx$")
+    return found.select("book", "section", F.size(F.split("text", "\n")).cast("long").alias("rows"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("parse_epub", f"""WITH {LINES_SQL}, raw AS (SELECT conv_id * 1000 + turn AS no, array_to_string(ls, chr(10)) AS text FROM c WHERE len(ls) > 0),
+{normal_sql('raw', 'no')} SELECT no // 1000 AS conv_id, 'part' || printf('%04d', no % 1000) || '.xhtml' AS section, length(t) AS n, md5(t) AS digest FROM j""")
+def parse_epub(spark, d):
+    """Chats as EPUB files: a member for each turn; members without text give no section, styles and contents are left out."""
+    member = F.concat(F.lit("part"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".xhtml"))
+    per = _lines(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", member.alias("m"), F.array_join("ls", "\n").alias("t")))).alias("s"))
+    content = written.book_files(F.transform("s", lambda x: x["m"]), F.transform("s", lambda x: x["t"]))
+    found = _walked(spark, per.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"), content.alias("content")), "conv_id", r"/(\d+)\.epub$")
+    return found.select("conv_id", "section", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("parse_text", f"WITH spaced AS (SELECT doc_id, {SPACED} AS text FROM documents), {collapse_sql('spaced')}, j AS (SELECT doc_id, {STRIP.format('string_agg(s, chr(10) ORDER BY pos)')} AS t FROM k GROUP BY doc_id) SELECT doc_id, 1 AS sections, length(t) AS n, md5(t) AS digest FROM j")
@@ -163,10 +222,73 @@ def chat_messages(spark, d):
     return services.chat(c).select("conv_id", F.size("messages").cast("long").alias("messages"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").cast("binary")).alias("digest"))
 
 
+class Counter:
+    """A stand-in for a model that answers by the size of what it is sent; it has no answer to some."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        return "" if len(prompt) % 5 == 2 else f"An answer to {len(prompt)} characters."
+
+
+_CONTEXT_SQL = "string_agg('[' || h.rank || '] (' || d.source || ' p.' || (h.rank + 1) || ')' || chr(10) || d.text, chr(10) || chr(10) ORDER BY h.rank)"
+
+
+@query("chat_completions", RANKED + f""", hk AS (SELECT qid, doc_id, rank, {KIND_SQL} FROM hy WHERE rank <= 8),
+c AS (SELECT h.qid, {_CONTEXT_SQL} AS context, '[' || string_agg('{{"path":"' || d.source || '/' || h.doc_id || '","score":' || CAST(round(h.score, 6) AS DECIMAL(18,6)) || '}}', ',' ORDER BY h.rank) || ']' AS cited,
+  string_agg('[' || h.rank || '] ' || d.source || '/' || h.doc_id, chr(10) ORDER BY h.rank) AS passages FROM hk h JOIN documents d USING (doc_id) GROUP BY h.qid),
+b AS (SELECT qid, string_agg('• ' || source || ' — ' || source || '.' || chr(10) || '  Topics: the, de.', chr(10) || chr(10) ORDER BY rank) AS brief FROM (
+  SELECT h.qid, d.source, min(h.rank) AS rank, q.question FROM hk h JOIN documents d USING (doc_id) JOIN q USING (qid) GROUP BY ALL) WHERE contains(lower(question), 'the') OR contains(lower(question), 'de') GROUP BY qid),
+p AS (SELECT q.qid, length('sources' || CASE WHEN b.brief IS NULL THEN '' ELSE chr(10) || chr(10) || b.brief END || chr(10) || chr(10) || 'Question: ' || q.question || chr(10) || chr(10) || 'Context:' || chr(10) || c.context) AS n, c.cited, c.passages FROM q JOIN c USING (qid) LEFT JOIN b USING (qid))
+SELECT qid, CASE n % 5 WHEN 2 THEN 'none' ELSE 'model' END AS backend, md5('{{"id":"chatcmpl-' || qid || '","object":"chat.completion","model":"counter","choices":[{{"index":0,"message":{{"role":"assistant","content":"' ||
+  CASE n % 5 WHEN 2 THEN replace(passages, chr(10), chr(92) || 'n') ELSE 'An answer to ' || n || ' characters.' END || '"}},"finish_reason":"stop"}}],"citations":' || cited || '}}') AS digest FROM p""")
+def chat_completions(spark, d):
+    """Whole answers: prompt with what is known of the files, context, a model's reply or the passages where it has none, and the body that a service sends."""
+    from docmill.operators.prompts import brief, context_block
+
+    batch = questions(spark, d)
+    hits = stored(hybrid(spark, d).select("qid", "doc_id", "rank", "score").join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id"), "answer-hits")
+    context = context_block(hits.withColumn("page", F.col("rank") + 1), "source")
+    topics, none = F.array(F.lit("the"), F.lit("de")), F.array().cast("array<string>")
+    meta = hits.join(batch.select("qid", "question"), "qid").select("qid", "rank", F.col("source").alias("path"), "question", F.lit("topic-aware").alias("scope"), F.lit("").alias("title"), F.lit("").alias("description"), topics.alias("topics"), none.alias("entities"))
+    asked = services.messages(batch, context, brief(meta))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    passages = hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", path.alias("path")))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["path"])), "\n").alias("text"))
+    said = services.replied(asked, Counter, passages)
+    body = services.completion(said, hits.withColumn("path", path), "counter")
+    return body.join(said.select("qid", "backend"), "qid").select("qid", "backend", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+def _modifiers(spark, d):
+    hits = hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(questions(spark, d), "qid")
+    scope = F.when(F.col("doc_id") % 3 == 0, "global").when(F.col("doc_id") % 3 == 1, "topic-aware").otherwise("file-only")
+    return hits.select("qid", "rank", F.col("source").alias("path"), "question", scope.alias("scope"), F.array(F.lit("the"), F.lit("de")).alias("topics"), F.concat(F.lit("In "), "lang").alias("prefix"), F.lit("briefly").alias("suffix"), F.array("lang", F.upper("lang"), "source").alias("negatives"))
+
+
 @query("merged_modifiers")
 def merged_modifiers(spark, d):
     """Modifiers of the files of a question's hits, merged in rank order by scope. A fold with a search inside, so without SQL."""
-    hits = hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(questions(spark, d), "qid")
+    return sidecars.merged(_modifiers(spark, d), "Answer:", "", ["none"])
+
+
+@query("modified_questions", RANKED + """, m AS (SELECT h.qid, d.source, arg_min(h.doc_id, h.rank) AS doc_id, arg_min(d.lang, h.rank) AS lang, min(h.rank) AS rank FROM hy h JOIN documents d USING (doc_id) WHERE h.rank <= 8 GROUP BY ALL),
+a AS (SELECT m.*, row_number() OVER (PARTITION BY m.qid ORDER BY m.rank) AS place FROM m JOIN q USING (qid) WHERE CASE m.doc_id % 3 WHEN 0 THEN true WHEN 1 THEN contains(lower(q.question), 'the') OR contains(lower(q.question), 'de') ELSE m.rank = 1 END),
+p AS (SELECT qid, string_agg('In ' || lang, ' ' ORDER BY place) AS prefix FROM (SELECT qid, lang, min(place) AS place FROM a GROUP BY ALL) GROUP BY qid),
+n AS (SELECT qid, lower(word) AS low, arg_min(word, [place, i]) AS word, min([place, i]) AS spot FROM (SELECT qid, place, unnest([lang, upper(lang), source]) AS word, unnest([1, 2, 3]) AS i FROM a) WHERE lower(word) <> 'none' GROUP BY ALL),
+g AS (SELECT qid, list(word ORDER BY spot) AS words FROM n GROUP BY qid)
+SELECT q.qid, md5('Answer:' || coalesce(' ' || p.prefix, '') || ' ' || q.question || CASE WHEN p.qid IS NULL THEN '' ELSE ' briefly' END || '  Avoid: ' || array_to_string((['none'] || coalesce(g.words, []))[1:5], ', ')) AS digest FROM q LEFT JOIN p USING (qid) LEFT JOIN g USING (qid)""")
+def modified_questions(spark, d):
+    """What is embedded for every question: the workspace's modifiers and those of its hits' files around it."""
+    return sidecars.modified(questions(spark, d), _modifiers(spark, d), "Answer:", "", ["none"]).select("qid", F.md5(F.col("searched").cast("binary")).alias("digest"))
+
+
+@query("sidecar_files", SQL["sidecar_toml"])
+def sidecar_files(spark, d):
+    """Sidecars written as files beside their documents, found again and read; a broken one gives the defaults."""
+    t = table(spark, d, "documents")
     scope = F.when(F.col("doc_id") % 3 == 0, "global").when(F.col("doc_id") % 3 == 1, "topic-aware").otherwise("file-only")
-    meta = hits.select("qid", "rank", F.col("source").alias("path"), "question", scope.alias("scope"), F.array(F.lit("the"), F.lit("de")).alias("topics"), F.concat(F.lit("In "), "lang").alias("prefix"), F.lit("briefly").alias("suffix"), F.array("lang", F.upper("lang"), "source").alias("negatives"))
-    return sidecars.merged(meta, "Answer:", "", ["none"])
+    toml = sidecars.rendered(F.concat(F.lit("Title '"), "lang", F.lit("' "), F.col("doc_id").cast("string")), scope, F.array("lang", "source"))
+    path = folder(spark, "sidecars")
+    name = F.concat((F.col("doc_id") % 16).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".meta.toml"))
+    written.write_files(t.select(name.alias("path"), F.encode(F.concat(F.when(F.col("doc_id") % 7 == 0, "= [").otherwise(""), toml), "UTF-8").alias("content")), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.toml").load(path)
+    found = files.select(F.regexp_extract("path", r"/(\d+)\.meta\.toml$", 1).cast("long").alias("doc_id"), F.decode("content", "UTF-8").alias("toml"))
+    return sidecars.read(found, "doc_id", "toml").select("doc_id", "title", "scope", F.array_join("topics", ",").alias("topics"), "broken")

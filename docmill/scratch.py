@@ -27,6 +27,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, name: str) -> str:
+    """The folder of what is kept beyond a query, as indexes: below ``spark.docmill.index.dir`` where that is set, for as long as its owner
+    keeps it; else in the shared folder, for this application alone."""
+    root = spark.conf.get("spark.docmill.index.dir", None) or f"{shared_dir(spark)}/kept-{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, lineage cut, survives lost executors."""
     path = folder(df.sparkSession, name)

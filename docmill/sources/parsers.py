@@ -188,25 +188,6 @@ def recognise_pictures(recogniser: Callable[[bytes], str]) -> None:
     register(*PICTURES)(read)
 
 
-def page_rows(files: DataFrame, extract: Callable[[bytes], list[tuple[str, str]]]) -> DataFrame:
-    """file_id, page, text, ocr of files (file_id, content) whose pages ``extract`` reads: the text layer and what recognition found, for
-    each page. Which of the two is used is for ``passes.recovered`` to say. A file that can't be read gives no page."""
-    kind = dict(files.dtypes)["file_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, content in zip(batch["file_id"], batch["content"], strict=True):
-                try:
-                    found = extract(bytes(content))
-                except Exception:  # as with parsers: one bad file must not end the job
-                    found = []
-                rows += [(key, n, layer, seen) for n, (layer, seen) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["file_id", "page", "text", "ocr"])
-
-    return files.select("file_id", "content").mapInPandas(run, f"file_id {kind}, page int, text string, ocr string")
-
-
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """path, suffix, content of the files under a folder that some parser takes."""
     wanted = "*.{" + ",".join(sorted({c for s in PARSERS for c in (s[1:], s[1:].upper())})) + "}"  # files are chosen by name before any is read

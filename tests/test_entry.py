@@ -14,7 +14,7 @@ def test_names():
 
 def test_entry(spark, data):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["qid", "doc_id", "rank", "vec_rank", "fts_rank", "rrf", "kind"] and df.count() == 8 * spark.read.parquet(f"{data}/conversations.parquet").filter("role = 'user' AND conv_id % 50 = 0").count()
+    assert df.columns == ["qid", "doc_id", "rank", "vec_rank", "fts_rank", "rrf", "score", "kind"] and df.count() == 8 * spark.read.parquet(f"{data}/conversations.parquet").filter("role = 'user' AND conv_id % 50 = 0").count()
 
 
 def test_without_the_subpackage(monkeypatch):
