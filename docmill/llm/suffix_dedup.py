@@ -67,7 +67,7 @@ def elected(names: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """The runs of the windows of a block of texts."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int, keys: tuple[bytes, bytes] = (tb.HERE, tb.HERE)):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int, keys: tuple[bytes, bytes] = (b"", b"2")):
         self.data, self.offs, self.length, self.keys = data, offs, length, keys
         grams = tb.doubled(data, gram, keys[0])
         count = np.maximum(0, np.diff(offs) - length + 1)
