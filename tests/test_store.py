@@ -208,7 +208,7 @@ def test_a_watch_goes_on_where_it_was(spark):
         out = plain(*args, **more)
         calls.append(1)
         if len(calls) == 2:
-            raise KeyboardInterrupt("stopped")
+            raise RuntimeError("stopped")
         return out
 
     store.commit = once
