@@ -22,15 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/docmill-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(path)
+    return path
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(spark: SparkSession, name: str) -> str:
     """The folder of what is kept beyond a query, as indexes: below ``spark.docmill.index.dir`` where that is set, for as long as its owner
-    keeps it; else in the shared folder, for this application alone."""
-    root = spark.conf.get("spark.docmill.index.dir", None) or f"{shared_dir(spark)}/kept-{spark.sparkContext.applicationId}"
+    keeps it; else for this application alone."""
+    root = spark.conf.get("spark.docmill.index.dir", None) or f"{run_dir(spark)}/kept"
     return f"{root.rstrip('/')}/{name}"
 
 
