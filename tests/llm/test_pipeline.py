@@ -76,3 +76,24 @@ def test_token_stage(stages):
         ids = core.encode_ordinary(r["text"] or "")
         want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids)).encode()), sha((r["text"] or "").encode())))
     assert Counter(tuple(r)[:4] for r in stages[5]) == Counter(want)
+
+
+def test_stages_take_textual_ids(spark, data):
+    """Every stage runs on ids that are no numbers, and keeps as many rows as on numbers where ids only name rows."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from docmill.llm.shared import stash
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 90 OR doc_id % 7 = 0")
+    kept = {}
+    for kind, column in (("number", F.col("doc_id")), ("text", F.concat(F.lit("a-"), F.col("doc_id").cast("string")))):
+        now = docs.withColumn("doc_id", column)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            left = stash(stage(spark, now, data), f"textual-{name}")
+            kept[kind, name] = left.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert left.columns == now.columns and left.schema["doc_id"].dataType == now.schema["doc_id"].dataType
+                now = left
+    names = [n for n, _ in corpus_pipeline.STAGES[1:]]
+    assert [kept["text", n] for n in names[:2]] == [kept["number", n] for n in names[:2]] and all(kept["text", n] > 0 for n in names)
