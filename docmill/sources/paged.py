@@ -1,7 +1,7 @@
 """Paged files as a data source: a row for each page, in partitions of byte ranges, so a long file is many tasks.
 
 A paged file is a zip archive with a text layer ``<page>.txt`` and a picture ``<page>.img`` for each page. The driver only lists files and their
-sizes; a task opens its file, reads the directory and takes the pages that begin in its range. ``pictures`` are read on a second way, for
+sizes, and packs short ones together; a task opens its files, reads their directories and takes the pages that begin in its ranges. ``pictures`` are read on a second way, for
 asked pages alone."""
 
 from __future__ import annotations
@@ -27,29 +27,37 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri)) if re.match(r"^\w+:/", uri) else (pafs.LocalFileSystem(), uri)
 
 
-class Range(InputPartition):
-    def __init__(self, uri: str, path: str, start: int, stop: int):
-        self.uri, self.path, self.start, self.stop = uri, path, start, stop
+class Ranges(InputPartition):
+    """Ranges (path, start, stop) of a long file or of several short ones."""
+
+    def __init__(self, uri: str, ranges: list[tuple[str, int, int]]):
+        self.uri, self.ranges = uri, ranges
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.range = options["path"], int(options.get("range", RANGE))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         fs, root = _open(self.path)
         found = sorted((f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(SUFFIX)), key=lambda f: f.path)
-        return [Range(self.path, f.path, at, at + self.range) for f in found for at in range(0, max(1, f.size), self.range)] or [Range(self.path, "", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
+        out, held, size = [], [], 0
+        for path, at, stop in ((f.path, at, min(f.size, at + self.range)) for f in found for at in range(0, max(1, f.size), self.range)):
+            if held and size + stop - at > self.range:
+                out.append(Ranges(self.path, held))
+                held, size = [], 0
+            held.append((path, at, stop))
+            size += stop - at
+        return [*out, Ranges(self.path, held)]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         fs, _ = _open(partition.uri)
-        with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            for member in z.infolist():
-                name, _, kind = member.filename.rpartition(".")
-                if kind == "txt" and partition.start <= member.header_offset < partition.stop:
-                    yield partition.path, int(name), z.read(member).decode("utf-8", "replace")
+        for path, start, stop in partition.ranges:
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                for member in z.infolist():
+                    name, _, kind = member.filename.rpartition(".")
+                    if kind == "txt" and start <= member.header_offset < stop:
+                        yield path, int(name), z.read(member).decode("utf-8", "replace")
 
 
 class PagedSource(DataSource):
