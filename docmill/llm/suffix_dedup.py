@@ -20,8 +20,8 @@ at its edges, which differ from text to text, are dealt to all parts; no group o
 shuffled to their buckets once, and Spark reuses that exchange in all three passes.
 
 Names are made under secret keys that the driver draws for each run (``textbatch.names``), so no texts can be built that share one. What removes
-bytes rests on two of them: runs are compared by gram and by the name of their whole stretch, windows by two names of independent keys, by which
-any two different windows are taken for equal once in 2^128 keys.
+bytes rests on two of them: runs are compared by gram and by the name of their whole stretch, windows by the names of all their grams and by a name of
+their bytes under an independent key, which any two different windows share for one key in 2^64 whatever the first names are.
 
 Defined cases: a null or empty text has no bytes and one digest; texts under ``length`` bytes keep all; repeated rows are texts of their
 own and so repeat each other; ids that aren't whole numbers are null; an empty table gives an empty result; other columns are ignored.
@@ -69,7 +69,8 @@ class Block:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int, gram: int, keys: tuple[bytes, bytes] = (b"", b"2")):
         self.data, self.offs, self.length, self.keys = data, offs, length, keys
-        grams = tb.doubled(data, gram, keys[0])
+        grams = self.grams = tb.doubled(data, gram, keys[0])
+        self.gram = gram
         count = np.maximum(0, np.diff(offs) - length + 1)
         self.first = np.concatenate([[0], np.cumsum(count)])
         total = int(self.first[-1])
@@ -93,9 +94,10 @@ class Block:
         return np.repeat(codes >= REPEATED_SENDS, self.size)
 
     def names(self, which: np.ndarray) -> np.ndarray:
-        """Two names for each window."""
+        """Two names for each window: by its grams, and by its bytes."""
         at = self.window[which]
-        return np.stack([tb.names(self.data, at, at + self.length, k) for k in self.keys])
+        places = [*range(0, self.length - self.gram, self.gram), self.length - self.gram]
+        return np.stack([tb.joined([self.grams[at + p] for p in places], self.keys[0]), tb.names(self.data, at, at + self.length, self.keys[1])])
 
 
 def _ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
