@@ -21,6 +21,8 @@ for each source; that is meant for up to ten million sources.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,11 +128,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.floor("rate")
     keyed = stash(rated.withColumn("whole", whole.cast("long")).withColumn("key", u - (F.col("rate") - whole)).select("doc_id", "skey", "size", "source_size", "target", "whole", "key"), "rated")
     need = keyed.groupBy("skey").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
-    open_ = keyed.filter("size > 0").select("doc_id", "skey", "size", "key")
+    # A document at the cap is whole copies already; the threshold, which can end above 0, is for the others.
+    open_ = keyed.filter((F.col("size") > 0) & (F.col("whole") < F.lit(ceil(cap)))).select("doc_id", "skey", "size", "key")
     cuts = _threshold(open_.select("skey", "size", "key"), need)
     # The document at the cut can be long: what is left is filled, each time in another hashed order, with copies that fit into it.
     left = cuts.select("skey", F.col("left").alias("need"))
-    now = keyed.join(_small(cuts), "skey", "left").withColumn("copies", F.col("whole") + F.when((F.col("size") > 0) & (F.col("key") < F.col("cut")), 1).otherwise(0))
+    now = keyed.join(_small(cuts), "skey", "left").withColumn("copies", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < F.lit(ceil(cap))) & (F.col("key") < F.col("cut")), 1).otherwise(0))
     now = now.select("doc_id", "skey", "size", "source_size", "target", "copies")
     for k in range(FILLS):
         order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(f"fill-{k}")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 51)) - 1

@@ -3,6 +3,7 @@
 from math import exp
 
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm import mixing
 
@@ -100,3 +101,13 @@ def test_pipeline(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, data) if none.columns[-1] == "n_chars" else none
     assert none.count() == 0
+
+
+def test_no_document_is_taken_more_than_twice_in_a_large_table(spark):
+    """Documents at the cap are whole copies already: the threshold that rounds the others must not add a third one."""
+    size = (F.xxhash64("id").bitwiseAND(F.lit(15)) + 1) * F.when(F.col("id") % 3 == 0, 12).otherwise(1)
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), size.cast("int")).alias("text"), (F.col("id") % 40).cast("string").alias("source"))
+    found = mixing.mix(docs)
+    assert found.filter("copies > 2 OR taken > 2 * size").count() == 0
+    ends = found.groupBy((F.col("doc_id") % 40).alias("source")).agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert ends.filter("abs(taken - target) > 25").count() == 0
