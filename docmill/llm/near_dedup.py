@@ -52,7 +52,7 @@ CHANCE = 2.0**-MANTISSA / 6
 #: Standard errors that an estimate may lie under the threshold.
 ERRORS = 5
 #: Rows up to which a table of numbers is broadcast (under 8 MB); beyond, its joins are shuffled.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 _GEN = np.random.Generator(np.random.PCG64(991))
 _XOR = _GEN.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _MUL = _GEN.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -165,8 +165,9 @@ def full_sets(docs: DataFrame, text_col: str, size: int, secret: bytes) -> DataF
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A stored table of names, to be broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A stored table of names, to be broadcast if its counted size allows; else it is shuffled whatever the session's own limit is, as the
+    driver holds each broadcast and a loop makes many of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:

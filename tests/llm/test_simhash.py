@@ -125,3 +125,13 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
 def test_empty_table(spark):
     none = sh.simhash_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert none.columns == ["doc_id", "fingerprint", "component_id"] and none.count() == 0
+
+
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark):
+    """The driver holds a broadcast; names of 20,000 nodes are shuffled, a few are broadcast."""
+    from docmill.llm.near_dedup import bounded
+    from docmill.llm.shared import stash
+
+    for n, sent in ((20_000, False), (100, True)):
+        plan = spark.range(n).join(bounded(stash(spark.range(n), "names")), "id")._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == sent
