@@ -19,17 +19,18 @@ def recovered(pages: DataFrame, permissive: bool = False) -> DataFrame:
     A file with next to no text layer takes all its pages from recognition, blank ones left out. Otherwise readable pages are as they
     are, and a garbled page is replaced by its recognised text; where that is empty, garbled or a torn table of contents the page is
     dropped, or with ``permissive`` kept as questionable unless it is empty."""
-    file = Window.partitionBy("file_id")
     text, ocr = F.coalesce("text", F.lit("")), strip(F.coalesce("ocr", F.lit("")))
-    scan = (F.sum(F.length(text)).over(file) < SCAN_CHARS * F.count(F.lit(1)).over(file)) & F.max(ocr != "").over(file)
-    marked = pages.select("file_id", "page", text.alias("text"), ocr.alias("ocr"), scan.alias("scan"))
-    bad = (F.col("ocr") == "") | garbled(F.col("ocr")) | toc_fragment(F.col("ocr"))
-    broken = marked.withColumn("broken", garbled(F.col("text"))).withColumn("bad", bad)
-    origin = F.when(F.col("scan"), F.when(F.col("ocr") != "", "scan")).when(strip(F.col("text")) == "", F.lit(None)).when(~F.col("broken"), "layer").when(~F.col("bad"), "recognised")
-    if permissive:
-        origin = F.coalesce(origin, F.when(~F.col("scan") & F.col("broken") & (F.col("ocr") != ""), "questionable"))
-    found = broken.withColumn("origin", origin).filter("origin IS NOT NULL")
-    return found.select("file_id", "page", F.when(F.col("origin") == "layer", normalised(F.col("text"))).otherwise(normalised(F.col("ocr"))).alias("text"), "origin", (F.col("origin") == "questionable").alias("questionable"))
+    # What a page is by itself is told once, before its file's pages meet, and recognition is looked at only where it may be needed.
+    of_page = F.when(strip(F.col("text")) == "", None).when(~garbled(F.col("text")), "layer")
+    of_page = of_page.when(~((F.col("ocr") == "") | garbled(F.col("ocr")) | toc_fragment(F.col("ocr"))), "recognised")
+    of_page = of_page.when(F.col("ocr") != "", "questionable") if permissive else of_page
+    told = pages.select("file_id", "page", text.alias("text"), ocr.alias("ocr")).withColumn("of_page", of_page).withColumn("n", F.length("text"))
+    file = Window.partitionBy("file_id")
+    scan = (F.sum("n").over(file) < SCAN_CHARS * F.count(F.lit(1)).over(file)) & F.max(F.col("ocr") != "").over(file)
+    told = told.withColumn("text", F.when(F.col("of_page") == "layer", F.col("text"))).withColumn("scan", scan)
+    found = told.withColumn("origin", F.when(F.col("scan"), F.when(F.col("ocr") != "", "scan")).otherwise(F.col("of_page"))).filter("origin IS NOT NULL")
+    chosen = F.when(F.col("origin") == "layer", F.col("text")).otherwise(F.col("ocr"))
+    return found.select("file_id", "page", normalised(chosen).alias("text"), "origin", (F.col("origin") == "questionable").alias("questionable"))
 
 
 def to_recognise(pages: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from docmill.scratch import stored
+
 SUFFIX = ".paged"
 #: Bytes of a file for one task, and pages that are recognised in one.
 RANGE, PAGES = 8 << 20, 64
@@ -125,5 +127,8 @@ def recognised(asked: DataFrame, folder: str, factory: Callable[[], Callable[[by
                     out += [(path, page, "") for page in rows["page"]]
             yield pd.DataFrame(out, columns=["path", "page", "ocr"]).astype({"page": "int32"})
 
-    dealt = asked.select("path", "page").repartition("path", F.floor(F.col("page") / PAGES)).sortWithinPartitions("path", "page")
+    # Names of pages are short, their pictures aren't: Spark's own sizes would put them all into a few tasks.
+    asked = stored(asked.select("path", "page"), "asked-pages")
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // (16 * PAGES)))
+    dealt = asked.repartition(tasks, "path", F.floor(F.col("page") / PAGES)).sortWithinPartitions("path", "page")
     return dealt.mapInPandas(run, "path string, page int, ocr string")

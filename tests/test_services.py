@@ -5,6 +5,7 @@ import pytest
 
 from docmill.operators import models, passes, retrieve, services, sidecars, vectors
 from docmill.operators.prefix import running
+from docmill.sources import paged
 
 
 def events():
@@ -143,3 +144,16 @@ def test_section_chunks_go_on(spark):
                     want.append((f, s, i, place, (" ".join(parts[i - 1].split()[-6:]) + " " if i else "") + p))
                     place += 1
     assert [tuple(r) for r in got] == want
+
+
+def test_page_recovery_tells_pages_once(spark):
+    """Counts of a page are made below the shuffle and once: no pattern for white space at the ends is left, and the filter behind the window tests flags."""
+    df = spark.createDataFrame([(1, 1, " a\u00a0\x0b\n", "b")], "file_id long, page int, text string, ocr string")
+    plan = passes.recovered(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"^\s+|\s+$" not in plan
+    assert plan.count(r"[^\p{L}\p{N}\s]+") == 2  # of the text and of its recognition
+
+
+def test_recognition_is_dealt_to_all_cores(spark, tmp_path):
+    asked = spark.createDataFrame([(f"f{k}", 1) for k in range(64)], "path string, page int")
+    assert paged.recognised(asked, str(tmp_path), lambda: bytes.decode).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
