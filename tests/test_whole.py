@@ -40,3 +40,19 @@ def test_chat_lines_and_merge_modifiers(spark, tmp_path):
     assert chats == {1: (3, "\n".join(f"{role}: {text}" for _, _, role, text in turns[:3])), 2: (1, "user: é")}
     merged = {r["conv_id"]: r["merged"] for r in QUERIES["merge_modifiers"](spark, str(tmp_path)).collect()}
     assert merged == {1: "the same first words, and an end|the same first words, another end", 2: "é"}
+
+
+def test_consolidate_writes_forms_not_words(spark, monkeypatch):
+    """Short and long terms, within words and across them, against plain Python; what is written has a row for each form, not for each term."""
+    kept = lookups.stored
+    written = []
+    monkeypatch.setattr(lookups, "stored", lambda df, name: written.append(kept(df, name)) or written[-1])
+    texts = ["Éclair lieutenantship abc-def", "x" * 30 + "tenantshipmate q2 w", "zz\nabc de", "NO"]
+    terms = ["Tenantsh", "tenantshipm", "TENANTSHIPS", "abc-d", "c d", "bc", "q2", "éc", "zz\na", "zz a", "no", "cd", "lieutenantship"] * 2
+    found = spark.createDataFrame([(1, "b", i, t) for i, t in enumerate(terms)], "grp int, bucket string, pos int, term string")
+    whole = spark.createDataFrame([(1, t) for t in texts] + [(2, "cd tenantships")], "grp int, text string")
+    want = sorted({t.lower() for t in terms if any(t.lower() in x.lower() for x in texts)})
+    got = lookups.consolidate(found, whole).collect()
+    assert [r["form"].lower() for r in sorted(got, key=lambda r: r["place"])] == want and all(r["n"] == 2 for r in got)
+    assert {r["form"] for r in got} <= set(terms)
+    assert max(df.count() for df in written) == len({t.lower() for t in terms})
