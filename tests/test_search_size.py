@@ -40,3 +40,25 @@ def test_the_best_rows_are_those_of_all_scores(spark):
             assert sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got.collect()) == sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in want.collect())
     assert index.top_k(asked.filter("qid < 0"), 7).count() == 0
     assert index.top_k(asked.select("qid", F.lit("unheard").alias("question")), 7).count() == 0
+
+
+def test_a_search_shuffles_a_few_bytes_a_posting(spark):
+    word = F.element_at(F.array(*map(F.lit, ("red", "green", "blue", "grey"))), (F.xxhash64("id") % 4 + 4).cast("int") % 4 + 1)
+    texts = spark.range(60_000).select(F.xxhash64("id", F.lit(1)).alias("doc_id"), F.concat_ws(" ", F.lit("one two three"), word, F.repeat(F.lit(" two"), F.pmod(F.xxhash64("id"), F.lit(9)).cast("int"))).alias("text"))
+    asked = spark.range(4).select(F.col("id").alias("qid"), F.lit("one two three red green blue grey").alias("question"))
+    index = text_index.temporary(spark)
+    index.refresh(texts)
+    before = shuffled(spark)
+    assert index.top_k(asked, 5).count() == 20
+    assert shuffled(spark) - before < 12 * 240_000  # ids are random here, so eight of these are the id
+
+
+def test_packed_columns_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    columns = [np.array([-(2**63), 2**63 - 1, 0, 5], np.int64), np.array([0.1, -1e300, 0.0, 2.0])]
+    blocks = pa.table({"n": [4, 4], "block": [lexical.packed(columns)] * 2})
+    back = lexical.unpacked(blocks, "if")
+    assert [list(c) for c in back] == [list(c) * 2 for c in columns]
+    assert [len(c) for c in lexical.unpacked(blocks.slice(0, 0), "if")] == [0, 0]
