@@ -78,3 +78,36 @@ def test_a_listener_hears_rows_errors_and_batches(spark):
     heard = st.observed(s, "seen", F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("errors"))
     got = sorted((r["batch"], r["n"], r["errors"]) for r in heard.select("batch", *[F.get_json_object("detail", f"$.seen.{c}").cast("long").alias(c) for c in ("n", "errors")]).collect())
     assert sum(n for _, n, _ in got) == 30 and sum(e for *_, e in got) == 8 and len(got) == 3
+
+
+def test_a_key_costs_no_frames_beyond_its_rows():
+    import pandas as pd
+
+    parts = [pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00:02", "2024-01-01 00:00:01"]), "event_id": [1, 2]}), pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00:01"]), "event_id": [0]})]
+    second = 1704067200 * 1_000_000
+    assert list(states._ordered(iter(parts), ["ts", "event_id"], "ts", "event_id")) == [(second + 1_000_000, 0), (second + 1_000_000, 2), (second + 2_000_000, 1)]
+    assert list(states._frames([], ["user_id"])) == []
+    assert [list(f.itertuples(index=False, name=None)) for f in states._frames([(1, True), (2, False)], ["user_id", "hit"])] == [[(1, True), (2, False)]]
+
+
+def test_a_look_up_asks_the_state_once():
+    class Loaded:
+        asked = 0
+
+        def get(self):
+            self.asked += 1
+
+        def exists(self):
+            self.asked += 1
+            return False
+
+        def update(self, value):
+            pass
+
+    import pandas as pd
+
+    cache = states.Cache(8)
+    cache.loaded, cache.handle = Loaded(), type("Handle", (), {"registerTimer": lambda self, at: None})()
+    rows = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01"]), "event_id": [5]})
+    assert [list(f.itertuples(index=False, name=None)) for f in cache.handleInputRows((1,), iter([rows]), None)] == [[(1, 5, False)]]
+    assert cache.loaded.asked == 1
