@@ -276,12 +276,18 @@ def sanitise(found: DataFrame) -> DataFrame:
     return out.withColumn("clean", F.when(F.size("terms") > 0, _replaced(F.col("clean"), words, put)).otherwise(F.col("clean"))).drop("held")
 
 
+def base_columns() -> tuple[list[Column], Column]:
+    """The base columns of the contract from the matches of each kind, and the base spans."""
+    base = F.concat(*[_spans(k, k) for k in KINDS])
+    return [*[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256")], base
+
+
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, then the terms found, what is done to each (start:stop:action), and a digest of the sanitised text."""
     found = sanitise(find_personal_data(documents(spark, sf_dir)))
-    base = F.concat(*[_spans(k, k) for k in KINDS])
+    columns, base = base_columns()
     actions = F.array_join(F.transform("terms", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"), _action(m["bits"]))), ",")
     return found.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, _spans("term", "terms"))).alias("spans"),
+        "doc_id", *columns, _joined(F.concat(base, _spans("term", "terms"))).alias("spans"),
         F.size("terms").cast("long").alias("n_terms"), actions.alias("actions"), F.sha2(F.encode("clean", "UTF-8"), 256).alias("clean_sha256"),
     )
