@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,13 @@ from .paged import _open
 _TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>'
 
 
+def _put(fs, name: str, content: bytes) -> None:
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(f"{name}._part") as f:
+        f.write(content)
+    fs.move(f"{name}._part", name)
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
     """Write ``content`` (binary) of each row under its ``path``; their number. A file appears whole, under its name, or not at all."""
 
@@ -24,11 +33,7 @@ def write_files(rows: DataFrame, folder: str) -> int:
         fs, root = _open(folder)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = f"{root}/{path}"
-                fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(f"{name}._part") as f:
-                    f.write(bytes(content))
-                fs.move(f"{name}._part", name)
+                _put(fs, f"{root}/{path}", bytes(content))
             yield pd.DataFrame({"n": [len(batch)]})
 
     return rows.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
@@ -50,13 +55,68 @@ def word_file(sections: list[tuple[str, list[str]]], table: list[list[str]]) ->
     return _zipped([("[Content_Types].xml", _TYPES), ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')])
 
 
+_SHEETS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+class Workbook:
+    """An XLSX that is written row by row, one sheet behind the other: what is held is the compressed file."""
+
+    def __init__(self) -> None:
+        self.out, self.names = io.BytesIO(), []
+        self.zip, self.member = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED), None
+
+    def add(self, sheet: str, rows: list[list[str]]) -> None:
+        """Rows of cells for a sheet; a name other than the last one begins a sheet."""
+        if not self.names or self.names[-1] != sheet:
+            self._end()
+            self.names.append(sheet)
+            self.member = self.zip.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w", force_zip64=True)
+            self.member.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet {_SHEETS}><sheetData>'.encode())
+        cell = lambda c: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>'
+        self.member.write("".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows).encode())
+
+    def _end(self) -> None:
+        if self.member is not None:
+            self.member.write(b"</sheetData></worksheet>")
+            self.member.close()
+
+    def content(self) -> bytes:
+        self._end()
+        names = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}"/>' for k, n in enumerate(self.names, 1))
+        self.zip.writestr("[Content_Types].xml", _TYPES)
+        self.zip.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook {_SHEETS}><sheets>{names}</sheets></workbook>')
+        self.zip.close()
+        return self.out.getvalue()
+
+
 def sheet_file(sheets: list[tuple[str, list[list[str]]]]) -> bytes:
     """An XLSX of sheets (name, rows of cells)."""
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    names = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}"/>' for k, (n, _) in enumerate(sheets, 1))
-    cell = lambda c: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>'
-    files = [(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet {main}><sheetData>' + "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows) + "</sheetData></worksheet>") for k, (_, rows) in enumerate(sheets, 1)]
-    return _zipped([("[Content_Types].xml", _TYPES), ("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook {main}><sheets>{names}</sheets></workbook>'), *files])
+    book = Workbook()
+    for name, rows in sheets:
+        book.add(name, rows)
+    return book.content()
+
+
+def write_sheets(rows: DataFrame, folder: str, *by: str) -> int:
+    """Write rows (path, sheet, cells), in the order of ``by``, as XLSX files; their number. A task takes the sorted rows of a file one after the other, so neither
+    a file's rows nor its sheets are ever held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(folder)
+        last, book, done = None, None, 0
+        for batch in batches:
+            for (path, sheet), group in groupby(zip(*(batch.column(c).to_pylist() for c in ("path", "sheet", "cells")), strict=True), lambda r: r[:2]):
+                if path != last:
+                    if book is not None:
+                        _put(fs, f"{root}/{last}", book.content())
+                    last, book, done = path, Workbook(), done + 1
+                book.add(sheet, [cells for _, _, cells in group])
+        if book is not None:
+            _put(fs, f"{root}/{last}", book.content())
+        yield pa.record_batch({"n": [done]})
+
+    laid = rows.repartition("path").sortWithinPartitions("path", "sheet", *by).select("path", "sheet", "cells")
+    return laid.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def book_file(members: list[tuple[str, str]]) -> bytes:
