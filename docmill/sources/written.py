@@ -19,8 +19,11 @@ from .paged import _open
 _TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>'
 
 
-def _put(fs, name: str, content: bytes) -> None:
-    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+def _put(fs, name: str, content: bytes, made: set[str]) -> None:
+    """A file under its name, whole; ``made`` are folders that this task knows of."""
+    if (place := name.rsplit("/", 1)[0]) not in made:
+        fs.create_dir(place, recursive=True)
+        made.add(place)
     with fs.open_output_stream(f"{name}._part") as f:
         f.write(content)
     fs.move(f"{name}._part", name)
@@ -31,9 +34,10 @@ def write_files(rows: DataFrame, folder: str) -> int:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
+        made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                _put(fs, f"{root}/{path}", bytes(content))
+                _put(fs, f"{root}/{path}", bytes(content), made)
             yield pd.DataFrame({"n": [len(batch)]})
 
     return rows.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
@@ -103,16 +107,16 @@ def write_sheets(rows: DataFrame, folder: str, *by: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
-        last, book, done = None, None, 0
+        last, book, done, made = None, None, 0, set()
         for batch in batches:
             for (path, sheet), group in groupby(zip(*(batch.column(c).to_pylist() for c in ("path", "sheet", "cells")), strict=True), lambda r: r[:2]):
                 if path != last:
                     if book is not None:
-                        _put(fs, f"{root}/{last}", book.content())
+                        _put(fs, f"{root}/{last}", book.content(), made)
                     last, book, done = path, Workbook(), done + 1
                 book.add(sheet, [cells for _, _, cells in group])
         if book is not None:
-            _put(fs, f"{root}/{last}", book.content())
+            _put(fs, f"{root}/{last}", book.content(), made)
         yield pa.record_batch({"n": [done]})
 
     laid = rows.repartition("path").sortWithinPartitions("path", "sheet", *by).select("path", "sheet", "cells")

@@ -1,4 +1,4 @@
-"""Workbooks are written and read row by row."""
+"""Workbooks are written and read row by row, short files in a few tasks."""
 
 import io
 import tracemalloc
@@ -29,3 +29,11 @@ def test_files_are_written_from_sorted_rows(spark):
     want = {(f"{b}.xlsx", s, "\n".join(f"{b}{s}{i} | | <&>\"" for i in range(30)), None) for b in "ab" for s in ("one", "t<o")}
     assert set(map(tuple, found)) == want
     assert written.write_sheets(df.filter("at < 0"), path, "at") == 0
+
+
+def test_sidecars_are_read_in_a_few_tasks(spark):
+    from docmill.plans import QUERIES
+
+    found = QUERIES["sidecar_files"](spark, "/root/testdata/sf0.1")
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism  # there were some 320 for 10,000 files
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
