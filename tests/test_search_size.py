@@ -62,3 +62,40 @@ def test_packed_columns_come_back():
     back = lexical.unpacked(blocks, "if")
     assert [list(c) for c in back] == [list(c) * 2 for c in columns]
     assert [len(c) for c in lexical.unpacked(blocks.slice(0, 0), "if")] == [0, 0]
+
+
+def written(path) -> int:
+    import os
+
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(path) for name in names)
+
+
+def test_an_index_is_written_once_and_without_a_sort(spark):
+    from docmill.scratch import run_dir
+
+    texts, _ = crowd(spark, 4_000, 1)
+    before = written(run_dir(spark).removeprefix("file://"))
+    plans, index = [], text_index.temporary(spark)
+    plain = index.store._write
+    index.store._write = lambda name, df, path: (plans.append(name), plain(name, df, path))
+    index.refresh(texts)
+    assert plans == ["postings"]  # rows of texts come out of the same pass
+    assert written(run_dir(spark).removeprefix("file://")) - before <= written(index.store.path.removeprefix("file://"))  # nothing beside the index
+    assert index.store.rows("files").count() == 4_000 and index.store.note()["n"] == 4_000
+    assert index.store.rows("postings").filter("term IS NULL").count() == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_questions_and_best_rows_grow_with_tasks_and_not_with_parts(spark, monkeypatch):
+    texts, asked = crowd(spark, 2_000, 400)
+    index = text_index.temporary(spark)
+    index.refresh(texts)
+    sent = []
+    for group in (2_000, 40):  # some four, then some 200 parts
+        monkeypatch.setattr(lexical, "TASKS", 1)
+        before = shuffled(spark)
+        got = index.top_k(asked, 5, group=group)
+        rows = sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got.collect())
+        sent.append((rows, shuffled(spark) - before))
+    assert sent[0][0] == sent[1][0]
+    assert sent[1][1] < 4 * sent[0][1]
