@@ -157,3 +157,18 @@ def test_page_recovery_tells_pages_once(spark):
 def test_recognition_is_dealt_to_all_cores(spark, tmp_path):
     asked = spark.createDataFrame([(f"f{k}", 1) for k in range(64)], "path string, page int")
     assert paged.recognised(asked, str(tmp_path), lambda: bytes.decode).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_embedding_copies_a_few_texts_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    class Counting:
+        def embed(self, texts):
+            return np.full((len(texts), 3), [len(texts), len(texts[-1]), float(all(isinstance(t, str) for t in texts))])
+
+    texts = spark.range(0, 3_000, 1, 1).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('x', CAST(id % 5 AS INT)) END AS text")
+    rows = texts.select("id", models.embedded(F.col("text"), Counting).alias("v")).collect()
+    assert len(rows) == 3_000 and max(r["v"][0] for r in rows) <= 256 and {r["v"][2] for r in rows} == {1.0}
+    plain = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, text string").select("id", models.embedded(F.col("text")).alias("v"))
+    want = models.Hashed().embed(["a b", "", ""])
+    assert [r["v"] for r in plain.orderBy("id").collect()] == [list(v) for v in want]
