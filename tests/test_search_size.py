@@ -99,3 +99,48 @@ def test_questions_and_best_rows_grow_with_tasks_and_not_with_parts(spark, monke
         sent.append((rows, shuffled(spark) - before))
     assert sent[0][0] == sent[1][0]
     assert sent[1][1] < 4 * sent[0][1]
+
+
+def test_vectors_are_shuffled_once_whatever_the_questions(spark):
+    from docmill.operators import vectors
+
+    place = lambda seed: F.array(*[F.sin(F.col("id") * (i + seed)) for i in range(16)])
+    v = spark.range(6_000).select(F.col("id").alias("doc_id"), place(1).alias("embedding"))
+    sent = []
+    for n in (64, 512):
+        q = spark.range(n).select(F.col("id").alias("qid"), place(2).alias("qvec"))
+        before = shuffled(spark)
+        some = vectors.top_k(v, q, "doc_id", 3, block=32, part=200).collect()
+        sent.append(shuffled(spark) - before)
+        whole = vectors.top_k(v, q, "doc_id", 3).collect()
+        assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in some) == sorted((r["qid"], r["rank"], r["doc_id"]) for r in whole) and len(some) == 3 * n
+    assert sent[1] < 3 * 6_000 * 16 * 8  # sixteen blocks of questions
+
+
+def test_texts_are_not_shuffled_for_their_hits(spark):
+    from docmill.operators import ranking
+
+    texts = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2((F.col("id") * 100 + i).cast("string"), 256) for i in range(20)]).alias("text"))
+    path = text_index.folder(spark, "texts")
+    texts.write.parquet(path)
+    hits = spark.range(40).select((F.col("id") % 4).alias("qid"), (F.col("id") * 70).alias("doc_id"))
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ranking.with_rows(hits, spark.read.parquet(path), "doc_id").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 100_000
+
+
+def test_a_store_of_vectors_shuffles_no_lone_text(spark):
+    from docmill.operators import models
+    from docmill.operators.vector_store import VectorStore
+
+    long = F.concat_ws(" ", *[F.sha2((F.col("id") % 2_990 * 100 + i).cast("string"), 256) for i in range(20)])
+    texts = spark.range(3_000).select("id", long.alias("text"))  # ten texts twice
+    before = shuffled(spark)
+    store = VectorStore(spark, "test", models.Hashed, text_index.folder(spark, "vectors"))
+    store._learn(texts.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text"))
+    assert shuffled(spark) - before < 1_000_000  # texts are 3.9 MB
+    assert store.store.rows("vectors").count() == store.store.rows("vectors").select("digest").distinct().count() == 2_990
