@@ -144,3 +144,31 @@ def test_a_store_of_vectors_shuffles_no_lone_text(spark):
     store._learn(texts.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text"))
     assert shuffled(spark) - before < 1_000_000  # texts are 3.9 MB
     assert store.store.rows("vectors").count() == store.store.rows("vectors").select("digest").distinct().count() == 2_990
+
+
+def test_figures_of_terms_leave_python_once_a_batch(spark):
+    texts, _ = crowd(spark, 3_000, 1)
+    texts = texts.unionByName(spark.createDataFrame([(9_000, None), (9_001, "!!"), (9_002, "ten two ten")], "doc_id long, text string"))
+    posted = lexical.postings(texts, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").cast("long").alias("max_tf"))
+    got = lexical.term_figures(texts, "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, posted.collect()))
+    made = got._jdf.queryExecution().executedPlan()
+    python = [x for x in _nodes(made) if "MapInArrow" in x.nodeName()]
+    assert len(python) == 1 and python[0].metrics().apply("pythonNumRowsReceived").value() < 200  # 15,000 postings
+
+
+def test_accents_are_taken_from_terms_as_from_texts(spark):
+    import unicodedata
+
+    assert all(unicodedata.category(c)[0] == "L" for c in "".join(lexical._accents()))  # so runs of letters are the same with and without
+    texts = spark.createDataFrame([(1, "Élan elan ÉLAN über uber 1a é"), (2, "ﬁ Straße İstanbul e\u0301 ǆ"), (3, None)], "doc_id long, text string")
+    want = texts.select("doc_id", F.explode(lexical.all_terms("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    got = lexical.postings(texts, "doc_id", "text").select("doc_id", "term", "tf")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("term = 'elan' AND tf = 3").count() == 1
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _nodes(plan.executedPlan())
+    below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan, *[x for b in below for x in _nodes(b)]]
