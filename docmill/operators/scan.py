@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.text import strip, without_fences
 from docmill.functions.tolerant import balanced
-from docmill.scratch import stored
+from docmill.scratch import discard, stored
 
 from .lookups import stratified
 from .models import TextModel, completed
@@ -62,7 +62,15 @@ def excerpts(samples: Column, chars: int) -> Column:
 
 def sampled(sections: DataFrame, key: str, count: int) -> DataFrame:
     """key, i (from 1), text: ``count`` sections with text of each file, from head, tail and between."""
-    texty = sections.select(key, "ord", strip(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
+    return _sampled(_stripped(sections, key), key, count)
+
+
+def _stripped(sections: DataFrame, key: str) -> DataFrame:
+    return sections.select(key, "ord", strip(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _sampled(stripped: DataFrame, key: str, count: int) -> DataFrame:
+    texty = stripped.filter("text <> ''")
     rows = stratified(texty.select(key, "ord"), key, "ord", count).select(key, "ord")
     place = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
     return rows.withColumn("i", place).join(texty, [key, "ord"]).select(key, "i", "text")
@@ -71,7 +79,10 @@ def sampled(sections: DataFrame, key: str, count: int) -> DataFrame:
 def scan(sections: DataFrame, topics: Callable[[], TextModel], entities: Callable[[], TextModel], key: str = "file_id", count: int = SAMPLE, batch: int = BATCH) -> DataFrame:
     """key, title, description, topics, entities (array of bucket and terms, in the buckets' order) of every file; files without text have empty
     fields. sections: key, ord (a whole number, unique in a file), text. A file's sample is of bounded size, so its row holds it whole."""
-    rows = stored(sampled(sections, key, count), "sampled-sections")
+    made = stored(_stripped(sections, key), "stripped-sections")  # four steps read them; they are made once
+    files = stored(made.select(key).distinct(), "section-files")
+    rows = stored(_sampled(made, key, count), "sampled-sections")
+    discard(made)
     ordered = lambda: F.array_sort(F.collect_list(F.struct("i", "text")))
     whole = rows.groupBy(key).agg(ordered().alias("s"))
     told = whole.select(key, F.lower(F.array_join(F.transform("s", lambda x: x["text"]), "\n")).alias("seen"), completed(F.concat(F.lit(_TOPIC), excerpts(F.col("s"), TOPIC_CHARS)), topics, 300).alias("reply"))
@@ -87,7 +98,6 @@ def scan(sections: DataFrame, topics: Callable[[], TextModel], entities: Callabl
     lists = best.groupBy(key, "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "form"))), lambda x: x["form"]).alias("terms"))
     number = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket"))
     each = lists.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("no"), "bucket", "terms"))), lambda x: F.struct(x["bucket"].alias("bucket"), x["terms"].alias("terms"))).alias("entities"))
-    files = sections.select(key).distinct()
     none = F.array().cast("array<string>")
     empty = F.array().cast("array<struct<bucket: string, terms: array<string>>>")
     out = files.join(told.select(key, "f.*"), key, "left").join(each, key, "left")

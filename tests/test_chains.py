@@ -143,3 +143,21 @@ def test_sketches_are_rolled_up_without_the_rows(spark):
                 below, upto = sum(x < v for x in values) / len(values), sum(x <= v for x in values) / len(values)
                 assert below - sketches.BOUND <= q <= upto + sketches.BOUND
     assert "sketch" in days.store.tables["days"] and len(days.store.log()) == 2
+
+
+def test_a_scan_makes_its_sections_once(spark):
+    from pyspark.sql import functions as F
+
+    from docmill.operators import scan
+    from docmill.plans.passes import Names, Topics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return f"Words of Section {i} and more" if i % 7 else " "
+
+    sections = spark.range(0, 300, 1, 3).select((F.col("id") % 20).alias("file_id"), (F.col("id") / 20).cast("int").alias("ord"), text(F.col("id")).alias("text"))
+    assert scan.scan(sections, Topics, Names).count() == 20
+    assert seen.value == 300
