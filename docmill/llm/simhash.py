@@ -138,10 +138,16 @@ def visits(nodes: DataFrame, projections: list[np.ndarray]) -> DataFrame:
     return nodes.select("node").mapInArrow(run, "anchor long, node long, home boolean")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is made by a shuffle, whatever size Spark takes it for: behind a step that makes many rows of one, and of packed
+    columns, its estimate is far too low, and a broadcast passes the driver."""
+    return df.hint("merge")
+
+
 def compared(here: DataFrame) -> DataFrame:
     """(a, b): nodes at home that differ from a visitor of their anchor in DISTANCE bits or fewer."""
     home = here.filter("home").select("anchor", F.col("node").alias("a"))
-    met = home.join(here.select("anchor", F.col("node").alias("b")), "anchor").filter("a != b")
+    met = home.join(shuffled(here.select("anchor", F.col("node").alias("b"))), "anchor").filter("a != b")
     near = met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -184,7 +190,7 @@ def linked_in_clusters(members: DataFrame) -> DataFrame:
     sent = stash(sets_sent(members), "sets")
     least = sent.groupBy("cluster", "set").agg(F.min(F.struct("taken", "node")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster", "set", "l.taken", "l.node")
     leaders = least.select("cluster", "set", F.col("taken").alias("l_taken"), F.col("node").alias("l"))
-    found = sent.join(leaders, ["cluster", "set"]).filter((F.col("taken") + F.col("l_taken") <= DISTANCE) & (F.col("node") != F.col("l")))
+    found = sent.join(shuffled(leaders), ["cluster", "set"]).filter((F.col("taken") + F.col("l_taken") <= DISTANCE) & (F.col("node") != F.col("l")))
     return found.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
 
 
@@ -194,7 +200,7 @@ def links(nodes: DataFrame, projections: list[np.ndarray], crowd: int = CROWD, n
     for level in range(levels):
         all_ = visits(nodes, projections)
         met = all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("here"), F.sum(F.col("home").cast("long")).alias("homes")).filter("here > 1 AND homes > 0")
-        here = stash(all_.join(met, "anchor"), "visits")
+        here = stash(all_.join(shuffled(met), "anchor"), "visits")
         found = compared(here.filter(F.col("homes") <= crowd))
         full = here.filter(F.col("homes") > crowd)
         if not full.limit(1).count():
@@ -203,8 +209,8 @@ def links(nodes: DataFrame, projections: list[np.ndarray], crowd: int = CROWD, n
         out = found if out is None else out.unionByName(found)
         # Crowded anchors that share a visitor are one cluster. Anchors and nodes get different numbers: odd and even.
         first = full.groupBy("node").agg(F.min("anchor").alias("first"))
-        joined = components(full.join(first, "node").filter("anchor != first").select(F.col("anchor").alias("a"), F.col("first").alias("b")).distinct())
-        of = first.join(joined.select(F.col("node").alias("first"), "comp"), "first", "left").select("node", F.coalesce("comp", "first").alias("cluster"))
+        joined = components(full.join(shuffled(first), "node").filter("anchor != first").select(F.col("anchor").alias("a"), F.col("first").alias("b")).distinct())
+        of = first.join(bounded(joined).select(F.col("node").alias("first"), "comp"), "first", "left").select("node", F.coalesce("comp", "first").alias("cluster"))
         members = stash(centred(stash(of, "clusters")), "members")
         size = F.bit_count("gap")
         last = level == levels - 1
@@ -224,12 +230,12 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
     projections = PROJECTIONS["halves" if nodes.count() <= wide else "blocks"]
     comps = components(links(nodes, projections, **limits))
-    named = comps.join(nodes, "node")
+    named = comps.join(shuffled(nodes), "node")
     least = stash(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
     linked = stash(comps.join(bounded(least), "comp").select(F.col("node").alias("of"), "least"), "linked")
     labelled = nodes.join(bounded(linked), F.col("node") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("least", "rep").alias("component_id"))
     # Fingerprints of many rows are the hot keys of this join; Spark splits them.
-    each = rows.join(labelled, F.col("node") == F.col("of"))
+    each = rows.join(shuffled(labelled), F.col("node") == F.col("of"))
     return each.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 

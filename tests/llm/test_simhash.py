@@ -45,7 +45,7 @@ def near(nodes):
 
 
 def found(spark, nodes, kind, **limits):
-    edges = sh.links(spark.createDataFrame([(n,) for n in nodes], "node long"), sh.PROJECTIONS[kind], **limits)
+    edges = sh.links(spark.createDataFrame([(n,) for n in nodes[::6]], "node long"), sh.PROJECTIONS[kind], **limits)
     pairs = [(r["a"], r["b"]) for r in edges.collect()]
     assert all(((a ^ b) % 2**64).bit_count() <= 3 for a, b in pairs)
     label = {r["node"]: r["comp"] for r in components(edges).collect()}
@@ -135,3 +135,23 @@ def test_tables_that_grow_with_the_input_are_not_broadcast(spark):
     for n, sent in ((20_000, False), (100, True)):
         plan = spark.range(n).join(bounded(stash(spark.range(n), "names")), "id")._jdf.queryExecution().executedPlan().toString()
         assert ("BroadcastHashJoin" in plan) == sent
+
+
+def test_no_join_is_broadcast_by_an_estimate(spark, nodes, monkeypatch):
+    """Spark takes the anchors of many nodes for a small table, as it knows only the nodes' bytes; no join goes by that."""
+    from docmill.llm import near_dedup
+
+    plans = []
+
+    def planned(df, name, plain=sh.stash):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    for module in (sh, near_dedup):
+        monkeypatch.setattr(module, "stash", planned)
+    table = planned(spark.createDataFrame([(n,) for n in nodes[::6]], "node long"), "nodes")
+    found = sh.links(table, sh.PROJECTIONS["halves"], crowd=1, levels=1)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
