@@ -172,3 +172,21 @@ def _nodes(plan):
         return _nodes(plan.executedPlan())
     below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
     return [plan, *[x for b in below for x in _nodes(b)]]
+
+
+def test_many_questions_go_in_blocks(spark):
+    """Blocks of questions give the same rows as all questions at once."""
+    texts, asked = crowd(spark, 300, 40)
+    index = text_index.temporary(spark)
+    index.refresh(texts)
+    rows = [sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in index.top_k(asked, 7, group=100, block=n).collect()) for n in (7, 1_000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 40 * 7
+
+
+def test_citations_answer_every_question(spark, data):
+    """Whatever a user says, in any conversation, has its citations."""
+    from docmill.plans import QUERIES
+    from docmill.sources.tables import table
+
+    asked = {r[0] for r in table(spark, data, "conversations").filter("role = 'user'").select(F.col("conv_id") * 1000 + F.col("turn")).collect()}
+    assert {r["qid"] for r in QUERIES["citations"](spark, data).select("qid").collect()} == asked
