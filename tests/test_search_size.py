@@ -190,3 +190,28 @@ def test_citations_answer_every_question(spark, data):
 
     asked = {r[0] for r in table(spark, data, "conversations").filter("role = 'user'").select(F.col("conv_id") * 1000 + F.col("turn")).collect()}
     assert {r["qid"] for r in QUERIES["citations"](spark, data).select("qid").collect()} == asked
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    """Texts repeat their words; a vector is that of one digest for each distinct word."""
+    import hashlib
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from docmill.operators import models
+
+    asked = []
+    monkeypatch.setattr(models, "hashlib", SimpleNamespace(md5=lambda raw, **rest: asked.append(raw) or hashlib.md5(raw, **rest)))
+    words = [f"zq{k}" for k in range(40)]
+    texts = [" ".join(words[: k % 41] * 3) for k in range(200)] + ["", "é"]
+    found = models.Hashed().embed(texts)
+    assert len(asked) == 40
+    want = np.zeros((len(texts), 64))
+    for row, text in zip(want, texts, strict=True):
+        for word in text.split():
+            if word != "é":
+                number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                row[number % 64] += 1 if number // 64 % 2 == 0 else -1
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    assert (found == want / np.where(size == 0, 1, size)).all()
